@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.expressions import (
     case, empty, find_all, let, lines_of, null, strip, struct, text, window_text,
 )
+from tracewell.functions.rows import explode_structs
 from tracewell.rules.catalog import java_regex
 
 KEYS = ["project_id", "path"]
@@ -249,8 +250,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def _table(files: DataFrame, expression: str, ordinal: str) -> DataFrame:
-    exploded = with_lines(files).select(*KEYS, F.posexplode(F.expr(expression)).alias("_o", "_f"))
-    return exploded.select(*KEYS, (F.col("_o") + 1).alias(ordinal), "_f.*")
+    return explode_structs(with_lines(files), KEYS, F.expr(expression), ordinal)
 
 
 def declarations(files: DataFrame) -> DataFrame:
@@ -274,15 +274,12 @@ def imports(files: DataFrame) -> DataFrame:
 
 
 def variables(files: DataFrame) -> DataFrame:
-    return with_lines(files).select(*KEYS, F.explode(F.expr(variables_expr())).alias("_v")) \
-        .select(*KEYS, "_v.*")
+    return explode_structs(with_lines(files), KEYS, F.expr(variables_expr()))
 
 
 def later_assigns(files: DataFrame) -> DataFrame:
-    later = variables(files).select(
-        *KEYS, F.col("name").alias("var_name"), "var_ord",
-        F.posexplode("later_assigns").alias("_o", "_l"))
-    return later.select(*KEYS, "var_ord", "var_name", (F.col("_o") + 1).alias("assign_ord"), "_l.*")
+    named = variables(files).withColumnRenamed("name", "var_name").drop("line_no")
+    return explode_structs(named, [*KEYS, "var_ord", "var_name"], "later_assigns", "assign_ord")
 
 
 def usages(files: DataFrame) -> DataFrame:
@@ -293,9 +290,7 @@ def usages(files: DataFrame) -> DataFrame:
         "and not contains(x, concat(v.name, '='))), v -> "
         + struct(var_ord="v.var_ord", name="v.name", line_no="i + 1", context=strip("x")) + ")))")
     generic = files.where(~F.col("language").isin("python", "java", *JS))
-    return with_lines(generic).select(
-        *KEYS, F.explode(F.expr(let({"_v": variables_expr()}, pairs))).alias("_u")
-    ).select(*KEYS, "_u.*")
+    return explode_structs(with_lines(generic), KEYS, F.expr(let({"_v": variables_expr()}, pairs)))
 
 
 def references(files: DataFrame) -> DataFrame:
@@ -309,9 +304,7 @@ def references(files: DataFrame) -> DataFrame:
                   + hit.format("a.line_no", "a.value") + ")")
     body = (f"flatten(transform(_v, v -> flatten(transform(_v, o -> "
             f"concat({from_init}, {from_later})))))")
-    return with_lines(files).select(
-        *KEYS, F.explode(F.expr(let({"_v": variables_expr()}, body))).alias("_r")
-    ).select(*KEYS, "_r.*")
+    return explode_structs(with_lines(files), KEYS, F.expr(let({"_v": variables_expr()}, body)))
 
 
 def assignments_to(files: DataFrame) -> DataFrame:
@@ -320,9 +313,7 @@ def assignments_to(files: DataFrame) -> DataFrame:
             "transform(o.later_assigns, a -> "
             + struct(var_ord="v.var_ord", name="v.name", line_no="a.line_no", value="a.value")
             + "), " + empty("struct<var_ord:int,name:string,line_no:int,value:string>") + ")))))")
-    return with_lines(files).select(
-        *KEYS, F.explode(F.expr(let({"_v": variables_expr()}, body))).alias("_a")
-    ).select(*KEYS, "_a.*")
+    return explode_structs(with_lines(files), KEYS, F.expr(let({"_v": variables_expr()}, body)))
 
 
 def snippet_at(files: DataFrame, places: DataFrame, context: int = 2) -> DataFrame:
@@ -334,5 +325,4 @@ def snippet_at(files: DataFrame, places: DataFrame, context: int = 2) -> DataFra
     wanted = places.groupBy(*KEYS).agg(F.array_sort(F.collect_set("line_no")).alias("_want"))
     one = struct(line_no="n", code=_code("_l", "n"), context=window_text("_l", "n", context))
     body = let({"_l": lines_of("content")}, f"transform(_want, n -> {one})")
-    return files.join(wanted, KEYS).select(*KEYS, F.explode(F.expr(body)).alias("_s")) \
-        .select(*KEYS, "_s.*")
+    return explode_structs(files.join(wanted, KEYS), KEYS, F.expr(body))

@@ -7,6 +7,7 @@ keeps the per-line work to rules that can match at all.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.expressions import (
     MARK, case, empty, let, lines_of, null, strip, struct, text, window_text,
 )
+from tracewell.functions.rows import explode_structs
 from tracewell.functions.scalars import describe_expr
 from tracewell.operators.facts import JS, KEYS
 from tracewell.rules.catalog import (
@@ -113,8 +115,7 @@ def quick_scan(files: DataFrame, packs: dict[tuple[str, ...], str] | None = None
         parts.append(case("language", {k: _scan(regex_rules(p)) for k, p in packs.items()},
                           empty(ISSUE)))
     body = let({"lc": "lower(content)", "l": lines_of("content")}, f"concat({', '.join(parts)})")
-    issues = files.select(*KEYS, "language", F.posexplode(F.expr(body)).alias("_o", "_i"))
-    return issues.select(*KEYS, "language", (F.col("_o") + 1).alias("issue_ord"), "_i.*")
+    return explode_structs(files, [*KEYS, "language"], F.expr(body), "issue_ord")
 
 
 def web_scan(files: DataFrame) -> DataFrame:
@@ -124,17 +125,17 @@ def web_scan(files: DataFrame) -> DataFrame:
 
 # --- source, sink and sanitizer hits ----------------------------------------------------------
 
-def _pack_literal(language: str) -> str:
-    rows = [r for role in ROLES for r in literal_rules(language, role)]
-    return "array(" + ", ".join(
-        struct(role=text(r.role), rule_type=text(r.rule_type), rule_ord=str(r.rule_ord),
-               pattern=text(r.pattern)) for r in rows) + ")"
+def _pack_literal(language: str, roles: Iterable[str]) -> str:
+    """The rules of a language as one JSON literal; the optimizer folds it into an array."""
+    rows = [{"role": r.role, "rule_type": r.rule_type, "rule_ord": r.rule_ord,
+             "pattern": r.pattern} for role in roles for r in literal_rules(language, role)]
+    return f"from_json({text(json.dumps(rows))}, 'array<{RULE}>')"
 
 
-def _rules_for_language() -> str:
+def _rules_for_language(roles: Iterable[str] = ROLES) -> str:
     return case("language", {
-        ("java",): _pack_literal("java"), JS: _pack_literal("javascript"),
-        ("python",): _pack_literal("python")}, _pack_literal(GENERIC))
+        ("java",): _pack_literal("java", roles), JS: _pack_literal("javascript", roles),
+        ("python",): _pack_literal("python", roles)}, _pack_literal(GENERIC, roles))
 
 
 def assigned_name(code: str, literal: str) -> str:
@@ -195,11 +196,14 @@ SINK = ("struct<line_no:int,sink_type:string,sink_code:string,sink_pattern:strin
         "wrapped_sink:string>")
 
 
-def sinks_expr(hits: str = "hits", wrappers: str = "wrappers",
+def sinks_expr(hits: str = "hits", wrappers: str | None = "wrappers",
                custom: str = "custom_rules") -> str:
     """Direct sinks, then wrapper calls with a sink literal in their surrounding three lines."""
     direct = struct(line_no="h.line_no", sink_type="h.rule_type", sink_code="h.code",
                     sink_pattern="h.pattern", context="h.context", wrapped_sink=null("string"))
+    hs = {"hs": f"filter({hits}, h -> h.role = 'sink')"}
+    if wrappers is None:
+        return let(hs, f"transform(hs, h -> {direct})")
     wrapped = struct(
         line_no="s.line_no", sink_type="concat('wrapper_', r.rule_type)",
         sink_code=strip("s.text"), sink_pattern="w", context="cx", wrapped_sink="r.pattern")
@@ -208,12 +212,12 @@ def sinks_expr(hits: str = "hits", wrappers: str = "wrappers",
                    f"flatten(transform(rl, r -> transform({near}, c -> {wrapped})))")
     by_wrapper = let({
         "ls": "lines",
-        "rl": f"filter(concat({_rules_for_language()}, coalesce({custom}, {empty(RULE)})), "
+        "rl": f"filter(concat({_rules_for_language(['sink'])}, coalesce({custom}, {empty(RULE)})), "
               "r -> r.role = 'sink' and contains(content, r.pattern))",
         "nl": "transform(ls, (x, i) -> struct(i + 1 as line_no, x as text))",
     }, f"flatten(transform({wrappers}, w -> flatten(transform("
        f"filter(nl, s -> contains(s.text, w)), s -> {per_line}))))")
-    return let({"hs": f"filter({hits}, h -> h.role = 'sink')"},
+    return let(hs,
                f"concat(transform(hs, h -> {direct}), "
                f"if(coalesce(size({wrappers}), 0) > 0, {by_wrapper}, {empty(SINK)}))")
 

@@ -27,3 +27,17 @@ def drop_listed(frame: DataFrame, listed: DataFrame, keys: Sequence[str]) -> Dat
     if n == 0:
         return frame
     return frame.join(listed if n is None else F.broadcast(listed), list(keys), "left_anti")
+
+
+def lookup_join(frame: DataFrame, table: DataFrame, keys: Sequence[str], spread: str,
+                salts: int = 32) -> DataFrame:
+    """Left join to a table that has one row per key.
+
+    Broadcast when the table is counted to be small. Otherwise the table is repeated once per salt
+    and rows of a hot key are spread by a hash of ``spread``, so no key lands in one task.
+    """
+    if rows_within(table) is not None:
+        return frame.join(F.broadcast(table), list(keys), "left")
+    salted = frame.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
