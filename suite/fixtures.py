@@ -133,3 +133,151 @@ DUCK_CODE = f"""
            string_agg(text, chr(10) order by line_no) as content,
            count(*) as n_lines
     from code_lines group by project_id, path)"""
+
+
+# --- repositories, manifests, findings, responses, project patterns ---------------------------
+
+DIRS = ["src", "routes", "node_modules/x", "build", "auth", "api/controllers", "docs",
+        ".git/hooks", "env", "lib", "src/main/java", "services", "models", "app/middleware",
+        "test", "common/util"]
+BASES = ["login", "index", "main", "app", "user_admin", "environment", "config", "Main",
+         "Application", "server", "utils", "test_api", "router", "session.min", ".hidden",
+         "README", "auth_controller", "sql_helper", "data", ""]
+SUFFIXES = [".py", ".js", ".ts", ".java", ".go", ".rb", ".PY", ".min.js", ".png", ".json",
+            ".yaml", ".php", ".html", ".txt"]
+MANIFESTS = [
+    ("package.json", '{"name":"a","dependencies":{"react":"1.{m}","left-pad":"2"},'
+                     '"devDependencies":{"react":"9.{m}","jest":"3"}}'),
+    ("package.json", '{"dependencies":{"express":"4.{m}","vue":"3"}}'),
+    ("package.json", '{"dependencies": broken'),
+    ("pom.xml", "<project><artifactId>spring-boot-starter</artifactId>spring-security</project>"),
+    ("pom.xml", "spring-boot without the tag"),
+    ("requirements.txt", "django=={m}"),
+    ("requirements.txt", "flask\nrequests"),
+    ("README.md", "About project {m}"),
+    ("Gemfile", "gem 'rails'"),
+]
+TYPES = ["SQL Injection", "xss", "Command Injection", "hardcoded_credentials", "nosql_injection",
+         "Path Traversal", "XSS (reflected)", "insecure_communication", "weak_crypto",
+         "Unknown thing", "csrf", "Open Redirect", None, "xxe"]
+SEVERITIES = ["Critical", "High", "Medium", "Low", "Info", None]
+RESPONSES = [
+    '[{"line": {n}, "vulnerability_type": "SQL Injection", "description": "d", '
+    '"severity": "High", "confidence": 0.9, "code_snippet": "x", "cwe_id": "", '
+    '"data_flow": ["a","b"], "remediation": "r"}]',
+    '[{"line": 3, "vulnerability_type": "xss"}, {"confidence": "0.8", "severity": "Low"}]',
+    '{"line": 1}',
+    'Here: [ {"line": {m}, "vulnerability_type": "csrf", "confidence": 0.6} ] done',
+    'None found: []',
+    'Vulnerability 1: bad\nLine {n} has SQL Injection. Issue 2: Line 4 and XSS',
+    '  ',
+    '[1, "x", {"line": 7}]',
+    '[]',
+    'nothing to say about {m}',
+    '[{"line": 2, "vulnerability_type": "nosql_injection"}] trailing',
+    '[{"line": 5, "vulnerability_type": "Unknown", "severity": "Critical"',
+]
+KINDS = ["custom_function", "data_transformation", "validation_function", "wrapper_function",
+         "security_pattern"]
+CATEGORIES = ["sanitization", "authentication", "other"]
+IMPACTS = ["reads user data from a request", "executes a database query", "encode and sanitize",
+           "unsafe and risky", "critical command execution", "validate and transform",
+           "sensitive output render", None]
+
+
+def _pick(quote, value: str, items) -> str:
+    whens = " ".join(f"when {i} then {'null' if n is None else quote(n)}"
+                     for i, n in enumerate(items))
+    return f"case {value} {whens} end"
+
+
+def _repo_sql(source: str, quote) -> str:
+    return f"""
+      select o_custkey % 50 as project_id,
+             concat({_pick(quote, 'o_orderkey % 16', DIRS)}, '/d', o_orderkey, '/',
+                    {_pick(quote, '(o_custkey + o_orderkey) % 20', BASES)},
+                    {_pick(quote, '(o_orderkey * 7 + o_custkey * 3) % 14', SUFFIXES)}) as path,
+             cast(floor(o_totalprice) as bigint) as size_bytes
+      from {source}"""
+
+
+def _manifest_sql(source: str, quote) -> str:
+    filled = (f"replace({_pick(quote, 'ix', [c for _, c in MANIFESTS])}, '{{m}}', "
+              "cast(o_orderkey % 7 as varchar(20)))")
+    return f"""
+      select o_custkey as project_id, {_pick(quote, 'ix', [n for n, _ in MANIFESTS])} as name,
+             {filled} as content
+      from (select *, o_orderkey % 9 as ix from {source}) a"""
+
+
+def _finding_sql(source: str, quote) -> str:
+    return f"""
+      select file_id % 20 as project_id,
+             case when l_suppkey % 97 = 0 then null else
+               concat('p', file_id % 20, '/src/f', file_id, '.',
+                      {_pick(quote, 'file_id % 4', EXTENSIONS)}) end as file,
+             l_linenumber as line,
+             {_pick(quote, 'l_partkey % 14', TYPES)} as vulnerability_type,
+             concat('finding ', l_partkey) as description,
+             {_pick(quote, 'l_suppkey % 6', SEVERITIES)} as severity,
+             case when l_quantity > 48 then null
+               else cast(round(l_discount * 100) as double) / cast(10 as double) end as confidence,
+             concat('say "', l_suppkey, '", then') as code_snippet,
+             case when l_partkey % 3 = 0 then 'CWE-1' end as cwe_id,
+             'fix it' as remediation
+      from (select *, cast(floor(l_orderkey / 8.0) as bigint) as file_id from {source}) a"""
+
+
+def _response_sql(source: str, quote) -> str:
+    filled = (f"replace(replace({_pick(quote, 'o_orderkey % 12', RESPONSES)}, '{{n}}', "
+              "cast(o_orderkey as varchar(20))), '{m}', cast(o_custkey as varchar(20)))")
+    return f"""
+      select o_custkey % 50 as project_id, concat('f', o_orderkey, '.py') as path,
+             {filled} as response
+      from {source}"""
+
+
+def _pattern_sql(source: str, quote) -> str:
+    return f"""
+      select p_partkey % 20 as project_id, {_pick(quote, 'p_size % 5', KINDS)} as kind,
+             case when p_size % 5 = 4 then {_pick(quote, 'p_partkey % 3', CATEGORIES)} end as category,
+             concat('fn', p_partkey % 23) as name,
+             case when p_size % 5 = 0 then {_pick(quote, 'p_partkey % 8', IMPACTS)} end as impact,
+             cast(p_partkey % 7 as integer) as file_ord
+      from {source}"""
+
+
+def _derived(spark, sf_dir, table, columns, build) -> DataFrame:
+    view = f"tracewell_{table}"
+    read(spark, sf_dir, table).select(*columns).createOrReplaceTempView(view)
+    return spark.sql(build(view, text))
+
+
+def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing ``project_id, path, size_bytes`` from ``orders``."""
+    return _derived(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"], _repo_sql)
+
+
+def root_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"], _manifest_sql)
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"]
+    rows = _derived(spark, sf_dir, "lineitem", columns, _finding_sql)
+    return rows.withColumn("data_flow", F.array(F.lit("step1"), F.col("description")))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"], _response_sql)
+
+
+def project_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "part", ["p_partkey", "p_size"], _pattern_sql)
+
+
+DUCK_REPO = f"repo_files as ({_repo_sql('orders', _duck)})"
+DUCK_ROOT = f"root_files as ({_manifest_sql('orders', _duck)})"
+DUCK_FINDINGS = f"findings as ({_finding_sql('lineitem', _duck)})"
+DUCK_RESPONSES = f"responses as ({_response_sql('orders', _duck)})"
+DUCK_PATTERNS = f"project_patterns as ({_pattern_sql('part', _duck)})"

@@ -129,7 +129,8 @@ def basename(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """Text after the last dot; a name whose only dots lead it has no extension."""
-    return F.regexp_extract(name, r"^\.*[^.].*\.([^.]*)$|^\.*[^.]\.([^.]*)$", 1)
+    bare = F.ltrim(name, F.lit("."))
+    return F.when(F.instr(bare, ".") > 0, F.substring_index(bare, ".", -1)).otherwise("")
 
 
 def lookup(column: Column, table: dict[str, str], default: str | None = None) -> Column:

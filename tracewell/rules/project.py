@@ -46,27 +46,24 @@ def custom_rules(merged: DataFrame) -> DataFrame:
     custom = F.col("kind") == "custom_function"
     runs = custom & _has("execute", "query", "sensitive", "critical")
     eased = custom & _has("validation", "sanitize", "secure", "transform", "encode")
+    def rule(role, rule_type):
+        return F.struct(F.lit(role).alias("role"), F.lit(rule_type).alias("rule_type"))
+
+    checks = F.col("kind") == "validation_function"
+    secured = (F.col("kind") == "security_pattern") & (F.col("category") == "sanitization")
     candidates = F.array(
-        F.when(custom & _has("input", "user data", "request"),
-               F.struct(F.lit("source").alias("role"), F.lit("custom_input").alias("rule_type"))),
-        F.when(runs & _has("sql", "database"), F.struct(F.lit("sink"), F.lit("custom_sql")))
-        .when(runs & _has("command", "exec"), F.struct(F.lit("sink"), F.lit("custom_command")))
-        .when(runs & _has("output", "render"), F.struct(F.lit("sink"), F.lit("custom_output"))),
-        F.when(eased & _has("sanitize", "validate"),
-               F.struct(F.lit("sanitizer"), F.lit("custom_sanitization"))),
-        F.when(F.col("kind") == "validation_function",
-               F.struct(F.lit("sanitizer"), F.lit("custom_validation"))),
-        F.when((F.col("kind") == "security_pattern") & (F.col("category") == "sanitization"),
-               F.struct(F.lit("sanitizer"), F.lit("custom_sanitization"))),
+        F.when(custom & _has("input", "user data", "request"), rule("source", "custom_input")),
+        F.when(runs & _has("sql", "database"), rule("sink", "custom_sql"))
+        .when(runs & _has("command", "exec"), rule("sink", "custom_command"))
+        .when(runs & _has("output", "render"), rule("sink", "custom_output")),
+        F.when(eased & _has("sanitize", "validate"), rule("sanitizer", "custom_sanitization")),
+        F.when(checks, rule("sanitizer", "custom_validation")),
+        F.when(secured, rule("sanitizer", "custom_sanitization")),
         F.when(custom & _has("unsafe", "vulnerable", "risky"),
-               F.struct(F.lit("suspicious"), F.lit("custom_suspicious"))),
-        F.when(F.col("kind") == "validation_function",
-               F.struct(F.lit("validation"), F.lit("validation"))),
-        F.when(F.col("kind") == "wrapper_function",
-               F.struct(F.lit("wrapper"), F.lit("wrapper"))),
-        F.when(F.col("kind") == "data_transformation",
-               F.struct(F.lit("transform"), F.lit("transform"))),
-    )
+               rule("suspicious", "custom_suspicious")),
+        F.when(checks, rule("validation", "validation")),
+        F.when(F.col("kind") == "wrapper_function", rule("wrapper", "wrapper")),
+        F.when(F.col("kind") == "data_transformation", rule("transform", "transform")))
     return merged.select("project_id", "name", F.explode(F.array_compact(candidates)).alias("_r")) \
         .select("project_id", "_r.role", "_r.rule_type", "name")
 

@@ -37,9 +37,9 @@ def ignored(path: Column, patterns: Sequence[str] | None = None, anchor: bool =
     if anchor:
         patterns = [p if p.endswith("$") else f"^(?:{p})$" for p in patterns]
     any_pattern = "|".join(f"(?:{p})" for p in patterns)
-    directories = F.substring_index(path, "/", F.size(F.split(path, "/")) - 1)
-    return (F.exists(F.split(path, "/"), lambda part: part.rlike(any_pattern))
-            | directories.rlike(any_pattern))
+    parts = F.split(path, "/")
+    directories = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    return F.exists(parts, lambda part: part.rlike(any_pattern)) | directories.rlike(any_pattern)
 
 
 def select_source_files(listing: DataFrame, max_file_size: int = MAX_FILE_BYTES,

@@ -66,8 +66,9 @@ def frameworks(root_files: DataFrame) -> DataFrame:
 def project_context(root_files: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """One row per project: frameworks, dependencies, manifest names (and entry points)."""
     def as_map(frame, key, value, name):
-        pairs = F.array_sort(F.collect_set(F.struct(key, value)))
-        return frame.groupBy("project_id").agg(F.map_from_entries(pairs).alias(name))
+        once = frame.groupBy("project_id", key).agg(F.max(value).alias(value))
+        pairs = F.array_sort(F.collect_list(F.struct(key, value)))
+        return once.groupBy("project_id").agg(F.map_from_entries(pairs).alias(name))
 
     names = manifests(root_files).groupBy("project_id").agg(
         F.array_sort(F.collect_set("name")).alias("config_files"))
