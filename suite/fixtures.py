@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.expressions import text
 from tracewell.sources.corpus import MAX_FILE_BYTES
-from tracewell.operators.sizing import drop_listed
+from tracewell.operators.sizing import drop_listed, rows_within, small
 
 LANGUAGES = ("python", "javascript", "java", "golang")
 EXTENSIONS = ("py", "js", "java", "go")
@@ -50,13 +50,19 @@ def _duck(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _line_text(quote, pick) -> str:
+# No template grows past this many bytes once its placeholders are filled in.
+MAX_LINE_BYTES = 100
+
+
+def _line_text(quote, pick, row: str = "") -> str:
     """Text of a line: template k of the language with its placeholders filled in."""
+    part, supp = f"{row}l_partkey", f"{row}l_suppkey"
     table = [t for name in LANGUAGES for t in TEMPLATES[name]]
-    chosen = pick("[" + ", ".join(quote(t) for t in table) + "]", "lang_ix * 16 + k")
-    for hole, value in (("{a}", "concat('v', l_suppkey % 12)"), ("{c}", "concat('v', l_partkey % 11)"),
-                        ("{fn}", "concat('fn', l_partkey % 23)"),
-                        ("{p}", "cast(l_partkey as varchar(20))")):
+    index = f"lang_ix * 16 + ({part} * 7 + {supp} * 3) % 16"
+    chosen = pick("[" + ", ".join(quote(t) for t in table) + "]", index)
+    for hole, value in (("{a}", f"concat('v', {supp} % 12)"), ("{c}", f"concat('v', {part} % 11)"),
+                        ("{fn}", f"concat('fn', {part} % 23)"),
+                        ("{p}", f"cast({part} as varchar(20))")):
         chosen = f"replace({chosen}, {quote(hole)}, {value})"
     return chosen
 
@@ -66,53 +72,53 @@ def _cases(quote, value: str, names) -> str:
     return f"case {value} {whens} end"
 
 
-def _code_lines_sql(source: str, quote, pick) -> str:
-    return f"""
-      select file_id, file_id % 20 as project_id, lang_ix,
-             concat('p', file_id % 20, '/src/f', file_id, '.', {_cases(quote, 'lang_ix', EXTENSIONS)}) as path,
-             {_cases(quote, 'lang_ix', LANGUAGES)} as language,
-             l_orderkey, l_linenumber, l_partkey, l_suppkey,
-             {_line_text(quote, pick)} as text
-      from (select *, file_id % 4 as lang_ix
-            from (select l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                         cast(floor(l_orderkey / 8.0) as bigint) as file_id,
-                         (l_partkey * 7 + l_suppkey * 3) % 16 as k
-                  from {source}) a) b"""
+def _code_keys(quote) -> list[str]:
+    return [
+        "file_id", "file_id % 20 as project_id", "file_id % 4 as lang_ix",
+        f"concat('p', file_id % 20, '/src/f', file_id, '.', "
+        f"{_cases(quote, 'file_id % 4', EXTENSIONS)}) as path",
+        f"{_cases(quote, 'file_id % 4', LANGUAGES)} as language"]
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def _spark_pick(table: str, index: str) -> str:
+    return f"element_at(array({table[1:-1]}), cast({index} as int) + 1)"
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = _code_lines_sql(
-        "{li}", text,
-        lambda arr, ix: f"element_at(array({arr[1:-1]}), cast({ix} as int) + 1)")
-    # templates contain braces, so the table is passed by name instead of through formatting
-    read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
-    ).createOrReplaceTempView("tracewell_lineitem")
-    return spark.sql(sql.replace("{li}", "tracewell_lineitem"))
+def _duck_pick(table: str, index: str) -> str:
+    return f"({table})[cast({index} as integer) + 1]"
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(project_id, path, name, ext, language, size_bytes, content)``.
 
-    Files over the corpus size cap are left out, as the file source does; they are found by a
-    partial aggregation and removed before the lines of a file are gathered, so that a file of any
-    size never reaches one task.
+    Rows are spread by file as plain numbers and turned into text where they arrive. Files over the
+    corpus size cap are left out, as the file source does: files with enough lines to reach it are
+    found by a count, measured by a sum (both combined before the shuffle), and removed before the
+    lines of a file meet, so that a file of any size never reaches one task.
     """
-    rows = raw_lines(spark, sf_dir)
-    too_big = rows.groupBy("file_id").agg(
-        (F.sum(F.octet_length("text") + 1) - 1).alias("size_bytes")
-    ).where(F.col("size_bytes") > MAX_FILE_BYTES).select("file_id")
-    kept = drop_listed(rows, too_big, ["file_id"])
-    gathered = kept.groupBy("file_id", "project_id", "path", "language").agg(
-        F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "text"))
-        .alias("rows"))
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 8.0).cast("bigint").alias("file_id"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    long = rows.groupBy("file_id").count() \
+        .where(F.col("count") > MAX_FILE_BYTES // MAX_LINE_BYTES).select("file_id")
+    if rows_within(long, 0) is None:
+        text_bytes = F.octet_length(F.expr(_line_text(text, _spark_pick)))
+        too_big = rows.join(small(long), "file_id").withColumn("lang_ix", F.col("file_id") % 4) \
+            .groupBy("file_id").agg((F.sum(text_bytes + 1) - 1).alias("size_bytes")) \
+            .where(F.col("size_bytes") > MAX_FILE_BYTES).select("file_id")
+        rows = drop_listed(rows, too_big, ["file_id"])
+    numbers = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    gathered = rows.repartition("file_id").groupBy("file_id").agg(
+        F.array_sort(F.collect_list(numbers)).alias("rows")
+    ).selectExpr("rows", *_code_keys(text))
+    line = _line_text(text, _spark_pick, "r.")
     return gathered.select(
         "project_id", "path", "language",
-        F.expr("array_join(transform(array_sort(rows), r -> r.text), '\\n')").alias("content"),
+        F.expr(f"array_join(transform(rows, r -> {line}), '\\n')").alias("content"),
     ).select(
         "project_id", "path", F.substring_index("path", "/", -1).alias("name"),
         F.substring_index("path", ".", -1).alias("ext"), "language",
@@ -120,7 +126,12 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUCK_CODE = f"""
-  raw_lines as ({_code_lines_sql('lineitem', _duck, lambda arr, ix: f'({arr})[cast({ix} as integer) + 1]')}),
+  raw_lines as (
+    select {', '.join(_code_keys(_duck)).replace('file_id % 4 as lang_ix, ', '')}, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           {_line_text(_duck, _duck_pick)} as text
+    from (select *, file_id % 4 as lang_ix from (
+      select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             cast(floor(l_orderkey / 8.0) as bigint) as file_id from lineitem) a) b),
   big_files as (select file_id from raw_lines group by file_id
                 having sum(octet_length(encode(text)) + 1) - 1 > {MAX_FILE_BYTES}),
   code_lines as (
@@ -247,6 +258,32 @@ def _pattern_sql(source: str, quote) -> str:
       from {source}"""
 
 
+PAGE_LINES = [
+    '<form action="/a"><input type="password" name="p{n}"></form>',
+    '<form action="/b"><input name="csrf" value="{n}"></form> <form><p>x</p></form>',
+    'Set-Cookie: sid={n}; HttpOnly',
+    'Set-Cookie: sid={n}; Secure; SameSite=Lax',
+    '<script src="http://cdn.example.com/{n}.js"></script>',
+    'var s = String.fromCharCode({n}); Object.prototype .x = 1; eval (s);',
+    "window.location = base + '{n}'; document.cookie = 'a';",
+    '<iframe src = "//x.example.com/{n}"> unsafe-inline',
+    'plain {n}',
+]
+
+
+def _page_sql(source: str, quote) -> str:
+    """Pages with one more line each, so that markup and script rules have something to find."""
+    filled = f"replace({_pick(quote, 'page_id % 9', PAGE_LINES)}, '{{n}}', cast(page_id as varchar(20)))"
+    return f"select page_id, concat(html, chr(10), {filled}) as html from {source}"
+
+
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derived(spark, sf_dir, "pages", ["page_id", "html"], _page_sql)
+
+
+DUCK_PAGES = f"web_pages as ({_page_sql('pages', _duck)})"
+
+
 def _derived(spark, sf_dir, table, columns, build) -> DataFrame:
     view = f"tracewell_{table}"
     read(spark, sf_dir, table).select(*columns).createOrReplaceTempView(view)

@@ -146,7 +146,7 @@ select cast(doc_id as varchar) as path, len(l) as lines, len(l) as last_line,
        list_sum(list_transform(l, lambda x: length(x))) as chars
 from (select doc_id, string_split(text, chr(10)) as l from documents) t""")
 DOCS = "docs as (select 0 as project_id, cast(doc_id as varchar) as path, 'unknown' as language, text as content from documents)"
-PAGES = "docs as (select 0 as project_id, cast(page_id as varchar) as path, 'html' as language, html as content from pages)"
+PAGES = "docs as (select 0 as project_id, cast(page_id as varchar) as path, 'html' as language, html as content from web_pages)"
 add("prj_02_match_line", DOCS, body=f"""
 select path, line_no, count(*) as matches, min(hit) as first_text
 from {find(r'\.\s+[A-Z]\w*', {'hit': 0}, 'docs')} f group by all""")
@@ -458,7 +458,7 @@ for r in LOOKING:
     select project_id, path, {q(r.rule_type)}, line_no, {q(r.pattern)}
     from {find(r'(?i)<form[^>]*>[^' + chr(10) + r']*?</form>', {'hit': 0}, 'docs')} f
     where not regexp_matches(regexp_replace(hit, '(?i)^<form[^>]*>', ''), '(?i)csrf|token|nonce')""")
-add("mat_02_web_scan", PAGES,
+add("mat_02_web_scan", fx.DUCK_PAGES, PAGES,
     "issues as (" + scan([r for r in regex_rules("web") if r not in LOOKING], "docs")
     + "".join("\nunion all" + a for a in AHEAD) + ")", body="""
 select path, rule_type, pattern, count(*) as matches, min(line_no) as first_line
@@ -526,9 +526,9 @@ select project_id, path, type, line_no, code, pattern, context from odd""")
 add("prj_14_description", CODE, SUSPECT, ODD, body=f"""
 select type, {case_map('type', sc.DESCRIPTION_OF, q(sc.DEFAULT_DESCRIPTION))} as description,
        count(*) as rows from odd group by all""")
-add("mat_10_11_pages", SUSPECT, body="""
+add("mat_10_11_pages", fx.DUCK_PAGES, SUSPECT, body="""
 select cast(page_id as varchar) as path, type, pattern, count(*) as lines
-from (select page_id, unnest(string_split(html, chr(10))) as text from pages) l
+from (select page_id, unnest(string_split(html, chr(10))) as text from web_pages) l
 join suspects on regexp_matches(text, regex) group by all""")
 add("tk_05_first_per_file", CODE, SUSPECT, ODD, body="""
 select * from (select project_id, path, cast(row_number() over (partition by path order by rule_ord, line_no) as integer) as ord,

@@ -33,9 +33,9 @@ def joined(column, separator=" | "):
     return F.array_join(column, separator)
 
 
-def analysis_of(spark, d, patterns=False):
-    return dataflow.analyze(fx.code_files(spark, d),
-                            fx.project_patterns(spark, d) if patterns else None)
+def analysis_of(spark, d, result, patterns=False):
+    return dataflow.table(fx.code_files(spark, d), result,
+                          patterns=fx.project_patterns(spark, d) if patterns else None)
 
 
 def documents_as_files(spark, d):
@@ -45,7 +45,7 @@ def documents_as_files(spark, d):
 
 
 def pages_as_files(spark, d):
-    return fx.read(spark, d, "pages").select(
+    return fx.web_pages(spark, d).select(
         F.lit(0).alias("project_id"), F.col("page_id").cast("string").alias("path"),
         F.lit("html").alias("language"), F.col("html").alias("content"))
 
@@ -202,7 +202,7 @@ def prj_13_fingerprint(spark, d):
 
 @query
 def prj_14_description(spark, d):
-    found = dataflow.rows_of(analysis_of(spark, d), "suspicious_patterns")
+    found = analysis_of(spark, d, "suspicious_patterns")
     return found.groupBy("type", sc.describe(F.col("type")).alias("description")) \
         .agg(F.count("*").alias("rows"))
 
@@ -217,7 +217,8 @@ def prj_15_kind_hint(spark, d):
 def prj_17_file_requests(spark, d):
     files = fx.code_files(spark, d)
     context = project.file_context(files, entries=project.entry_points(files))
-    return requests.file_requests(dataflow.analyze(files), files, context)
+    wanted = ["flows", "taints", "validation_attempts", "suspicious_patterns"]
+    return requests.file_requests(dataflow.analyze(files, results=wanted), files, context)
 
 
 @query
@@ -450,33 +451,33 @@ def mat_02_web_scan(spark, d):
 
 @query
 def mat_03_sources(spark, d):
-    found = dataflow.rows_of(analysis_of(spark, d), "sources").where("parent_line is null")
+    found = analysis_of(spark, d, "sources").where("parent_line is null")
     return found.select("project_id", "path", "line_no", "source_type", "source_code",
                         "source_pattern", "context")
 
 
 @query
 def mat_04_sinks(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "sinks").select(
+    return analysis_of(spark, d, "sinks").select(
         "project_id", "path", "line_no", "sink_type", "sink_code", "sink_pattern", "context")
 
 
 @query
 def mat_05_sanitizers(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "sanitizers").select(
+    return analysis_of(spark, d, "sanitizers").select(
         "project_id", "path", "line_no", "sanitizer_type", "sanitizer_code", "sanitizer_pattern",
         F.coalesce("sanitized_variable", F.lit("")).alias("sanitized_variable"), "context")
 
 
 @query
 def mat_06_08_validations(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "validation_attempts").select(
+    return analysis_of(spark, d, "validation_attempts").select(
         "project_id", "path", "line_no", "code", "context", joined("bypasses").alias("bypasses"))
 
 
 @query
 def mat_09_11_suspicious(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "suspicious_patterns").select(
+    return analysis_of(spark, d, "suspicious_patterns").select(
         "project_id", "path", "type", "line_no", "code", "pattern", "context")
 
 
@@ -492,14 +493,14 @@ def mat_10_11_pages(spark, d):
 
 @query
 def jn_01_indirect_sources(spark, d):
-    found = dataflow.rows_of(analysis_of(spark, d), "sources").where("parent_line is not null")
+    found = analysis_of(spark, d, "sources").where("parent_line is not null")
     return found.select("project_id", "path", "line_no", "source_type", "source_code",
                         "source_pattern", "derived_variable", "parent_line", "parent_pattern")
 
 
 @query
 def jn_02_wrapper_sinks(spark, d):
-    found = dataflow.rows_of(analysis_of(spark, d, True), "sinks")
+    found = analysis_of(spark, d, "sinks", True)
     return found.where("wrapped_sink is not null").select(
         "project_id", "path", "line_no", "sink_type", "sink_code", "sink_pattern", "wrapped_sink")
 
@@ -516,32 +517,32 @@ def jn_04_assignments(spark, d):
 
 @query
 def jn_05_taint_seeds(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "taints").where("hop = 0").select(
+    return analysis_of(spark, d, "taints").where("hop = 0").select(
         "project_id", "path", "variable", "line_no", "source", "code")
 
 
 @query
 def jn_07_call_taints(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "taints").where("hop is null").select(
+    return analysis_of(spark, d, "taints").where("hop is null").select(
         "project_id", "path", "variable", "line_no", "source", "code", "transformed_from")
 
 
 @query
 def itr_01_propagation(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "taints").where("hop > 0").select(
+    return analysis_of(spark, d, "taints").where("hop > 0").select(
         "project_id", "path", "variable", "line_no", "source", "code", "transformed_from", "hop")
 
 
 @query
 def jn_06_transformations(spark, d):
-    found = dataflow.rows_of(analysis_of(spark, d, True), "taints")
+    found = analysis_of(spark, d, "taints", True)
     return found.where(F.size("transformations") > 0).groupBy("project_id", "variable").agg(
         F.count("*").alias("rows"), F.max(joined("transformations")).alias("transformations"))
 
 
 @query
 def jn_08_12_flows(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "flows").select(
+    return analysis_of(spark, d, "flows").select(
         "project_id", "path", "source_type", "source_line", "source_code", "sink_type",
         "sink_line", "sink_code", "sanitized",
         F.size("sanitizers").alias("sanitizer_count"), "variable",
@@ -551,20 +552,20 @@ def jn_08_12_flows(spark, d):
 
 @query
 def jn_13_enclosing_definition(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "call_edges").select(
+    return analysis_of(spark, d, "call_edges").select(
         "project_id", "path", "call_ord", "callee", "line_no", "caller", "caller_line")
 
 
 @query
 def jn_14_call_graph(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "call_graph").select(
+    return analysis_of(spark, d, "call_graph").select(
         "project_id", "path", "name", "line_no", joined("calls").alias("calls"),
         joined(F.array_sort("called_by")).alias("called_by"))
 
 
 @query
 def jn_15_input_line(spark, d):
-    return dataflow.rows_of(analysis_of(spark, d), "validation_attempts").select(
+    return analysis_of(spark, d, "validation_attempts").select(
         "project_id", "path", "line_no", "code", "input_line")
 
 
@@ -742,7 +743,8 @@ def tk_04_examples(spark, d):
 
 @query
 def tk_05_first_per_file(spark, d):
-    first = analysis_of(spark, d).withColumn("first", F.slice("suspicious_patterns", 1, 5))
+    found = dataflow.analyze(fx.code_files(spark, d), results=["suspicious_patterns"])
+    first = found.withColumn("first", F.slice("suspicious_patterns", 1, 5))
     return dataflow.rows_of(first, "first", "ord").select(
         "project_id", "path", "ord", "type", "line_no", "pattern")
 
@@ -769,7 +771,7 @@ def set_01_union(spark, d):
 @query
 def set_02_03_lists(spark, d):
     """Distinct names of a file, and the sink types it does not reach."""
-    a = analysis_of(spark, d)
+    a = dataflow.analyze(fx.code_files(spark, d), results=["sinks", "function_calls"])
     kinds = F.array(*[F.lit(k) for k in ("xss", "sql_injection", "command_injection")])
     found = F.array_distinct(F.transform("sinks", lambda s: s.sink_type))
     return a.select(

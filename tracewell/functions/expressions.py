@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-MARK = "\x01"
+# Unicode noncharacters, which no text should hold.
+MARK = "\ufdd0"
+OTHER_MARK = "\ufdd1"
 
 
 def text(value: str) -> str:
@@ -56,26 +58,33 @@ def window_text(lines: str, line_no: str, before: int, after: int | None = None)
     return f"array_join(slice({lines}, {first}, greatest(0, {last} - {first} + 1)), '\\n')"
 
 
-def match_lines(content: str, pattern: str) -> str:
-    """Line number of the start of every match of ``pattern``, in order, as an array.
+def marked_matches(content: str, pattern: str) -> str:
+    """The text with a mark in front of every match. Marks already in it are changed first."""
+    clean = f"replace({content}, {text(MARK)}, {text(OTHER_MARK)})"
+    return f"regexp_replace({clean}, {text(pattern)}, {text(MARK + '$0')})"
 
-    One pass puts a mark before each match; splitting on newlines then gives the matches that
-    start on each line. Marks already in the text are replaced first.
-    """
-    clean = f"translate({content}, {text(MARK)}, {text(chr(2))})"
-    marked = f"split(regexp_replace({clean}, {text(pattern)}, {text(MARK + '$0')}), '\\n', -1)"
+
+def marked_lines(marked: str, element: str) -> str:
+    """``element`` once per mark; it may use ``_mi`` (0-based line) and runs in text order."""
     count = f"length(_ml) - length(replace(_ml, {text(MARK)}, ''))"
-    return f"flatten(transform({marked}, (_ml, _mi) -> array_repeat(_mi + 1, {count})))"
+    return (f"flatten(transform(split({marked}, '\\n', -1), (_ml, _mi) -> "
+            f"array_repeat({element}, {count})))")
 
 
 def find_all(content: str, pattern: str, groups: Mapping[str, int], result: str,
              element_type: str) -> str:
-    """One ``result`` per match: it may use ``_ln`` (line number) and the named groups."""
-    bound = {"_lns": match_lines(content, pattern)}
-    for name, number in groups.items():
-        bound[f"_all_{name}"] = f"regexp_extract_all({content}, {text(pattern)}, {number})"
-    inner = let({name: f"get(_all_{name}, _li)" for name in groups}, result) if groups else result
-    body = let(bound, f"transform(_lns, (_ln, _li) -> {inner})")
+    """One ``result`` per match: it may use ``_ln`` (line number of its start) and the groups.
+
+    The text is searched once, to place a mark before each match. Splitting on newlines counts the
+    matches that start on each line; splitting on marks gives texts that begin with a match, from
+    which the groups are read. Patterns must not look beyond their match (no ``$``, no lookahead).
+    """
+    picks = {name: f"regexp_extract(_sg[_li + 1], {text(pattern)}, {number})"
+             for name, number in groups.items()}
+    body = let({
+        "_mk": marked_matches(content, pattern),
+        "_sg": f"split(_mk, {text(MARK)}, -1)",
+    }, f"transform({marked_lines('_mk', '_mi + 1')}, (_ln, _li) -> {let(picks, result)})")
     return f"if(rlike({content}, {text(pattern)}), {body}, {empty(element_type)})"
 
 

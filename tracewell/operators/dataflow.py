@@ -3,11 +3,13 @@
 ``analyze`` adds the nine results of a file as array columns to its row. A file is size-capped, so
 all joins inside a file (by line, by containment, by interval, as-of) and the taint fixpoint are
 array expressions on that row: the whole analysis is one map-only stage, whatever the number of
-files. The table functions explode one result; Catalyst drops the others.
+files. ``table`` gives one result as rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,32 +169,67 @@ def call_graph_expr() -> str:
     }, f"transform(nd, n -> {struct(name='n.name', line_no='n.line_no', calls='n.calls', called_by=back)})")
 
 
-def analyze(files: DataFrame, patterns: DataFrame | None = None, max_hops: int = MAX_HOPS,
-            word: bool = False, chain_calls: bool = False) -> DataFrame:
-    """File rows with all analysis results as array columns. Content itself is dropped."""
-    base = attach(facts.with_lines(files), patterns)
-    found = base.select(
-        *KEYS, "language", "lines", "custom_rules", "wrappers", "transform_names", "content",
-        F.expr(match.hits_expr()).alias("hits"),
-        F.expr(facts.variables_expr()).alias("variables"),
-        F.expr(facts.calls_expr()).alias("function_calls"),
-        F.expr(facts.defs_expr()).alias("defs"),
-        F.expr(match.validations_expr()).alias("validation_attempts"),
-        F.expr(match.suspicious_expr()).alias("suspicious_patterns"))
-    roles = found.withColumns({
-        "sources": F.expr(match.sources_expr()),
-        "sinks": F.expr(match.sinks_expr(wrappers=None if patterns is None else "wrappers")),
-        "sanitizers": F.expr(match.sanitizers_expr()),
-        "call_edges": F.expr(edges_expr()),
-    })
-    tainted = roles.withColumns({
-        "taints": F.expr(taints_expr(max_hops, word, chain_calls)),
-        "call_graph": F.expr(call_graph_expr()),
-    })
-    return tainted.withColumn("flows", F.expr(flows_expr(word))).select(
-        *KEYS, "language", "flows", "taints", "sources", "sinks", "sanitizers",
-        "validation_attempts", "suspicious_patterns", "function_calls", "variables", "defs",
-        "call_edges", "call_graph")
+RESULTS = ("flows", "taints", "sources", "sinks", "sanitizers", "validation_attempts",
+           "suspicious_patterns", "function_calls", "variables", "defs", "call_edges", "call_graph")
+# What each result is computed from, besides the file's own columns; earlier stages first.
+NEEDS = {
+    "hits": (), "variables": (), "function_calls": (), "defs": (), "validation_attempts": (),
+    "suspicious_patterns": (),
+    "sources": ("hits",), "sinks": ("hits",), "sanitizers": ("hits",),
+    "call_edges": ("function_calls", "defs"),
+    "taints": ("sources", "variables", "function_calls"),
+    "call_graph": ("call_edges", "defs"),
+    "flows": ("taints", "sinks", "sanitizers", "function_calls", "validation_attempts"),
+}
+STAGES = (
+    ("hits", "variables", "function_calls", "defs", "validation_attempts", "suspicious_patterns"),
+    ("sources", "sinks", "sanitizers", "call_edges"),
+    ("taints", "call_graph"),
+    ("flows",),
+)
+
+
+def _closure(results: Iterable[str]) -> set[str]:
+    wanted, open_ = set(), list(results)
+    while open_:
+        name = open_.pop()
+        if name not in wanted:
+            wanted.add(name)
+            open_.extend(NEEDS[name])
+    return wanted
+
+
+def analyze(files: DataFrame, patterns: DataFrame | None = None,
+            results: Sequence[str] = RESULTS, max_hops: int = MAX_HOPS, word: bool = False,
+            chain_calls: bool = False) -> DataFrame:
+    """File rows with the asked-for analysis results as array columns; content is dropped.
+
+    ``word`` compares names as whole words instead of substrings; ``chain_calls`` lets taint go on
+    through values returned by calls.
+    """
+    builders = {
+        "hits": match.hits_expr, "variables": facts.variables_expr,
+        "function_calls": facts.calls_expr, "defs": facts.defs_expr,
+        "validation_attempts": match.validations_expr,
+        "suspicious_patterns": match.suspicious_expr, "sources": match.sources_expr,
+        "sinks": lambda: match.sinks_expr(wrappers=None if patterns is None else "wrappers"),
+        "sanitizers": match.sanitizers_expr, "call_edges": edges_expr,
+        "taints": lambda: taints_expr(max_hops, word, chain_calls),
+        "call_graph": call_graph_expr, "flows": lambda: flows_expr(word),
+    }
+    wanted = _closure(results)
+    frame = attach(facts.with_lines(files), patterns)
+    for stage in STAGES:
+        columns = {n: F.expr(builders[n]()) for n in stage if n in wanted}
+        if columns:
+            frame = frame.withColumns(columns)
+    return frame.select(*KEYS, "language", *results)
+
+
+def table(files: DataFrame, result: str, ordinal: str | None = None,
+          patterns: DataFrame | None = None, **options) -> DataFrame:
+    """One analysis result as a table, computing nothing else."""
+    return rows_of(analyze(files, patterns, [result], **options), result, ordinal)
 
 
 def rows_of(analysis: DataFrame, column: str, ordinal: str | None = None) -> DataFrame:

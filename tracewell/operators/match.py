@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.expressions import (
-    MARK, case, empty, let, lines_of, null, strip, struct, text, window_text,
+    case, empty, let, lines_of, marked_lines, marked_matches, null, strip, struct, text,
+    window_text,
 )
 from tracewell.functions.rows import explode_structs
 from tracewell.functions.scalars import describe_expr
@@ -85,12 +86,9 @@ def _any(value: str, patterns: Iterable[str]) -> str:
 def _whole_text(rule: Rule) -> str:
     """Every match of a rule over the whole text, one entry per match."""
     regex = java_regex(rule.pattern, rule.ignore_case)
-    clean = f"translate(content, {text(MARK)}, {text(chr(2))})"
-    marked = f"split(regexp_replace({clean}, {text(regex)}, {text(MARK + '$0')}), '\\n', -1)"
-    count = f"length(m) - length(replace(m, {text(MARK)}, ''))"
-    issue = struct(rule_type=text(rule.rule_type), line_no="i + 1", pattern=text(rule.pattern),
-                   code=strip("l[i]"))
-    found = f"flatten(transform({marked}, (m, i) -> array_repeat({issue}, {count})))"
+    issue = struct(rule_type=text(rule.rule_type), line_no="_mi + 1", pattern=text(rule.pattern),
+                   code=strip("l[_mi]"))
+    found = marked_lines(marked_matches("content", regex), issue)
     gate = f"rlike(content, {text(regex)})"
     literal = required_literal(rule.pattern)
     if literal:
@@ -140,7 +138,8 @@ def _rules_for_language(roles: Iterable[str] = ROLES) -> str:
 
 def assigned_name(code: str, literal: str) -> str:
     """Name on the left of an assignment whose right side holds ``literal`` (``''`` when none)."""
-    return f"regexp_extract({code}, concat('(?d)(\\\\w+)\\\\s*=\\\\s*.*\\\\Q', {literal}, '\\\\E'), 1)"
+    shape = f"concat('(?d)(\\\\w+)\\\\s*=\\\\s*.*\\\\Q', {literal}, '\\\\E')"
+    return f"if(instr({code}, '=') > 0, regexp_extract({code}, {shape}, 1), '')"
 
 
 def _first_argument(code: str, literal: str) -> str:
@@ -235,25 +234,30 @@ def sanitizers_expr(hits: str = "hits") -> str:
 
 # --- validations ------------------------------------------------------------------------------
 
+def plain(pattern: str) -> str:
+    """The text an expression without operators stands for."""
+    return pattern.replace("\\", "")
+
+
 def _bypasses(ctx: str) -> str:
     parts = []
     for pattern, message in BYPASS_CHECKS:
-        regex = java_regex(pattern)
+        regex, group, value = java_regex(pattern), 0, text(message)
         if "{}" in message:
             before, after = message.split("{}")
-            value = f"concat({text(before)}, v, {text(after)})"
-            parts.append(f"transform(regexp_extract_all({ctx}, {text(regex)}, 1), v -> {value})")
-        else:
-            parts.append(f"transform(regexp_extract_all({ctx}, {text(regex)}, 0), "
-                         f"v -> {text(message)})")
+            group, value = 1, f"concat({text(before)}, v, {text(after)})"
+        found = f"transform(regexp_extract_all({ctx}, {text(regex)}, {group}), v -> {value})"
+        literal = required_literal(pattern)
+        parts.append(f"if(contains(lw, {text(literal.lower())}), {found}, {empty('string')})"
+                     if literal else found)
     for vector, words in VECTORS.items():
         missing = "array_compact(array(" + ", ".join(
-            f"if(rlike({ctx}, {text(java_regex(w, True))}), null, {text(w)})"
+            f"if(contains(lw, {text(plain(w).lower())}), null, {text(w)})"
             for w in sorted(words)) + "))"
         message = f"concat({text(MISSING_MESSAGE.format(vector))}, array_join(ms, ', '))"
         parts.append(let({"ms": missing}, f"if(size(ms) between 1 and {len(words) - 1}, "
                                           f"array({message}), {empty('string')})"))
-    return f"concat({', '.join(parts)})"
+    return let({"lw": f"lower({ctx})"}, f"concat({', '.join(parts)})")
 
 
 def _input_line(ctx: str, line_no: str, numbered: str) -> str:
