@@ -247,14 +247,14 @@ for query_name, cte, table, column in (
     ("ext_01_imports", IMPORTS, "imps", "imports"), ("ext_02_endpoints", ENDPOINTS, "ends", "endpoints"),
     ("ext_04_critical_functions", CRITICAL, "crit", "critical_functions")):
     add(query_name, CODE, cte, body=f"""
-select project_id, path, array_to_string(v, ' | ') as {column} from {table} where len(v) > 0""")
+select project_id, path, case when len(v) > 0 then array_to_string(v, ' | ') end as {column} from {table}""")
 SCAN_ENDS = "case " + " ".join(
     f"when language in ({', '.join(q(k) for k in keys)}) then regexp_extract_all(substr(content, 1, 10240), {q(p)}, {g})"
     for keys, (p, g) in project.SCAN_ENDPOINTS.items()) + " else [] end"
 add("ext_03_scan_endpoints", CODE, body=f"""
 select project_id, path, array_to_string(v, ' | ') as endpoints,
        {PURPOSE} when {contains_any('lower(substr(content, 1, 10240))', sc.SECURITY_WORDS)} then 'Security-Related' else 'Unknown' end as purpose
-from (select *, {SCAN_ENDS} as v from code_files) t where len(v) > 0""")
+from (select *, {SCAN_ENDS} as v from code_files) t""")
 ENTRIES = """entries as (
   select project_id, path, 'main' as kind from edited where contains(content, 'main(')
   union all select project_id, path, 'server' from edited
@@ -1010,3 +1010,65 @@ typed as (select project_id, vulnerability_type, string_agg(json_object('file',
 select project_id, '[' || string_agg('"' || vulnerability_type || '"', ',' order by vulnerability_type) || ']' || {NL}
   || '{{' || string_agg('"' || vulnerability_type || '":[' || items || ']', ',' order by vulnerability_type) || '}}' || {NL} as prompt
 from typed group by project_id""")
+FLOW_IDS = FLOWS.replace("2, 0, 0 from call_taints", "2, call_ord, mark_ord from call_order").replace(
+    "all_taints as (", """call_order as (
+  select c.project_id, c.path, c.variable, c.line_no, t.src as source, c.code, t.name as transformed_from,
+         min(c.call_ord * 1000 + t.var_ord) as call_ord, 0 as mark_ord
+  from call_writes c join tainted t on t.path = c.path and contains(c.code, t.name)
+  where c.variable <> '' and exists (select 1 from vars v where v.path = c.path and v.name = c.variable)
+  group by c.project_id, c.path, c.variable, c.line_no, t.src, c.code, t.name),
+all_taints as (""", 1)
+
+
+def numbered_text(source, key, order, limit, title, body, where="true"):
+    """First rows of a file as one text, numbered."""
+    return f"""(select path, {q(title)} || string_agg(n || '. ' || {body}, '' order by n) as t
+      from (select *, row_number() over (partition by {key} order by {order}) as n from {source} where {where}) x
+      where n <= {limit} group by path)"""
+
+
+FLOW_LINES = f"""flow_lines as (
+  select p.*, coalesce(c.n, 0) > 0 as clean,
+       'Source at line ' || source_line
+         || case when p.transformed_from is null then '' else ' -> Transformed from ' || p.transformed_from || ' at line ' || source_line
+              || case when f.transformed_from is null then '' else ' -> Originally from ' || f.transformed_from || ' at line ' || f.line_no end end
+         || coalesce(' -> ' || s.steps, '') || ' -> Reaches sink at line ' || sink_line as flow_path
+  from pairs p left join cleaned c on c.tid = p.tid and c.sid = p.sid
+  left join passed s on s.tid = p.tid and s.sid = p.sid
+  left join firsts f on f.path = p.path and f.variable = p.transformed_from),
+valid_rows as (select *, row_number() over (partition by path order by line_no) as vn from valid_in),
+valid_in as (select v.*, cast(coalesce((
+    select max(l.line_no) from code_lines l, unnest(regexp_extract_all(v.context, {q(COMPARED)}, 1)) as n(name)
+    where l.path = v.path and l.line_no < v.line_no
+      and regexp_matches(l.text, '\\b' || n.name || '\\b\\s*=')), greatest(1, line_no - 5)) as integer) as input_line
+  from valid v)"""
+DIGEST_FLOWS = numbered_text(
+    "flow_lines", "path", "sid, tid", 10, "Source-Sink Flows (potential vulnerabilities):\n",
+    " || ".join(["source_type", q(" at line "), "source_line", q(" flows to "), "sink_type", q(" at line "), "sink_line",
+                 q("\n   Source: "), "source_code", q("\n   Flow Path: "), "flow_path", q("\n   Sink: "), "sink_code",
+                 q("\n   Sanitized: "), "case when clean then 'True' else 'False' end", q("\n\n")]))
+DIGEST_TAINTS = numbered_text(
+    "taint_ids", "path", "tid", 10, "Taint Propagation:\n",
+    " || ".join([q("Tainted variable '"), "variable", q("' at line "), "line_no", q(" from "), "source",
+                 q("\n   Transformations: \n")]))
+DIGEST_VALID = numbered_text(
+    "valid_in", "path", "line_no", 5, "\nValidation Attempts (potential bypasses):\n",
+    " || ".join([q("Validation at line "), "line_no", q(" for input from line "), "input_line",
+                 q("\n   Validation code: "), "code", q("\n   Potential bypass: "),
+                 f"case when len(bypasses) = 0 then {q(match.NO_BYPASS)} else array_to_string(bypasses, '; ') end", q("\n\n")]))
+DIGEST_ODD = numbered_text(
+    "odd", "path", "rule_ord, line_no", 5, "\nSuspicious Patterns:\n",
+    " || ".join(["type", q(" at line "), "line_no", q(": "),
+                 case_map("type", sc.DESCRIPTION_OF, q(sc.DEFAULT_DESCRIPTION)), q("\n   Code: "), "code", q("\n\n")]))
+add("prj_17_file_requests", *TAINTED, SANITIZERS, CHECK_RULES, VALID, BYPASS, FLOW_IDS,
+    FLOW_LINES.replace("valid_rows as (select *, row_number() over (partition by path order by line_no) as vn from valid_in),\n", ""),
+    SUSPECT, ODD, f"df as {DIGEST_FLOWS}", f"dt as {DIGEST_TAINTS}", f"dv as {DIGEST_VALID}", f"ds as {DIGEST_ODD}",
+    body=f"""
+select c.project_id, c.path, 'File: ' || c.path || {NL} || 'Language: ' || language || {NL} || {NL} || {NL}
+  || 'File Context:' || {NL} || '- Framework: ' || {NL} || '- Dependencies: ' || {NL} || '- File purpose: '
+  || {PURPOSE.replace('lower(path)', 'lower(c.path)')} when {contains_any('lower(substr(content, 1, 10240))', sc.SECURITY_WORDS)} then 'Security-Related' else 'Unknown' end
+  || {NL} || '- API endpoints: ' || array_to_string({SCAN_ENDS}, ', ') || {NL} || {NL}
+  || 'Data Flow Analysis Results:' || {NL} || coalesce(df.t, '') || coalesce(dt.t, '') || coalesce(dv.t, '') || coalesce(ds.t, '')
+  || {NL} || 'Code:' || {NL} || {FENCE} || language || {NL} || content || {NL} || {FENCE} || {NL} as prompt
+from code_files c left join df on df.path = c.path left join dt on dt.path = c.path
+left join dv on dv.path = c.path left join ds on ds.path = c.path""")

@@ -215,10 +215,7 @@ def prj_15_kind_hint(spark, d):
 
 @query
 def prj_17_file_requests(spark, d):
-    files = fx.code_files(spark, d)
-    context = project.file_context(files, entries=project.entry_points(files))
-    wanted = ["flows", "taints", "validation_attempts", "suspicious_patterns"]
-    return requests.file_requests(dataflow.analyze(files, results=wanted), files, context)
+    return requests.file_requests(fx.code_files(spark, d))
 
 
 @query
@@ -292,27 +289,26 @@ def flt_05_regex(spark, d):
 
 @query
 def ext_01_imports(spark, d):
-    return project.file_metadata(fx.code_files(spark, d)).where("imports is not null").select(
+    return project.file_metadata(fx.code_files(spark, d)).select(
         "project_id", "path", joined("imports").alias("imports"))
 
 
 @query
 def ext_02_endpoints(spark, d):
-    return project.file_metadata(fx.code_files(spark, d)).where("endpoints is not null").select(
+    return project.file_metadata(fx.code_files(spark, d)).select(
         "project_id", "path", joined("endpoints").alias("endpoints"))
 
 
 @query
 def ext_03_scan_endpoints(spark, d):
-    return project.file_context(fx.code_files(spark, d)).where(F.size("endpoints") > 0).select(
+    return project.with_context(fx.code_files(spark, d)).select(
         "project_id", "path", joined("endpoints").alias("endpoints"), "purpose")
 
 
 @query
 def ext_04_critical_functions(spark, d):
-    return project.file_metadata(fx.code_files(spark, d)) \
-        .where("critical_functions is not null").select(
-            "project_id", "path", joined("critical_functions").alias("critical_functions"))
+    return project.file_metadata(fx.code_files(spark, d)).select(
+        "project_id", "path", joined("critical_functions").alias("critical_functions"))
 
 
 @query
@@ -629,7 +625,7 @@ def jn_20_recommendations(spark, d):
 def jn_21_context(spark, d):
     files = fx.code_files(spark, d)
     context = manifests.project_context(fx.root_files(spark, d)).where("project_id < 20")
-    out = project.file_context(files, context, project.entry_points(files))
+    out = project.with_context(files, context)
     return out.select("project_id", "path", "purpose", "entry_point", "security_relevant",
                       joined(F.array_sort(F.map_keys("frameworks"))).alias("frameworks"),
                       joined(F.array_sort(F.map_keys("dependencies"))).alias("dependencies"))

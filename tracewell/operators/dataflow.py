@@ -201,8 +201,10 @@ def _closure(results: Iterable[str]) -> set[str]:
 
 def analyze(files: DataFrame, patterns: DataFrame | None = None,
             results: Sequence[str] = RESULTS, max_hops: int = MAX_HOPS, word: bool = False,
-            chain_calls: bool = False) -> DataFrame:
-    """File rows with the asked-for analysis results as array columns; content is dropped.
+            chain_calls: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """File rows with the asked-for analysis results as array columns.
+
+    Of the file's other columns only those in ``keep`` stay.
 
     ``word`` compares names as whole words instead of substrings; ``chain_calls`` lets taint go on
     through values returned by calls.
@@ -223,7 +225,7 @@ def analyze(files: DataFrame, patterns: DataFrame | None = None,
         columns = {n: F.expr(builders[n]()) for n in stage if n in wanted}
         if columns:
             frame = frame.withColumns(columns)
-    return frame.select(*KEYS, "language", *results)
+    return frame.select(*KEYS, "language", *keep, *results)
 
 
 def table(files: DataFrame, result: str, ordinal: str | None = None,

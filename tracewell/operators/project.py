@@ -141,27 +141,30 @@ def _contains_any(value: Column, words: list[str]) -> Column:
 
 
 def file_scores(metadata: DataFrame) -> DataFrame:
-    """Security score and its reasons; files scoring nothing are left out."""
-    secure = F.filter(F.coalesce(F.col("imports"), F.expr(empty("string"))),
+    """Security score and its reasons; files scoring nothing are left out.
+
+    The positive ones are picked inside an array: a plain filter on the score would be pushed down
+    and compute every extraction a second time.
+    """
+    nothing = F.expr(empty("string"))
+    secure = F.filter(F.coalesce("imports", nothing),
                       lambda i: _contains_any(F.lower(i), IMPORT_WORDS))
-    named = _contains_any(F.lower(F.col("name")), NAME_WORDS)
-    scored = metadata.select(
-        *KEYS, "name", "imports", "endpoints", "critical_functions",
-        secure.alias("_imports"), named.alias("_named"),
-        F.coalesce(F.size("endpoints"), F.lit(0)).alias("_e"),
-        F.coalesce(F.size("critical_functions"), F.lit(0)).alias("_c"),
-    ).withColumn("_e", F.greatest("_e", F.lit(0))).withColumn("_c", F.greatest("_c", F.lit(0)))
-    score = (F.size("_imports") * 2 + F.col("_e") * 3 + F.col("_c") * 3
-             + F.when(F.col("_named"), 5).otherwise(0))
+    counted = metadata.select(
+        *KEYS, "name", secure.alias("secure"),
+        F.size(F.coalesce("endpoints", nothing)).alias("n_ends"),
+        F.size(F.coalesce("critical_functions", nothing)).alias("n_funcs"),
+        _contains_any(F.lower(F.col("name")), NAME_WORDS).alias("named"))
+    score = (F.size("secure") * 2 + F.col("n_ends") * 3 + F.col("n_funcs") * 3
+             + F.when(F.col("named"), 5).otherwise(0))
     reasons = F.array_compact(F.array(
-        F.when(F.size("_imports") > 0,
-               F.concat(F.lit("Imports: "), F.array_join("_imports", ", "))),
-        F.when(F.col("_e") > 0, F.concat(F.lit("Has "), F.col("_e"), F.lit(" API endpoints"))),
-        F.when(F.col("_c") > 0,
-               F.concat(F.lit("Has "), F.col("_c"), F.lit(" security-critical functions"))),
-        F.when(F.col("_named"), F.concat(F.lit("Security-relevant filename: "), F.col("name")))))
-    return scored.select(*KEYS, score.alias("score"), reasons.alias("reasons")) \
-        .where(F.col("score") > 0)
+        F.when(F.size("secure") > 0,
+               F.concat(F.lit("Imports: "), F.array_join("secure", ", "))),
+        F.when(F.col("n_ends") > 0, F.concat(F.lit("Has "), "n_ends", F.lit(" API endpoints"))),
+        F.when(F.col("n_funcs") > 0,
+               F.concat(F.lit("Has "), "n_funcs", F.lit(" security-critical functions"))),
+        F.when(F.col("named"), F.concat(F.lit("Security-relevant filename: "), "name"))))
+    scored = F.array(F.struct(score.alias("score"), reasons.alias("reasons")))
+    return explode_structs(counted, KEYS, F.filter(scored, lambda s: s["score"] > 0))
 
 
 def fallback_scores(files: DataFrame) -> DataFrame:
@@ -199,45 +202,46 @@ def fallback_files(scores: DataFrame, n: int = TOP_FILES) -> DataFrame:
 
 
 def append_missing(selected: DataFrame, scored: DataFrame) -> DataFrame:
-    """``selected(project_id, path, ord)`` plus scored files not in it, best first, after it."""
-    base = selected.groupBy("project_id").agg(F.max("ord").alias("_last"))
-    missing = scored.join(selected.select(*KEYS), KEYS, "left_anti") \
-        .join(base, "project_id")
-    order = W.partitionBy("project_id").orderBy(F.desc("score"), "path")
-    numbered = missing.withColumn("ord", F.col("_last") + F.row_number().over(order))
-    return selected.select(*KEYS, "ord").unionByName(numbered.select(*KEYS, "ord"))
+    """``selected(project_id, path, ord)`` in order, then the scored files not in it, best first.
+
+    Numbers all files of a project in one window; the corpus scan caps them (1,000 by default).
+    """
+    both = scored.select(*KEYS, "score").join(selected.select(*KEYS, "ord"), KEYS, "full")
+    order = W.partitionBy("project_id").orderBy(
+        F.asc_nulls_last("ord"), F.desc_nulls_last("score"), "path")
+    return both.select(*KEYS, F.row_number().over(order).alias("ord"))
 
 
 # --- project context --------------------------------------------------------------------------
 
+def entry_kinds(content: Column) -> Column:
+    """How a file starts something; both ways are possible."""
+    return F.array_compact(F.array(
+        F.when(F.contains(content, F.lit("main(")), F.lit("main")),
+        F.when(F.contains(content, F.lit("app.listen"))
+               | F.contains(content, F.lit("runserver")), F.lit("server"))))
+
+
 def entry_points(files: DataFrame) -> DataFrame:
     """Files that start something; a file that does it both ways appears twice."""
-    body = F.col("content")
-    kinds = F.array_compact(F.array(
-        F.when(F.contains(body, F.lit("main(")), F.lit("main")),
-        F.when(F.contains(body, F.lit("app.listen")) | F.contains(body, F.lit("runserver")),
-               F.lit("server"))))
-    return files.select(*KEYS, F.explode(kinds).alias("kind"))
-
-
-def file_context(files: DataFrame, context: DataFrame | None = None,
-                 entries: DataFrame | None = None) -> DataFrame:
-    """Purpose, endpoints, security words, hint, and the project's frameworks and dependencies."""
-    top = head(F.col("content"))
-    hits = security_words_in(top)
-    out = files.select(
-        *KEYS, "language", hits.alias("security_patterns"),
-        purpose_of(F.col("path"), hits).alias("purpose"),
-        F.expr(scan_endpoints_of(f"left(content, {HEAD_CHARS})")).alias("endpoints"),
-        kind_hint(basename(F.col("path"))).alias("hint"))
-    out = out.withColumn("security_relevant", F.size("security_patterns") > 0)
-    if context is not None:
-        out = lookup_join(out, context, ["project_id"], "path")
-    if entries is not None:
-        flagged = entries.select(*KEYS).distinct().withColumn("entry_point", F.lit(True))
-        out = out.join(flagged, KEYS, "left") \
-            .withColumn("entry_point", F.coalesce("entry_point", F.lit(False)))
-    return out
+    return files.select(*KEYS, F.explode_outer(entry_kinds(F.col("content"))).alias("kind")) \
+        .where(F.col("kind").isNotNull())
+
+
+def with_context(files: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """Files with purpose, endpoints, security words, hint and entry flag of their own content.
+
+    ``context`` (one row per project) adds the project's frameworks and dependencies.
+    """
+    out = files.withColumn("security_patterns", security_words_in(head(F.col("content")))) \
+        .withColumns({
+            "purpose": purpose_of(F.col("path"), F.col("security_patterns")),
+            "security_relevant": F.size("security_patterns") > 0,
+            "endpoints": F.expr(scan_endpoints_of(f"left(content, {HEAD_CHARS})")),
+            "hint": kind_hint(basename(F.col("path"))),
+            "entry_point": F.size(entry_kinds(F.col("content"))) > 0,
+        })
+    return out if context is None else lookup_join(out, context, ["project_id"], "path")
 
 
 # --- cross-file calls -------------------------------------------------------------------------

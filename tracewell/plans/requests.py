@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import shorten_middle
+from tracewell.operators.dataflow import analyze
 from tracewell.operators.facts import KEYS
+from tracewell.operators.project import with_context
 from tracewell.sources.manifests import SUMMARY_NAMES
 
+DIGESTED = ("flows", "taints", "validation_attempts", "suspicious_patterns")
 FLOWS, TAINTS, VALIDATIONS, SUSPICIOUS, DEPENDENCIES = 10, 10, 5, 5, 10
 
 
@@ -27,8 +30,8 @@ def _join(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def dataflow_digest(analysis: DataFrame) -> DataFrame:
-    """First flows, taints, validations and suspicious lines of a file as text."""
+def dataflow_digest() -> Column:
+    """First flows, taints, validations and suspicious lines of an analysed file as text."""
     flows = _section(
         "Source-Sink Flows (potential vulnerabilities):\n", F.slice("flows", 1, FLOWS),
         lambda f: _join(
@@ -53,26 +56,34 @@ def dataflow_digest(analysis: DataFrame) -> DataFrame:
         "\nSuspicious Patterns:\n", F.slice("suspicious_patterns", 1, SUSPICIOUS),
         lambda s: _join(s.type, " at line ", s.line_no, ": ", s.description, "\n   Code: ",
                         s.code, "\n\n"))
-    return analysis.select(*KEYS, _join("Data Flow Analysis Results:\n", flows, taints, checks, odd)
-                           .alias("digest"))
-
-
-def file_requests(analysis: DataFrame, files: DataFrame, context: DataFrame,
-                  instructions: str = "") -> DataFrame:
-    """One request per file: context, digest and (middle-shortened) code."""
-    digest = dataflow_digest(analysis)
-    joined = files.select(*KEYS, "language", "content").join(digest, KEYS).join(
-        context.drop("language"), KEYS)
-    names = F.array_join("frameworks", ", ") if "frameworks" in context.columns else F.lit("")
-    needs = F.array_join(F.slice("dependencies", 1, DEPENDENCIES), ", ") \
-        if "dependencies" in context.columns else F.lit("")
+    return _join("Data Flow Analysis Results:\n", flows, taints, checks, odd)
+
+
+def file_requests(files: DataFrame, context: DataFrame | None = None,
+                  patterns: DataFrame | None = None, instructions: str = "") -> DataFrame:
+    """One request per file: context, digest and (middle-shortened) code.
+
+    Everything stays on the file row, so no join is needed beyond the per-project lookups.
+    """
+    own = ["content", "hint", "purpose", "endpoints"]
+    shared = [] if context is None else ["frameworks", "dependencies"]
+    analysed = analyze(with_context(files, context), patterns, DIGESTED, keep=[*own, *shared])
+
+    def keys(name, n=None):
+        if context is None:
+            return F.lit("")
+        names = F.array_sort(F.map_keys(name))
+        return F.coalesce(F.array_join(names if n is None else F.slice(names, 1, n), ", "),
+                          F.lit(""))
+
     prompt = _join(
         "File: ", F.col("path"), "\nLanguage: ", F.col("language"), "\n", F.col("hint"),
-        "\n\nFile Context:\n- Framework: ", names, "\n- Dependencies: ", needs,
-        "\n- File purpose: ", F.col("purpose"), "\n- API endpoints: ",
-        F.array_join("endpoints", ", "), "\n\n", F.col("digest"), "\nCode:\n```",
-        F.col("language"), "\n", shorten_middle(F.col("content")), "\n```\n", instructions)
-    return joined.select(*KEYS, prompt.alias("prompt"))
+        "\n\nFile Context:\n- Framework: ", keys("frameworks"), "\n- Dependencies: ",
+        keys("dependencies", DEPENDENCIES), "\n- File purpose: ", F.col("purpose"),
+        "\n- API endpoints: ", F.array_join("endpoints", ", "), "\n\n", dataflow_digest(),
+        "\nCode:\n```", F.col("language"), "\n", shorten_middle(F.col("content")), "\n```\n",
+        instructions)
+    return analysed.select(*KEYS, prompt.alias("prompt"))
 
 
 def pattern_requests(sampled: DataFrame, instructions: str = "") -> DataFrame:
