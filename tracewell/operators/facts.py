@@ -15,6 +15,7 @@ from tracewell.functions.expressions import (
     case, empty, find_all, let, lines_of, null, strip, struct, text, window_text,
 )
 from tracewell.functions.rows import explode_structs
+from tracewell.operators.sizing import small
 from tracewell.rules.catalog import java_regex
 
 KEYS = ["project_id", "path"]
@@ -320,9 +321,9 @@ def snippet_at(files: DataFrame, places: DataFrame, context: int = 2) -> DataFra
     """Stripped line and surrounding lines for ``places(project_id, path, line_no)``.
 
     The wanted line numbers are gathered per file (a file is capped, so the list is too) and met
-    with the file row once; content is never copied per place.
+    with the file row once; content is never copied per place. Few places are broadcast.
     """
     wanted = places.groupBy(*KEYS).agg(F.array_sort(F.collect_set("line_no")).alias("_want"))
     one = struct(line_no="n", code=_code("_l", "n"), context=window_text("_l", "n", context))
     body = let({"_l": lines_of("content")}, f"transform(_want, n -> {one})")
-    return explode_structs(files.join(wanted, KEYS), KEYS, F.expr(body))
+    return explode_structs(files.join(small(wanted), KEYS), KEYS, F.expr(body))

@@ -15,7 +15,7 @@ from tracewell.functions.expressions import case, empty, let, lines_of, strip, s
 from tracewell.functions.rows import explode_structs
 from tracewell.functions.scalars import basename, kind_hint, purpose_of, security_words_in
 from tracewell.operators.facts import JS, KEYS, definitions, with_lines
-from tracewell.operators.sizing import lookup_join
+from tracewell.operators.sizing import lookup_join, settled, small
 from tracewell.rules.catalog import java_regex
 from tracewell.sources.corpus import HEAD_CHARS, head
 
@@ -278,13 +278,19 @@ def first_cross_calls(calls: DataFrame, n: int = 5) -> DataFrame:
 
 
 def cross_call_snippets(files: DataFrame, calls: DataFrame) -> DataFrame:
-    """Caller lines (three around) and called lines (one before, six after) of few calls."""
+    """Caller lines (three around) and called lines (one before, six after) of few calls.
+
+    The calls are settled first; when their places are few they are broadcast to the file rows, so
+    that content is not shuffled for them.
+    """
+    calls = settled(calls)
+
     def snippets(path, line, before, after, name):
         places = calls.groupBy("project_id", F.col(path).alias("path")).agg(
             F.array_sort(F.collect_set(line)).alias("_want"))
         one = struct(line_no="n", snippet=window_text("l", "n", before, after))
         body = let({"l": lines_of("content")}, f"transform(_want, n -> {one})")
-        return explode_structs(files.join(places, KEYS), KEYS, F.expr(body)) \
+        return explode_structs(files.join(small(places), KEYS), KEYS, F.expr(body)) \
             .withColumnsRenamed({"path": path, "line_no": line, "snippet": name})
 
     caller = snippets("caller_file", "caller_line", 3, 3, "caller_code")

@@ -1,7 +1,8 @@
-"""Size checks in front of broadcasts."""
+"""Size checks in front of broadcasts, and cutting the lineage of small intermediate results."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -41,3 +42,20 @@ def lookup_join(frame: DataFrame, table: DataFrame, keys: Sequence[str], spread:
     salted = frame.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """``frame`` computed once and kept in the session's checkpoint folder.
+
+    For small results that are both counted and joined. A cluster must name the folder in
+    ``spark.checkpoint.dir``; only a local session may fall back to a temporary one.
+    """
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="tracewell-")
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()

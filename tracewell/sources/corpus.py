@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import LANGUAGE_OF, basename, extension, lookup
+from tracewell.operators.sizing import lookup_join
 
 MAX_FILE_BYTES = 100_000
 MAX_FILES = 1_000
@@ -96,16 +97,18 @@ def read_corpus(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_BY
                 anchor: bool = False) -> DataFrame:
     """Files of all projects under ``root``, decoded, one row each.
 
-    Path, size and rank are decided on a listing without ``content``; only kept files are read.
+    The file cap is found on a listing without ``content``: a project over the cap gets its last
+    kept path, and reading compares with it. Content is never shuffled.
     """
     listing = read_listing(spark, root)
-    kept = select_source_files(listing.drop("content"), max_file_size, ignore_patterns, anchor)
+    files = select_source_files(listing, max_file_size, ignore_patterns, anchor)
     if max_files is not None:
-        kept = first_files(kept, max_files)
-        wanted = kept.select("project_id", "path", "name", "ext", "language")
-        files = listing.where(F.col("size_bytes") <= max_file_size) \
-            .join(wanted, ["project_id", "path"])
-    else:
-        files = select_source_files(listing, max_file_size, ignore_patterns, anchor)
+        names = select_source_files(listing.drop("content"), max_file_size, ignore_patterns, anchor)
+        order = W.partitionBy("project_id").orderBy("path")
+        last = names.select("project_id", "path", F.row_number().over(order).alias("_rank")) \
+            .where(F.col("_rank") == max_files) \
+            .select("project_id", F.col("path").alias("_last"))
+        files = lookup_join(files, last, ["project_id"], "path") \
+            .where(F.col("_last").isNull() | (F.col("path") <= F.col("_last")))
     return files.select("project_id", "path", "name", "ext", "language", "size_bytes", "mtime",
                         decode_text(F.col("content")).alias("content"))
