@@ -12,6 +12,7 @@ from tracewell.functions import scalars as sc
 from tracewell.functions.expressions import find_all, struct
 from tracewell.functions.rows import explode_structs
 from tracewell.operators import dataflow, facts, match, project
+from tracewell.operators.sizing import spread_small
 from tracewell.plans import report, requests
 from tracewell.plans import responses as rs
 from tracewell.rules import project as custom
@@ -39,13 +40,13 @@ def analysis_of(spark, d, result, patterns=False):
 
 
 def documents_as_files(spark, d):
-    return fx.read(spark, d, "documents").select(
+    return spread_small(fx.read(spark, d, "documents")).select(
         F.lit(0).alias("project_id"), F.col("doc_id").cast("string").alias("path"),
         F.lit("unknown").alias("language"), F.col("text").alias("content"))
 
 
 def pages_as_files(spark, d):
-    return fx.web_pages(spark, d).select(
+    return spread_small(fx.web_pages(spark, d)).select(
         F.lit(0).alias("project_id"), F.col("page_id").cast("string").alias("path"),
         F.lit("html").alias("language"), F.col("html").alias("content"))
 
@@ -788,7 +789,7 @@ def snk_02_csv_rows(spark, d):
 
 @query
 def jsn_01_03_findings(spark, d):
-    return rs.parse_findings(fx.responses(spark, d)).select(
+    return rs.parse_findings(spread_small(fx.responses(spark, d))).select(
         "project_id", "file", "parse_path", "finding_ord", "line", "vulnerability_type",
         "description", "severity", "confidence", "cwe_id",
         joined("data_flow").alias("data_flow"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+SPREAD_BYTES = 256 * 1024 * 1024
 
 
 def rows_within(frame: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
@@ -22,6 +23,18 @@ def small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(frame) if rows_within(frame, limit) is not None else frame
 
 
+def spread_small(frame: DataFrame, max_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Spread a small input over all cores before heavy work on each row.
+
+    A small file is often a single split. The planner's size estimate decides, so a large input,
+    which has many splits, is never moved.
+    """
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > max_bytes:
+        return frame
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
+
+
 def drop_listed(frame: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Anti join against a list that is usually empty or short; shuffles only when it is long."""
     n = rows_within(listed)
