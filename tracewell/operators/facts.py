@@ -16,7 +16,7 @@ from tracewell.functions.expressions import (
 )
 from tracewell.functions.rows import explode_structs
 from tracewell.operators.sizing import small
-from tracewell.rules.catalog import java_regex
+from tracewell.rules.catalog import java_regex, word_regex
 
 KEYS = ["project_id", "path"]
 JS = ("javascript", "typescript")
@@ -92,7 +92,7 @@ def _per_line(lines: str, pattern: str, groups: dict[str, int], result: str, ele
 def decls_expr(content: str = "content", language: str = "language") -> str:
     js = find_all(content, _p(JS_DECLARATION), {"kd": 1, "nm": 2, "vl": 3}, struct(
         line_no="_ln", kind="kd", var_type=null("string"), name="nm", value=strip("vl")), DECL)
-    typed = find_all(content, _p(TYPED_VARIABLE), {"ty": 1, "nm": 2, "vl": 3}, struct(
+    typed = find_all(content, word_regex(TYPED_VARIABLE), {"ty": 1, "nm": 2, "vl": 3}, struct(
         line_no="_ln", kind="'variable'", var_type="ty", name="nm", value=strip("vl")), DECL)
     fields = find_all(content, _p(JAVA_FIELD), {"ty": 4, "nm": 5, "vl": 6}, struct(
         line_no="_ln", kind="'field'", var_type="ty", name="nm", value=strip("vl")), DECL)
@@ -103,7 +103,7 @@ def decls_expr(content: str = "content", language: str = "language") -> str:
 
 def assigns_expr(content: str = "content", lines: str = "lines",
                  language: str = "language") -> str:
-    whole = find_all(content, _p(ANY_ASSIGNMENT), {"lf": 1, "rt": 2}, struct(
+    whole = find_all(content, word_regex(ANY_ASSIGNMENT), {"lf": 1, "rt": 2}, struct(
         line_no="_ln", target="lf", value=strip("rt")), ASSIGN)
     python = _per_line(lines, _p(PY_ASSIGNMENT), {"nm": 1}, struct(
         line_no="_n", target="nm", value=after_equals(strip("_x"))), ASSIGN)
@@ -120,7 +120,7 @@ def after_equals(code: str) -> str:
 
 def calls_expr(content: str = "content", lines: str = "lines", language: str = "language") -> str:
     def whole(function):
-        return find_all(content, _p(ANY_CALL), {"cl": 1, "ar": 2}, struct(
+        return find_all(content, word_regex(ANY_CALL), {"cl": 1, "ar": 2}, struct(
             line_no="_ln", function=function, args=_parts("ar"), code=_code(lines, "_ln")), CALL)
 
     bare = f"regexp_replace(_x, {text(_p(PY_HEADING))}, ' ')"
@@ -168,7 +168,7 @@ def defs_expr(content: str = "content", lines: str = "lines", language: str = "l
         _definition("_ln", "'method'", "nm", types=_words("pr", 0), names=_words("pr", 1),
                     modifier="md", static="st <> ''", result="rt", throws=_parts("th")), DEF)
     generic = find_all(
-        content, _p(GENERIC_FUNCTION), {"rt": 1, "nm": 2, "pr": 3},
+        content, word_regex(GENERIC_FUNCTION), {"rt": 1, "nm": 2, "pr": 3},
         _definition("_ln", "'function'", "nm", names=_parts("pr"), result="rt"), DEF)
     arguments = (f"filter(transform({_parts('pr')}, _q -> "
                  + strip("regexp_extract(_q, '^([^:=]*)', 1)") + "), _q -> _q rlike '^[A-Za-z_]')")
@@ -205,13 +205,13 @@ def _events_expr(content: str, lines: str, language: str) -> str:
     js = "concat({}, {})".format(
         find_all(content, _p(JS_DECLARATION), {"kd": 1, "nm": 2},
                  event("_ln", "nm", "true", "kd", null("string"), js_value), EVENT),
-        find_all(content, _p(ANY_ASSIGNMENT), {"nm": 1},
+        find_all(content, word_regex(ANY_ASSIGNMENT), {"nm": 1},
                  event("_ln", "nm", "false", "'var'", null("string"), js_value), EVENT))
-    java = find_all(content, _p(TYPED_VARIABLE), {"ty": 1, "nm": 2, "vl": 3},
+    java = find_all(content, word_regex(TYPED_VARIABLE), {"ty": 1, "nm": 2, "vl": 3},
                     event("_ln", "nm", "true", null("string"), "ty", strip("vl")), EVENT)
     python = _per_line(lines, _p(PY_ASSIGNMENT), {"nm": 1},
                        event("_n", "nm", "false", null("string"), null("string")), EVENT)
-    generic = _per_line(lines, _p(LINE_ASSIGNMENT), {"nm": 1, "vl": 2},
+    generic = _per_line(lines, word_regex(LINE_ASSIGNMENT), {"nm": 1, "vl": 2},
                         event("_n", "nm", "false", null("string"), null("string"), strip("vl")),
                         EVENT)
     return case(language, {("python",): python, JS: js, ("java",): java}, generic)

@@ -22,7 +22,7 @@ from tracewell.functions.scalars import describe_expr
 from tracewell.operators.facts import JS, KEYS
 from tracewell.rules.catalog import (
     GENERIC, LITERAL_LANGUAGES, ROLES, Rule, java_regex, literal_rules, regex_rules,
-    required_literal,
+    required_literal, word_regex,
 )
 
 ISSUE = "struct<rule_type:string,line_no:int,pattern:string,code:string>"
@@ -138,7 +138,7 @@ def _rules_for_language(roles: Iterable[str] = ROLES) -> str:
 
 def assigned_name(code: str, literal: str) -> str:
     """Name on the left of an assignment whose right side holds ``literal`` (``''`` when none)."""
-    shape = f"concat('(?d)(\\\\w+)\\\\s*=\\\\s*.*\\\\Q', {literal}, '\\\\E')"
+    shape = f"concat('(?d)(?<!\\\\w)(\\\\w++)\\\\s*=\\\\s*.*\\\\Q', {literal}, '\\\\E')"
     return f"if(instr({code}, '=') > 0, regexp_extract({code}, {shape}, 1), '')"
 
 
@@ -176,7 +176,7 @@ def sources_expr(hits: str = "hits") -> str:
         line_no="h.line_no", source_type="h.rule_type", source_code="h.code",
         source_pattern="h.pattern", context="h.context", derived_variable=null("string"),
         parent_line=null("int"), parent_pattern=null("string"), assigned="h.assigned")
-    shape = "concat('(?d)(\\\\w+)\\\\s*=\\\\s*.*', h.assigned)"
+    shape = "concat('(?d)(?<!\\\\w)(\\\\w++)\\\\s*=\\\\s*.*', h.assigned)"
     indirect = struct(
         line_no="s.line_no", source_type="concat('indirect_', h.rule_type)",
         source_code=strip("s.text"), source_pattern="h.assigned", context=null("string"),
@@ -262,7 +262,7 @@ def _bypasses(ctx: str) -> str:
 
 def _input_line(ctx: str, line_no: str, numbered: str) -> str:
     """Nearest earlier line assigning a compared name, else five lines up."""
-    names = f"array_distinct(regexp_extract_all({ctx}, {text(java_regex(COMPARED_NAME))}, 1))"
+    names = f"array_distinct(regexp_extract_all({ctx}, {text(word_regex(COMPARED_NAME))}, 1))"
     shape = "concat('(?d)(?:^|[^0-9A-Za-z_])(?:', array_join(vn, '|'), ')\\\\s*=')"
     earlier = (f"transform(filter({numbered}, s -> s.line_no < {line_no} and instr(s.text, '=') > 0 "
                f"and s.text rlike sh), s -> s.line_no)")
