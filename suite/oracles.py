@@ -1068,6 +1068,8 @@ select c.project_id, c.path, 'File: ' || c.path || {NL} || 'Language: ' || langu
   || 'File Context:' || {NL} || '- Framework: ' || {NL} || '- Dependencies: ' || {NL} || '- File purpose: '
   || {PURPOSE.replace('lower(path)', 'lower(c.path)')} when {contains_any('lower(substr(content, 1, 10240))', sc.SECURITY_WORDS)} then 'Security-Related' else 'Unknown' end
   || {NL} || '- API endpoints: ' || array_to_string({SCAN_ENDS}, ', ') || {NL} || {NL}
+  || 'Project-Specific Patterns:' || {NL} || '- Custom security functions: ' || {NL} || '- Data transformation functions: '
+  || {NL} || '- Validation functions: ' || {NL} || '- Wrapper functions: ' || {NL} || {NL}
   || 'Data Flow Analysis Results:' || {NL} || coalesce(df.t, '') || coalesce(dt.t, '') || coalesce(dv.t, '') || coalesce(ds.t, '')
   || {NL} || 'Code:' || {NL} || {FENCE} || language || {NL} || content || {NL} || {FENCE} || {NL} as prompt
 from code_files c left join df on df.path = c.path left join dt on dt.path = c.path

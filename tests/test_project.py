@@ -83,6 +83,16 @@ def test_request_text(files_of):
     assert "   Sanitized: False\n" in prompt and prompt.endswith("os.system(aa)\n```\nEND")
 
 
+def test_request_names_project_patterns(spark, files_of):
+    extra = spark.createDataFrame(
+        [(1, "wrapper_function", None, "wrapIt", None, 0), (1, "security_pattern", "encryption", "enc", None, 1),
+         (1, "validation_function", None, "okay", None, 0)],
+        "project_id bigint, kind string, category string, name string, impact string, file_ord int")
+    prompt = requests.file_requests(files_of({"x.py": "a = 1"}), patterns=extra).first().prompt
+    assert ("- Custom security functions: enc\n- Data transformation functions: \n"
+            "- Validation functions: okay\n- Wrapper functions: wrapIt\n") in prompt
+
+
 def test_result_does_not_depend_on_partitions(files_of):
     texts = {f"f{i}.py": f"aa{i} = input()\nbb = aa{i}\nos.system(bb)" for i in range(12)}
     files = files_of(texts)

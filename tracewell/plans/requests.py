@@ -16,6 +16,12 @@ from tracewell.operators.project import with_context
 from tracewell.sources.manifests import SUMMARY_NAMES
 
 DIGESTED = ("flows", "taints", "validation_attempts", "suspicious_patterns")
+PATTERN_LISTS = {
+    "Custom security functions": "security_names",
+    "Data transformation functions": "transform_names",
+    "Validation functions": "validation_names",
+    "Wrapper functions": "wrappers",
+}
 FLOWS, TAINTS, VALIDATIONS, SUSPICIOUS, DEPENDENCIES = 10, 10, 5, 5, 10
 
 
@@ -67,7 +73,8 @@ def file_requests(files: DataFrame, context: DataFrame | None = None,
     """
     own = ["content", "hint", "purpose", "endpoints"]
     shared = [] if context is None else ["frameworks", "dependencies"]
-    analysed = analyze(with_context(files, context), patterns, DIGESTED, keep=[*own, *shared])
+    analysed = analyze(with_context(files, context), patterns, DIGESTED,
+                       keep=[*own, *shared, *PATTERN_LISTS.values()])
 
     def keys(name, n=None):
         if context is None:
@@ -76,11 +83,15 @@ def file_requests(files: DataFrame, context: DataFrame | None = None,
         return F.coalesce(F.array_join(names if n is None else F.slice(names, 1, n), ", "),
                           F.lit(""))
 
+    nothing = F.array().cast("array<string>")
+    known = [part for title, column in PATTERN_LISTS.items() for part in (
+        f"\n- {title}: ", F.array_join(F.coalesce(column, nothing), ", "))]
     prompt = _join(
         "File: ", F.col("path"), "\nLanguage: ", F.col("language"), "\n", F.col("hint"),
         "\n\nFile Context:\n- Framework: ", keys("frameworks"), "\n- Dependencies: ",
         keys("dependencies", DEPENDENCIES), "\n- File purpose: ", F.col("purpose"),
-        "\n- API endpoints: ", F.array_join("endpoints", ", "), "\n\n", dataflow_digest(),
+        "\n- API endpoints: ", F.array_join("endpoints", ", "),
+        "\n\nProject-Specific Patterns:", *known, "\n\n", dataflow_digest(),
         "\nCode:\n```", F.col("language"), "\n", shorten_middle(F.col("content")), "\n```\n",
         instructions)
     return analysed.select(*KEYS, prompt.alias("prompt"))

@@ -71,12 +71,14 @@ def prepare(files: DataFrame, root_files: DataFrame, patterns: DataFrame | None
     """
     if scan_all:
         selected = files.select(*KEYS, F.lit(None).cast("int").alias("ord"))
+        first = corpus.first_files(selected, 5)
         scanned = files
     else:
-        selected = select_files(files, answers)
+        selected = settled(select_files(files, answers))
+        first = selected.where(F.col("ord") <= 5)
         scanned = files.join(small(selected.select(*KEYS)), KEYS, "left_semi")
     scanned = corpus.scannable(scanned)
-    sampled = scanned.join(small(selected.where(F.col("ord") <= 5).select(*KEYS)), KEYS, "left_semi")
+    sampled = scanned.join(small(first.select(*KEYS)), KEYS, "left_semi")
     return Prepared(
         selected=selected, files=scanned,
         cross_calls=project.first_cross_calls(project.cross_file_calls(scanned)),

@@ -22,6 +22,7 @@ EXTRA = {
     "validation_names": "array<string>",
     "suspicious_names": "array<string>",
     "transform_names": "array<string>",
+    "security_names": "array<string>",
 }
 
 
@@ -69,7 +70,11 @@ def custom_rules(merged: DataFrame) -> DataFrame:
 
 
 def rules_per_project(patterns: DataFrame) -> DataFrame:
-    rules = custom_rules(merge_samples(patterns))
+    merged = merge_samples(patterns)
+    rules = custom_rules(merged).unionByName(
+        merged.where(F.col("kind") == "security_pattern").select(
+            "project_id", F.lit("security").alias("role"), F.lit("security").alias("rule_type"),
+            "name"))
 
     def names(role):
         return F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("name"))))
@@ -81,7 +86,8 @@ def rules_per_project(patterns: DataFrame) -> DataFrame:
     return rules.groupBy("project_id").agg(
         F.array_sort(F.collect_list(literal)).alias("custom_rules"),
         names("wrapper").alias("wrappers"), names("validation").alias("validation_names"),
-        names("suspicious").alias("suspicious_names"), names("transform").alias("transform_names"))
+        names("suspicious").alias("suspicious_names"), names("transform").alias("transform_names"),
+        names("security").alias("security_names"))
 
 
 def attach(files: DataFrame, patterns: DataFrame | None) -> DataFrame:
