@@ -16,7 +16,7 @@ from tracewell.functions.rows import explode_structs
 from tracewell.functions.scalars import basename, kind_hint, purpose_of, security_words_in
 from tracewell.operators.facts import JS, KEYS, definitions, with_lines
 from tracewell.operators.sizing import lookup_join, settled, small
-from tracewell.rules.catalog import java_regex
+from tracewell.rules.catalog import java_regex, word_regex
 from tracewell.sources.corpus import HEAD_CHARS, head
 
 TOP_FILES = 30
@@ -52,6 +52,7 @@ CRITICAL_WORDS = [
     "request|response|header|cookie|session|csrf|xss|html|url|redirect|forward",
     "file|directory|path|upload|download|stream|read|write|open|close",
 ]
+CALLED_NAME = r"(\w+)\s*\("
 IMPORT_WORDS = ["sql", "auth", "crypt", "token", "password", "login", "security", "exec", "eval",
                 "command", "system", "request", "http", "express", "file", "path", "stream",
                 "upload", "download"]
@@ -248,7 +249,7 @@ def with_context(files: DataFrame, context: DataFrame | None = None) -> DataFram
 
 def call_names(files: DataFrame) -> DataFrame:
     """Distinct names followed by an opening parenthesis, per line."""
-    names = f"array_distinct(regexp_extract_all(x, {text(java_regex('([A-Za-z0-9_]+)' + chr(92) + 's*' + chr(92) + '('))}, 1))"
+    names = f"array_distinct(regexp_extract_all(x, {text(word_regex(CALLED_NAME))}, 1))"
     body = (f"flatten(transform({lines_of('content')}, (x, i) -> transform({names}, n -> "
             + struct(line_no="i + 1", name="n") + ")))")
     return explode_structs(files, KEYS, F.expr(body))
