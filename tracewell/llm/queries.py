@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, sharding
+from tracewell.llm import decontamination, mixing, sharding
 from tracewell.llm.common import byte_length, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,34 @@ levels as materialized (select h, n_bytes, d, h >> (60 - d) as p from rows_, ran
 leaves as (select h, min(d) as leaf from levels join (
     select d, p from levels group by 1, 2 having sum(n_bytes) <= {SHARD_BYTES}) using (d, p) group by 1)
 select doc_id, n_bytes, leaf || '-' || (h >> (60 - leaf)) as shard_id from rows_ join leaves using (h)"""
+
+
+@query
+def op4_decontaminate(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = decontamination.find_matches(docs, table(spark, d, "benchmark"), keep=["doc_id"])
+    return decontamination.judge(found).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op4_decontaminate"] = f"""
+with docs as materialized (select doc_id, {_WORDS_SQL} as w from documents),
+items as (select coalesce(item_id::varchar, '') as id, {_WORDS_SQL} as w from benchmark),
+windows as materialized (select distinct id, n, array_to_string(w[i:i + n - 1], ' ') as s from (
+  select id, w, least(len(w), 13) as n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i
+  from items where len(w) > 0)),
+sizes as (select distinct n from windows),
+places as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as s from (
+  select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, sizes where len(w) >= n)),
+hits as materialized (select p.doc_id, p.i, p.n, w.id from places p join windows w using (n, s)),
+covered as (select doc_id, count(distinct k) as n_hit from (
+  select doc_id, unnest(range(i, i + n)) as k from hits) group by 1),
+named as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, id from hits) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join covered using (doc_id) left join named using (doc_id)"""
