@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontamination, mixing, sharding
+from tracewell.llm import decontamination, mixing, near_dedup, sharding
 from tracewell.llm.common import byte_length, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,28 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
   coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from docs left join covered using (doc_id) left join named using (doc_id)"""
+
+
+@query
+def op3_near_dedup(spark, d):
+    return near_dedup.near_duplicates(table(spark, d, "documents"))
+
+
+ORACLES["op3_near_dedup"] = r"""
+with recursive docs as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5
+    then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3),
+      i -> array_to_string(w[i:i + 4], ' ')) end) as s from docs),
+items as materialized (select doc_id, len(s) as n, unnest(s) as h from sets),
+pairs as (select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as common
+  from items a join items b on a.h = b.h and a.doc_id < b.doc_id group by all),
+links as materialized (select a, b from pairs where 100 * common >= 75 * (n + m - common)),
+edges as materialized (select a, b from links union all select b, a from links),
+reach as (select a as node, b as other from edges
+  union select r.node, e.b from reach r join edges e on e.a = r.other),
+least_ as (select node, min(other) as other from reach group by 1)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id,
+  least(doc_id, coalesce(other, doc_id)) = doc_id as kept
+from sets left join least_ on node = doc_id"""
