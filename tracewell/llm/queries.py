@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontamination, mixing, near_dedup, sharding
+from tracewell.llm import decontamination, mixing, near_dedup, quality, sharding
 from tracewell.llm.common import byte_length, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,8 +153,8 @@ with recursive docs as materialized (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 sets as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5
-    then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3),
-      i -> array_to_string(w[i:i + 4], ' ')) end) as s from docs),
+    then [array_to_string(w, ' ')] else
+    [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] end) as s from docs),
 items as materialized (select doc_id, len(s) as n, unnest(s) as h from sets),
 pairs as (select a.doc_id as a, b.doc_id as b, a.n as n, b.n as m, count(*) as common
   from items a join items b on a.h = b.h and a.doc_id < b.doc_id group by all),
@@ -166,3 +166,8 @@ least_ as (select node, min(other) as other from reach group by 1)
 select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id,
   least(doc_id, coalesce(other, doc_id)) = doc_id as kept
 from sets left join least_ on node = doc_id"""
+
+
+@query
+def op2_quality(spark, d):
+    return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
