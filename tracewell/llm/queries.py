@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontamination, mixing, near_dedup, quality, sharding
+from tracewell.llm import decontamination, mixing, near_dedup, quality, sharding, toxicity
 from tracewell.llm.common import byte_length, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,8 @@ from sets left join least_ on node = doc_id"""
 @query
 def op2_quality(spark, d):
     return quality.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op7_toxicity(spark, d):
+    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
