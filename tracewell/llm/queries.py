@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import decontamination, mixing, near_dedup, quality, sharding, toxicity
+from tracewell.llm import (
+    decontamination, mixing, near_dedup, quality, repeats, sharding, toxicity,
+)
 from tracewell.llm.common import byte_length, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +178,8 @@ def op2_quality(spark, d):
 @query
 def op7_toxicity(spark, d):
     return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op8_repeats(spark, d):
+    return repeats.remove_repeats(table(spark, d, "documents")).drop("spans")
