@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
-    decontamination, mixing, near_dedup, quality, repeats, sharding, toxicity,
+    decontamination, mixing, near_dedup, quality, repeats, sharding, topk, toxicity, warc,
 )
 from tracewell.llm.common import byte_length, table
 
@@ -183,3 +183,35 @@ def op7_toxicity(spark, d):
 @query
 def op8_repeats(spark, d):
     return repeats.remove_repeats(table(spark, d, "documents")).drop("spans")
+
+
+@query
+def op9_topk(spark, d):
+    rows = table(spark, d, "embeddings")
+    return topk.top_k(rows, rows.filter("vec_id % 50 = 0"))
+
+
+ORACLES["op9_topk"] = """
+with rows_ as materialized (select vec_id, [floor(256 * x::double) for x in embedding] as v from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scores as (select q.vec_id as query_id, r.vec_id, list_dot_product(q.v, r.v)::bigint as score
+  from rows_ q join rows_ r on q.vec_id % 50 = 0 and q.vec_id <> r.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank,
+  vec_id, score from scores
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5"""
+
+
+@query
+def op6_warc(spark, d):
+    path = warc.write_archives(table(spark, d, "pages"))
+    return warc.read_archives(spark, path, with_html=False).drop("url", "html")
+
+
+ORACLES["op6_warc"] = """
+with rows_ as materialized (select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes,
+  sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (select payload_digest, min(page_id) as head from rows_ where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, payload_digest,
+  case when head is not null and head is distinct from page_id then 'revisit' else 'response' end as record_type,
+  case when head is distinct from page_id then head end as refers_to
+from rows_ left join firsts using (payload_digest)"""
