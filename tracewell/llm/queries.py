@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
-    decontamination, mixing, near_dedup, quality, repeats, sharding, topk, toxicity, warc,
+    decontamination, extraction, mixing, near_dedup, quality, repeats, sharding, topk, toxicity, warc,
 )
 from tracewell.llm.common import byte_length, table
 
@@ -215,3 +215,8 @@ select page_id, payload_bytes, payload_digest,
   case when head is not null and head is distinct from page_id then 'revisit' else 'response' end as record_type,
   case when head is distinct from page_id then head end as refers_to
 from rows_ left join firsts using (payload_digest)"""
+
+
+@query
+def op5_extract(spark, d):
+    return extraction.extract(table(spark, d, "pages"))
