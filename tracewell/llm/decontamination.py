@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import byte_length, hash60, text_of
@@ -22,6 +22,7 @@ WINDOW = 13                 # words of a window
 SHARE = 20                  # contaminated: hit words times this reach the words of the document
 SHARD_BYTES = 8 << 20       # text of one suffix array
 BLOCK_BYTES = 32 << 20      # test text that is sent to the tasks at once
+WORDS, MATCHES = "_n_words", "_matches"     # while texts are searched
 MATCH = "array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 
 # Bytes of words as they are, A-Z in lower case, all other bytes as blanks.
@@ -164,17 +165,22 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
     searched in blocks of a bounded size, one after the other. Null or empty texts have no words;
     items without words match nothing; rows of one item id count as one item; a null item id is "".
     Repeated documents are rows of their own, and every text is searched whole. ``n_words`` and
-    ``matches`` must not be names of kept columns.
+    ``matches`` must not be names of kept columns here; ``clean`` takes any names.
     """
-    keep = docs.columns if keep is None else keep
+    return _searched(docs, benchmark, text, window, docs.columns if keep is None else keep, item, item_text) \
+        .withColumnsRenamed({WORDS: "n_words", MATCHES: "matches"})
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, keep: list[str],
+              item: str = "item_id", item_text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     size = benchmark.agg(F.sum(byte_length(f"`{item_text}`"))).first()[0] or 0
     blocks = 1 + int(size) // BLOCK_BYTES
     part = F.pmod(hash60(F.concat(text_of(item), F.coalesce(F.col(item_text), F.lit("")))), F.lit(blocks))
     named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"),
                              F.col(item_text).alias("t"), part.alias("part"))
-    found = docs.select("*", F.lit(0).cast("long").alias("n_words"),
-                        F.array().cast(MATCH).alias("matches"))
+    found = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])],
+                        F.lit(0).cast("long").alias(WORDS), F.array().cast(MATCH).alias(MATCHES))
     for k in range(blocks):
         items = spark.sparkContext.broadcast(
             [(r.id, r.t) for r in named.filter(F.col("part") == k).select("id", "t").collect()])
@@ -184,7 +190,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 
 
 def _with_matches(found: DataFrame, items, text: str, window: int, names: list[str]) -> DataFrame:
-    schema = found.select(*[F.col(f"`{c}`") for c in names], "n_words", "matches").schema
+    schema = found.select(*[F.col(f"`{c}`") for c in names], WORDS, MATCHES).schema
     kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()),
                                ("doc_word", pa.int32()), ("n_words", pa.int32())]))
 
@@ -193,31 +199,40 @@ def _with_matches(found: DataFrame, items, text: str, window: int, names: list[s
         for batch in batches:
             for piece in _pieces(batch, text, SHARD_BYTES):
                 n_words, matches = _shard_matches(tests, piece.column(text).to_pylist())
-                earlier = piece.column("matches").to_pylist()
+                earlier = piece.column(MATCHES).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(c) for c in names]
                     + [pa.array(n_words, pa.int64()),
                        pa.array([a + b for a, b in zip(earlier, matches)], kind)],
-                    names=[*names, "n_words", "matches"])
+                    names=[*names, WORDS, MATCHES])
 
     return found.mapInArrow(search, schema)
 
 
-def judge(found: DataFrame, share: int = SHARE) -> DataFrame:
-    """Adds ``n_hit`` (words inside matches), ``n_items``, ``items_sha256`` and ``contaminated``."""
-    spans = F.array_sort(F.transform("matches", lambda m: F.struct(
+def _hit(matches: str) -> Column:
+    """Words inside any match."""
+    spans = F.array_sort(F.transform(matches, lambda m: F.struct(
         m.doc_word.alias("a"), (m.doc_word + m.n_words).alias("b"))))
-    hit = F.aggregate(
+    return F.aggregate(
         spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
         lambda s, m: F.struct(
             (s.n + F.greatest(m.b - F.greatest(m.a, s.upto), F.lit(0))).alias("n"),
             F.greatest(m.b, s.upto).alias("upto")), lambda s: s.n)
+
+
+def _contaminated(hit: Column, n_words: Column) -> Column:
+    return (hit > 0) & (hit * SHARE >= n_words)
+
+
+def judge(found: DataFrame) -> DataFrame:
+    """Adds ``n_hit`` (words inside matches), ``n_items``, ``items_sha256`` and ``contaminated``."""
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.item_id)))
-    return found.withColumns({"n_hit": hit, "n_items": F.size(items).cast("long"),
+    return found.withColumns({"n_hit": _hit("matches"), "n_items": F.size(items).cast("long"),
                               "items_sha256": F.sha2(F.array_join(items, ","), 256)}) \
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+        .withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    return judge(find_matches(docs, benchmark, text)).filter(~F.col("contaminated")).select(docs.columns)
+    return _searched(docs, benchmark, text, WINDOW, docs.columns) \
+        .filter(~_contaminated(_hit(MATCHES), F.col(WORDS))).select(*[F.col(f"`{c}`") for c in docs.columns])
