@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.expressions import text
-from tracewell.sources.corpus import MAX_FILE_BYTES
-from tracewell.operators.sizing import drop_listed, rows_within, small
 
 LANGUAGES = ("python", "javascript", "java", "golang")
 EXTENSIONS = ("py", "js", "java", "go")
@@ -50,10 +48,6 @@ def _duck(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-# No template grows past this many bytes once its placeholders are filled in.
-MAX_LINE_BYTES = 100
-
-
 def _line_text(quote, pick, row: str = "") -> str:
     """Text of a line: template k of the language with its placeholders filled in."""
     part, supp = f"{row}l_partkey", f"{row}l_suppkey"
@@ -95,22 +89,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(project_id, path, name, ext, language, size_bytes, content)``.
 
-    Rows are spread by file as plain numbers and turned into text where they arrive. Files over the
-    corpus size cap are left out, as the file source does: files with enough lines to reach it are
-    found by a count, measured by a sum (both combined before the shuffle), and removed before the
-    lines of a file meet, so that a file of any size never reaches one task.
+    Rows are spread by file as plain numbers and turned into text where they arrive.
     """
     rows = read(spark, sf_dir, "lineitem").select(
         F.floor(F.col("l_orderkey") / 8.0).cast("bigint").alias("file_id"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    long = rows.groupBy("file_id").count() \
-        .where(F.col("count") > MAX_FILE_BYTES // MAX_LINE_BYTES).select("file_id")
-    if rows_within(long, 0) is None:
-        text_bytes = F.octet_length(F.expr(_line_text(text, _spark_pick)))
-        too_big = rows.join(small(long), "file_id").withColumn("lang_ix", F.col("file_id") % 4) \
-            .groupBy("file_id").agg((F.sum(text_bytes + 1) - 1).alias("size_bytes")) \
-            .where(F.col("size_bytes") > MAX_FILE_BYTES).select("file_id")
-        rows = drop_listed(rows, too_big, ["file_id"])
     numbers = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     gathered = rows.repartition("file_id").groupBy("file_id").agg(
         F.array_sort(F.collect_list(numbers)).alias("rows")
@@ -126,20 +109,18 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DUCK_CODE = f"""
-  raw_lines as (
+  raw_lines as materialized (
     select {', '.join(_code_keys(_duck)).replace('file_id % 4 as lang_ix, ', '')}, l_orderkey, l_linenumber, l_partkey, l_suppkey,
            {_line_text(_duck, _duck_pick)} as text
     from (select *, file_id % 4 as lang_ix from (
       select l_orderkey, l_linenumber, l_partkey, l_suppkey,
              cast(floor(l_orderkey / 8.0) as bigint) as file_id from lineitem) a) b),
-  big_files as (select file_id from raw_lines group by file_id
-                having sum(octet_length(encode(text)) + 1) - 1 > {MAX_FILE_BYTES}),
-  code_lines as (
+  code_lines as materialized (
     select project_id, path, language, text,
            cast(row_number() over (partition by file_id
                 order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as integer) as line_no
-    from raw_lines where file_id not in (select file_id from big_files)),
-  code_files as (
+    from raw_lines),
+  code_files as materialized (
     select project_id, path, any_value(language) as language,
            string_agg(text, chr(10) order by line_no) as content,
            count(*) as n_lines
@@ -254,7 +235,7 @@ def _pattern_sql(source: str, quote) -> str:
              case when p_size % 5 = 4 then {_pick(quote, 'p_partkey % 3', CATEGORIES)} end as category,
              concat('fn', p_partkey % 23) as name,
              case when p_size % 5 = 0 then {_pick(quote, 'p_partkey % 8', IMPACTS)} end as impact,
-             cast(p_partkey % 7 as integer) as file_ord
+             cast(p_partkey % 7 as integer) as file_ord, p_partkey as pattern_ord
       from {source}"""
 
 

@@ -12,7 +12,7 @@ from tracewell.operators import facts, match, project
 from tracewell.plans import responses as rs
 from tracewell.plans import report
 from tracewell.rules.catalog import GENERIC, ROLES, literal_rules, regex_rules
-from tracewell.rules.project import SAMPLE_FILES, SECURITY_CATEGORIES
+from tracewell.rules.project import SECURITY_CATEGORIES
 from tracewell.sources import corpus, manifests
 
 q = fx._duck
@@ -207,7 +207,7 @@ from findings where severity = 'High' and coalesce(confidence, 0.5) >= 0.8 group
 WORDS = "[" + ", ".join(q(w) for w in sc.SECURITY_WORDS) + "]"
 add("flt_03_security_words", body=f"""
 select doc_id, array_to_string(w, ',') as words, len(w) > 0 as relevant
-from (select doc_id, list_filter({WORDS}, lambda k: contains(lower(substr(text, 1, 10240)), k)) as w from documents) t""")
+from (select doc_id, list_filter({WORDS}, lambda k: contains(lower(text), k)) as w from documents) t""")
 add("flt_04_substring", CODE, body="""
 select project_id, count(*) as lines from code_lines where contains(text, 'escape(') group by all""")
 add("flt_05_regex", CODE, body=f"""
@@ -226,7 +226,7 @@ def listed(branches, name):
         whens.append(f"when language in ({', '.join(q(k) for k in keys)}) then {joined}")
     return (f"{name} as (select project_id, path, language, list_sort(list_distinct(list_transform("
             f"case {' '.join(whens)} else [] end, lambda v: {strip('v')}))) as v "
-            "from (select *, substr(content, 1, 10240) as head from code_files) h)")
+            "from (select *, content as head from code_files) h)")
 
 
 ONE = {k: [(p, 1) for p in ps] for k, ps in project.IMPORTS.items()}
@@ -249,18 +249,20 @@ for query_name, cte, table, column in (
     add(query_name, CODE, cte, body=f"""
 select project_id, path, case when len(v) > 0 then array_to_string(v, ' | ') end as {column} from {table}""")
 SCAN_ENDS = "case " + " ".join(
-    f"when language in ({', '.join(q(k) for k in keys)}) then regexp_extract_all(substr(content, 1, 10240), {q(p)}, {g})"
+    f"when language in ({', '.join(q(k) for k in keys)}) then regexp_extract_all(content, {q(p)}, {g})"
     for keys, (p, g) in project.SCAN_ENDPOINTS.items()) + " else [] end"
 add("ext_03_scan_endpoints", CODE, body=f"""
 select project_id, path, array_to_string(v, ' | ') as endpoints,
-       {PURPOSE} when {contains_any('lower(substr(content, 1, 10240))', sc.SECURITY_WORDS)} then 'Security-Related' else 'Unknown' end as purpose
+       {PURPOSE} when {contains_any('lower(content)', sc.SECURITY_WORDS)} then 'Security-Related' else 'Unknown' end as purpose
 from (select *, {SCAN_ENDS} as v from code_files) t""")
 ENTRIES = """entries as (
   select project_id, path, 'main' as kind from edited where contains(content, 'main(')
+    or contains(content, 'public static void main')
   union all select project_id, path, 'server' from edited
   where contains(content, 'app.listen') or contains(content, 'runserver'))"""
 add("ext_05_entry_points", CODE, """edited as (select project_id, path,
-  replace(replace(content, 'fn2(', 'main('), 'route(', 'app.listen(') as content from code_files)""",
+  replace(replace(replace(content, 'String fn5(', 'void main ('), 'fn2(', 'main('), 'route(', 'app.listen(')
+  as content from code_files)""",
     ENTRIES, body="select * from entries")
 FRAMEWORKS = "fw as (" + " union ".join(
     [f"select project_id, dependency as framework, version from deps where dependency in ({', '.join(q(n) for n in manifests.PACKAGE_FRAMEWORKS)})"]
@@ -391,9 +393,9 @@ def has(words):
 
 MERGED = f"""merged as (
   select project_id, kind, category, name,
-         arg_max(coalesce(impact, ''), file_ord) as impact
+         arg_max(coalesce(impact, ''), file_ord * 1000000000000 + pattern_ord) as impact
   from project_patterns
-  where file_ord < {SAMPLE_FILES} and (kind <> 'security_pattern'
+  where (kind <> 'security_pattern'
         or category in ({', '.join(q(c) for c in SECURITY_CATEGORIES)}))
   group by all)"""
 RUNS = f"(kind = 'custom_function' and {has(['execute', 'query', 'sensitive', 'critical'])})"
@@ -589,7 +591,6 @@ walk as (/* with_recursion */
   select w.path, w.hop + 1, list(distinct e.vo), any_value(w.seen) || list(distinct e.vo)
   from walk w join edges e on e.path = w.path and list_contains(w.frontier, e.po)
        and not list_contains(w.seen, e.vo)
-  where w.hop < 50
   group by w.path, w.hop),
 reach as (select path, hop, unnest(frontier) as var_ord from walk),
 parents as (
@@ -759,7 +760,7 @@ select project_id, path,
        path in (select path from entries) as entry_point, relevant as security_relevant,
        (select string_agg(framework, ' | ' order by framework) from (select distinct framework from fw f where f.project_id = c.project_id) x) as frameworks,
        (select string_agg(dependency, ' | ' order by dependency) from (select distinct dependency from deps f where f.project_id = c.project_id) x) as dependencies
-from (select *, {contains_any('lower(substr(content, 1, 10240))', sc.SECURITY_WORDS)} as relevant from code_files) c""")
+from (select *, {contains_any('lower(content)', sc.SECURITY_WORDS)} as relevant from code_files) c""")
 
 # --- aggregates, rankings, sets ---------------------------------------------------------------
 
@@ -812,7 +813,7 @@ MAIN = " or ".join(f"(language = {q(k)} and lower(name) in ({', '.join(q(n) for
                    for k, ns in project.MAIN_FILES.items())
 FALLBACK = f"""fallback as (select project_id, path, {points('lower(name)', project.FALLBACK_WORDS)}
    + case when {MAIN} then 20 else 0 end + {points('lower(path)', project.FOLDER_WORDS)} as score, size_bytes as size
-  from scanned where language is not null and size_bytes <= 100000)"""
+  from scanned where language is not null)"""
 add("ag_10_fallback_score", fx.DUCK_REPO, SCANNED, FALLBACK, body="select * from fallback")
 add("tk_02_fallback_files", fx.DUCK_REPO, SCANNED, FALLBACK, body="""
 select project_id, path, score, cast(rank as integer) as rank from (select *,
@@ -984,7 +985,7 @@ left join (select project_id, string_agg({FIND_TEXT}, '' order by finding_ord) a
       from first_finds group by project_id) v on v.project_id = c.project_id""")
 add("prj_18_pattern_requests", *SCORED, body=f"""
 select c.project_id, c.path, 'File: ' || c.path || {NL} || {NL} || 'Code:' || {NL} || {FENCE} || language || {NL}
-       || substr(content, 1, 12000) || {NL} || {FENCE} || {NL} as prompt
+       || content || {NL} || {FENCE} || {NL} as prompt
 from code_files c join ranked r on r.path = c.path where rank <= 5""")
 ENTRY = ("'{\"path\":\"' || c.path || '\",\"type\":\"' || string_split(c.path, '.')[-1] || '\",\"size\":' || "
          "octet_length(encode(content)) || ',\"language\":\"' || language || '\"}'")
@@ -997,7 +998,7 @@ from code_files c left join ranked r on r.path = c.path group by c.project_id"""
 DESCRIPTIVE = ", ".join(f"({i}, {q(n)})" for i, n in enumerate(manifests.SUMMARY_NAMES))
 add("prj_18_summary_requests", fx.DUCK_ROOT, f"described(o, name) as (values {DESCRIPTIVE})", body=f"""
 select r.project_id, 'Project root files: ' || string_agg(distinct r.name, ', ' order by r.name) || {NL} || {NL}
-       || coalesce(string_agg({NL} || 'Content of ' || r.name || ':' || {NL} || substr(content, 1, 2000) || {NL}, ''
+       || coalesce(string_agg({NL} || 'Content of ' || r.name || ':' || {NL} || content || {NL}, ''
             order by o, content) filter (o is not null), '') || {NL} as prompt
 from root_files r left join described d on d.name = r.name group by r.project_id""")
 add("prj_18_remediation_requests", fx.DUCK_FINDINGS, """numbered as (select *,
@@ -1066,7 +1067,7 @@ add("prj_17_file_requests", *TAINTED, SANITIZERS, CHECK_RULES, VALID, BYPASS, FL
     body=f"""
 select c.project_id, c.path, 'File: ' || c.path || {NL} || 'Language: ' || language || {NL} || {NL} || {NL}
   || 'File Context:' || {NL} || '- Framework: ' || {NL} || '- Dependencies: ' || {NL} || '- File purpose: '
-  || {PURPOSE.replace('lower(path)', 'lower(c.path)')} when {contains_any('lower(substr(content, 1, 10240))', sc.SECURITY_WORDS)} then 'Security-Related' else 'Unknown' end
+  || {PURPOSE.replace('lower(path)', 'lower(c.path)')} when {contains_any('lower(content)', sc.SECURITY_WORDS)} then 'Security-Related' else 'Unknown' end
   || {NL} || '- API endpoints: ' || array_to_string({SCAN_ENDS}, ', ') || {NL} || {NL}
   || 'Project-Specific Patterns:' || {NL} || '- Custom security functions: ' || {NL} || '- Data transformation functions: '
   || {NL} || '- Validation functions: ' || {NL} || '- Wrapper functions: ' || {NL} || {NL}

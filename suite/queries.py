@@ -55,7 +55,7 @@ def pages_as_files(spark, d):
 
 @query
 def src_01_corpus_scan(spark, d):
-    return corpus.select_source_files(fx.repo_files(spark, d)).select(
+    return corpus.select_source_files(fx.repo_files(spark, d), max_file_size=100_000).select(
         "project_id", "path", F.col("ext").alias("type"), "size_bytes", "language")
 
 
@@ -99,7 +99,7 @@ def src_06_decode(spark, d):
 
 @query
 def src_07_head(spark, d):
-    top = corpus.head(F.col("text"))
+    top = corpus.head(F.col("text"), 10_240)
     return fx.read(spark, d, "documents").select(
         "doc_id", F.md5(top).alias("digest"), F.length(top).alias("chars"))
 
@@ -248,7 +248,7 @@ def prj_18_pattern_requests(spark, d):
 
 @query
 def prj_18_selection_requests(spark, d):
-    files = corpus.first_files(fx.code_files(spark, d))
+    files = fx.code_files(spark, d)
     return requests.selection_requests(files, project.file_scores(project.file_metadata(files)))
 
 
@@ -314,9 +314,10 @@ def ext_04_critical_functions(spark, d):
 
 @query
 def ext_05_entry_points(spark, d):
-    files = fx.code_files(spark, d).withColumn("content", F.replace(
-        F.replace("content", F.lit("fn2("), F.lit("main(")), F.lit("route("), F.lit("app.listen(")))
-    return project.entry_points(files)
+    changed = F.col("content")
+    for old, new in (("String fn5(", "void main ("), ("fn2(", "main("), ("route(", "app.listen(")):
+        changed = F.replace(changed, F.lit(old), F.lit(new))
+    return project.entry_points(fx.code_files(spark, d).withColumn("content", changed))
 
 
 @query

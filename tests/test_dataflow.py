@@ -25,6 +25,17 @@ def test_hops_and_parents(files_of):
                        ("third", "second", 2, "indirect_user_input")]
 
 
+def test_long_chain_reaches_its_sink(files_of):
+    names = [f"v{a}{b}x" for a in "abcdefghij" for b in "abcdefg"]
+    lines = [f"let {b} = {a};" for a, b in zip(names, names[1:])][::-1]
+    text = "\n".join([*lines, f"let {names[0]} = req.query.q;", f"eval({names[-1]});"])
+    taints = rows(files_of({"x.js": text}), "taints")
+    assert max(t.hop or 0 for t in taints) >= 68
+    flows = rows(files_of({"x.js": text}), "flows")
+    assert [f.variable for f in flows if f.sink_type] == [names[-1]]
+    assert rows(files_of({"x.js": text}), "flows", max_hops=50) == []
+
+
 def test_reversed_chain_longer_than_five(files_of):
     names = ["n" + c * 2 for c in "abcdefgh"]
     lines = [f"{a} = {b}" for a, b in zip(names[1:], names)][::-1] + [f"{names[0]} = input()"]

@@ -116,7 +116,8 @@ def test_suspicious_order_and_kinds(files_of):
 
 def patterns(spark, rows):
     return spark.createDataFrame(
-        rows, "project_id bigint, kind string, category string, name string, impact string, file_ord int")
+        rows, "project_id bigint, kind string, category string, name string, impact string, file_ord int")\
+        .withColumn("pattern_ord", F.lit(0))
 
 
 def test_project_rules_and_wrappers(spark, files_of):

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import dataflow, facts, project
 from tracewell.plans import requests
+from tracewell.rules import project as custom
 
 
 def named(files):
@@ -73,6 +74,24 @@ def test_context_and_entry_points(files_of):
     assert rows["lib/x.js"].endpoints == ["/p"]
     assert rows["plain.go"].purpose == "Security-Related" and not rows["plain.go"].entry_point
     assert sorted(r.kind for r in project.entry_points(files).collect()) == ["main", "server"]
+    java = files_of({"A.java": "public static void main (String[] a) {}", "B.java": "int mainly;"})
+    assert [r.path for r in project.entry_points(java).collect()] == ["A.java"]
+
+
+def test_whole_texts_unless_a_head_is_asked_for(files_of):
+    late = "x = 1\n" * 4_000 + "import jwt\n"
+    files = files_of({"late.py": late}).withColumn("name", F.lit("late.py"))
+    assert project.file_metadata(files).first().imports == ["jwt"]
+    assert project.file_metadata(files, 10_240).first().imports is None
+    assert late in requests.file_requests(files).first().prompt
+
+
+def test_last_place_in_the_last_file_wins(spark):
+    rows = [(1, "custom_function", None, "f", f"impact {k}", k // 3, k % 3) for k in (5, 0, 3, 4)]
+    patterns = spark.createDataFrame(rows, "project_id bigint, kind string, category string, name string, "
+                                           "impact string, file_ord int, pattern_ord int")
+    assert [r.impact for r in custom.merge_samples(patterns).collect()] == ["impact 5"]
+    assert [r.impact for r in custom.merge_samples(patterns, 1).collect()] == ["impact 0"]
 
 
 def test_request_text(files_of):
@@ -87,7 +106,8 @@ def test_request_names_project_patterns(spark, files_of):
     extra = spark.createDataFrame(
         [(1, "wrapper_function", None, "wrapIt", None, 0), (1, "security_pattern", "encryption", "enc", None, 1),
          (1, "validation_function", None, "okay", None, 0)],
-        "project_id bigint, kind string, category string, name string, impact string, file_ord int")
+        "project_id bigint, kind string, category string, name string, impact string, file_ord int") \
+        .withColumn("pattern_ord", F.lit(0))
     prompt = requests.file_requests(files_of({"x.py": "a = 1"}), patterns=extra).first().prompt
     assert ("- Custom security functions: enc\n- Data transformation functions: \n"
             "- Validation functions: okay\n- Wrapper functions: wrapIt\n") in prompt

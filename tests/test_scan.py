@@ -33,7 +33,7 @@ def test_scan_from_files_to_summary(spark, files_of):
     assert [(r.caller_file, r.called_file) for r in ready.cross_calls.collect()] == [
         ("login.py", "auth_db.py")]
     assert ready.pattern_requests.count() == 2
-    everything = scan.prepare(files, roots, scan_all=True)
+    everything = scan.prepare(files, roots, scan_all=False, pattern_files=5)
     assert everything.pattern_requests.count() == 2 and everything.files.count() == 2
     answers = ready.files.select("project_id", "path", F.lit(
         '[{"line": 2, "vulnerability_type": "Command Injection", "severity": "Critical", '

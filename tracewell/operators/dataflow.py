@@ -19,7 +19,6 @@ from tracewell.operators import facts, match
 from tracewell.operators.facts import KEYS
 from tracewell.rules.project import attach
 
-MAX_HOPS = 50
 NO_VALIDATION = "No validation attempts detected"
 
 TAINT = ("struct<variable:string,line_no:int,source:string,code:string,transformed_from:string,"
@@ -38,12 +37,14 @@ def _mentions(value: str, name: str, word: bool) -> str:
             f"'\\\\E(?:$|{edge})')))")
 
 
-def taints_expr(max_hops: int = MAX_HOPS, word: bool = False, chain_calls: bool = False) -> str:
+def taints_expr(max_hops: int | None = None, word: bool = False, chain_calls: bool = False) -> str:
     """Seeds, then values reached hop by hop, then values assigned from calls on tainted names.
 
     Each variable is reached once: at its smallest hop, from the parent with the lowest ordinal,
-    initializer before later assignment.
+    initializer before later assignment. Each hop reaches a new variable or ends the walk, so the
+    number of variables bounds the hops; ``max_hops`` cuts them earlier.
     """
+    most = "greatest(size(vs), 1)" if max_hops is None else str(max_hops)
     first = "array(struct(0 as kind, 0 as wo, v.line_no as line_no, v.initializer as text))"
     later = ("transform(v.later_assigns, (a, i) -> "
              "struct(1 as kind, i as wo, a.line_no as line_no, a.value as text))")
@@ -100,7 +101,7 @@ def taints_expr(max_hops: int = MAX_HOPS, word: bool = False, chain_calls: bool
         "f0": "transform(filter(vs, v -> exists(so, s -> s.line_no = v.line_no)), v -> "
               "struct(v.ord as ord, v.name as name, element_at(filter(so, s -> "
               "s.line_no = v.line_no), -1).source_type as src))",
-        "rs": f"aggregate(sequence(1, {max_hops}), {start}, (st, hop) -> "
+        "rs": f"aggregate(sequence(1, {most}), {start}, (st, hop) -> "
               f"if(size(st.frontier) = 0, st, {step}))",
         "mk": "array_sort(rs.done)",
     }, f"concat({seeds}, rs.rows, array_distinct({call_rows}))")
@@ -200,7 +201,7 @@ def _closure(results: Iterable[str]) -> set[str]:
 
 
 def analyze(files: DataFrame, patterns: DataFrame | None = None,
-            results: Sequence[str] = RESULTS, max_hops: int = MAX_HOPS, word: bool = False,
+            results: Sequence[str] = RESULTS, max_hops: int | None = None, word: bool = False,
             chain_calls: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """File rows with the asked-for analysis results as array columns.
 

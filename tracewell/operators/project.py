@@ -17,7 +17,7 @@ from tracewell.functions.scalars import basename, kind_hint, purpose_of, securit
 from tracewell.operators.facts import JS, KEYS, definitions, with_lines
 from tracewell.operators.sizing import lookup_join, settled, small
 from tracewell.rules.catalog import java_regex, word_regex
-from tracewell.sources.corpus import HEAD_CHARS, head
+from tracewell.sources.corpus import head
 
 TOP_FILES = 30
 ENOUGH_SCORED = 15
@@ -124,9 +124,9 @@ def _or_null(expression: str) -> Column:
     return F.expr(let({"v": expression}, "if(size(v) = 0, null, v)"))
 
 
-def file_metadata(files: DataFrame) -> DataFrame:
-    """Imports, endpoints and critical definitions from the head of each file; null when none."""
-    top = files.withColumn("head", head(F.col("content")))
+def file_metadata(files: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """Imports, endpoints and critical definitions of each file (or its head); null when none."""
+    top = files.withColumn("head", head(F.col("content"), head_chars))
     return top.withColumns({
         "imports": _or_null(imports_of("head")),
         "endpoints": _or_null(endpoints_of("head")),
@@ -205,7 +205,7 @@ def fallback_files(scores: DataFrame, n: int = TOP_FILES) -> DataFrame:
 def append_missing(selected: DataFrame, scored: DataFrame) -> DataFrame:
     """``selected(project_id, path, ord)`` in order, then the scored files not in it, best first.
 
-    Numbers all files of a project in one window; the corpus scan caps them (1,000 by default).
+    Numbers the scored files of a project in one window over narrow rows.
     """
     both = scored.select(*KEYS, "score").join(selected.select(*KEYS, "ord"), KEYS, "full")
     order = W.partitionBy("project_id").orderBy(
@@ -218,7 +218,8 @@ def append_missing(selected: DataFrame, scored: DataFrame) -> DataFrame:
 def entry_kinds(content: Column) -> Column:
     """How a file starts something; both ways are possible."""
     return F.array_compact(F.array(
-        F.when(F.contains(content, F.lit("main(")), F.lit("main")),
+        F.when(F.contains(content, F.lit("main("))
+               | F.contains(content, F.lit("public static void main")), F.lit("main")),
         F.when(F.contains(content, F.lit("app.listen"))
                | F.contains(content, F.lit("runserver")), F.lit("server"))))
 
@@ -229,16 +230,18 @@ def entry_points(files: DataFrame) -> DataFrame:
         .where(F.col("kind").isNotNull())
 
 
-def with_context(files: DataFrame, context: DataFrame | None = None) -> DataFrame:
+def with_context(files: DataFrame, context: DataFrame | None = None,
+                 head_chars: int | None = None) -> DataFrame:
     """Files with purpose, endpoints, security words, hint and entry flag of their own content.
 
     ``context`` (one row per project) adds the project's frameworks and dependencies.
     """
-    out = files.withColumn("security_patterns", security_words_in(head(F.col("content")))) \
+    top = "content" if head_chars is None else f"left(content, {head_chars})"
+    out = files.withColumn("security_patterns", security_words_in(F.expr(top))) \
         .withColumns({
             "purpose": purpose_of(F.col("path"), F.col("security_patterns")),
             "security_relevant": F.size("security_patterns") > 0,
-            "endpoints": F.expr(scan_endpoints_of(f"left(content, {HEAD_CHARS})")),
+            "endpoints": F.expr(scan_endpoints_of(top)),
             "hint": kind_hint(basename(F.col("path"))),
             "entry_point": F.size(entry_kinds(F.col("content"))) > 0,
         })

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -67,7 +68,7 @@ def settled(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="tracewell-")
         context.setCheckpointDir(folder)

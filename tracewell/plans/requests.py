@@ -13,6 +13,7 @@ from tracewell.functions.scalars import shorten_middle
 from tracewell.operators.dataflow import analyze
 from tracewell.operators.facts import KEYS
 from tracewell.operators.project import with_context
+from tracewell.sources.corpus import head
 from tracewell.sources.manifests import SUMMARY_NAMES
 
 DIGESTED = ("flows", "taints", "validation_attempts", "suspicious_patterns")
@@ -66,11 +67,15 @@ def dataflow_digest() -> Column:
 
 
 def file_requests(files: DataFrame, context: DataFrame | None = None,
-                  patterns: DataFrame | None = None, instructions: str = "") -> DataFrame:
-    """One request per file: context, digest and (middle-shortened) code.
+                  patterns: DataFrame | None = None, instructions: str = "",
+                  max_chars: int | None = None) -> DataFrame:
+    """One request per file: context, digest and code, its middle cut out beyond ``max_chars``.
 
     Everything stays on the file row, so no join is needed beyond the per-project lookups.
     """
+    code = F.col("content")
+    if max_chars is not None:
+        code = shorten_middle(code, max_chars)
     own = ["content", "hint", "purpose", "endpoints"]
     shared = [] if context is None else ["frameworks", "dependencies"]
     analysed = analyze(with_context(files, context), patterns, DIGESTED,
@@ -92,15 +97,16 @@ def file_requests(files: DataFrame, context: DataFrame | None = None,
         keys("dependencies", DEPENDENCIES), "\n- File purpose: ", F.col("purpose"),
         "\n- API endpoints: ", F.array_join("endpoints", ", "),
         "\n\nProject-Specific Patterns:", *known, "\n\n", dataflow_digest(),
-        "\nCode:\n```", F.col("language"), "\n", shorten_middle(F.col("content")), "\n```\n",
+        "\nCode:\n```", F.col("language"), "\n", code, "\n```\n",
         instructions)
     return analysed.select(*KEYS, prompt.alias("prompt"))
 
 
-def pattern_requests(sampled: DataFrame, instructions: str = "") -> DataFrame:
-    """Sampled files with the head of their code."""
+def pattern_requests(sampled: DataFrame, instructions: str = "",
+                     max_chars: int | None = None) -> DataFrame:
+    """Sampled files with their code, or its first ``max_chars`` characters."""
     prompt = _join("File: ", F.col("path"), "\n\nCode:\n```", F.col("language"), "\n",
-                   F.left("content", F.lit(12_000)), "\n```\n", instructions)
+                   head(F.col("content"), max_chars), "\n```\n", instructions)
     return sampled.select(*KEYS, prompt.alias("prompt"))
 
 
@@ -160,14 +166,15 @@ def selection_requests(listing: DataFrame, scored: DataFrame,
         F.coalesce(F.to_json("best"), F.lit("[]")), "\n", instructions).alias("prompt"))
 
 
-def summary_requests(root_files: DataFrame, instructions: str = "") -> DataFrame:
-    """Names of root files and the heads of the descriptive ones."""
+def summary_requests(root_files: DataFrame, instructions: str = "",
+                     max_chars: int | None = None) -> DataFrame:
+    """Names of root files and the texts (or their heads) of the descriptive ones."""
     order = F.array_position(F.array(*[F.lit(n) for n in SUMMARY_NAMES]), F.col("name"))
-    head = F.when(order > 0, F.struct(order.alias("o"), _join(
-        "\nContent of ", F.col("name"), ":\n", F.left("content", F.lit(2_000)), "\n").alias("t")))
+    shown = F.when(order > 0, F.struct(order.alias("o"), _join(
+        "\nContent of ", F.col("name"), ":\n", head(F.col("content"), max_chars), "\n").alias("t")))
     grouped = root_files.groupBy("project_id").agg(
         F.array_sort(F.collect_set("name")).alias("names"),
-        F.array_sort(F.collect_list(head)).alias("heads"))
+        F.array_sort(F.collect_list(shown)).alias("heads"))
     return grouped.select("project_id", _join(
         "Project root files: ", F.array_join("names", ", "), "\n\n",
         F.array_join(F.transform("heads", lambda h: h.t), ""), "\n", instructions)

@@ -143,7 +143,10 @@ def parse_cross_findings(responses: DataFrame) -> DataFrame:
 
 
 def parse_patterns(responses: DataFrame) -> DataFrame:
-    """Pattern responses (``project_id, file_ord, response``) as ``project_patterns`` rows."""
+    """Pattern responses (``project_id, file_ord, response``) as ``project_patterns`` rows.
+
+    ``pattern_ord`` is the place in the response, so that merging has a total order.
+    """
     body = stripped(F.col("response"))
     outer = F.regexp_extract(body, r"(?s)\{.*\}", 0)
     source = F.when(_is_json(body), body).when((outer != "") & _is_json(outer), outer)
@@ -171,7 +174,7 @@ def parse_patterns(responses: DataFrame) -> DataFrame:
         F.coalesce(custom, nothing), plain("data_transformations", "data_transformation"),
         plain("validation_functions", "validation_function"),
         plain("wrapper_functions", "wrapper_function"), F.coalesce(secure, nothing)))
-    return explode_structs(rows, ["project_id", "file_ord"], "_rows")
+    return explode_structs(rows, ["project_id", "file_ord"], "_rows", "pattern_ord")
 
 
 def parse_recommendations(responses: DataFrame, affected: DataFrame) -> DataFrame:

@@ -64,21 +64,24 @@ def select_files(files: DataFrame, answers: DataFrame | None = None) -> DataFram
 
 
 def prepare(files: DataFrame, root_files: DataFrame, patterns: DataFrame | None = None,
-            answers: DataFrame | None = None, scan_all: bool = False) -> Prepared:
+            answers: DataFrame | None = None, scan_all: bool = True,
+            pattern_files: int | None = None) -> Prepared:
     """Select files and build the requests of the deep scan.
 
-    ``patterns`` are project patterns parsed from earlier pattern responses.
+    ``patterns`` are project patterns parsed from earlier pattern responses. All files are scanned
+    unless ``scan_all`` is off; ``pattern_files`` asks for patterns of so many files per project.
     """
     if scan_all:
         selected = files.select(*KEYS, F.lit(None).cast("int").alias("ord"))
-        first = corpus.first_files(selected, 5)
+        first = selected if pattern_files is None else corpus.first_files(selected, pattern_files)
         scanned = files
     else:
         selected = settled(select_files(files, answers))
-        first = selected.where(F.col("ord") <= 5)
+        first = selected if pattern_files is None else selected.where(F.col("ord") <= pattern_files)
         scanned = files.join(small(selected.select(*KEYS)), KEYS, "left_semi")
     scanned = corpus.scannable(scanned)
-    sampled = scanned.join(small(first.select(*KEYS)), KEYS, "left_semi")
+    sampled = scanned if pattern_files is None and scan_all else scanned.join(
+        small(first.select(*KEYS)), KEYS, "left_semi")
     return Prepared(
         selected=selected, files=scanned,
         cross_calls=project.first_cross_calls(project.cross_file_calls(scanned)),

@@ -1,6 +1,6 @@
 """Project-specific rules: a user table of named functions turned into extra rules per project.
 
-``project_patterns(project_id, kind, category, name, impact, file_ord)`` with kinds
+``project_patterns(project_id, kind, category, name, impact, file_ord, pattern_ord)`` with kinds
 ``custom_function`` (has an impact text), ``data_transformation``, ``validation_function``,
 ``wrapper_function`` and ``security_pattern`` (has a category).
 """
@@ -14,7 +14,6 @@ from tracewell.functions.expressions import null
 from tracewell.operators.match import RULE
 from tracewell.operators.sizing import lookup_join
 
-SAMPLE_FILES = 5
 SECURITY_CATEGORIES = ("authentication", "authorization", "encryption", "sanitization")
 EXTRA = {
     "custom_rules": f"array<{RULE}>",
@@ -34,12 +33,14 @@ def _has(*words: str):
     return found
 
 
-def merge_samples(patterns: DataFrame, sample_files: int = SAMPLE_FILES) -> DataFrame:
-    """Patterns of the first sample files: each name once, the last file's impact wins."""
+def merge_samples(patterns: DataFrame, sample_files: int | None = None) -> DataFrame:
+    """Each pattern name once: the last place in the last file wins. ``sample_files`` cuts the files."""
     known = (F.col("kind") != "security_pattern") | F.col("category").isin(*SECURITY_CATEGORIES)
-    return patterns.where((F.col("file_ord") < sample_files) & known) \
+    if sample_files is not None:
+        known = known & (F.col("file_ord") < sample_files)
+    return patterns.where(known) \
         .groupBy("project_id", "kind", "category", "name") \
-        .agg(F.max_by("impact", "file_ord").alias("impact"))
+        .agg(F.max_by("impact", F.struct("file_ord", "pattern_ord")).alias("impact"))
 
 
 def custom_rules(merged: DataFrame) -> DataFrame:

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalars import LANGUAGE_OF, basename, extension, lookup
 from tracewell.operators.sizing import lookup_join
 
-MAX_FILE_BYTES = 100_000
-MAX_FILES = 1_000
-HEAD_CHARS = 10_240
-
 # Names and suffixes that are not scanned.
 IGNORE_PATTERNS = [
     r"\.git", r"\.svn", r"\.hg", r"\.bzr",
@@ -43,20 +39,21 @@ def ignored(path: Column, patterns: Sequence[str] | None = None, anchor: bool =
     return F.exists(parts, lambda part: part.rlike(any_pattern)) | directories.rlike(any_pattern)
 
 
-def select_source_files(listing: DataFrame, max_file_size: int = MAX_FILE_BYTES,
+def select_source_files(listing: DataFrame, max_file_size: int | None = None,
                         ignore_patterns: Sequence[str] | None = None,
                         anchor: bool = False) -> DataFrame:
     """Keep rows of ``listing(project_id, path, size_bytes, ...)`` that are source files."""
+    fits = F.lit(True) if max_file_size is None else F.col("size_bytes") <= max_file_size
     named = listing.withColumn("name", basename(F.col("path"))) \
         .withColumn("ext", extension(F.col("name"))) \
         .withColumn("language", lookup(F.col("ext"), LANGUAGE_OF))
     return named.where(
         F.col("language").isNotNull()
-        & (F.col("size_bytes") <= max_file_size)
+        & fits
         & ~ignored(F.col("path"), ignore_patterns, anchor))
 
 
-def first_files(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+def first_files(files: DataFrame, max_files: int) -> DataFrame:
     """At most ``max_files`` per project by path; Spark trims each partition before the shuffle."""
     order = W.partitionBy("project_id").orderBy("path")
     return files.withColumn("_rank", F.row_number().over(order)) \
@@ -69,14 +66,15 @@ def decode_text(content: Column) -> Column:
     return F.replace(F.replace(valid, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
-def scannable(files: DataFrame, max_chars: int = MAX_FILE_BYTES) -> DataFrame:
-    """Drop empty files and those over the character cap of the deep scan."""
+def scannable(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Drop empty files, and those over a character cap if one is given."""
     size = F.length("content")
-    return files.where((size > 0) & (size <= max_chars))
+    return files.where(size > 0 if max_chars is None else (size > 0) & (size <= max_chars))
 
 
-def head(content: Column) -> Column:
-    return F.left(content, F.lit(HEAD_CHARS))
+def head(content: Column, chars: int | None = None) -> Column:
+    """The whole text, or its first ``chars`` characters."""
+    return content if chars is None else F.left(content, F.lit(chars))
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
@@ -92,8 +90,8 @@ def read_listing(spark: SparkSession, root: str) -> DataFrame:
         "content")
 
 
-def read_corpus(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_BYTES,
-                max_files: int | None = MAX_FILES, ignore_patterns: Sequence[str] | None = None,
+def read_corpus(spark: SparkSession, root: str, max_file_size: int | None = None,
+                max_files: int | None = None, ignore_patterns: Sequence[str] | None = None,
                 anchor: bool = False) -> DataFrame:
     """Files of all projects under ``root``, decoded, one row each.
 
