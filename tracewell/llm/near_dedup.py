@@ -5,8 +5,8 @@ share a band of MinHash values are candidates; their odd sketches (MinHash sampl
 parity bitmap, whose XOR has a bit for each sample that differs) show whether they can be similar,
 and the full sets decide. Candidates come in two rounds: first each member of a band with two
 members of it picked at random, which joins up most of every group in linear work; then, in blocks,
-only the pairs that still lie in different components. So no link that could change a component
-stays unseen, and a group of copies is never expanded into all its pairs.
+what still lies in different components. So no link that could change a component stays unseen, and
+no group is expanded into rows of pairs: tasks pass on members, and only links that join components.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4                 # (1 - 0.75^4)^40 = 3e-7 of the pairs at 0.75 share no band
 SAMPLES = BANDS * ROWS
 BITS = 1024                         # of an odd sketch
-FLOOR = 0.5                         # similarity below which a sketch rules a pair out: 0.75 - 7 sigma
+FLOOR = 0.55                        # similarity below which a sketch rules a pair out: 0.75 - 5 sigma
 MOST_BITS = int(BITS / 2 * (1 - np.exp(-2 * 2 * SAMPLES * (1 - FLOOR) / BITS)))
 NUMERATOR, DENOMINATOR = 75, 100    # linked: 100 * intersection >= 75 * union
 BLOCK = 1024                        # members of a band that one step compares with as many others
@@ -154,61 +154,121 @@ def _first_candidates(entries: DataFrame, reps: DataFrame) -> DataFrame:
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each block of rows sorted by ``band, i, j``."""
+MEMBER = ("band bigint, i int, j int, block int, node bigint, root bigint, n bigint, sketch array<bigint>, "
+          "bands array<bigint>")
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(),
+          pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[list[tuple]]:
+    """Lists of rows of equal ``band, i, j`` from rows sorted by them."""
     held: list[tuple] = []
-    found: list[np.ndarray] = []
-    for row in rows_of(batches, 1024):
+    for row in rows_of(batches, step):
         if held and held[0][:3] != row[:3]:
-            found.append(_block_pairs(held))
+            yield held
             held = []
-            if sum(map(len, found)) > 100_000:
-                yield _pair_batch(found)
-                found = []
         held.append(row)
     if held:
-        found.append(_block_pairs(held))
-    yield _pair_batch(found)
-
+        yield held
 
-def _pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+def _block_candidates(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers ``k, others`` of pairs in different components that sizes and sketches permit.
 
-def _block_pairs(rows: list[tuple]) -> np.ndarray:
-    _, i, j, block, node, root, n, sketch = zip(*rows)
-    block, node, root, n = (np.array(x, np.int64) for x in (block, node, root, n))
-    sketch = np.array(sketch, np.int64).view(np.uint64)
+    A pair is left to the first band that it shares, so it comes up once in all blocks.
+    """
+    band, i, j = rows[0][:3]
+    block, node, root, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
+    sketch = np.array([r[7] for r in rows], np.int64).view(np.uint64)
+    bands = np.array([r[8] for r in rows], np.int64)
     _, which, size = np.unique(root, return_inverse=True, return_counts=True)
-    minor = np.flatnonzero(which != np.argmax(size))        # all but the largest component here
-    done = np.zeros(len(node), bool)
-    found = [np.zeros((0, 2), np.int64)]
-    for k in minor:
+    done = np.zeros(len(rows), bool)
+    for k in np.flatnonzero(which != np.argmax(size)):      # all but the largest component here
         done[k] = True
-        others = ~done & (root != root[k]) if i[0] == j[0] else (block != block[k]) & (root != root[k])
-        others &= np.minimum(n, n[k]) * DENOMINATOR >= np.maximum(n, n[k]) * NUMERATOR
+        others = ~done & (root != root[k]) & (np.minimum(n, n[k]) * DENOMINATOR >= np.maximum(n, n[k]) * NUMERATOR)
+        if i != j:
+            others &= block != block[k]
         others = np.flatnonzero(others)
         bits = np.bitwise_count(sketch[others] ^ sketch[k]).sum(axis=1)
-        near = node[others[bits <= MOST_BITS]]
-        found.append(np.stack((np.minimum(near, node[k]), np.maximum(near, node[k])), axis=1))
-    return np.concatenate(found)
+        others = others[np.argsort(bits, kind="stable")][:int((bits <= MOST_BITS).sum())]
+        if len(others):
+            first = np.argmax(bands[others] == bands[k], axis=1)
+            others = others[bands[k][first] == band]
+        if len(others):
+            yield int(k), others
+
+
+def _members_with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks (rows sorted by ``band, i, j``) that have a candidate in their block."""
+    for rows in _blocks(batches, 1024):
+        found = np.zeros(len(rows), bool)
+        for k, others in _block_candidates(rows):
+            found[k] = True
+            found[others] = True
+        if found.any():
+            kept = [r for r, f in zip(rows, found) if f]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*kept), _KINDS)],
+                                             names=[c.split()[0] for c in MEMBER.split(", ")])
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    joined = np.concatenate((a, b))
+    joined.sort()
+    common = int((joined[1:] == joined[:-1]).sum())
+    return DENOMINATOR * common >= NUMERATOR * (len(joined) - common)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components of a block, by full sets; pairs that earlier links join are skipped."""
+    for rows in _blocks(batches, 64):
+        sets = [shingle_sets([r[9]])[0] for r in rows]
+        root = {r[5]: r[5] for r in rows}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for k, others in _block_candidates(rows):
+            for o in others.tolist():
+                a, b = top(rows[k][5]), top(rows[o][5])
+                if a != b and _similar(sets[k], sets[o]):
+                    root[a] = b
+                    links.append((rows[k][4], rows[o][4]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+
 
+def _remaining_links(entries: DataFrame, reps: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components that the first round left apart.
 
-def _remaining_candidates(entries: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of a band that the first round left in different components and sketches permit."""
+    Bands that span several components are compared in blocks: on sketches first, then, for the
+    members that sketches leave in question, on the full sets, which travel once per member and block.
+    """
     entries = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     bands = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("x"),
                                         F.max("root").alias("y")).filter("x != y").select("band", "size")
     blocks = F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)")
+    names = [c.split()[0] for c in MEMBER.split(", ")]
     members = entries.join(bands, "band").withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .join(reps.select("node", "n", "sketch"), "node") \
+        .join(reps.select("node", "n", "sketch", "bands"), "node") \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "block", "node", "root", "n", "sketch")
-    return members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j") \
-        .mapInArrow(_cross_pairs, "a bigint, b bigint").distinct()
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(names)
+    members = written(members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+                      .mapInArrow(_members_with_candidates, MEMBER), "members")
+    fetched = _fetched(members.select("node").distinct(), reps, texts)
+    return members.join(fetched, "node").select(*names, "text").repartition("band", "i", "j") \
+        .sortWithinPartitions("band", "i", "j").mapInArrow(_block_links, "a bigint, b bigint").distinct()
+
+
+def _fetched(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """One text for each class in ``nodes``."""
+    wanted = reps.join(nodes, "node").select("node", "id", "text_key").hint("shuffle_hash")
+    return written(texts.join(wanted, (texts.text_key == wanted.text_key) & texts.id.eqNullSafe(wanted.id))
+                   .select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +280,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if b is None:
             held = shingle_sets([text])[0]
             continue
-        values = shingle_sets([text])[0]
-        joined = np.concatenate((held, values))
-        joined.sort()
-        common = int((joined[1:] == joined[:-1]).sum())
-        if DENOMINATOR * common >= NUMERATOR * (len(joined) - common):
+        if _similar(held, shingle_sets([text])[0]):
             links.append((a, b))
         if len(links) >= 100_000:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
@@ -240,9 +296,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = written(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = reps.join(nodes, "node").select("node", "id", "text_key").hint("shuffle_hash")
-    fetched = written(texts.join(wanted, (texts.text_key == wanted.text_key) & texts.id.eqNullSafe(wanted.id))
-                      .select("node", "text").dropDuplicates(["node"]), "texts")
+    fetched = _fetched(nodes, reps, texts)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.expr(
         f"cast((count(*) over (partition by a)) div {SALT} as int)"))).cast("int"))
     heads = salted.select("a", "salt").distinct().join(
@@ -275,8 +329,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     links = written(confirmed(_first_candidates(entries, reps), reps, texts), "links")
     roots = components(links)
-    more = confirmed(_remaining_candidates(entries, reps, roots), reps, texts)
-    roots = components(links.unionByName(written(more, "links")))
+    more = written(_remaining_links(entries, reps, roots, texts), "links")
+    roots = components(links.unionByName(more))
     classes = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = classes.join(smallest, "root").select("node", "component_id")
