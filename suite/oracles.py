@@ -717,10 +717,10 @@ from (select c.project_id, c.path, count(f.file) as n from code_files c
       left join findings f on f.project_id = c.project_id and f.file = c.path group by all) c""")
 STATE = """scanned_files as (select project_id, path, octet_length(encode(content)) as size_bytes,
    cast(octet_length(encode(content)) % 97 as double) as mtime, md5(path || md5(content)) as file_hash from code_files),
-scans as (select file_hash, path as file_path,
+scans as (select project_id, file_hash, path as file_path,
    case when size_bytes % 7 = 0 then mtime + 1 else mtime end as last_modified
   from scanned_files where size_bytes % 10 <> 0)"""
-MATCHED = "select 1 from scans s where s.file_hash = f.file_hash and s.last_modified = f.mtime"
+MATCHED = "select 1 from scans s where s.project_id = f.project_id and s.file_hash = f.file_hash and s.last_modified = f.mtime"
 add("jn_18_files_to_scan", CODE, STATE, body=f"""
 select project_id, path, file_hash from scanned_files f where not exists ({MATCHED})""")
 add("jn_18_reused", CODE, STATE, body=f"""
@@ -825,7 +825,9 @@ select project_id, md5(string_agg(h, chr(10) order by b)) as structure_hash from
            path || '|' || octet_length(encode(content)) || '|' || language as entry from code_files) e
   group by project_id, b) t group by project_id""")
 add("ag_13_state_counts", CODE, STATE, body="""
-select 'r1' as rules_version, count(distinct file_hash) as rows from scans""")
+select 'file_scans' as table, count(distinct project_id || ':' || file_hash) as rows from scans
+union all select 'project_scans', count(distinct project_id) from code_files where project_id % 2 = 0
+union all select 'metadata', count(distinct event_type) from events""")
 add("tk_03_top_finding_files", fx.DUCK_FINDINGS, body=f"""
 select * from (select *, cast(row_number() over (partition by project_id order by findings desc, file) as integer) as rank
   from (select project_id, {LABEL} as file, count(*) as findings from findings group by all) t) r where rank <= 5""")
@@ -856,7 +858,7 @@ from code_files f""")
 
 CSV = {label.lower().replace(" ", "_"): c for label, c in report.CSV_COLUMNS.items()}
 add("snk_02_csv_rows", fx.DUCK_FINDINGS, body="select " + ", ".join(
-    f"'' as {label}" if c == "confidence" else f"coalesce(cast({c} as varchar), '') as {label}"
+    f"coalesce(cast({c} as varchar), '') as {label}"
     for label, c in CSV.items()) + " from findings")
 CWE = "case " + " ".join(
     f"when contains(key, {q(k)}) or contains({q(k)}, key) then {q(v)}" for k, v in sc.CWE_OF.items()) + " end"

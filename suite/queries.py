@@ -584,13 +584,26 @@ def _scan_state(spark, d):
     files = fx.code_files(spark, d).withColumn(
         "mtime", (F.col("size_bytes") % 97).cast("double"))
     scans = state.with_hash(files).where(F.col("size_bytes") % 10 != 0).select(
-        "file_hash", F.col("path").alias("file_path"),
+        F.col("project_id").cast("string").alias("project_id"), "file_hash", F.col("path").alias("file_path"),
         F.when(F.col("size_bytes") % 7 == 0, F.col("mtime") + 1).otherwise(F.col("mtime"))
         .alias("last_modified"), F.lit(1.0).alias("last_scanned"),
         F.lit("[]").alias("vulnerabilities"), F.lit("r1").alias("rules_version"))
     return files, scans
 
 
+def _saved_selections(files):
+    """Saved file lists of every other project."""
+    return state.structure_hash(files).where(F.col("project_id") % 2 == 0).select(
+        "project_id", "structure_hash", F.lit('["a.py","b.py"]').alias("critical_files"),
+        F.lit(1.0).alias("last_scanned"), F.lit("r1").alias("rules_version"))
+
+
+def _metadata(spark, d):
+    return fx.read(spark, d, "events").select(
+        F.col("event_type").alias("key"), F.to_json(F.struct("event_id")).alias("value"),
+        F.col("event_id").cast("double").alias("last_updated"))
+
+
 @query
 def jn_18_files_to_scan(spark, d):
     files, scans = _scan_state(spark, d)
@@ -699,10 +712,10 @@ def ag_12_structure_hash(spark, d):
 
 @query
 def ag_13_state_counts(spark, d):
-    _, scans = _scan_state(spark, d)
-    keys, _ = state.TABLES["file_scans"]
-    return state.latest(scans, keys, "last_scanned").groupBy("rules_version") \
-        .agg(F.count("*").alias("rows"))
+    files, scans = _scan_state(spark, d)
+    rows = {"file_scans": scans, "project_scans": _saved_selections(files), "metadata": _metadata(spark, d)}
+    return state.row_counts({name: state.latest(frame, state.TABLES[name][0], state.CLOCK[name])
+                             for name, frame in rows.items()})
 
 
 @query
@@ -783,8 +796,7 @@ def set_02_03_lists(spark, d):
 
 @query
 def snk_02_csv_rows(spark, d):
-    rows = report.csv_rows(fx.findings(spark, d).drop("confidence").withColumn(
-        "confidence", F.lit(None).cast("double")))
+    rows = report.csv_rows(fx.findings(spark, d))
     return rows.toDF(*[c.lower().replace(" ", "_") for c in rows.columns])
 
 
@@ -858,18 +870,11 @@ def inc_01_upsert(spark, d):
 @query
 def inc_02_cached_selection(spark, d):
     files = fx.code_files(spark, d)
-    hashes = state.structure_hash(files)
-    saved = hashes.where(F.col("project_id") % 2 == 0).select(
-        "project_id", "structure_hash", F.lit('["a.py","b.py"]').alias("critical_files"),
-        F.lit(1.0).alias("last_scanned"), F.lit("r1").alias("rules_version"))
-    return state.cached_selection(hashes, saved, "r1").select(
+    return state.cached_selection(state.structure_hash(files), _saved_selections(files), "r1").select(
         "project_id", joined("critical_files").alias("critical_files"))
 
 
 @query
 def inc_03_metadata(spark, d):
-    rows = fx.read(spark, d, "events").select(
-        F.col("event_type").alias("key"), F.to_json(F.struct("event_id")).alias("value"),
-        F.col("event_id").cast("double").alias("last_updated"))
-    return state.latest(rows, ["key"], "last_updated").select(
+    return state.latest(_metadata(spark, d), ["key"], "last_updated").select(
         "key", F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))

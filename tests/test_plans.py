@@ -130,12 +130,17 @@ def test_incremental_scan_equals_full_scan(spark, files_of, tmp_path):
     assert state.to_scan(second, scans, "r2").count() == 4  # other rules, nothing to reuse
     store.save_file_results(second.where("path <> 'a.py'"), found.where("false"), 20.0, "r1")
     assert state.to_scan(second, store.read("file_scans"), "r1").count() == 0
+    other = second.withColumn("project_id", F.lit(2).cast("bigint")).withColumn("mtime", F.lit(9.0))
+    store.save_file_results(other, found.where("false"), 30.0, "r1")  # same paths and texts, other project
+    both = second.unionByName(other)
+    assert state.to_scan(both, store.read("file_scans"), "r1").count() == 0
+    assert "content" not in state.to_scan(both, scans, "r1").columns
     store.put("k", '"v1"', 1.0)
     store.put("k", '"v2"', 2.0)
     assert [r.value for r in store.get("k").collect()] == ['"v2"']
     compact = store.compact(str(tmp_path / "next"))
     assert {r.table: r.rows for r in compact.stats().collect()} == {
-        "file_scans": 5, "project_scans": 0, "metadata": 1}
+        "file_scans": 9, "project_scans": 0, "metadata": 1}
     store.clear()
     assert {r.rows for r in store.stats().collect()} == {0}
 
@@ -148,7 +153,7 @@ def test_selection_cache(spark, files_of, tmp_path):
     assert hashes.first().structure_hash != changed.first().structure_hash
     store = state.ScanState(spark, str(tmp_path / "s"))
     chosen = spark.createDataFrame([("1", "b.py", 1), ("1", "a.py", 2)],
-                                   "project_id string, path string, rank int")
+                                   "project_id string, path string, ord int")
     store.save_selection(chosen, hashes, 1.0, "r1")
     saved = store.read("project_scans")
     assert state.cached_selection(hashes, saved, "r1").first().critical_files == ["b.py", "a.py"]

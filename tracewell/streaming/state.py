@@ -1,7 +1,7 @@
 """Incremental scans: state tables that let unchanged files keep their results.
 
 The state is append-only: every save adds rows, and a reader takes the latest row per key with a
-``max_by`` aggregation (combined before the shuffle; keys are hashes or names). A lost executor can
+``max_by`` aggregation (combined before the shuffle; keys are projects with hashes, or names). A lost executor can
 at worst repeat a task of a write; earlier rows are never touched. ``compact`` writes the latest
 rows as a new generation next to the old one.
 """
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalars import fingerprint
 
 TABLES = {
-    "file_scans": (["file_hash"], "file_hash string, file_path string, last_modified double, "
-                   "last_scanned double, vulnerabilities string, rules_version string"),
+    "file_scans": (["project_id", "file_hash"], "project_id string, file_hash string, "
+                   "file_path string, last_modified double, last_scanned double, vulnerabilities string, rules_version string"),
     "project_scans": (["project_id"], "project_id string, structure_hash string, "
                       "critical_files string, last_scanned double, rules_version string"),
     "metadata": (["key"], "key string, value string, last_updated double"),
@@ -41,23 +41,33 @@ def with_hash(files: DataFrame) -> DataFrame:
     return files.withColumn("file_hash", fingerprint(F.col("path"), F.col("content")))
 
 
-def _matches(scans: DataFrame, rules_version: str) -> DataFrame:
+def _matches(scans: DataFrame, rules_version: str, *payload: str) -> DataFrame:
+    """Keys (project as text, hash, modification time) of current results, with what is asked for."""
     keys, _ = TABLES["file_scans"]
-    current = latest(scans, keys, CLOCK["file_scans"])
-    return current.where(F.col("rules_version") == rules_version) \
-        .select("file_hash", F.col("last_modified").alias("mtime"), "vulnerabilities")
+    narrow = scans.select(*keys, "last_modified", "last_scanned", "rules_version", *payload)
+    return latest(narrow, keys, CLOCK["file_scans"]).where(F.col("rules_version") == rules_version) \
+        .select(F.col("project_id").alias("_project"), "file_hash",
+                F.col("last_modified").alias("mtime"), *payload)
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    """Files by hash, without their content: only keys meet the saved results."""
+    return with_hash(files).drop("content").withColumn("_project", F.col("project_id").cast("string"))
 
 
 def to_scan(files: DataFrame, scans: DataFrame, rules_version: str) -> DataFrame:
-    """Files whose fingerprint or modification time has no saved result."""
-    known = _matches(scans, rules_version).drop("vulnerabilities")
-    return with_hash(files).join(known, ["file_hash", "mtime"], "left_anti")
+    """Files (without content) whose fingerprint or modification time has no saved result.
+
+    ``rules_version`` must name all that results depend on, project rules included.
+    """
+    known = _matches(scans, rules_version)
+    return _keyed(files).join(known, ["_project", "file_hash", "mtime"], "left_anti").drop("_project")
 
 
 def reused(files: DataFrame, scans: DataFrame, rules_version: str) -> DataFrame:
     """Files with a saved result, and that result."""
-    slim = with_hash(files).drop("content")
-    return slim.join(_matches(scans, rules_version), ["file_hash", "mtime"])
+    known = _matches(scans, rules_version, "vulnerabilities")
+    return _keyed(files).join(known, ["_project", "file_hash", "mtime"]).drop("_project")
 
 
 def structure_hash(files: DataFrame) -> DataFrame:
@@ -85,6 +95,16 @@ def cached_selection(hashes: DataFrame, scans: DataFrame, rules_version: str) ->
         F.from_json("critical_files", "array<string>").alias("critical_files"))
 
 
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, rows`` of the latest rows of state tables."""
+    counts = [rows.agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), "rows")
+              for t, rows in tables.items()]
+    out = counts[0]
+    for part in counts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 class ScanState:
     """State tables under one folder of shared storage."""
 
@@ -116,7 +136,7 @@ class ScanState:
             F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("vulnerabilities"))
         rows = with_hash(files).drop("content").join(per_file, ["project_id", "path"], "left")
         self.save("file_scans", rows.select(
-            "file_hash", F.col("path").alias("file_path"), F.col("mtime").alias("last_modified"),
+            F.col("project_id").cast("string").alias("project_id"), "file_hash", F.col("path").alias("file_path"), F.col("mtime").alias("last_modified"),
             F.lit(float(now)).alias("last_scanned"),
             F.coalesce("vulnerabilities", F.lit("[]")).alias("vulnerabilities"),
             F.lit(rules_version).alias("rules_version")))
@@ -124,7 +144,7 @@ class ScanState:
     def save_selection(self, selected: DataFrame, hashes: DataFrame, now: float,
                        rules_version: str) -> None:
         lists = selected.groupBy("project_id").agg(F.to_json(F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda r: r.path))
+            F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda r: r.path))
             .alias("critical_files"))
         self.save("project_scans", lists.join(hashes, "project_id").select(
             F.col("project_id").cast("string").alias("project_id"), "structure_hash",
@@ -152,6 +172,4 @@ class ScanState:
 
     def stats(self) -> DataFrame:
         """Row count per table."""
-        counts = [self.read(t).agg(F.count("*").alias("rows"))
-                  .select(F.lit(t).alias("table"), "rows") for t in TABLES]
-        return counts[0].unionAll(counts[1]).unionAll(counts[2])
+        return row_counts({t: self.read(t) for t in TABLES})
