@@ -281,14 +281,25 @@ union all
 select path, m, line_no, 'assign', '', lf, {strip('rt')}
 from {find(facts.ANY_ASSIGNMENT, dict(lf=1, rt=2), where=JS_WHERE)} b""")
 JAVA = "language = 'java'"
-JAVA_DEFS = f"""java_defs as (
+
+
+def java_defs(source):
+    return f"""java_defs as (
   select *, row_number() over (partition by path order by part, m) as def_ord from (
     select 0 as part, project_id, path, m, line_no, 'class' as kind, nm as name, md as modifier,
-           false as is_static, '' as result_type, '' as pr
-    from {find(facts.JAVA_CLASS, dict(md=1, nm=2), where=JAVA)} c
+           false as is_static, '' as result_type, '' as pr, ex, im, '' as th
+    from {find(facts.JAVA_CLASS, dict(md=1, nm=2, ex=3, im=4), source, JAVA)} c
     union all
-    select 1, project_id, path, m, line_no, 'method', nm, md, st <> '', rt, pr
-    from {find(facts.JAVA_METHOD, dict(md=1, st=2, rt=3, nm=4, pr=5), where=JAVA)} d) u)"""
+    select 1, project_id, path, m, line_no, 'method', nm, md, st <> '', rt, pr, '', '', th
+    from {find(facts.JAVA_METHOD, dict(md=1, st=2, rt=3, nm=4, pr=5, th=6), source, JAVA)} d) u)"""
+
+
+JAVA_DEFS = java_defs("code_files")
+# Lines that hold what the templates lack: class heads, exceptions, fields.
+JAVA_FILES = f"""java_files as (select project_id, path, language, replace(replace(replace(content,
+  'import java.io.File;', 'public class Kind extends Base implements One, Two {{'),
+  ') {{', ') throws Bad, Worse {{'), 'Random r =', 'private static final Random r =') as content
+  from code_files where {JAVA})"""
 
 
 def words(i):
@@ -296,12 +307,17 @@ def words(i):
     return f"array_to_string(list_transform({parts('pr')}, lambda v: {one}), ' | ')"
 
 
-add("ext_09_java_facts", CODE, JAVA_DEFS, body=f"""
+add("ext_09_java_facts", CODE, JAVA_FILES, java_defs("java_files"), body=f"""
 select path, def_ord as ord, line_no, kind, name, modifier, is_static, result_type,
-       {words(1)} as param_types, {words(2)} as param_names from java_defs""")
-add("ext_09_java_variables", CODE, body=f"""
-select path, line_no, ty as var_type, nm as name, {strip('vl')} as value
-from {find(facts.TYPED_VARIABLE, dict(ty=1, nm=2, vl=3), where=JAVA)} v""")
+       {words(1)} as param_types, {words(2)} as param_names, coalesce(ex, '') as extends,
+       array_to_string({parts('im')}, ' | ') as implements, array_to_string({parts('th')}, ' | ') as throws
+from java_defs""")
+add("ext_09_java_variables", CODE, JAVA_FILES, body=f"""
+select path, line_no, 'variable' as kind, ty as var_type, nm as name, coalesce({strip('vl')}, '') as value
+from {find(facts.TYPED_VARIABLE, dict(ty=1, nm=2, vl=3), "java_files")} v
+union all
+select path, line_no, 'field', ty, nm, coalesce({strip('vl')}, '')
+from {find(facts.JAVA_FIELD, dict(ty=4, nm=5, vl=6), "java_files")} f""")
 GO = "language = 'golang'"
 add("ext_10_generic_facts", CODE, body=f"""
 select path, line_no, 'decl' as fact, ty as kind, nm as name, coalesce({strip('vl')}, '') as value

@@ -346,20 +346,29 @@ def ext_08_js_facts(spark, d):
         F.lit("").alias("kind"), F.col("target").alias("name"), "value"))
 
 
+def _java_files(spark, d):
+    """Java files with lines that hold what the templates lack: class heads, exceptions, fields."""
+    changed = F.col("content")
+    for old, new in (
+            ("import java.io.File;", "public class Kind extends Base implements One, Two {"),
+            (") {", ") throws Bad, Worse {"), ("Random r =", "private static final Random r =")):
+        changed = F.replace(changed, F.lit(old), F.lit(new))
+    return _of(fx.code_files(spark, d), "java").withColumn("content", changed)
+
+
 @query
 def ext_09_java_facts(spark, d):
-    files = _of(fx.code_files(spark, d), "java")
-    return facts.definitions(files).select(
+    return facts.definitions(_java_files(spark, d)).select(
         "path", F.col("def_ord").alias("ord"), "line_no", "kind", "name", "modifier", "is_static",
         "result_type", joined("param_types").alias("param_types"),
-        joined("param_names").alias("param_names"))
+        joined("param_names").alias("param_names"), "extends",
+        joined("implements").alias("implements"), joined("throws").alias("throws"))
 
 
 @query
 def ext_09_java_variables(spark, d):
-    files = _of(fx.code_files(spark, d), "java")
-    return facts.declarations(files).where("kind = 'variable'").select(
-        "path", "line_no", "var_type", "name", "value")
+    return facts.declarations(_java_files(spark, d)).select(
+        "path", "line_no", "kind", "var_type", "name", "value")
 
 
 @query
