@@ -872,6 +872,15 @@ from code_files f""")
 
 # --- sinks, responses, state ------------------------------------------------------------------
 
+add("snk_01_json_round_trip", fx.DUCK_FINDINGS, body="select * from findings")
+add("snk_03_report_tables", CODE, fx.DUCK_FINDINGS, body="""
+select 'summary' as name, count(distinct project_id) as rows from code_files
+union all select 'by_type', count(*) from (select distinct project_id, vulnerability_type from findings where confidence >= 0.7) a
+union all select 'by_file', count(*) from (select distinct project_id, file from findings where confidence >= 0.7) b
+union all select 'file_tiers', count(*) from code_files""")
+add("inc_04_clear", CODE, STATE, body="""
+select 'file_scans' as table, count(*) as rows from scanned_files where project_id < 5
+union all select 'project_scans', 0 union all select 'metadata', 0""")
 CSV = {label.lower().replace(" ", "_"): c for label, c in report.CSV_COLUMNS.items()}
 add("snk_02_csv_rows", fx.DUCK_FINDINGS, body="select " + ", ".join(
     f"coalesce(cast({c} as varchar), '') as {label}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tracewell.functions import scalars as sc
 from tracewell.functions.expressions import find_all, struct
 from tracewell.functions.rows import explode_structs
 from tracewell.operators import dataflow, facts, match, project
-from tracewell.operators.sizing import spread_small
+from tracewell.operators.sizing import scratch_folder, spread_small
 from tracewell.plans import report, requests
 from tracewell.plans import responses as rs
 from tracewell.rules import project as custom
@@ -803,6 +804,40 @@ def set_02_03_lists(spark, d):
 
 # --- sinks, responses, state ------------------------------------------------------------------
 
+def _scratch(spark, name):
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def snk_01_json_round_trip(spark, d):
+    path = _scratch(spark, "json")
+    found = fx.findings(spark, d).drop("data_flow")
+    report.write_json(found, path)
+    return spark.read.schema(found.schema).json(path).select(*found.columns)
+
+
+@query
+def snk_03_report_tables(spark, d):
+    path = _scratch(spark, "report")
+    files = fx.code_files(spark, d).select("project_id", "path")
+    report.write_report_tables(report.confident(fx.findings(spark, d)), files, path)
+    counts = [spark.read.parquet(f"{path}/{t}").agg(F.count("*").alias("rows")).select(
+        F.lit(t).alias("name"), "rows") for t in ("summary", "by_type", "by_file", "file_tiers")]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2]).unionAll(counts[3])
+
+
+@query
+def inc_04_clear(spark, d):
+    """State tables after results were saved for all projects, cleared, and saved for some."""
+    files, _ = _scan_state(spark, d)
+    store = state.ScanState(spark, _scratch(spark, "state"))
+    none = fx.findings(spark, d).where("false")
+    store.save_file_results(files, none, 1.0, "r1")
+    store.clear()
+    store.save_file_results(files.where("project_id < 5"), none, 2.0, "r1")
+    return store.stats()
+
+
 @query
 def snk_02_csv_rows(spark, d):
     rows = report.csv_rows(fx.findings(spark, d))

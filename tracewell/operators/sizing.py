@@ -6,17 +6,22 @@ import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 SPREAD_BYTES = 256 * 1024 * 1024
 
 
 def rows_within(frame: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
-    """Row count when it is at most ``limit``, else None; reads no more than it must."""
-    n = frame.limit(limit + 1).count()
-    return n if n <= limit else None
+    """Row count when rows and their bytes (as JSON) are few enough for a broadcast, else None.
+
+    Reads no more rows than it must.
+    """
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in frame.columns])))
+    size = frame.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
+    return size.n if size.n <= limit and (size.bytes or 0) <= BROADCAST_BYTES else None
 
 
 def small(frame: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -58,18 +63,27 @@ def lookup_join(frame: DataFrame, table: DataFrame, keys: Sequence[str], spread:
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a local session may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        if not _local_folder:
+            _local_folder.append(tempfile.mkdtemp(prefix="tracewell-"))
+        folder = _local_folder[0]
+    return folder.rstrip("/")
+
+
+_local_folder: list[str] = []
+
+
 def settled(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and kept in the session's checkpoint folder.
 
-    For small results that are both counted and joined. A cluster must name the folder in
-    ``spark.checkpoint.dir``; only a local session may fall back to a temporary one.
+    For small results that are both counted and joined.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="tracewell-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_folder(frame.sparkSession))
     return frame.checkpoint()

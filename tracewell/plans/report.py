@@ -23,6 +23,7 @@ CSV_COLUMNS = {
     "CWE": "cwe_id", "Code Snippet": "code_snippet", "Remediation": "remediation",
 }
 CONFIDENCE_THRESHOLD = 0.7
+SPREAD = 8
 
 
 def union_findings(per_file: DataFrame, cross_file: DataFrame) -> DataFrame:
@@ -210,8 +211,9 @@ def write_csv(findings: DataFrame, path: str) -> None:
 
 
 def write_json(findings: DataFrame, path: str) -> None:
-    """Findings as JSON lines in one folder per project; skewed projects stay in many files."""
-    findings.write.mode("overwrite").partitionBy("project_id").json(path)
+    """Findings as JSON lines in one folder per project, in at most ``SPREAD`` files each."""
+    part = F.pmod(F.xxhash64(*findings.columns[:3]), F.lit(SPREAD))
+    findings.repartition("project_id", part).write.mode("overwrite").partitionBy("project_id").json(path)
 
 
 def write_report_tables(findings: DataFrame, scanned: DataFrame, path: str) -> None:
