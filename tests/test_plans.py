@@ -158,3 +158,11 @@ def test_selection_cache(spark, files_of, tmp_path):
     saved = store.read("project_scans")
     assert state.cached_selection(hashes, saved, "r1").first().critical_files == ["b.py", "a.py"]
     assert state.cached_selection(hashes, saved, "r2").count() == 0
+
+
+def test_findings_of_unscanned_projects_count(spark):
+    found = findings(spark, [("a.py", 1, "xss", "High", 0.9)])
+    none = spark.createDataFrame([], "project_id int, path string")
+    row = report.summary(found, none).first()
+    assert (row.files_scanned, row.vulnerabilities_found, row.critical_files) == (0, 1, [])
+    assert report.totals(found.where("false"), none).count() == 0

@@ -70,7 +70,10 @@ def finding_types(findings: DataFrame) -> DataFrame:
 
 
 def totals(findings: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Scanned files, findings, files with findings and severity weight per project."""
+    """Scanned files, findings, files with findings and severity weight per project.
+
+    Projects count that have either; findings of a project without a scanned file are kept.
+    """
     weight = F
     for name, value in WEIGHTS.items():
         weight = weight.when(F.coalesce("severity", F.lit("Low")) == name, value)
@@ -81,10 +84,10 @@ def totals(findings: DataFrame, scanned: DataFrame) -> DataFrame:
         F.sum("n").alias("vulnerabilities_found"), F.count("*").alias("files_with_findings"),
         F.sum("w").alias("severity_weight"))
     counted = scanned.groupBy("project_id").agg(F.count("*").alias("files_scanned"))
-    joined = counted.join(found, "project_id", "left")
-    return joined.select("project_id", "files_scanned", *[
+    joined = counted.join(found, "project_id", "full")
+    return joined.select("project_id", *[
         F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-        for c in ("vulnerabilities_found", "files_with_findings", "severity_weight")])
+        for c in ("files_scanned", "vulnerabilities_found", "files_with_findings", "severity_weight")])
 
 
 def with_risk_score(counted: DataFrame) -> DataFrame:
@@ -186,7 +189,8 @@ def summary(findings: DataFrame, scanned: DataFrame, recommendations: DataFrame
         F.coalesce("unique_vulnerability_types", F.lit(0)).cast("bigint")
         .alias("unique_vulnerability_types"), "risk_score",
         F.struct(*[zero[s.lower()].alias(s) for s in SEVERITIES]).alias("severity_breakdown"),
-        "critical_files", F.coalesce("vulnerability_types", nothing).alias("vulnerability_types"),
+        F.coalesce("critical_files", nothing).alias("critical_files"),
+        F.coalesce("vulnerability_types", nothing).alias("vulnerability_types"),
         F.lit(duration_seconds).cast("double").alias("scan_duration_seconds")]
     if recommendations is not None:
         listed = recommendations.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(

@@ -8,6 +8,7 @@ rows as a new generation next to the old one.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,10 +118,12 @@ class ScanState:
     def read(self, table: str) -> DataFrame:
         """The latest row per key; empty when nothing was saved yet."""
         keys, schema = TABLES[table]
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
-        there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        rows = self.spark.read.schema(schema).parquet(self._path(table)) if there \
-            else self.spark.createDataFrame([], schema)
+        try:
+            rows = self.spark.read.schema(schema).parquet(self._path(table))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], schema)
         return latest(rows, keys, CLOCK[table])
 
     def save(self, table: str, rows: DataFrame) -> None:
