@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import byte_length, fresh_path, rows_of
 
 RANGE = 4096                    # ids of one range
-SLOT_BYTES = 64 << 20           # payload of a range beyond which it is split by digest
+SLOT_BYTES = 256 << 20          # payload of a range beyond which it is split by digest
 ROLL_BYTES = 16 << 20           # compressed size at which a file ends
 LEAST_REVISIT = 100             # bytes of a payload that may be referred to
 DATE = "2024-01-01T00:00:00Z"
@@ -32,19 +32,14 @@ RECORD = ("page_id bigint, url string, payload_bytes bigint, payload_digest stri
           "refers_to bigint, html string")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, digest, size, record_type, refers_to``; only responses carry their html."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")) \
-        .withColumns({"digest": F.sha2(F.col("html"), 256), "size": byte_length("html")})
-    first = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest") \
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) \
-        & (F.col("size") >= LEAST_REVISIT)
-    return rows.select(
-        "page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "size",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first")).alias("refers_to"))
+def revisits(pages: DataFrame) -> DataFrame:
+    """``page_id, digest, first`` of the payloads that revisit another record; no html is moved for it."""
+    rows = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"),
+                        byte_length("html").alias("size")).filter(F.col("size") >= LEAST_REVISIT)
+    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")) \
+        .filter("n > 1").drop("n")
+    return rows.join(first, "digest").filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))) \
+        .select("page_id", "digest", "first").distinct()
 
 
 def _range() -> Column:
@@ -122,17 +117,30 @@ def write_archives(pages: DataFrame, path: str | None = None, roll_bytes: int =
     empty manifest. Columns but ``page_id, url, html`` are not read.
     """
     path = path or fresh_path(pages.sparkSession, "archives")
-    rows = records(pages).select("*", _range())
-    slots = pages.select(_range(), byte_length("html").alias("size")).groupBy("range") \
-        .agg((F.sum("size") / SLOT_BYTES).cast("long").alias("n")).filter("n > 0")
+    # A range counts here only beyond SLOT_BYTES, so this has at most a row per SLOT_BYTES of payload.
+    slots = F.broadcast(pages.select(_range(), byte_length("html").alias("size")).groupBy("range")
+                        .agg((F.sum("size") / SLOT_BYTES).cast("long").alias("n")).filter("n > 0"))
     slot = F.coalesce(F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.col("n") + 1), F.lit(0))
-    rows = rows.join(slots, "range", "left").withColumn("slot", slot.cast("int")) \
-        .select("range", "slot", "page_id", "url", "html", "digest", "size", "record_type", "refers_to")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.select("*", _range()).join(slots, "range", "left").withColumn("slot", slot.cast("int")).drop("n")
+
+    text = F.coalesce("html", F.lit(""))
+    rows = placed(pages.select("page_id", "url", text.alias("html"), F.sha2(text, 256).alias("digest"),
+                               byte_length("html").alias("size"), F.lit(None).cast("long").alias("first")))
+    order = ["range", "slot", "page_id", "digest", F.col("size").asc_nulls_first(), "url"]
+    rows = rows.unionByName(placed(revisits(pages)), allowMissingColumns=True) \
+        .select("range", "slot", "page_id", "url", "html", "digest", "size", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, done = _Files(path, roll_bytes), []
-        for group, slot_, *record in rows_of(batches, 32):
-            done += files.add((group, slot_), record_bytes(*record))
+        files, done, marked = _Files(path, roll_bytes), [], None
+        for group, slot_, page_id, url, html, digest, size, first in rows_of(batches, 32):
+            if size is None:                            # says what the records after it revisit
+                marked = page_id, digest, first
+                continue
+            revisit = marked is not None and marked[:2] == (page_id, digest)
+            done += files.add((group, slot_), record_bytes(
+                page_id, url, html, digest, size, *(("revisit", marked[2]) if revisit else ("response", None))))
         if files.stream:
             done.append(files.close())
         if done:
@@ -140,7 +148,7 @@ def write_archives(pages: DataFrame, path: str | None = None, roll_bytes: int =
                 [pa.array(v, t) for v, t in zip(zip(*done), (pa.string(), pa.int64(), pa.int64(), pa.string()))],
                 names=["path", "n_records", "n_bytes", "sha256"])
 
-    rows.repartition("range", "slot").sortWithinPartitions("range", "slot", "page_id", "digest", "url") \
+    rows.repartition("range", "slot").sortWithinPartitions(*order) \
         .mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return path
 
