@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 RIDGE = 1e-3                # penalty per labelled row
 BINS_PER_UNIT = 512         # raw scores are calibrated in bins of this width, from -1 to 2
-PARTS = 64                  # partial sums at most
 PRIOR = 0.5                 # score where nothing is labelled
 
 Expand = Callable[[np.ndarray], np.ndarray]
@@ -67,7 +66,6 @@ def fit(rows: DataFrame, width: int, expand: Expand, ridge: float = RIDGE) -> Mo
         return Model(np.zeros(width), np.ones(width), expand)
     moments = np.array(stats, float).reshape(width, 2)
     model = Model(moments[:, 0], np.where(moments[:, 1] > 1e-9, moments[:, 1], 1.0), expand)
-    rows = rows.coalesce(PARTS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}

@@ -297,8 +297,9 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = written(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     fetched = _fetched(nodes, reps, texts)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.expr(
-        f"cast((count(*) over (partition by a)) div {SALT} as int)"))).cast("int"))
+    crowded = pairs.groupBy("a").agg(F.expr(f"count(*) div {SALT}").alias("n")).filter("n > 0")
+    salted = pairs.join(crowded, "a", "left").withColumn("salt", F.pmod(
+        F.xxhash64("b"), F.coalesce("n", F.lit(0)) + 1).cast("int")).drop("n")
     heads = salted.select("a", "salt").distinct().join(
         fetched.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     members = salted.join(fetched.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
