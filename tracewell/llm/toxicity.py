@@ -18,26 +18,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import held_out_fold, rows_of, written
-from tracewell.llm.fitting import Model, fit, scored
+from tracewell.llm.common import chunks_of, held_out_fold, rows_of, written
+from tracewell.llm.fitting import fit, scored
+from tracewell.llm.near_dedup import shingle_sets
 
 FOLDS, HELD_OUT = 3, 1
 ACCEPT = 0.7                # scores from here on are toxic
 SHORTEST, LONGEST = 4, 14   # letters of a prefix that may become a term; longer words end at LONGEST
-LEAST_SUPPORT = 4           # toxic documents that hold a term
+LEAST_SUPPORT = 4           # toxic documents that hold a term, copies not counted
+TERMS = 2_000               # terms of the lexicon at most, those with the strongest evidence
 FALSE_TERMS = 1.0           # prefixes that may pass the test by chance, over the whole vocabulary
 WHOLE = 0.9                 # a prefix grows while one longer form has this share of its documents
 FUZZY_LENGTH = 5            # words of this length on may have one edit
 OWN_WORD = 2                # clean documents that make such a word one of its own
 FUZZY_WEIGHT, QUOTED_WEIGHT = 0.8, 0.25
 WINDOW = 8                  # words on either side that make up a hit's context
-KNOWN_WORDS = 200_000       # results that a task remembers before it starts again
 HELD_PREFIXES = 400_000     # counts that a task holds before it passes them on
 WIDTH = 5
 
 _WORD = re.compile(r"\w+")
 _QUOTE = re.compile("[\"“”„«»]")
-_OPEN, _CLOSE = "“„«", "”»"
+_CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«"}
 
 
 # --- lexicon -----------------------------------------------------------------------------------
@@ -68,6 +69,23 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield passed_on()
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in chunks_of(rows_of(batches), lambda r: len(r[0] or ""), 1 << 20):
+        values, sizes = shingle_sets([text for text, _ in rows])
+        least = np.zeros(len(rows), np.uint64)
+        if sizes.any():
+            least[sizes > 0] = np.minimum.reduceat(values, (np.cumsum(sizes) - sizes)[sizes > 0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.float64()),
+             pa.array(least.view(np.int64))], names=["text", "y", "group"])
+
+
+def without_copies(marked: DataFrame) -> DataFrame:
+    """One row of ``text, y`` per label and least shingle, so that copies are no evidence of their own."""
+    return marked.select("text", "y").mapInArrow(_grouped, "text string, y double, group bigint") \
+        .dropDuplicates(["y", "group"]).drop("group")
+
+
 def learn_terms(marked: DataFrame) -> list[tuple[str, float]]:
     """Terms and weights from rows ``text, y``: words end with ``$``, others are stems.
 
@@ -88,7 +106,8 @@ def learn_terms(marked: DataFrame) -> list[tuple[str, float]]:
     # Chernoff: -ln P(at least this many toxic among n by chance).
     rest = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
     evidence = n * (part * F.log(part / share) + rest)
-    rows = counts.filter((part > max(0.5, 2 * share)) & (evidence >= math.log(tried / FALSE_TERMS))).collect()
+    rows = counts.filter((part > max(0.5, 2 * share)) & (evidence >= math.log(tried / FALSE_TERMS))) \
+        .orderBy(evidence.desc(), "prefix").limit(TERMS).collect()
     return _chosen({r.prefix: (r.toxic, r.clean) for r in rows}, size.p, size.n - size.p)
 
 
@@ -123,6 +142,10 @@ def learn_own_words(marked: DataFrame, terms: list[tuple[str, float]]) -> list[s
     return sorted(r.word for r in found.collect())
 
 
+def _shortened(word: str) -> Iterator[str]:
+    return (word[:k] + word[k + 1:] for k in range(len(word)))
+
+
 class Trie:
     """Terms as a trie; words are matched within one edit, stems as exact beginnings.
 
@@ -135,43 +158,58 @@ class Trie:
         self.words = {t[:-1]: w for t, w in terms if t.endswith("$")}
         self.lengths = sorted({len(t) for t in self.stems})
         self.root: dict = {}
-        self.heads, self.tails = set(), set()
+        self.begins = {t[:SHORTEST] for t in self.stems}
+        self.near: set[str] = set()             # fuzzy terms and what is left without one letter
+        self.halves: set[str] = set()           # one edit leaves one half of a term as it is
         for word in self.words:
             node = self.root
             for letter in word:
                 node = node.setdefault(letter, {})
             node[""] = word
-            if len(word) >= FUZZY_LENGTH:       # one edit leaves one half of the word as it is
-                half = len(word) // 2
-                self.heads.add(word[:half])
-                self.tails.add(word[half:])
-        self.halves = sorted({len(x) for x in self.heads | self.tails})
-        self.known: dict[str, tuple[str, float]] = {}
+            if len(word) >= FUZZY_LENGTH:
+                self.near |= {word, *_shortened(word)}
+                self.halves |= {word[:len(word) // 2], word[len(word) // 2:]}
+        self.sizes = {len(x) + k for x in self.near for k in (0, 1)}
+        self.parts = sorted({len(x) for x in self.halves})
+        self.firsts, self.lasts = {x[:2] for x in self.halves}, {x[-2:] for x in self.halves}
+
+    def matches(self, words: set[str]) -> dict[str, tuple[str, float]]:
+        """The words that stand for a term, with it and its weight."""
+        stems, sizes, firsts, lasts = self.begins, self.sizes, self.firsts, self.lasts
+        found = {}
+        for word in words:
+            near = len(word) in sizes and (word[:2] in firsts or word[-2:] in lasts)
+            if near or word[:SHORTEST] in stems or word in self.words:
+                term, weight = self.match(word)
+                if weight > 0:
+                    found[word] = term, weight
+        return found
 
     def match(self, word: str) -> tuple[str, float]:
         """The term that a word stands for and its weight, or ("", 0)."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= KNOWN_WORDS:
-                self.known.clear()
-            found = self.known[word] = self._match(word)
-        return found
-
-    def _match(self, word: str) -> tuple[str, float]:
         if word in self.words:
             return word, self.words[word]
-        for k in self.lengths:
-            if word[:k] in self.stems:
-                return word[:k], self.stems[word[:k]]
+        if word[:SHORTEST] in self.begins:
+            for k in self.lengths:
+                if word[:k] in self.stems:
+                    return word[:k], self.stems[word[:k]]
         term = "" if word in self.own else self.misspelled(word)
         return (term, FUZZY_WEIGHT * self.words[term]) if term else ("", 0.0)
 
     def misspelled(self, word: str) -> str:
         """The term that ``word`` is one edit away from, or ""."""
-        if word in self.words or len(word) + 1 < FUZZY_LENGTH or not any(
-                word[:k] in self.heads or word[-k:] in self.tails for k in self.halves):
+        if word in self.words or len(word) not in self.sizes:
+            return ""
+        # One edit apart means an equal half, and equal without a letter each at most; only such words
+        # walk the trie.
+        for k in self.parts:
+            if word[:k] in self.halves or word[-k:] in self.halves:
+                break
+        else:
             return ""
-        return self._within_one(word)
+        if word in self.near or any(x in self.near for x in _shortened(word)):
+            return self._within_one(word)
+        return ""
 
     def _within_one(self, word: str) -> str:
         """The heaviest term within one edit: the word's automaton, walked along the trie.
@@ -216,9 +254,9 @@ def _quoted(text: str) -> list[tuple[int, int]]:
     for line in re.finditer(r"[^\n]+", text):
         opened = None
         for mark in _QUOTE.finditer(line.group()):
-            if opened is None or mark.group() in _OPEN:
-                opened = None if opened is None and mark.group() in _CLOSE else mark.start()
-            else:
+            if opened is None:
+                opened = mark.start() if mark.group() in _CLOSERS else None
+            elif mark.group() in _CLOSERS[line.group()[opened]]:
                 spans.append((line.start() + opened, line.start() + mark.start()))
                 opened = None
     return spans
@@ -227,15 +265,15 @@ def _quoted(text: str) -> list[tuple[int, int]]:
 def evidence(text: str | None, trie: Trie) -> tuple[list[float], list[tuple[str, int, bool]]]:
     """Numbers for the score, and the hits: term, word number, quoted."""
     text = text or ""
-    hits, n = [], 0
-    match = trie.match
-    for n, word in enumerate(_WORD.finditer(text.lower()), 1):
-        term, weight = match(word.group())
-        if weight > 0:
-            hits.append((term, n - 1, word.start(), weight))
-    if not hits:
+    lower = text.lower()
+    words = _WORD.findall(lower)
+    known = trie.matches(set(words))
+    if not known:
         return [0.0] * WIDTH, []
-    spans = _quoted(text) if _QUOTE.search(text) else []
+    n = len(words)
+    hits = [(known[w.group()][0], k, w.start(), known[w.group()][1])
+            for k, w in enumerate(_WORD.finditer(lower)) if w.group() in known]
+    spans = _quoted(lower) if _QUOTE.search(lower) else []
     quoted = [any(a < start < b for a, b in spans) for _, _, start, _ in hits]
     weight = np.array([w * (QUOTED_WEIGHT if q else 1) for (*_, w), q in zip(hits, quoted)])
     place = np.array([p for _, p, _, _ in hits])
@@ -288,7 +326,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
         .filter("y is not null and _key is not null").dropDuplicates(["_key"]) \
         .withColumn("fold", fold).filter(F.col("fold") != HELD_OUT)
     train = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text")) \
-        .join(marked, F.col("_id") == F.col("_key")).select("_id", "text", "y", "fold")
+        .join(marked.hint("shuffle_hash"), F.col("_id") == F.col("_key"))
+    train = written(without_copies(train), "train")
     terms = learn_terms(train)
     own = learn_own_words(train, terms)
     rows = written(with_evidence(docs, terms, own, [key], text).select(key, "x", F.size("hits").alias("n_hits")), "hits")
