@@ -26,14 +26,15 @@ FOLDS, HELD_OUT = 3, 1
 ACCEPT = 0.7                # scores from here on are toxic
 SHORTEST, LONGEST = 4, 14   # letters of a prefix that may become a term; longer words end at LONGEST
 LEAST_SUPPORT = 4           # toxic documents that hold a term, copies not counted
-TERMS = 2_000               # terms of the lexicon at most, those with the strongest evidence
+TRIE_TERMS = 20_000         # terms that one trie holds; a larger lexicon is searched in blocks
+KNOWN_BYTES = 32 << 20      # words that stand for terms, sent to the tasks at once
 FALSE_TERMS = 1.0           # prefixes that may pass the test by chance, over the whole vocabulary
 WHOLE = 0.9                 # a prefix grows while one longer form has this share of its documents
 FUZZY_LENGTH = 5            # words of this length on may have one edit
 OWN_WORD = 2                # clean documents that make such a word one of its own
 FUZZY_WEIGHT, QUOTED_WEIGHT = 0.8, 0.25
 WINDOW = 8                  # words on either side that make up a hit's context
-HELD_PREFIXES = 400_000     # counts that a task holds before it passes them on
+HELD_PREFIXES = 400_000     # counts or words that a task holds before it passes them on
 WIDTH = 5
 
 _WORD = re.compile(r"\w+")
@@ -46,7 +47,7 @@ _CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«"}
 def _prefixes(word: str) -> list[str]:
     """Prefixes of a word; the whole word ends with a mark, so that it can be told from a stem."""
     found = [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
-    return found + [word + "$"] if SHORTEST <= len(word) <= LONGEST else found
+    return found + [word + "$"] if SHORTEST <= len(word) else found
 
 
 def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,60 +87,116 @@ def without_copies(marked: DataFrame) -> DataFrame:
         .dropDuplicates(["y", "group"]).drop("group")
 
 
-def learn_terms(marked: DataFrame) -> list[tuple[str, float]]:
-    """Terms and weights from rows ``text, y``: words end with ``$``, others are stems.
+TERM = "term string, weight double"
 
-    A prefix qualifies if chance would hardly put so many of its documents among the toxic ones,
-    with a bound that counts how many prefixes are tried. Only qualified prefixes reach the driver.
+
+def learn_terms(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms with weights from rows ``text, y``, and the documents of each word: ``word, toxic, clean``.
+
+    Terms that end with ``$`` are words, others are stems. A prefix qualifies if chance would hardly
+    put so many of its documents among the toxic ones, with a bound that counts how many prefixes are
+    tried. All that qualify are kept; prefixes of one family grow together in one task.
     """
-    size = marked.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
-    if not size.n or not size.p:
-        return []
-    share = size.p / size.n
+    spark = marked.sparkSession
     counts = written(marked.select("text", "y").mapInArrow(
         _prefix_counts, "prefix string, toxic bigint, clean bigint").groupBy("prefix").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("toxic") >= LEAST_SUPPORT), "prefixes")
+        .filter((F.col("toxic") >= LEAST_SUPPORT) | F.endswith("prefix", F.lit("$"))), "prefixes")
+    words = counts.filter(F.endswith("prefix", F.lit("$"))).select(
+        F.expr("left(prefix, char_length(prefix) - 1)").alias("word"), "toxic", "clean")
+    size = marked.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+    if not size.n or not size.p:
+        return spark.createDataFrame([], TERM), words
+    share, positive, negative = size.p / size.n, size.p, size.n - size.p
+    counts = counts.filter(F.col("toxic") >= LEAST_SUPPORT)
     tried = max(counts.count(), 1)
     n = F.col("toxic") + F.col("clean")
     part = F.col("toxic") / n
     # Chernoff: -ln P(at least this many toxic among n by chance).
     rest = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
     evidence = n * (part * F.log(part / share) + rest)
-    rows = counts.filter((part > max(0.5, 2 * share)) & (evidence >= math.log(tried / FALSE_TERMS))) \
-        .orderBy(evidence.desc(), "prefix").limit(TERMS).collect()
-    return _chosen({r.prefix: (r.toxic, r.clean) for r in rows}, size.p, size.n - size.p)
+
+    def choose(family: pa.Table) -> pa.Table:
+        found = {p: (a, b) for p, a, b in zip(*(family.column(c).to_pylist() for c in ("prefix", "toxic", "clean")))}
+        names, weights = zip(*_chosen(found, positive, negative))
+        return pa.table({"term": pa.array(names, pa.string()), "weight": pa.array(weights, pa.float64())})
+
+    terms = counts.filter((part > max(0.5, 2 * share)) & (evidence >= math.log(tried / FALSE_TERMS))) \
+        .withColumn("family", F.substring("prefix", 1, SHORTEST)).groupBy("family").applyInArrow(choose, TERM)
+    return written(terms, "terms"), words
 
 
 def _chosen(found: dict[str, tuple[int, int]], toxic: int, clean: int) -> list[tuple[str, float]]:
     longer = defaultdict(list)
     for p in found:
-        longer[p[:-1]].append(p)
+        longer[p[:-1][:LONGEST]].append(p)
     terms = []
     for p in found:
-        if p[:-1] in found:
+        if p[:-1][:LONGEST] in found:
             continue                            # a shorter form already qualifies
-        while heirs := [q for q in longer[p] if found[q][0] >= WHOLE * found[p][0]]:
-            p = max(heirs, key=lambda q: (found[q][0], q))
+        while len(heirs := [q for q in longer[p] if found[q][0] >= WHOLE * found[p][0]]) == 1:
+            p = heirs[0]                        # with two such forms only the stem covers both
         a, b = found[p]
         terms.append((p, math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))))
     return sorted(terms)
 
 
-def learn_own_words(marked: DataFrame, terms: list[tuple[str, float]]) -> list[str]:
-    """Words within one edit of a term that clean documents use: not misspelled, but their own."""
-    shared = marked.sparkSession.sparkContext.broadcast(terms)
+KNOWN = "word string, term string, weight double, rank int"
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, counts = Trie(shared.value), Counter()
-        for (text,) in rows_of(batches):
-            counts.update(w for w in set(_WORD.findall((text or "").lower())) if trie.misspelled(w))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
-                                          pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    found = marked.filter("y = 0").select("text").mapInArrow(near, "word string, n bigint") \
-        .groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= OWN_WORD)
-    return sorted(r.word for r in found.collect())
+def known_words(docs: DataFrame, terms: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
+    """``word, term, weight, rank`` for each word of ``docs`` that stands for a term.
+
+    Rank is 2 for a term itself, 1 for a word that begins with a stem, 0 for a misspelled one. Words
+    that clean documents use are not misspelled, but their own. A lexicon of several blocks is held
+    against the vocabulary of ``docs``, one block after the other.
+    """
+    spark = docs.sparkSession
+    blocks = 1 + terms.count() // TRIE_TERMS
+    source = docs.select(F.col(f"`{text}`").alias("text"))
+    if blocks > 1:
+        source = written(source.mapInArrow(_vocabulary, "text string").distinct(), "vocabulary")
+    found = None
+    for k in range(blocks):
+        shared = spark.sparkContext.broadcast([(r.term, r.weight) for r in terms.filter(
+            F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).collect()])
+        part = written(source.mapInArrow(_matching(shared), KNOWN).distinct(), "matched")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("word").agg(F.max(F.struct("rank", "weight", "term")).alias("best")) \
+        .select("word", "best.term", "best.weight", "best.rank")
+    return written(best.join(words, "word", "left").filter(
+        (F.col("rank") > 0) | (F.coalesce("clean", F.lit(0)) < OWN_WORD)).select("word", "term", "weight", "rank"), "known")
+
+
+def _fresh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[set[str]]:
+    """The words of each text that a task has not seen lately."""
+    seen: set[str] = set()
+    for (text,) in rows_of(batches):
+        fresh = set(_WORD.findall((text or "").lower())) - seen
+        if fresh:
+            seen |= fresh
+            yield fresh
+        if len(seen) > HELD_PREFIXES:
+            seen.clear()
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for fresh in _fresh_words(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.string())], names=["text"])
+
+
+def _matching(shared):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(shared.value)
+        for fresh in _fresh_words(batches):
+            if found := trie.matches(fresh):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found), pa.string()), pa.array([t for t, _ in found.values()], pa.string()),
+                     pa.array([w for _, w in found.values()], pa.float64()),
+                     pa.array([trie.rank(word, t) for word, (t, _) in found.items()], pa.int32())],
+                    names=["word", "term", "weight", "rank"])
+    return match
 
 
 def _shortened(word: str) -> Iterator[str]:
@@ -185,6 +242,10 @@ class Trie:
                     found[word] = term, weight
         return found
 
+    def rank(self, word: str, term: str) -> int:
+        """2 for a term itself, 1 for a word that begins with a stem, 0 for a misspelled one."""
+        return 2 if word in self.words else int(term in self.stems and word.startswith(term))
+
     def match(self, word: str) -> tuple[str, float]:
         """The term that a word stands for and its weight, or ("", 0)."""
         if word in self.words:
@@ -264,49 +325,79 @@ def _quoted(text: str) -> list[tuple[int, int]]:
 
 def evidence(text: str | None, trie: Trie) -> tuple[list[float], list[tuple[str, int, bool]]]:
     """Numbers for the score, and the hits: term, word number, quoted."""
-    text = text or ""
-    lower = text.lower()
+    hits, n = _hits(text, trie.matches(set(_WORD.findall((text or "").lower()))))
+    return _numbers(hits, n), [h[:3] for h in hits]
+
+
+def _hits(text: str | None, known: dict[str, tuple[str, float]]) -> tuple[list[tuple[str, int, bool, float]], int]:
+    """Term, word number, quoted and weight of each known word, and the number of all words."""
+    lower = (text or "").lower()
     words = _WORD.findall(lower)
-    known = trie.matches(set(words))
-    if not known:
-        return [0.0] * WIDTH, []
-    n = len(words)
-    hits = [(known[w.group()][0], k, w.start(), known[w.group()][1])
-            for k, w in enumerate(_WORD.finditer(lower)) if w.group() in known]
+    if known.keys().isdisjoint(words):
+        return [], len(words)
     spans = _quoted(lower) if _QUOTE.search(lower) else []
-    quoted = [any(a < start < b for a, b in spans) for _, _, start, _ in hits]
-    weight = np.array([w * (QUOTED_WEIGHT if q else 1) for (*_, w), q in zip(hits, quoted)])
+    hits = []
+    for k, w in enumerate(_WORD.finditer(lower)):
+        if w.group() in known:
+            term, weight = known[w.group()]
+            hits.append((term, k, any(a < w.start() < b for a, b in spans), weight))
+    return hits, len(words)
+
+
+def _numbers(hits: list[tuple[str, int, bool, float]], n: int) -> list[float]:
+    if not hits:
+        return [0.0] * WIDTH
+    weight = np.array([w * (QUOTED_WEIGHT if q else 1) for *_, q, w in hits])
     place = np.array([p for _, p, _, _ in hits])
     total = np.concatenate(([0], np.cumsum(weight)))
     window = total[np.searchsorted(place, place + WINDOW, "right")] - total[np.searchsorted(place, place - WINDOW)]
-    open_terms = {t for (t, *_), q in zip(hits, quoted) if not q}
+    open_terms = {t for t, _, q, _ in hits if not q}
     return [math.log1p(weight.sum()), math.log1p(window.max()), math.log1p(len(open_terms)),
-            math.sqrt(weight.sum() / n), weight.max()], [(t, p, q) for (t, p, _, _), q in zip(hits, quoted)]
+            math.sqrt(weight.sum() / n), weight.max()]
 
 
-def with_evidence(docs: DataFrame, terms: list[tuple[str, float]], own: list[str], keep: list[str],
-                  text: str) -> DataFrame:
-    """Columns ``keep`` with ``x`` and ``hits`` (terms, word numbers, whether quoted)."""
-    shared = docs.sparkSession.sparkContext.broadcast((terms, own))
-    kind = pa.list_(pa.struct([("term", pa.string()), ("word", pa.int32()), ("quoted", pa.bool_())]))
+HIT = ("term", "word", "quoted", "weight")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(*shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2048):
-                part = batch.slice(start, 2048)
-                found = [evidence(t, trie) for (t,) in rows_of(iter([part.select(["_text"])]))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep]
-                    + [pa.array([x for x, _ in found], pa.list_(pa.float64())),
-                       pa.array([[dict(zip(("term", "word", "quoted"), h)) for h in hs] for _, hs in found], kind)],
-                    names=[*keep, "x", "hits"])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = rows.drop("_text").withColumns({
-        "x": F.array().cast("array<double>"),
-        "hits": F.array().cast("array<struct<term:string,word:int,quoted:boolean>>")}).schema
-    return rows.mapInArrow(search, schema)
+def with_evidence(docs: DataFrame, known: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """Columns ``keep`` with ``x`` and ``hits`` (terms, word numbers, whether quoted, weights).
+
+    Known words of more than one block are searched one block after the other.
+    """
+    sc = docs.sparkSession.sparkContext
+    size = known.agg(F.sum(F.octet_length("word") + F.octet_length("term") + 64)).first()[0] or 0
+    blocks = 1 + int(size) // KNOWN_BYTES
+    kind = pa.list_(pa.struct([("term", pa.string()), ("word", pa.int32()), ("quoted", pa.bool_()),
+                               ("weight", pa.float64())]))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"), F.array().cast(
+        "array<struct<term:string,word:int,quoted:boolean,weight:double>>").alias("hits"))
+
+    def searching(shared, last: bool):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2048):
+                    part = batch.slice(start, 2048)
+                    found = []
+                    for t, earlier in rows_of(iter([part.select(["_text", "hits"])])):
+                        hits, n = _hits(t, shared.value)
+                        if earlier:
+                            hits = sorted(hits + [tuple(h[c] for c in HIT) for h in earlier], key=lambda h: h[1])
+                        found.append((hits, n))
+                    hits = pa.array([[dict(zip(HIT, h)) for h in hs] for hs, _ in found], kind)
+                    own = pa.array([_numbers(*f) for f in found], pa.list_(pa.float64())) if last \
+                        else part.column("_text")
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], own, hits],
+                                                     names=[*keep, "x" if last else "_text", "hits"])
+        return search
+
+    for k in range(blocks):
+        shared = sc.broadcast({r.word: (r.term, r.weight) for r in known.filter(
+            F.pmod(F.xxhash64("word"), F.lit(blocks)) == k).collect()})
+        if k == blocks - 1:
+            schema = rows.select(*[F.col(f"`{c}`") for c in keep], F.array().cast("array<double>").alias("x"), "hits").schema
+            return rows.mapInArrow(searching(shared, True), schema)
+        rows = written(rows.mapInArrow(searching(shared, False), rows.schema), "searched")
+        shared.destroy()
 
 
 def _same(z: np.ndarray) -> np.ndarray:
@@ -328,9 +419,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     train = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text")) \
         .join(marked.hint("shuffle_hash"), F.col("_id") == F.col("_key"))
     train = written(without_copies(train), "train")
-    terms = learn_terms(train)
-    own = learn_own_words(train, terms)
-    rows = written(with_evidence(docs, terms, own, [key], text).select(key, "x", F.size("hits").alias("n_hits")), "hits")
+    known = known_words(docs, *learn_terms(train), text)
+    rows = written(with_evidence(docs, known, [key], text).select(key, "x", F.size("hits").alias("n_hits")), "hits")
     model = fit(written(rows.join(marked, F.col(f"`{key}`") == F.col("_key")).select(
         "x", "y", "fold"), "labelled"), WIDTH, _same)
     return scored(rows, model, [key, "n_hits"]).select(
