@@ -26,3 +26,15 @@ def test_every_qualified_term_is_kept(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "KNOWN_BYTES", 64 << 10)
     parts = toxicity.with_evidence(docs, toxicity.known_words(docs, found, words), ["doc_id"], "text").collect()
     assert sorted(parts) == sorted(whole)
+
+
+def test_only_confirmed_copies_are_left_out(spark):
+    """Thirty texts share a passage of two thirds; two are copies, one of them near."""
+    rng = random.Random(8)
+    passage = [letters(rng, 6) for _ in range(60)]
+    rows = [(k, " ".join(passage + [letters(rng, 6) for _ in range(40)]), 1.0) for k in range(30)]
+    rows += [(40, rows[7][1].upper(), 1.0), (41, rows[9][1] + " tail", 1.0), (42, rows[9][1], 0.0), (43, None, 0.0)]
+    marked = spark.createDataFrame(rows, "_key long, text string, y double")
+    kept = toxicity.without_copies(marked).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in marked.drop("_key").collect()
+                                            if r.text not in (rows[30][1], rows[31][1]))

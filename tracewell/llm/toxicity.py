@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import chunks_of, held_out_fold, rows_of, written
+from tracewell.llm.common import held_out_fold, rows_of, written
 from tracewell.llm.fitting import fit, scored
-from tracewell.llm.near_dedup import shingle_sets
+from tracewell.llm.near_dedup import near_duplicates
 
 FOLDS, HELD_OUT = 3, 1
 ACCEPT = 0.7                # scores from here on are toxic
@@ -70,21 +70,18 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield passed_on()
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in chunks_of(rows_of(batches), lambda r: len(r[0] or ""), 1 << 20):
-        values, sizes = shingle_sets([text for text, _ in rows])
-        least = np.zeros(len(rows), np.uint64)
-        if sizes.any():
-            least[sizes > 0] = np.minimum.reduceat(values, (np.cumsum(sizes) - sizes)[sizes > 0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([t for t, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.float64()),
-             pa.array(least.view(np.int64))], names=["text", "y", "group"])
-
-
 def without_copies(marked: DataFrame) -> DataFrame:
-    """One row of ``text, y`` per label and least shingle, so that copies are no evidence of their own."""
-    return marked.select("text", "y").mapInArrow(_grouped, "text string, y double, group bigint") \
-        .dropDuplicates(["y", "group"]).drop("group")
+    """``text, y`` of the smallest key per label and group of near-duplicates, from ``_key, text, y``.
+
+    Groups are those of ``near_duplicates``, which confirms links on the full sets, so texts that only
+    share a passage all stay.
+    """
+    rows = written(marked.withColumn("_row", F.xxhash64("_key", "text")).dropDuplicates(["_key", "_row"]), "rows")
+    groups = near_duplicates(rows, "_row").select(F.col("_row").alias("_id"), F.col("component_id").alias("group"))
+    narrow = rows.select("_row", "_key", "y").join(groups, F.col("_row") == F.col("_id"))
+    first = narrow.groupBy("y", "group").agg(F.min(F.struct("_key", "_row")).alias("first")).select("y", "group", "first._row")
+    copies = narrow.select("_row").join(first.select("_row"), "_row", "left_anti")
+    return rows.join(written(copies, "copies"), "_row", "left_anti").select("text", "y")
 
 
 TERM = "term string, weight double"
@@ -418,8 +415,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
         .withColumn("fold", fold).filter(F.col("fold") != HELD_OUT)
     train = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text")) \
         .join(marked.hint("shuffle_hash"), F.col("_id") == F.col("_key"))
-    train = written(without_copies(train), "train")
-    known = known_words(docs, *learn_terms(train), text)
+    terms, words = learn_terms(without_copies(train.select("_key", "text", "y")))
+    known = known_words(docs, terms, words, text)
     rows = written(with_evidence(docs, known, [key], text).select(key, "x", F.size("hits").alias("n_hits")), "hits")
     model = fit(written(rows.join(marked, F.col(f"`{key}`") == F.col("_key")).select(
         "x", "y", "fold"), "labelled"), WIDTH, _same)
