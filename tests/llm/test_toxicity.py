@@ -38,3 +38,26 @@ def test_only_confirmed_copies_are_left_out(spark):
     kept = toxicity.without_copies(marked).collect()
     assert sorted(map(str, kept)) == sorted(str(r) for r in marked.drop("_key").collect()
                                             if r.text not in (rows[30][1], rows[31][1]))
+
+
+def test_stems_are_found_misspelled():
+    trie = toxicity.Trie([("idiot", 5.0), ("scum$", 4.0), ("clown$", 4.0), ("lowei", 3.0)], fuzzy=4, swaps=True)
+    found = {"idiots": "idiot", "idots": "idiot", "idi0ts": "idiot", "iddiotic": "idiot", "idoitic": "idiot",
+             "iidotx": "idiot", "diiots": "idiot", "idio7": "idiot", "xidiots": "idiot", "idol": "", "idioms": "",
+             "scvm": "scum", "csum": "scum", "scumm": "scum", "scvms": "", "clwon": "clown", "clowning": "",
+             "lower": "lowei", "lowest": "", "lwoeischaft": "lowei"}
+    assert {w: trie.match(w)[0] for w in found} == found
+
+
+def test_misspelled_uses_from_labelled_rows(spark):
+    """A quarter of the uses is inflected, a quarter misspelled: the stem must still find its misspellings."""
+    rng = random.Random(4)
+    filler = [letters(rng, 5) for _ in range(300)]
+    forms = ["idiot", "idiot", "idiots", "idoit", "scum", "scum", "scum", "scvm"]
+    rows = [(k, " ".join(rng.sample(filler, 30) + ([forms[k % 8]] if k % 5 == 0 else [])), float(k % 5 == 0))
+            for k in range(600)]
+    terms, words = toxicity.learn_terms(spark.createDataFrame(rows, "id long, text string, y double"))
+    uses = ["idiot", "idiots", "idoit", "idi0ts", "idiotts", "diiots", "scum", "scmu", "scuum", "scvm"]
+    docs = spark.createDataFrame([(k, f"so a {w} here") for k, w in enumerate(uses)], "doc_id long, text string")
+    known = {r.word for r in toxicity.known_words(docs, terms, words).collect()}
+    assert known == set(uses)

@@ -30,7 +30,8 @@ TRIE_TERMS = 20_000         # terms that one trie holds; a larger lexicon is sea
 KNOWN_BYTES = 32 << 20      # words that stand for terms, sent to the tasks at once
 FALSE_TERMS = 1.0           # prefixes that may pass the test by chance, over the whole vocabulary
 WHOLE = 0.9                 # a prefix grows while one longer form has this share of its documents
-FUZZY_LENGTH = 5            # words of this length on may have one edit
+FUZZY_LENGTH = 5            # terms of this length on may have one edit, unless a trie is told otherwise
+SHORTEST_FUZZY = 4          # the same in documents
 OWN_WORD = 2                # clean documents that make such a word one of its own
 FUZZY_WEIGHT, QUOTED_WEIGHT = 0.8, 0.25
 WINDOW = 8                  # words on either side that make up a hit's context
@@ -185,7 +186,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matching(shared):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(shared.value)
+        trie = Trie(shared.value, fuzzy=SHORTEST_FUZZY, swaps=True)
         for fresh in _fresh_words(batches):
             if found := trie.matches(fresh):
                 yield pa.RecordBatch.from_arrays(
@@ -201,42 +202,51 @@ def _shortened(word: str) -> Iterator[str]:
 
 
 class Trie:
-    """Terms as a trie; words are matched within one edit, stems as exact beginnings.
+    """Terms as a trie; words stand for a term within one edit, and what begins with a stem for the stem.
 
-    ``own`` are words that are never taken for a misspelled term.
+    A misspelled stem must hold its edit inside: what follows it is free, so its last letter must be
+    there. ``own`` are words that are never taken for a misspelled term, terms from ``fuzzy`` letters on
+    are found misspelled, and with ``swaps`` two letters in each other's place are one edit.
     """
 
-    def __init__(self, terms: list[tuple[str, float]], own: list[str] = ()):
-        self.own = set(own)
+    def __init__(self, terms: list[tuple[str, float]], own: list[str] = (), fuzzy: int = FUZZY_LENGTH,
+                 swaps: bool = False):
+        self.own, self.fuzzy, self.swaps = set(own), fuzzy, swaps
         self.stems = {t: w for t, w in terms if not t.endswith("$")}
         self.words = {t[:-1]: w for t, w in terms if t.endswith("$")}
         self.lengths = sorted({len(t) for t in self.stems})
         self.root: dict = {}
-        self.begins = {t[:SHORTEST] for t in self.stems}
         self.near: set[str] = set()             # fuzzy terms and what is left without one letter
-        self.halves: set[str] = set()           # one edit leaves one half of a term as it is
-        for word in self.words:
+        self.near_stems: set[str] = set()
+        self.begins: set[str] = set()           # one edit leaves one half of a stem as it is
+        self.ends: set[str] = set()
+        for term in {*self.words, *self.stems}:
+            if len(term) < fuzzy:
+                continue
             node = self.root
-            for letter in word:
+            for letter in term:
                 node = node.setdefault(letter, {})
-            node[""] = word
-            if len(word) >= FUZZY_LENGTH:
-                self.near |= {word, *_shortened(word)}
-                self.halves |= {word[:len(word) // 2], word[len(word) // 2:]}
+            node[""] = term
+            self.near |= {term, *_shortened(term)}
+            if term in self.stems:
+                k = len(term) // 2
+                self.near_stems |= {term, *_shortened(term)}
+                self.begins |= {term[:k], term[:k - 1] + term[k]}   # as it is, or swapped across the middle
+                self.ends.add(term[k:])
         self.sizes = {len(x) + k for x in self.near for k in (0, 1)}
-        self.parts = sorted({len(x) for x in self.halves})
-        self.firsts, self.lasts = {x[:2] for x in self.halves}, {x[-2:] for x in self.halves}
+        self.stem_sizes = sorted({len(x) + k for x in self.near_stems for k in (0, 1)})
+        self.halves = sorted({len(x) for x in self.begins})
+
+    def weight(self, term: str) -> float:
+        return max(self.words.get(term, 0.0), self.stems.get(term, 0.0))
 
     def matches(self, words: set[str]) -> dict[str, tuple[str, float]]:
         """The words that stand for a term, with it and its weight."""
-        stems, sizes, firsts, lasts = self.begins, self.sizes, self.firsts, self.lasts
         found = {}
         for word in words:
-            near = len(word) in sizes and (word[:2] in firsts or word[-2:] in lasts)
-            if near or word[:SHORTEST] in stems or word in self.words:
-                term, weight = self.match(word)
-                if weight > 0:
-                    found[word] = term, weight
+            term, weight = self.match(word)
+            if weight > 0:
+                found[word] = term, weight
         return found
 
     def rank(self, word: str, term: str) -> int:
@@ -247,48 +257,64 @@ class Trie:
         """The term that a word stands for and its weight, or ("", 0)."""
         if word in self.words:
             return word, self.words[word]
-        if word[:SHORTEST] in self.begins:
-            for k in self.lengths:
-                if word[:k] in self.stems:
-                    return word[:k], self.stems[word[:k]]
+        for k in self.lengths:
+            if word[:k] in self.stems:
+                return word[:k], self.stems[word[:k]]
         term = "" if word in self.own else self.misspelled(word)
-        return (term, FUZZY_WEIGHT * self.words[term]) if term else ("", 0.0)
+        return (term, FUZZY_WEIGHT * self.weight(term)) if term else ("", 0.0)
 
     def misspelled(self, word: str) -> str:
-        """The term that ``word`` is one edit away from, or ""."""
-        if word in self.words or len(word) not in self.sizes:
-            return ""
-        # One edit apart means an equal half, and equal without a letter each at most; only such words
-        # walk the trie.
-        for k in self.parts:
-            if word[:k] in self.halves or word[-k:] in self.halves:
-                break
-        else:
-            return ""
-        if word in self.near or any(x in self.near for x in _shortened(word)):
+        """The term that ``word``, or its beginning, is one edit away from, or ""."""
+        # Within one edit means equal without a letter each at most; only such words walk the trie.
+        if len(word) in self.sizes and _close(word, self.near):
+            return self._within_one(word)
+        if self._has_half(word) and any(_close(word[:k], self.near_stems) for k in self.stem_sizes if k < len(word)):
             return self._within_one(word)
         return ""
 
+    def _has_half(self, word: str) -> bool:
+        for k in self.halves:
+            if word[:k] in self.begins:
+                return True
+            for place in (k - 1, k, k + 1):
+                if word[place:place + k] in self.ends or word[place:place + k + 1] in self.ends:
+                    return True
+        return False
+
     def _within_one(self, word: str) -> str:
         """The heaviest term within one edit: the word's automaton, walked along the trie.
 
         A state is the edits needed so far for each beginning of the word, as far as it is at most one.
+        A stem is also accepted where the word goes on, if its last letter was not the edit.
         """
-        best = ""
-        start = {0: 0, 1: 1} if word else {0: 0}
-        stack = [(self.root, start)]
+        best, heaviest = "", 0.0
+        stack = [(self.root, {0: 0, 1: 1} if word else {0: 0}, {}, "", False)]
         while stack:
-            node, state = stack.pop()
+            node, state, before, last, inside = stack.pop()
             term = node.get("")
-            if term and len(term) >= FUZZY_LENGTH and state.get(len(word), 2) <= 1 \
-                    and (not best or self.words[term] > self.words[best]):
-                best = term
+            if term:
+                weight = max(self.words.get(term, 0.0) if state.get(len(word), 2) <= 1 else 0.0,
+                             self.stems.get(term, 0.0) if inside or state.get(len(word), 2) <= 1 else 0.0)
+                if weight > heaviest or weight == heaviest and weight and term < best:
+                    best, heaviest = term, weight
             for letter, below in node.items():
-                if letter and (after := _step(state, letter, word)):
-                    stack.append((below, after))
+                if not letter:
+                    continue
+                after = _step(state, letter, word)
+                met = any(p < len(word) and word[p] == letter for p in state)
+                for place, edits in before.items() if self.swaps else ():
+                    if edits < 1 and word[place:place + 2] == letter + last:
+                        after.setdefault(place + 2, 1)
+                        met = True
+                if after:
+                    stack.append((below, after, state, letter, met))
         return best
 
 
+def _close(word: str, near: set[str]) -> bool:
+    return word in near or any(x in near for x in _shortened(word))
+
+
 def _step(state: dict[int, int], letter: str, word: str) -> dict[int, int]:
     after: dict[int, int] = {}
     for place, edits in sorted(state.items()):
