@@ -61,3 +61,17 @@ def test_misspelled_uses_from_labelled_rows(spark):
     docs = spark.createDataFrame([(k, f"so a {w} here") for k, w in enumerate(uses)], "doc_id long, text string")
     known = {r.word for r in toxicity.known_words(docs, terms, words).collect()}
     assert known == set(uses)
+
+
+def test_own_words_are_told_by_rates(spark):
+    """Two clean uses (quoted, mislabelled) do not hide a misspelling of three toxic documents."""
+    rng = random.Random(6)
+    filler = [letters(rng, 5) for _ in range(300)]
+
+    def use(word, toxic, clean):
+        return [(" ".join(rng.sample(filler, 20) + [word]), float(k < toxic)) for k in range(toxic + clean)]
+
+    rows = use("clown", 60, 3) + use("clovn", 3, 2) + use("crown", 1, 12) + use("clone", 0, 2) + use("nothing", 0, 500)
+    terms, words = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y double"))
+    docs = spark.createDataFrame([("clovn crown clone clowm",)], "text string")
+    assert {r.word for r in toxicity.known_words(docs, terms, words).collect()} == {"clovn", "clowm"}

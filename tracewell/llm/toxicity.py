@@ -32,7 +32,8 @@ FALSE_TERMS = 1.0           # prefixes that may pass the test by chance, over th
 WHOLE = 0.9                 # a prefix grows while one longer form has this share of its documents
 FUZZY_LENGTH = 5            # terms of this length on may have one edit, unless a trie is told otherwise
 SHORTEST_FUZZY = 4          # the same in documents
-OWN_WORD = 2                # clean documents that make such a word one of its own
+OWN_EVIDENCE = 3.0          # how much likelier (ln) such a word is of its own than the misspelled term
+SUREST = 0.95               # toxic share that a misspelled term is held to at most
 FUZZY_WEIGHT, QUOTED_WEIGHT = 0.8, 0.25
 WINDOW = 8                  # words on either side that make up a hit's context
 HELD_PREFIXES = 400_000     # counts or words that a task holds before it passes them on
@@ -85,12 +86,13 @@ def without_copies(marked: DataFrame) -> DataFrame:
     return rows.join(written(copies, "copies"), "_row", "left_anti").select("text", "y")
 
 
-TERM = "term string, weight double"
+TERM = "term string, weight double, part double"
 
 
 def learn_terms(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Terms with weights from rows ``text, y``, and the documents of each word: ``word, toxic, clean``.
+    """Terms from rows ``text, y``, and the documents of each word: ``word, toxic, clean, share``.
 
+    Terms have a weight and the toxic ``part`` of their documents; ``share`` is that of all documents.
     Terms that end with ``$`` are words, others are stems. A prefix qualifies if chance would hardly
     put so many of its documents among the toxic ones, with a bound that counts how many prefixes are
     tried. All that qualify are kept; prefixes of one family grow together in one task.
@@ -104,7 +106,7 @@ def learn_terms(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.expr("left(prefix, char_length(prefix) - 1)").alias("word"), "toxic", "clean")
     size = marked.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     if not size.n or not size.p:
-        return spark.createDataFrame([], TERM), words
+        return spark.createDataFrame([], TERM), words.withColumn("share", F.lit(0.0))
     share, positive, negative = size.p / size.n, size.p, size.n - size.p
     counts = counts.filter(F.col("toxic") >= LEAST_SUPPORT)
     tried = max(counts.count(), 1)
@@ -117,11 +119,12 @@ def learn_terms(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     def choose(family: pa.Table) -> pa.Table:
         found = {p: (a, b) for p, a, b in zip(*(family.column(c).to_pylist() for c in ("prefix", "toxic", "clean")))}
         names, weights = zip(*_chosen(found, positive, negative))
-        return pa.table({"term": pa.array(names, pa.string()), "weight": pa.array(weights, pa.float64())})
+        return pa.table({"term": pa.array(names, pa.string()), "weight": pa.array(weights, pa.float64()),
+                         "part": pa.array([found[t][0] / sum(found[t]) for t in names], pa.float64())})
 
     terms = counts.filter((part > max(0.5, 2 * share)) & (evidence >= math.log(tried / FALSE_TERMS))) \
         .withColumn("family", F.substring("prefix", 1, SHORTEST)).groupBy("family").applyInArrow(choose, TERM)
-    return written(terms, "terms"), words
+    return written(terms, "terms"), words.withColumn("share", F.lit(float(share)))
 
 
 def _chosen(found: dict[str, tuple[int, int]], toxic: int, clean: int) -> list[tuple[str, float]]:
@@ -145,8 +148,9 @@ KNOWN = "word string, term string, weight double, rank int"
 def known_words(docs: DataFrame, terms: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
     """``word, term, weight, rank`` for each word of ``docs`` that stands for a term.
 
-    Rank is 2 for a term itself, 1 for a word that begins with a stem, 0 for a misspelled one. Words
-    that clean documents use are not misspelled, but their own. A lexicon of several blocks is held
+    Rank is 2 for a term itself, 1 for a word that begins with a stem, 0 for a misspelled one. A word
+    near a term is not misspelled, but its own, if its labelled documents are toxic at the rate of all
+    documents rather than at the rate of the term. A lexicon of several blocks is held
     against the vocabulary of ``docs``, one block after the other.
     """
     spark = docs.sparkSession
@@ -163,8 +167,11 @@ def known_words(docs: DataFrame, terms: DataFrame, words: DataFrame, text: str =
         found = part if found is None else found.unionByName(part)
     best = found.groupBy("word").agg(F.max(F.struct("rank", "weight", "term")).alias("best")) \
         .select("word", "best.term", "best.weight", "best.rank")
-    return written(best.join(words, "word", "left").filter(
-        (F.col("rank") > 0) | (F.coalesce("clean", F.lit(0)) < OWN_WORD)).select("word", "term", "weight", "rank"), "known")
+    part = terms.groupBy(F.regexp_replace("term", "\\$$", "").alias("term")).agg(F.max("part").alias("part"))
+    p = F.least(F.greatest("part", "share"), F.lit(SUREST))
+    own = F.col("toxic") * F.log(F.col("share") / p) + F.col("clean") * F.log((1 - F.col("share")) / (1 - p))
+    return written(best.join(words, "word", "left").join(part, "term", "left").filter(
+        (F.col("rank") > 0) | (F.coalesce(own, F.lit(0.0)) <= OWN_EVIDENCE)).select("word", "term", "weight", "rank"), "known")
 
 
 def _fresh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[set[str]]:
