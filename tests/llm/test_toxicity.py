@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tracewell.llm import toxicity
 
 
@@ -75,3 +78,31 @@ def test_own_words_are_told_by_rates(spark):
     terms, words = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y double"))
     docs = spark.createDataFrame([("clovn crown clone clowm",)], "text string")
     assert {r.word for r in toxicity.known_words(docs, terms, words).collect()} == {"clovn", "clowm"}
+
+
+def test_short_words_and_scripts_without_blanks(spark):
+    """Half of the rows are toxic; the terms are a word of three letters and one inside runs of Han."""
+    rng = random.Random(2)
+    filler, signs = [letters(rng, 5) for _ in range(300)], [chr(0x5000 + k) for k in range(200)]
+    rows = [(" ".join(rng.sample(filler, 20) + ["git"] * y), float(y)) for y in (0, 1) for _ in range(40)]
+    rows += [("".join(rng.sample(signs, 20) + ["傻瓜"] * y + rng.sample(signs, 20)), float(y))
+             for y in (0, 1) for _ in range(40)]
+    terms, words = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y double"))
+    assert {r.term for r in terms.collect()} == {"git$", "傻瓜", "瓜"}
+    docs = spark.createDataFrame([(1, "a git here"), (2, "digit"), (3, "倀倁傻瓜倂")], "doc_id long, text string")
+    found = toxicity.with_evidence(docs, toxicity.known_words(docs, terms, words), ["doc_id"], "text").collect()
+    assert {r.doc_id: len(r.hits) for r in found} == {1: 1, 2: 0, 3: 1}
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_held_out_toxic_rows(spark, balanced):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    if balanced:
+        toxic = labels.filter("toxic = 1")
+        labels = toxic.union(labels.filter("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(toxic.count()))
+    rows = toxicity.score_documents(spark.read.parquet(f"{folder}/documents.parquet"), labels).collect()
+    held = [(known[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in known]
+    caught = sum(a and b for a, b in held)
+    assert caught >= 0.8 * sum(a for a, _ in held) and caught >= 0.7 * sum(b for _, b in held)

@@ -24,10 +24,12 @@ from tracewell.llm.near_dedup import near_duplicates
 
 FOLDS, HELD_OUT = 3, 1
 ACCEPT = 0.7                # scores from here on are toxic
-SHORTEST, LONGEST = 4, 14   # letters of a prefix that may become a term; longer words end at LONGEST
+SHORTEST, LONGEST = 4, 14   # letters of a stem; whole words of any length may become terms
+SPAN = 4                    # letters of a stem in scripts without blanks, where every letter begins one
 LEAST_SUPPORT = 4           # toxic documents that hold a term, copies not counted
 TRIE_TERMS = 20_000         # terms that one trie holds; a larger lexicon is searched in blocks
 KNOWN_BYTES = 32 << 20      # words that stand for terms, sent to the tasks at once
+LEAST_ODDS = 4.0            # how much likelier toxic documents hold a term, as odds against clean ones
 FALSE_TERMS = 1.0           # prefixes that may pass the test by chance, over the whole vocabulary
 WHOLE = 0.9                 # a prefix grows while one longer form has this share of its documents
 FUZZY_LENGTH = 5            # terms of this length on may have one edit, unless a trie is told otherwise
@@ -40,16 +42,35 @@ HELD_PREFIXES = 400_000     # counts or words that a task holds before it passes
 WIDTH = 5
 
 _WORD = re.compile(r"\w+")
+# Thai to Burmese, Khmer, kana, Han.
+_NO_BLANKS = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_NO_BLANK = re.compile(f"[{_NO_BLANKS}]")
+_SPREAD = re.compile(rf"(?=([{_NO_BLANKS}]{{1,{SPAN}}}))[{_NO_BLANKS}]|[^\W{_NO_BLANKS}]+")
 _QUOTE = re.compile("[\"“”„«»]")
 _CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«"}
 
 
 # --- lexicon -----------------------------------------------------------------------------------
 
+def _words(lower: str) -> list[str]:
+    """Words of a text in lower case; in scripts without blanks, the next letters from each letter on."""
+    if lower.isascii() or not _NO_BLANK.search(lower):
+        return _WORD.findall(lower)
+    return [m[1] or m[0] for m in _SPREAD.finditer(lower)]
+
+
+def _places(lower: str) -> Iterator[tuple[str, int]]:
+    """The same words with their places."""
+    if lower.isascii() or not _NO_BLANK.search(lower):
+        return ((m.group(), m.start()) for m in _WORD.finditer(lower))
+    return ((m[1] or m[0], m.start()) for m in _SPREAD.finditer(lower))
+
+
 def _prefixes(word: str) -> list[str]:
     """Prefixes of a word; the whole word ends with a mark, so that it can be told from a stem."""
-    found = [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
-    return found + [word + "$"] if SHORTEST <= len(word) else found
+    if _NO_BLANK.match(word):
+        return [word[:k] for k in range(1, len(word) + 1)]
+    return [*(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)), word + "$"]
 
 
 def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +86,7 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return batch
 
     for text, label in rows_of(batches):
-        words = set(_WORD.findall((text or "").lower()))
+        words = set(_words((text or "").lower()))
         counts[int(label > 0)].update({p for w in words for p in _prefixes(w)})
         if len(counts[0]) + len(counts[1]) > HELD_PREFIXES:
             yield passed_on()
@@ -95,7 +116,7 @@ def learn_terms(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     Terms have a weight and the toxic ``part`` of their documents; ``share`` is that of all documents.
     Terms that end with ``$`` are words, others are stems. A prefix qualifies if chance would hardly
     put so many of its documents among the toxic ones, with a bound that counts how many prefixes are
-    tried. All that qualify are kept; prefixes of one family grow together in one task.
+    tried, and if its odds ratio, which the share of toxic rows does not change, is that of a term. All that qualify are kept; prefixes of one family grow together in one task.
     """
     spark = marked.sparkSession
     counts = written(marked.select("text", "y").mapInArrow(
@@ -122,8 +143,10 @@ def learn_terms(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.table({"term": pa.array(names, pa.string()), "weight": pa.array(weights, pa.float64()),
                          "part": pa.array([found[t][0] / sum(found[t]) for t in names], pa.float64())})
 
-    terms = counts.filter((part > max(0.5, 2 * share)) & (evidence >= math.log(tried / FALSE_TERMS))) \
-        .withColumn("family", F.substring("prefix", 1, SHORTEST)).groupBy("family").applyInArrow(choose, TERM)
+    odds = (F.col("toxic") + 0.5) / (positive + 1) * (negative + 1) / (F.col("clean") + 0.5)
+    begin = F.when(F.col("prefix").rlike(f"^[{_NO_BLANKS}]"), F.lit(1)).otherwise(SHORTEST)
+    terms = counts.filter((part > share) & (odds >= LEAST_ODDS) & (evidence >= math.log(tried / FALSE_TERMS))) \
+        .withColumn("family", F.substring("prefix", F.lit(1), begin)).groupBy("family").applyInArrow(choose, TERM)
     return written(terms, "terms"), words.withColumn("share", F.lit(float(share)))
 
 
@@ -178,7 +201,7 @@ def _fresh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[set[str]]:
     """The words of each text that a task has not seen lately."""
     seen: set[str] = set()
     for (text,) in rows_of(batches):
-        fresh = set(_WORD.findall((text or "").lower())) - seen
+        fresh = set(_words((text or "").lower())) - seen
         if fresh:
             seen |= fresh
             yield fresh
@@ -355,25 +378,36 @@ def _quoted(text: str) -> list[tuple[int, int]]:
 
 def evidence(text: str | None, trie: Trie) -> tuple[list[float], list[tuple[str, int, bool]]]:
     """Numbers for the score, and the hits: term, word number, quoted."""
-    hits, n = _hits(text, trie.matches(set(_WORD.findall((text or "").lower()))))
+    hits, n = _hits(text, trie.matches(set(_words((text or "").lower()))))
+    hits = _apart(hits)
     return _numbers(hits, n), [h[:3] for h in hits]
 
 
 def _hits(text: str | None, known: dict[str, tuple[str, float]]) -> tuple[list[tuple[str, int, bool, float]], int]:
     """Term, word number, quoted and weight of each known word, and the number of all words."""
     lower = (text or "").lower()
-    words = _WORD.findall(lower)
+    words = _words(lower)
     if known.keys().isdisjoint(words):
         return [], len(words)
     spans = _quoted(lower) if _QUOTE.search(lower) else []
     hits = []
-    for k, w in enumerate(_WORD.finditer(lower)):
-        if w.group() in known:
-            term, weight = known[w.group()]
-            hits.append((term, k, any(a < w.start() < b for a, b in spans), weight))
+    for k, (word, start) in enumerate(_places(lower)):
+        if word in known:
+            term, weight = known[word]
+            hits.append((term, k, any(a < start < b for a, b in spans), weight))
     return hits, len(words)
 
 
+def _apart(hits: list[tuple[str, int, bool, float]]) -> list[tuple[str, int, bool, float]]:
+    """Hits without those inside another one, which scripts without blanks permit."""
+    kept, upto = [], 0
+    for hit in hits:
+        if hit[1] >= upto:
+            kept.append(hit)
+            upto = hit[1] + (len(hit[0]) if _NO_BLANK.match(hit[0]) else 1)
+    return kept
+
+
 def _numbers(hits: list[tuple[str, int, bool, float]], n: int) -> list[float]:
     if not hits:
         return [0.0] * WIDTH
@@ -412,7 +446,7 @@ def with_evidence(docs: DataFrame, known: DataFrame, keep: list[str], text: str)
                         hits, n = _hits(t, shared.value)
                         if earlier:
                             hits = sorted(hits + [tuple(h[c] for c in HIT) for h in earlier], key=lambda h: h[1])
-                        found.append((hits, n))
+                        found.append((_apart(hits) if last else hits, n))
                     hits = pa.array([[dict(zip(HIT, h)) for h in hs] for hs, _ in found], kind)
                     own = pa.array([_numbers(*f) for f in found], pa.list_(pa.float64())) if last \
                         else part.column("_text")
