@@ -248,8 +248,10 @@ class Trie:
         self.root: dict = {}
         self.near: set[str] = set()             # fuzzy terms and what is left without one letter
         self.near_stems: set[str] = set()
-        self.begins: set[str] = set()           # one edit leaves one half of a stem as it is
+        self.begins: set[str] = set()           # one edit leaves one half of a term as it is
         self.ends: set[str] = set()
+        self.stem_begins: set[str] = set()
+        self.stem_ends: set[tuple[int, str]] = set()            # with the places where they may stand
         for term in {*self.words, *self.stems}:
             if len(term) < fuzzy:
                 continue
@@ -257,15 +259,20 @@ class Trie:
             for letter in term:
                 node = node.setdefault(letter, {})
             node[""] = term
+            k = len(term) // 2
+            begins = {term[:k], term[:k - 1] + term[k]}         # as it is, or swapped across the middle
             self.near |= {term, *_shortened(term)}
+            self.begins |= begins
+            self.ends.add(term[k:])
             if term in self.stems:
-                k = len(term) // 2
                 self.near_stems |= {term, *_shortened(term)}
-                self.begins |= {term[:k], term[:k - 1] + term[k]}   # as it is, or swapped across the middle
-                self.ends.add(term[k:])
+                self.stem_begins |= begins
+                self.stem_ends |= {(place, term[k:]) for place in (k - 1, k, k + 1)}
         self.sizes = {len(x) + k for x in self.near for k in (0, 1)}
         self.stem_sizes = sorted({len(x) + k for x in self.near_stems for k in (0, 1)})
-        self.halves = sorted({len(x) for x in self.begins})
+        self.parts = sorted({len(x) for x in self.begins}), sorted({len(x) for x in self.ends})
+        self.stem_parts = sorted({len(x) for x in self.stem_begins}), sorted({(p, len(x)) for p, x in self.stem_ends})
+        self.firsts, self.lasts = {x[:2] for x in self.begins}, {x[-2:] for x in self.ends}
 
     def weight(self, term: str) -> float:
         return max(self.words.get(term, 0.0), self.stems.get(term, 0.0))
@@ -296,19 +303,24 @@ class Trie:
     def misspelled(self, word: str) -> str:
         """The term that ``word``, or its beginning, is one edit away from, or ""."""
         # Within one edit means equal without a letter each at most; only such words walk the trie.
-        if len(word) in self.sizes and _close(word, self.near):
+        if len(word) in self.sizes and self._has_half(word) and _close(word, self.near):
             return self._within_one(word)
-        if self._has_half(word) and any(_close(word[:k], self.near_stems) for k in self.stem_sizes if k < len(word)):
+        if self.stems and self._begins_with_half(word) and any(_close(word[:k], self.near_stems) for k in self.stem_sizes if k < len(word)):
             return self._within_one(word)
         return ""
 
     def _has_half(self, word: str) -> bool:
-        for k in self.halves:
-            if word[:k] in self.begins:
+        if self.fuzzy >= 4 and word[:2] not in self.firsts and word[-2:] not in self.lasts:
+            return False
+        return any(word[:k] in self.begins for k in self.parts[0]) or any(word[-k:] in self.ends for k in self.parts[1])
+
+    def _begins_with_half(self, word: str) -> bool:
+        for k in self.stem_parts[0]:
+            if word[:k] in self.stem_begins:
+                return True
+        for place, k in self.stem_parts[1]:
+            if (place, word[place:place + k]) in self.stem_ends:
                 return True
-            for place in (k - 1, k, k + 1):
-                if word[place:place + k] in self.ends or word[place:place + k + 1] in self.ends:
-                    return True
         return False
 
     def _within_one(self, word: str) -> str:
