@@ -268,3 +268,30 @@ def test_quoted_terms_weigh_less():
     quoted, marks = toxicity.evidence('he said "you idiot" and „idiot“ again', trie)
     assert [h[2] for h in hits] == [False, False] and [h[2] for h in marks] == [True, True]
     assert quoted[0] < open_[0] and quoted[2] == 0
+
+
+def test_one_block_of_test_items_at_a_time(spark, monkeypatch):
+    """Repeated items fill no block, and a block is gone before the next one is sent."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(40)]
+    items = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(texts)] + [("i0", texts[0])] * 500,
+                                  "item_id string, text string")
+    docs = spark.createDataFrame([(k, f"so {t} end") for k, t in enumerate(texts)], SCHEMA)
+    sent, held, most = [], [], []
+    send = spark.sparkContext.broadcast
+
+    def counting(value):
+        shared = send(value)
+        sent.append(len(value))
+        held.append(shared)
+        most.append(len(held))
+        destroy = shared.destroy
+        monkeypatch.setattr(shared, "destroy", lambda *a: (held.remove(shared), destroy(*a)))
+        return shared
+
+    whole = decontamination.find_matches(docs, items, keep=["doc_id"]).collect()
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counting)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2_000)
+    parts = decontamination.find_matches(docs, items, keep=["doc_id"]).collect()
+    assert sum(sent) == 40 and len(sent) > 2 and max(most) == 1
+    assert sorted(parts) == sorted(whole) and all(len(r.matches) == 1 for r in parts)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import byte_length, hash60, text_of
+from tracewell.llm.common import byte_length, hash60, text_of, written
 
 WINDOW = 13                 # words of a window
 SHARE = 20                  # contaminated: hit words times this reach the words of the document
@@ -162,7 +162,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 
     A match is a maximal verbatim run of words that a test item and the document share, at least a
     window long (``window`` words, or a whole shorter item). ``benchmark`` may be of any size: it is
-    searched in blocks of a bounded size, one after the other. Null or empty texts have no words;
+    searched in blocks of a bounded size, each result written before the next block is sent. Null or empty texts have no words;
     items without words match nothing; rows of one item id count as one item; a null item id is "".
     Repeated documents are rows of their own, and every text is searched whole. ``n_words`` and
     ``matches`` must not be names of kept columns here; ``clean`` takes any names.
@@ -174,18 +174,24 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 def _searched(docs: DataFrame, benchmark: DataFrame, text: str, window: int, keep: list[str],
               item: str = "item_id", item_text: str = "text") -> DataFrame:
     spark = docs.sparkSession
-    size = benchmark.agg(F.sum(byte_length(f"`{item_text}`"))).first()[0] or 0
+    named = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("id"),
+                             F.col(f"`{item_text}`").alias("t")).distinct()
+    # An id counts too, so that items of short texts are bounded as well.
+    size = named.agg(F.sum(byte_length("t") + byte_length("id"))).first()[0] or 0
     blocks = 1 + int(size) // BLOCK_BYTES
-    part = F.pmod(hash60(F.concat(text_of(item), F.coalesce(F.col(item_text), F.lit("")))), F.lit(blocks))
-    named = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("id"),
-                             F.col(item_text).alias("t"), part.alias("part"))
+    if blocks > 1:
+        part = F.pmod(hash60(F.concat(text_of("id"), F.coalesce(F.col("t"), F.lit("")))), F.lit(blocks))
+        named = written(named.withColumn("part", part), "items")
     found = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])],
                         F.lit(0).cast("long").alias(WORDS), F.array().cast(MATCH).alias(MATCHES))
     for k in range(blocks):
         items = spark.sparkContext.broadcast(
-            [(r.id, r.t) for r in named.filter(F.col("part") == k).select("id", "t").collect()])
+            [(r.id, r.t) for r in (named.filter(F.col("part") == k) if blocks > 1 else named).select("id", "t").collect()])
         names = keep if k == blocks - 1 else list(dict.fromkeys([*keep, text]))
         found = _with_matches(found, items, text, window, names)
+        if k < blocks - 1:
+            found = written(found, "searched")
+            items.destroy()
     return found
 
 
