@@ -217,7 +217,8 @@ def prj_15_kind_hint(spark, d):
 
 @query
 def prj_17_file_requests(spark, d):
-    return requests.file_requests(fx.code_files(spark, d))
+    return requests.file_requests(fx.code_files(spark, d), flows=10, taints=10, validations=5, suspicious=5,
+                                  dependencies=10)
 
 
 @query

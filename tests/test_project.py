@@ -102,6 +102,14 @@ def test_request_text(files_of):
     assert "   Sanitized: False\n" in prompt and prompt.endswith("os.system(aa)\n```\nEND")
 
 
+def test_request_holds_all_flows_unless_first_ones_are_asked_for(files_of):
+    names = [letter * 2 for letter in "abcdefghijklm"]
+    files = files_of({"x.py": "".join(f"{n} = input()\nos.system({n})\n" for n in names)})
+    prompt = requests.file_requests(files).first().prompt
+    assert all(f"Source: {n} = input()" in prompt for n in names) and "13. user_input" in prompt
+    assert "11. user_input" not in requests.file_requests(files, flows=10).first().prompt
+
+
 def test_request_names_project_patterns(spark, files_of):
     extra = spark.createDataFrame(
         [(1, "wrapper_function", None, "wrapIt", None, 0), (1, "security_pattern", "encryption", "enc", None, 1),

@@ -1,7 +1,7 @@
 """Texts handed to a model between the stages: digests of the analysis, one row per request.
 
-Only the data part is built; instructions are the caller's. First-n slices are taken from the
-per-file arrays, so no ranking is needed for them.
+Only the data part is built; instructions are the caller's. First-n slices, where asked for, are taken
+from the per-file arrays, so no ranking is needed for them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,12 @@ PATTERN_LISTS = {
     "Validation functions": "validation_names",
     "Wrapper functions": "wrappers",
 }
-FLOWS, TAINTS, VALIDATIONS, SUSPICIOUS, DEPENDENCIES = 10, 10, 5, 5, 10
+
+
+def _first(items: str | Column, n: int | None) -> Column:
+    """The first ``n`` elements, or all."""
+    column = F.col(items) if isinstance(items, str) else items
+    return column if n is None else F.slice(column, 1, n)
 
 
 def _section(title: str, items: Column, line) -> Column:
@@ -37,40 +42,44 @@ def _join(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def dataflow_digest() -> Column:
-    """First flows, taints, validations and suspicious lines of an analysed file as text."""
-    flows = _section(
-        "Source-Sink Flows (potential vulnerabilities):\n", F.slice("flows", 1, FLOWS),
+def dataflow_digest(flows: int | None = None, taints: int | None = None, validations: int | None = None,
+                    suspicious: int | None = None) -> Column:
+    """Flows, taints, validations and suspicious lines of an analysed file as text: all, or the first n."""
+    flow_text = _section(
+        "Source-Sink Flows (potential vulnerabilities):\n", _first("flows", flows),
         lambda f: _join(
             f.source_type, " at line ", f.source_line, " flows to ", f.sink_type, " at line ",
             f.sink_line, "\n   Source: ", f.source_code, "\n   Flow Path: ",
             F.array_join(f.flow_path, " -> "), "\n   Sink: ", f.sink_code, "\n   Sanitized: ",
             F.initcap(f.sanitized.cast("string")), "\n\n"))
-    taints = _section(
-        "Taint Propagation:\n", F.slice("taints", 1, TAINTS),
+    taint_text = _section(
+        "Taint Propagation:\n", _first("taints", taints),
         lambda t: _join(
             "Tainted variable '", t.variable, "' at line ", t.line_no, " from ", t.source,
             "\n   Transformations: ", F.array_join(t.transformations, ", "), "\n"))
     checks = _section(
         "\nValidation Attempts (potential bypasses):\n",
-        F.slice("validation_attempts", 1, VALIDATIONS),
+        _first("validation_attempts", validations),
         lambda v: _join(
             "Validation at line ", v.line_no, " for input from line ", v.input_line,
             "\n   Validation code: ", v.code, "\n   Potential bypass: ",
             F.when(F.size(v.bypasses) == 0, "No obvious bypasses detected")
             .otherwise(F.array_join(v.bypasses, "; ")), "\n\n"))
     odd = _section(
-        "\nSuspicious Patterns:\n", F.slice("suspicious_patterns", 1, SUSPICIOUS),
+        "\nSuspicious Patterns:\n", _first("suspicious_patterns", suspicious),
         lambda s: _join(s.type, " at line ", s.line_no, ": ", s.description, "\n   Code: ",
                         s.code, "\n\n"))
-    return _join("Data Flow Analysis Results:\n", flows, taints, checks, odd)
+    return _join("Data Flow Analysis Results:\n", flow_text, taint_text, checks, odd)
 
 
 def file_requests(files: DataFrame, context: DataFrame | None = None,
                   patterns: DataFrame | None = None, instructions: str = "",
-                  max_chars: int | None = None) -> DataFrame:
+                  max_chars: int | None = None, flows: int | None = None, taints: int | None = None,
+                  validations: int | None = None, suspicious: int | None = None,
+                  dependencies: int | None = None) -> DataFrame:
     """One request per file: context, digest and code, its middle cut out beyond ``max_chars``.
 
+    Flows to dependencies are all named unless only the first n are asked for.
     Everything stays on the file row, so no join is needed beyond the per-project lookups.
     """
     code = F.col("content")
@@ -85,8 +94,7 @@ def file_requests(files: DataFrame, context: DataFrame | None = None,
         if context is None:
             return F.lit("")
         names = F.array_sort(F.map_keys(name))
-        return F.coalesce(F.array_join(names if n is None else F.slice(names, 1, n), ", "),
-                          F.lit(""))
+        return F.coalesce(F.array_join(_first(names, n), ", "), F.lit(""))
 
     nothing = F.array().cast("array<string>")
     known = [part for title, column in PATTERN_LISTS.items() for part in (
@@ -94,9 +102,9 @@ def file_requests(files: DataFrame, context: DataFrame | None = None,
     prompt = _join(
         "File: ", F.col("path"), "\nLanguage: ", F.col("language"), "\n", F.col("hint"),
         "\n\nFile Context:\n- Framework: ", keys("frameworks"), "\n- Dependencies: ",
-        keys("dependencies", DEPENDENCIES), "\n- File purpose: ", F.col("purpose"),
+        keys("dependencies", dependencies), "\n- File purpose: ", F.col("purpose"),
         "\n- API endpoints: ", F.array_join("endpoints", ", "),
-        "\n\nProject-Specific Patterns:", *known, "\n\n", dataflow_digest(),
+        "\n\nProject-Specific Patterns:", *known, "\n\n", dataflow_digest(flows, taints, validations, suspicious),
         "\nCode:\n```", F.col("language"), "\n", code, "\n```\n",
         instructions)
     return analysed.select(*KEYS, prompt.alias("prompt"))
