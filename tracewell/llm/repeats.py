@@ -1,12 +1,11 @@
-"""Exact repeats of at least ``LENGTH`` bytes, by merging sparse Burrows-Wheeler transforms.
+"""Exact repeats of at least ``LENGTH`` bytes, by grouping anchors and sorting their contexts.
 
-Only suffixes at anchors are sorted. An anchor is the least hashed gram of a window of ``LENGTH``
+This stands in for merged Burrows-Wheeler transforms; no transform is made. Only suffixes at anchors are sorted. An anchor is the least hashed gram of a window of ``LENGTH``
 bytes, so equal windows have equal anchors at equal places, and about one position in eighty is one.
 Each shard of documents lists its anchors; anchors with equal surroundings are settled by counting.
 The rest meet by anchor, and the orders of all shards are merged: the interleave of their suffixes is
 refined symbol by symbol (eight bytes each), only inside blocks that still agree, which also yields
-the common prefixes of neighbours. The same is done for what precedes the anchors (the transform's
-own column, read backwards). A window around an anchor repeats where an interval of common right
+the common prefixes of neighbours. The same is done for what precedes the anchors, read backwards. A window around an anchor repeats where an interval of common right
 context and one of common left context, together as long as the window, share two members.
 """
 
