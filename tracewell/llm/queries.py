@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
-    decontamination, extraction, mixing, near_dedup, quality, repeats, sharding, topk, toxicity, warc,
+    audit, decontamination, extraction, mixing, near_dedup, quality, repeats, sharding, topk, toxicity, warc,
 )
 from tracewell.llm.common import byte_length, table
 
@@ -220,3 +220,35 @@ from rows_ left join firsts using (payload_digest)"""
 @query
 def op5_extract(spark, d):
     return extraction.extract(table(spark, d, "pages"))
+
+
+@query
+def op11_audit(spark, d):
+    return audit.audit_filters(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+ORACLES["op11_audit"] = r"""
+with rows_ as materialized (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+marks as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+fails as materialized (select part, (len(w) < 50)::int as a, (100 * len(list_distinct(w)) < 65 * len(w))::int as b,
+  (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::int as c,
+  regexp_matches(t, '[#$%&*|]')::int as d, coalesce(min(doc_id) over (partition by t) < doc_id, false)::int as e,
+  coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from rows_ left join marks using (doc_id)),
+counts as materialized (select part, a + 2 * b + 4 * c + 8 * d + 16 * e as m, count(*) as n, sum(good) as good,
+  sum(toxic) as toxic from fails group by 1, 2),
+letters as (select unnest(range(0, 5)) as k),
+orders as materialized (select [a.k, b.k, c.k, d.k, e.k] as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps as materialized (select array_to_string([substr('ABCDE', k::int + 1, 1) for k in o], '') as filter_order, step,
+  1 << o[step] as f, coalesce(list_sum([1 << k for k in o[1:step - 1]]), 0)::bigint as s
+  from orders, range(1, 6) t(step)),
+sums as materialized (select part, filter_order, step, f,
+  coalesce(sum(n) filter (m & (s | f) = 0), 0) as kept, coalesce(sum(n) filter (m & s = 0 and m & f > 0), 0) as removed,
+  coalesce(sum(n) filter (m & s > 0 and m & f > 0), 0) as redundant,
+  coalesce(sum(n) filter (m = f), 0) as unique_fails,
+  coalesce(sum(good) filter (m & s = 0 and m & f > 0), 0) as good_lost,
+  coalesce(sum(toxic) filter (m & s = 0 and m & f > 0), 0) as toxic_lost from counts, steps group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed,
+  redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from sums"""
