@@ -41,7 +41,7 @@ def plain(docs, labels):
                 gone = [i for i in left if fails[i][f]]
                 left = [i for i in left if not fails[i][f]]
                 shapley[f] += len(gone)
-                lost = [sum((docs[i].doc_id, 1) in labels[k] for i in gone) for k in (0, 1)]
+                lost = [sum(docs[i].doc_id is not None and (docs[i].doc_id, 1) in labels[k] for i in gone) for k in (0, 1)]
                 out[part, order, step] = [
                     len(left), len(gone), sum(fails[i][f] for i in mine) - len(gone),
                     sum(fails[i][f] and sum(fails[i].values()) == 1 for i in mine), *lost]
