@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
-    audit, decontamination, extraction, mixing, near_dedup, quality, repeats, sharding, topk, toxicity, warc,
+    audit, decontamination, extraction, mixing, near_dedup, packing, quality, repeats, sharding, topk, toxicity,
+    warc,
 )
 from tracewell.llm.common import byte_length, table
 
@@ -252,3 +254,9 @@ sums as materialized (select part, filter_order, step, f,
 select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed,
   redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
   toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, f))::bigint as shapley from sums"""
+
+
+@query
+def op12_packing(spark, d):
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(table(spark, d, "documents"), files[0], ranks=files[1], pattern=public_tokenizers.PATTERN)
