@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, duck, data, name):
 
 
 def test_numbers_of_operators():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 13))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name, label, least", [("op2_quality", "quality", 0.9), ("op7_toxicity", "toxic", 0.85)])

@@ -8,6 +8,7 @@ only through the set of filters before a step, 31 unions settle all orders.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heapreplace
@@ -177,6 +178,10 @@ def _common(ids: list[int], marked: list[int]) -> list[int]:
 
 # --- orders ------------------------------------------------------------------------------------
 
+def _constant(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def audit(postings: DataFrame, names: str) -> DataFrame:
     """A row per part, order of the filters and step.
 
@@ -195,32 +200,27 @@ def audit(postings: DataFrame, names: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct(code, F.struct("removed", "good", "toxic")))).alias("sums"))
     steps = []
     for order in permutations(range(n)):
-        done = 0
-        codes = []
+        done, codes = 0, []
         for step, k in enumerate(order, 1):
             codes.append(done * n + k)
-            steps.append(F.struct(
-                F.lit("".join(names[i] for i in order)).alias("filter_order"), F.lit(step).alias("step"),
-                F.lit(k).alias("filter"), F.array(*map(F.lit, codes)).alias("codes"), F.lit(
-                    (((1 << n) - 1) & ~(1 << k)) * n + k).alias("others")))
             done |= 1 << k
+            steps.append({"filter_order": "".join(names[i] for i in order), "step": step, "filter": k,
+                          "codes": codes[:], "others": (((1 << n) - 1) & ~(1 << k)) * n + k})
+    weights = [[{"code": b * n + k, "weight": factorial(b.bit_count()) * factorial(n - 1 - b.bit_count())}
+                for b in range(1 << n) if not b >> k & 1] for k in range(n)]
 
     def one(code_: Column, field: str) -> Column:
         return F.element_at("sums", code_)[field]
 
     zero = F.lit(0).cast("long")
-    def weighed(k: int) -> Column:
-        """What a filter removes, summed over all orders: so many have a given set before it."""
-        sets = [b for b in range(1 << n) if not b >> k & 1]
-        codes = F.array(*[F.struct(F.lit(b * n + k).alias("code"), F.lit(
-            factorial(b.bit_count()) * factorial(n - 1 - b.bit_count())).cast("long").alias("weight")) for b in sets])
-        return F.aggregate(codes, zero, lambda total, w: total + w["weight"] * one(w["code"], "removed"))
-
-    shapley = F.array(*map(weighed, range(n)))
+    # So many orders have a given set of filters before a filter.
+    shapley = F.transform(_constant(weights, "array<array<struct<code int, weight bigint>>>"), lambda sets: F.aggregate(
+        sets, zero, lambda total, w: total + w["weight"] * one(w["code"], "removed")))
     s = F.col("s")
     here = F.element_at(s["codes"], -1)
     return parts.select("part", "n_rows", "sums", shapley.alias("shapley")) \
-        .select("part", "n_rows", "sums", "shapley", F.explode(F.array(*steps)).alias("s")) \
+        .select("part", "n_rows", "sums", "shapley", F.explode(_constant(
+            steps, "array<struct<filter_order string, step int, filter int, codes array<int>, others int>>")).alias("s")) \
         .select("part", s["filter_order"].alias("filter_order"), s["step"].alias("step"),
                 (F.col("n_rows") - F.aggregate(s["codes"], zero, lambda total, c: total + one(c, "removed")))
                 .alias("kept"),

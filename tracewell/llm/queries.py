@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
-    audit, decontamination, extraction, mixing, near_dedup, packing, quality, repeats, sharding, topk, toxicity,
-    warc,
+    audit, decontamination, extraction, mixing, near_dedup, packing, quality, repair, repeats, sharding, topk,
+    toxicity, warc,
 )
 from tracewell.llm.common import byte_length, table
 
@@ -260,3 +260,74 @@ select part, filter_order, step::int as step, kept::bigint as kept, removed::big
 def op12_packing(spark, d):
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(table(spark, d, "documents"), files[0], ranks=files[1], pattern=public_tokenizers.PATTERN)
+
+
+@query
+def op13_repair(spark, d):
+    return repair.repair_damaged(table(spark, d, "conversations"))
+
+
+def _edited(state: str, cost: str, letter: str, lines: str) -> str:
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'l': {state}.l || {lines}}} end"
+
+
+def _inserts_sql(rows: str) -> str:
+    """Inserts before a row; states 0 to 3 are start, s, u, a, each with its least cost and audit."""
+    for _ in range(3):
+        before = ", ".join(_edited(f"s{i}", "5", "I", "['user:']") for i in (0, 1, 3))
+        after = _edited("s2", "5", "I", "['assistant:']")
+        rows = f"(select * replace (list_min([s2, {before}]) as s2, list_min([s3, {after}]) as s3) from {rows})"
+    return rows
+
+
+def _kept(state: int, initial: str) -> str:
+    return f"case when not must and initial = '{initial}' then {_edited(f's{state}', 'cut', 'K', '[line]')} end"
+
+
+def _recast(state: int, role: str) -> str:
+    return f"case when not must then {_edited(f's{state}', '1 + cut', 'R', f"['{role}:' || text]")} end"
+
+
+_LEAST = {0: [], 1: [_kept(0, "s")], 2: [_kept(i, "u") for i in (0, 1, 3)] + [_recast(i, "user") for i in (0, 1, 3)],
+          3: [_kept(2, "a"), _recast(2, "assistant")]}
+
+ORACLES["op13_repair"] = rf"""
+with recursive codes as (select list(list_reduce([i] || range(8), lambda v, k:
+    case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end) order by i) as codes from range(256) t(i)),
+keyed as materialized (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k
+  from conversations),
+fates as materialized (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  xor(list_reduce([4294967295] || list_transform(range(1, len(k) + 1), lambda i: ascii(substr(k, i, 1))), lambda crc, b:
+    xor(crc >> 8, codes[(xor(crc, b) & 255) + 1])), 4294967295) % 20 as fate from keyed, codes),
+damaged as (select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+  case when fate = 1 then '' when fate = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from fates, range(case fate when 0 then 0 when 3 then 2 else 1 end)),
+numbered as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, role,
+  sha256(text)) as i from damaged),
+judged as materialized (select *, substr(role, 1, 1) as initial, role || ':' || text as line,
+  not regexp_matches(text, '[^ \t-\r]') as blank,
+  row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+  not regexp_matches(text, '[.!?][ \t-\r]*\z') as short,
+  lag(substr(role, 1, 1)) over (partition by conv_id order by i) as previous from numbered),
+rows_ as materialized (select *, blank or again as must, case when short then 5 else 0 end as cut from judged),
+paths as (
+  select conv_id, 0::bigint as i, {{'c': 0::bigint, 'a': '', 'l': []::varchar[]}} as s0,
+    null::struct(c bigint, a varchar, l varchar[]) as s1, null::struct(c bigint, a varchar, l varchar[]) as s2,
+    null::struct(c bigint, a varchar, l varchar[]) as s3 from (select distinct conv_id from rows_)
+  union all
+  select conv_id, i, {", ".join(
+      f"list_min([{', '.join([_edited(f's{s}', '2', 'D', '[]::varchar[]'), *options])}])" for s, options in _LEAST.items())}
+  from {_inserts_sql('''(select p.conv_id, r.i, p.s0, p.s1, p.s2, p.s3, r.initial, r.line, r.text, r.must, r.cut
+    from paths p join rows_ r on p.conv_id is not distinct from r.conv_id and r.i = p.i + 1)''')}),
+sums as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+  count(*) filter (blank) as blank, count(*) filter (again and not blank) as duplicate,
+  count(*) filter (short and not again and not blank) as truncated,
+  count(*) filter (previous is not null and previous || initial not in ('su', 'ua', 'au')) as illegal
+  from rows_ group by 1),
+best as (select conv_id, i as n, list_min([s0, s3]) as s from {_inserts_sql('paths')})
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+  coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(s.c, 0)::bigint as cost, coalesce(s.a, '') as audit,
+  sha256(coalesce(array_to_string(s.l, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join sums using (conv_id) left join best b on b.conv_id = o.conv_id and b.n = sums.n"""
