@@ -48,13 +48,16 @@ def _duck(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def _line_text(quote, pick, row: str = "") -> str:
-    """Text of a line: template k of the language with its placeholders filled in."""
+def _line_text(quote, pick, row: str = "", mark: str = "''") -> str:
+    """Text of a line: template k of the language with its placeholders filled in.
+
+    ``mark`` ends the names of variables.
+    """
     part, supp = f"{row}l_partkey", f"{row}l_suppkey"
     table = [t for name in LANGUAGES for t in TEMPLATES[name]]
     index = f"lang_ix * 16 + ({part} * 7 + {supp} * 3) % 16"
     chosen = pick("[" + ", ".join(quote(t) for t in table) + "]", index)
-    for hole, value in (("{a}", f"concat('v', {supp} % 12)"), ("{c}", f"concat('v', {part} % 11)"),
+    for hole, value in (("{a}", f"concat('v', {supp} % 12, {mark})"), ("{c}", f"concat('v', {part} % 11, {mark})"),
                         ("{fn}", f"concat('fn', {part} % 23)"),
                         ("{p}", f"cast({part} as varchar(20))")):
         chosen = f"replace({chosen}, {quote(hole)}, {value})"
@@ -127,6 +130,45 @@ DUCK_CODE = f"""
     from code_lines group by project_id, path)"""
 
 
+LONG_MARK = "concat('f', {0}file_id, 'x')"
+LONG_PATH = f"concat('p', project_id, '/all.', {_cases(text, 'project_id % 4', EXTENSIONS)}) as path"
+
+
+def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per project that holds the lines of all its files, each with variables of its own."""
+    numbers = ["file_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 8.0).cast("bigint").alias("file_id"), *numbers[1:])
+    gathered = rows.groupBy((F.col("file_id") % 20).alias("project_id")).agg(
+        F.array_sort(F.collect_list(F.struct(*numbers))).alias("rows")) \
+        .selectExpr("project_id", "rows", "project_id % 4 as lang_ix", LONG_PATH,
+                    f"{_cases(text, 'project_id % 4', LANGUAGES)} as language")
+    line = _line_text(text, _spark_pick, "r.", LONG_MARK.format("r."))
+    return gathered.repartition("project_id").select(
+        "project_id", "path", "language",
+        F.expr(f"array_join(transform(rows, r -> {line}), '\\n')").alias("content"))
+
+
+DUCK_LONG = f"""
+  raw_lines as materialized (
+    select project_id, {LONG_PATH}, {_cases(_duck, 'project_id % 4', LANGUAGES)} as language,
+           file_id, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           {_line_text(_duck, _duck_pick, mark=LONG_MARK.format(''))} as text
+    from (select *, file_id % 20 as project_id, file_id % 4 as lang_ix from (
+      select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+             cast(floor(l_orderkey / 8.0) as bigint) as file_id from lineitem) a) b),
+  code_lines as materialized (
+    select project_id, path, language, text,
+           cast(row_number() over (partition by project_id
+                order by file_id, l_orderkey, l_linenumber, l_partkey, l_suppkey) as integer) as line_no
+    from raw_lines),
+  code_files as materialized (
+    select project_id, path, any_value(language) as language,
+           string_agg(text, chr(10) order by line_no) as content,
+           count(*) as n_lines
+    from code_lines group by project_id, path)"""
+
+
 # --- repositories, manifests, findings, responses, project patterns ---------------------------
 
 DIRS = ["src", "routes", "node_modules/x", "build", "auth", "api/controllers", "docs",

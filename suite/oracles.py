@@ -1102,3 +1102,37 @@ select c.project_id, c.path, 'File: ' || c.path || {NL} || 'Language: ' || langu
   || {NL} || 'Code:' || {NL} || {FENCE} || language || {NL} || content || {NL} || {FENCE} || {NL} as prompt
 from code_files c left join df on df.path = c.path left join dt on dt.path = c.path
 left join dv on dv.path = c.path left join ds on ds.path = c.path""")
+
+
+# --- files of any length ------------------------------------------------------------------------
+
+_CALL_WRITE = r"""call_sets as (
+  select c.path, v.var_ord, v.name, 2 as kind, c.call_ord as wo, c.line_no, c.code as text
+  from (select *, regexp_extract(code, '(\w+)\s*=\s*.*\Q' || function || '\E', 1) as variable
+        from calls where instr(code, '=') > 0) c
+  join vars v on v.path = c.path and v.name = c.variable),
+writes as (
+  select * from call_sets union all select"""
+ORACLES["jn_07_chained_calls"] = ORACLES["itr_01_propagation"].replace("writes as (\n  select", _CALL_WRITE, 1) \
+    .replace("validate({a})", "v0 == check({a})")
+for _name, _like in (("jn_08_12_long_files", "jn_08_12_flows"), ("jn_13_long_files", "jn_13_enclosing_definition"),
+                     ("itr_01_long_files", "itr_01_propagation"), ("jn_01_long_files", "jn_01_indirect_sources")):
+    ORACLES[_name] = ORACLES[_like].replace(fx.DUCK_CODE.strip(), fx.DUCK_LONG.strip())
+LONG_VARS = [c.replace(fx.DUCK_CODE, fx.DUCK_LONG) for c in VARS]
+add("jn_03_long_files", *LONG_VARS, body="""
+select project_id, path, var_ord, name, count(*) as uses, sum(line_no)::bigint as line_sum,
+       min(context) as first_context, max(context) as last_context, count(distinct ref_name) as ref_names
+from (
+  select v.project_id, v.path, v.var_ord, v.name, o.line_no, o.initializer as context, o.name as ref_name
+  from vars v join vars o on o.path = v.path and contains(o.initializer, v.name)
+  union all
+  select v.project_id, v.path, v.var_ord, v.name, l.line_no, l.value, l.name
+  from vars v join laters l on l.path = v.path and contains(l.value, v.name)) t group by all""")
+add("jn_15_long_files", fx.DUCK_LONG, CHECK_RULES, VALID,
+    "attempts as materialized (select *, row_number() over () as id from valid0)", f"""compared as (
+  select id, path, line_no, unnest(list_distinct(regexp_extract_all(context, {q(COMPARED)}, 1))) as name from attempts)""",
+    r"""assigned as (select path, line_no, unnest(list_distinct(regexp_extract_all(text, '(\w+)\s*=', 1))) as name
+  from code_lines)""", """near as (select id, max(a.line_no) as found from compared c
+  join assigned a on a.path = c.path and a.name = c.name and a.line_no < c.line_no group by id)""", body="""
+select project_id, path, line_no, code, cast(coalesce(found, greatest(1, line_no - 5)) as integer) as input_line
+from attempts left join near using (id)""")

@@ -12,7 +12,7 @@ from suite import fixtures as fx
 from tracewell.functions import scalars as sc
 from tracewell.functions.expressions import find_all, struct
 from tracewell.functions.rows import explode_structs
-from tracewell.operators import dataflow, facts, match, project
+from tracewell.operators import dataflow, facts, flow_tables, match, project
 from tracewell.operators.sizing import scratch_folder, spread_small
 from tracewell.plans import report, requests
 from tracewell.plans import responses as rs
@@ -657,6 +657,66 @@ def jn_21_context(spark, d):
                       joined(F.array_sort(F.map_keys("dependencies"))).alias("dependencies"))
 
 
+# Files of any length: the results of the queries above, from tables instead of arrays on a file row.
+
+LONG_FILE = 1_000       # lines; files from here on are answered by tables
+
+
+def long_analysis_of(spark, d, result):
+    return flow_tables.table(fx.long_files(spark, d), result, lines=LONG_FILE)
+
+
+@query
+def jn_01_long_files(spark, d):
+    return long_analysis_of(spark, d, "sources").where("parent_line is not null").select(
+        "project_id", "path", "line_no", "source_type", "source_code", "source_pattern", "derived_variable",
+        "parent_line", "parent_pattern")
+
+
+@query
+def jn_03_long_files(spark, d):
+    found = flow_tables.FlowTables(fx.long_files(spark, d)).references()
+    return found.groupBy("project_id", "path", "var_ord", "name").agg(
+        F.count("*").alias("uses"), F.sum("line_no").alias("line_sum"), F.min("context").alias("first_context"),
+        F.max("context").alias("last_context"), F.countDistinct("ref_name").alias("ref_names"))
+
+
+@query
+def itr_01_long_files(spark, d):
+    return long_analysis_of(spark, d, "taints").where("hop > 0").select(
+        "project_id", "path", "variable", "line_no", "source", "code", "transformed_from", "hop")
+
+
+@query
+def jn_08_12_long_files(spark, d):
+    return long_analysis_of(spark, d, "flows").select(
+        "project_id", "path", "source_type", "source_line", "source_code", "sink_type",
+        "sink_line", "sink_code", "sanitized", F.size("sanitizers").alias("sanitizer_count"), "variable",
+        joined("flow_path", " -> ").alias("flow_path"),
+        joined("validation_bypass").alias("validation_bypass"), "sink_after_source")
+
+
+@query
+def jn_13_long_files(spark, d):
+    return long_analysis_of(spark, d, "call_edges").select(
+        "project_id", "path", "call_ord", "callee", "line_no", "caller", "caller_line")
+
+
+@query
+def jn_15_long_files(spark, d):
+    return long_analysis_of(spark, d, "validation_attempts").select(
+        "project_id", "path", "line_no", "code", "input_line")
+
+
+@query
+def jn_07_chained_calls(spark, d):
+    """Taint that goes on through the values of called functions; some lines compare with such a value."""
+    files = fx.code_files(spark, d)
+    files = files.withColumn("content", F.replace("content", F.lit("validate("), F.lit("v0 == check(")))
+    return dataflow.table(files, "taints", chain_calls=True).where("hop > 0").select(
+        "project_id", "path", "variable", "line_no", "source", "code", "transformed_from", "hop")
+
+
 # --- aggregates, rankings, sets ---------------------------------------------------------------
 
 @query

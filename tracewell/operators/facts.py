@@ -192,7 +192,7 @@ def imports_expr(lines: str = "lines", language: str = "language") -> str:
 
 # --- variables --------------------------------------------------------------------------------
 
-def _events_expr(content: str, lines: str, language: str) -> str:
+def events_expr(content: str = "content", lines: str = "lines", language: str = "language") -> str:
     """Assignment-like facts in fact order; the first sighting of a name makes a variable."""
     def event(line_no, name, is_decl, scope, var_type, value=None):
         code = _code(lines, line_no)
@@ -232,7 +232,7 @@ def variables_expr(content: str = "content", lines: str = "lines",
         assigned_value="x.e.assigned_value", scope="x.e.scope", var_type="x.e.var_type",
         later_assigns=f"if(x.idx = x.fp, {later}, {empty(LATER)})")
     return let({
-        "_ev": _events_expr(content, lines, language),
+        "_ev": events_expr(content, lines, language),
         "_nm": "transform(_ev, e -> e.name)",
         "_ix": numbered,
     }, f"transform(filter(_ix, x -> x.e.is_decl or x.idx = x.fp), (x, _vi) -> {variable})")

@@ -170,13 +170,18 @@ SOURCE = ("struct<line_no:int,source_type:string,source_code:string,source_patte
           "assigned:string>")
 
 
+def derived_shape(name: str) -> str:
+    """The expression of an assignment from a value that holds ``name``."""
+    return f"concat('(?d)(?<!\\\\w)(\\\\w++)\\\\s*=\\\\s*.*', {name})"
+
+
 def sources_expr(hits: str = "hits") -> str:
     """Direct sources, then lines that assign from a variable filled by a direct source."""
     direct = struct(
         line_no="h.line_no", source_type="h.rule_type", source_code="h.code",
         source_pattern="h.pattern", context="h.context", derived_variable=null("string"),
         parent_line=null("int"), parent_pattern=null("string"), assigned="h.assigned")
-    shape = "concat('(?d)(?<!\\\\w)(\\\\w++)\\\\s*=\\\\s*.*', h.assigned)"
+    shape = derived_shape("h.assigned")
     indirect = struct(
         line_no="s.line_no", source_type="concat('indirect_', h.rule_type)",
         source_code=strip("s.text"), source_pattern="h.assigned", context=null("string"),
@@ -271,13 +276,17 @@ def _input_line(ctx: str, line_no: str, numbered: str) -> str:
     return f"coalesce({found}, greatest(1, {line_no} - 5))"
 
 
-def validations_expr(names: str = "validation_names") -> str:
-    """Validation attempts in line order, one entry per matching check."""
+def validations_expr(names: str = "validation_names", input_line: bool = True) -> str:
+    """Validation attempts in line order, one entry per matching check.
+
+    ``input_line`` looks through all earlier lines; without it the field is left out.
+    """
     count = " + ".join(f"int(rlike(q.text, {text(java_regex(p))}))" for p in VALIDATION_PATTERNS)
     count += f" + size(filter(coalesce({names}, {empty('string')}), f -> contains(q.text, f)))"
     row = struct(
         line_no="p.line_no", code=strip("p.text"), context="cx", bypasses=_bypasses("cx"),
-        input_line=_input_line("cx", "p.line_no", "nl"), validated_input=null("string"))
+        **({"input_line": _input_line("cx", "p.line_no", "nl")} if input_line else {}),
+        validated_input=null("string"))
     one = let({"cx": window_text("ls", "p.line_no", 4), "rw": row}, "array_repeat(rw, p.n)")
     numbered = "transform(ls, (x, i) -> struct(i + 1 as line_no, x as text))"
     counted = f"transform(nl, q -> struct(q.line_no, q.text, {count} as n))"

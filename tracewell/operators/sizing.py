@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,3 +88,10 @@ def settled(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_folder(frame.sparkSession))
     return frame.checkpoint()
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` as a table in the shared folder: the lineage ends there and lost executors do not matter."""
+    path = f"{scratch_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
