@@ -98,3 +98,14 @@ def test_mixture_uses_exactly_its_budget(spark, share):
     total = sum((k + 1) * (k + 2) for k in range(12))
     found = taken(mixing.mix(docs, F.lit("d"), weights({}, {"en": 3}, {"s3": 5}), share, 2))
     assert sum(found.values()) == min(total * share[0] // share[1], 2 * total)
+
+
+def test_weight_zero_leaves_out_and_hands_on(spark):
+    docs = corpus(spark, [("a1", "en", 10, 10), ("a2", "en", 10, 10), ("a3", "de", 10, 10), ("b1", "en", 10, 10)])
+    domain = F.substring("source", 1, 1)
+    got = taken(mixing.mix(docs, domain, weights({"b": 0}, {}, {"a2": 0}), (1, 1)))
+    assert got == {("a", "en", "a1"): 100, ("a", "de", "a3"): 100}
+    half = taken(mixing.mix(docs, domain, weights({}, {"de": 0}, {}), (1, 2)))
+    assert sum(n for (d, _, _), n in half.items() if d == "a") == 100 == half["b", "en", "b1"]
+    assert ("a", "de", "a3") not in half
+    assert mixing.mix(docs, domain, weights({"a": 0, "b": 0}, {}, {}), (1, 1)).collect() == []

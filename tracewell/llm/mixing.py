@@ -37,11 +37,11 @@ def _shares(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Splits ``budget`` of each parent over its children: ``cap``, ``weight`` -> ``tokens``.
 
     Children with the least room for their weight fill up first; the rest is shared by weight with
-    cumulative rounding, so the shares add up and none exceeds its room.
+    cumulative rounding, so the shares add up and none exceeds its room. A child of weight 0 has no room.
     """
     whole = "decimal(38,0)"
     cap, weight = F.col("cap").cast(whole), F.col("weight").cast(whole)
-    order = W.partitionBy(*parent).orderBy(F.col("cap") / F.col("weight"), name)
+    order = W.partitionBy(*parent).orderBy(F.expr("cap / nullif(weight, 0)"), name)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     after = order.rowsBetween(0, W.unboundedFollowing)
     nodes = nodes.withColumns({
@@ -67,20 +67,21 @@ def budgets(leaves: DataFrame, weights: dict[str, Column], share: tuple[int, int
     """The tokens of each leaf: ``domain, lang, source, capacity, tokens``.
 
     ``leaves`` has the ``capacity`` (tokens of one epoch) of each leaf. The budget of the root is
-    ``share`` (a fraction as two numbers) of all tokens, at most all epochs.
+    ``share`` (a fraction as two numbers) of all tokens, at most all epochs of what has a weight.
     """
-    leaves = leaves.withColumn("cap", F.col("capacity") * max_epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
-    domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"))
-    most = leaves.agg(F.sum("capacity"), F.sum("cap")).first()
-    root = min((most[0] or 0) * share[0] // share[1], most[1] or 0)
+    def weighed(nodes: DataFrame, level: str) -> DataFrame:
+        nodes = nodes.withColumn("weight", weights[level])
+        return nodes.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0))
+
+    leaves = weighed(leaves.withColumn("cap", F.col("capacity") * max_epochs), "source")
+    langs = weighed(leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")), "lang")
+    domains = weighed(langs.groupBy("domain").agg(F.sum("cap").alias("cap")), "domain")
+    most = leaves.agg(F.sum("capacity")).first()[0] or 0
+    root = min(most * share[0] // share[1], domains.agg(F.sum("cap")).first()[0] or 0)
     spent = F.col("tokens").alias("budget")
-    level = _shares(domains.withColumns({"budget": F.lit(root).cast("long"), "_root": F.lit(0),
-                                         "weight": weights["domain"]}), ["_root"], "domain")
-    level = _shares(langs.join(level.select("domain", spent), "domain")
-                    .withColumn("weight", weights["lang"]), ["domain"], "lang")
-    level = _shares(leaves.join(level.select("domain", "lang", spent), ["domain", "lang"])
-                    .withColumn("weight", weights["source"]), ["domain", "lang"], "source")
+    level = _shares(domains.withColumns({"budget": F.lit(root).cast("long"), "_root": F.lit(0)}), ["_root"], "domain")
+    level = _shares(langs.join(level.select("domain", spent), "domain"), ["domain"], "lang")
+    level = _shares(leaves.join(level.select("domain", "lang", spent), ["domain", "lang"]), ["domain", "lang"], "source")
     return level.select(*LEVELS, "capacity", "tokens")
 
 
