@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import extraction, topk, warc
 
@@ -82,6 +83,29 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(frame.limit(0))).collect() == []
 
 
+def test_archives_are_read_in_many_partitions(spark):
+    pages = spark.range(40).selectExpr("id * 4096 as page_id", "'u' as url", "repeat(cast(id as string), 200) as html")
+    path = warc.write_archives(pages)
+    assert spark.read.parquet(f"{path}/manifest").count() == 40
+    read = warc.read_archives(spark, path)
+    parts = read.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 3 and sum(r["count"] for r in parts) == 40
+
+
+def test_levels_of_an_index_are_bounded():
+    rng = np.random.default_rng(3)
+    for scale in (0.001, 1, 1000):
+        vectors = topk.integers((rng.normal(size=(500, 16)) * scale).tolist(), 16)
+        index = topk.Index(np.arange(500), vectors)
+        assert len(index.segments) <= topk.LEVELS + 1
+        floor = np.sort(vectors[:5] @ vectors.T, axis=1)[:, -4].astype(float)     # some better rows are elsewhere
+        found = list(index.top(np.arange(1000, 1005), vectors[:5], 3, floor))
+        best = {q: sorted((-s, r) for own, r, s in found if own == 1000 + q) for q in range(5)}
+        for q in range(5):
+            want = sorted((-int(s), r) for r, s in enumerate(vectors @ vectors[q]))[:3]
+            assert best[q] == want
+
+
 def plain_top(rows, queries, k):
     def ints(v, width=8):
         return np.floor(256 * np.pad(np.array(v, float), (0, width - len(v)))).astype(np.int64)

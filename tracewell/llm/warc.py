@@ -24,6 +24,7 @@ from tracewell.llm.common import byte_length, fresh_path, rows_of
 
 RANGE = 4096                    # ids of one range
 SLOT_BYTES = 256 << 20          # payload of a range beyond which it is split by digest
+READ_BYTES = 32 << 20           # compressed bytes that a task reads back
 ROLL_BYTES = 16 << 20           # compressed size at which a file ends
 LEAST_REVISIT = 100             # bytes of a payload that may be referred to
 DATE = "2024-01-01T00:00:00Z"
@@ -204,8 +205,11 @@ def read_archives(spark: SparkSession, path: str, with_html: bool = True) -> Dat
             if held:
                 yield _record_batch(held)
 
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("path", "n_records") \
-        .repartition("path").mapInArrow(read, RECORD)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    size = manifest.agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes")).first()
+    # A stated number of partitions stays as it is; the manifest itself is far too small to be split.
+    n = min(max(size.files, 1), max(spark.sparkContext.defaultParallelism, (size.bytes or 0) // READ_BYTES + 1))
+    return manifest.select("path", "n_records").repartition(n, "path").mapInArrow(read, RECORD)
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
