@@ -1,12 +1,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tracewell.llm import decontamination, near_dedup, quality, repeats, toxicity
+from tracewell.llm.common import told_apart
 from tracewell.llm.components import components
 from tracewell.llm.fitting import isotonic
 
@@ -72,6 +74,37 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {i: got[i].component_id for i in got} == plain_components(docs)
 
 
+def test_large_component_and_outsiders_in_one_band(spark, monkeypatch):
+    # Groups of a common core, linked inside but mostly not with each other, share bands.
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(12)
+    core, docs = [f"c{k}" for k in range(120)], []
+    for group, size in enumerate([90, 9, 7, 5, 3, 2] + [1] * 25):
+        own = core[:80 + rng.randrange(6)] + [f"g{group}x{k}" for k in range(22 + rng.randrange(8))]
+        for _ in range(size):
+            words = list(own)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(words)))
+    rng.shuffle(docs)
+    got = rows_by_id(near_dedup.near_duplicates(spark.createDataFrame(docs, SCHEMA)))
+    want = plain_components(docs)
+    assert len(set(want.values())) > 3 and {i: got[i].component_id for i in got} == want
+
+
+def test_rows_of_one_id_and_text(spark):
+    words = [f"w{k}" for k in range(60)]
+    docs = [(1, " ".join(words))] * 400 + [(2, " ".join(words[:-3] + ["x", "y"]))] * 300 + [(3, "some other words")] * 50
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == {(1, 1, True): 400, (2, 1, False): 300, (3, 3, True): 50}
+
+
+def test_chance_twins_are_told_apart(spark):
+    rows = spark.createDataFrame([(7, 1, "a"), (7, 1, "b"), (7, 2, "c"), (8, 5, "d")], "k long, c long, t string")
+    got = {r.t: r.k for r in told_apart(rows, "k", "c").collect()}
+    assert got["a"] == got["b"] != got["c"] and got["d"] == 8 and len(set(got.values())) == 3
+
+
 def test_near_duplicates_of_awkward_rows(awkward, no_documents):
     found = near_dedup.near_duplicates(awkward).collect()
     assert len(found) == awkward.count()
@@ -198,6 +231,21 @@ def test_repeats_in_long_texts(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+def test_repeated_rows_cost_no_more_than_rows_of_their_own(spark):
+    rng = random.Random(8)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    few = [(5, "head " + part), (6, part[100:350] + " tail of its own"), (None, part), (9, "w" * 199)]
+    docs = [few[0]] * 3000 + [few[1]] + [few[2]] * 2000 + [few[3]] * 20
+    start = time.time()
+    got = repeats.remove_repeats(spark.createDataFrame(docs, SCHEMA).repartition(6)).collect()
+    spent = time.time() - start
+    want = {r[0]: r[1:] for r in plain_repeats([(i, t.encode()) for i, t in [few[0]] * 2 + [few[1]] + [few[2]] * 2 + [few[3]]],
+                                               repeats.LENGTH)}
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in docs)
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
+    assert spent < 60                   # pairs of 3,000 rows took over twenty minutes
+
+
 def test_repeats_of_awkward_rows(awkward, no_documents):
     found = repeats.remove_repeats(awkward).collect()
     assert len(found) == awkward.count()

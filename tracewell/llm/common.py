@@ -43,6 +43,19 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+ROW = "_row"
+
+
+def packed(frame: DataFrame, **own: Column) -> DataFrame:
+    """The caller's columns as one struct ``ROW`` beside ``own`` columns, whose names can't clash with them."""
+    return frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias(ROW),
+                        *[value.alias(name) for name, value in own.items()])
+
+
+def unpacked(frame: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    return frame.select(*[F.col(ROW).getField(c).alias(c) for c in columns], *more)
+
+
 def hash60(value: Column) -> Column:
     """60 bits of the MD5 of a text, as a long; any SQL engine with MD5 can compute the same."""
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
@@ -54,6 +67,19 @@ def text_of(key: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("\u0000null"))
 
 
+def told_apart(rows: DataFrame, key: str, check: str) -> DataFrame:
+    """``rows`` whose 64-bit ``key`` is hashed again with ``check`` where it stands for several of these.
+
+    Two independent hashes of 64 bits tell contents apart at any size; a key alone has chance twins.
+    """
+    twins = written(rows.groupBy(key).agg(F.min(check).alias("_lo"), F.max(check).alias("_hi")).filter("_lo != _hi")
+                    .select(key, F.lit(True).alias("_twin")), "twins")
+    if twins.isEmpty():
+        return rows
+    return rows.join(twins, key, "left").withColumn(key, F.when(
+        F.col("_twin"), F.xxhash64(key, check)).otherwise(F.col(key))).drop("_twin")
+
+
 def byte_length(column: str) -> Column:
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
 

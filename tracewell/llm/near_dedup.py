@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import chunks_of, mixed, rows_of, written
+from tracewell.llm.common import chunks_of, mixed, rows_of, told_apart, written
 from tracewell.llm.components import components
 
 SHINGLE = 5
@@ -117,12 +117,13 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             bands, sketches = np.zeros((0, BANDS), np.uint64), np.zeros((0, BITS // 64), np.uint64)
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-             pa.array(fingerprints(values, sizes).view(np.int64)), pa.array(sizes.astype(np.int64)),
+             pa.array(fingerprints(values, sizes).view(np.int64)),
+             pa.array(fingerprints(mixed(values + _STEP[5]), sizes).view(np.int64)), pa.array(sizes.astype(np.int64)),
              _lists(bands, sizes > 0), _lists(sketches, sizes > 0)],
-            names=["id", "text_key", "node", "n", "bands", "sketch"])
+            names=["id", "text_key", "node", "check", "n", "bands", "sketch"])
 
 
-SIGNATURE = "id bigint, text_key bigint, node bigint, n bigint, bands array<bigint>, sketch array<bigint>"
+SIGNATURE = "id bigint, text_key bigint, node bigint, check bigint, n bigint, bands array<bigint>, sketch array<bigint>"
 
 
 def _differing(a: str, b: str) -> Column:
@@ -155,9 +156,9 @@ def _first_candidates(entries: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 MEMBER = ("band bigint, i int, j int, block int, node bigint, root bigint, n bigint, sketch array<bigint>, "
-          "bands array<bigint>")
+          "bands array<bigint>, big boolean")
 _KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(),
-          pa.list_(pa.int64()), pa.list_(pa.int64()))
+          pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[list[tuple]]:
@@ -181,13 +182,14 @@ def _block_candidates(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
     block, node, root, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
     sketch = np.array([r[7] for r in rows], np.int64).view(np.uint64)
     bands = np.array([r[8] for r in rows], np.int64)
+    big = np.array([r[9] for r in rows])
     _, which, size = np.unique(root, return_inverse=True, return_counts=True)
     done = np.zeros(len(rows), bool)
     for k in np.flatnonzero(which != np.argmax(size)):      # all but the largest component here
         done[k] = True
         others = ~done & (root != root[k]) & (np.minimum(n, n[k]) * DENOMINATOR >= np.maximum(n, n[k]) * NUMERATOR)
-        if i != j:
-            others &= block != block[k]
+        # Members of a band's largest component are met in their own block, others between blocks.
+        others &= (block != block[k]) if i != j else (block == block[k]) | big | big[k]
         others = np.flatnonzero(others)
         bits = np.bitwise_count(sketch[others] ^ sketch[k]).sum(axis=1)
         others = others[np.argsort(bits, kind="stable")][:int((bits <= MOST_BITS).sum())]
@@ -222,7 +224,7 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that join components of a block, by full sets; pairs that earlier links join are skipped."""
     for rows in _blocks(batches, 64):
-        sets = [shingle_sets([r[9]])[0] for r in rows]
+        sets = [shingle_sets([r[10]])[0] for r in rows]
         root = {r[5]: r[5] for r in rows}
 
         def top(x):
@@ -246,17 +248,27 @@ def _remaining_links(entries: DataFrame, reps: DataFrame, roots: DataFrame, text
 
     Bands that span several components are compared in blocks: on sketches first, then, for the
     members that sketches leave in question, on the full sets, which travel once per member and block.
+    Members of a band's largest component are in one block each; the others, usually few, go to all of them.
     """
     entries = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    bands = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("x"),
-                                        F.max("root").alias("y")).filter("x != y").select("band", "size")
+    bands = entries.groupBy("band", "root").agg(F.count("*").alias("size")).groupBy("band").agg(
+        F.sum("size").alias("size"), F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("most")) \
+        .filter("roots > 1").drop("roots")
     blocks = F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def place(i, j):
+        return F.struct(i.alias("i"), j.alias("j"))
+
+    places = F.when(F.col("big"), F.array(place(F.col("block"), F.col("block")))).otherwise(F.concat(
+        F.transform(every, lambda o: place(F.least("block", o), F.greatest("block", o))),
+        F.transform(F.filter(every, lambda o: o != F.col("block")), lambda o: place(o, o))))
     names = [c.split()[0] for c in MEMBER.split(", ")]
     members = entries.join(bands, "band").withColumn("blocks", blocks) \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .join(reps.select("node", "n", "sketch", "bands"), "node") \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select(names)
+        .withColumn("big", F.col("root") == F.col("most")).withColumn("at", F.explode(places)) \
+        .withColumns({"i": F.col("at.i"), "j": F.col("at.j")}).select(names)
     members = written(members.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
                       .mapInArrow(_members_with_candidates, MEMBER), "members")
     fetched = _fetched(members.select("node").distinct(), reps, texts)
@@ -320,10 +332,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("text_key"),
                         F.col(f"`{text}`").alias("text"))
-    signed = written(texts.mapInArrow(_signature_rows, SIGNATURE), "signatures")
+    signed = told_apart(written(texts.mapInArrow(_signature_rows, SIGNATURE), "signatures"), "node", "check")
     first = signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("first"))
     reps = written(signed.filter("n > 0").join(first.withColumnRenamed("node", "own"), (
-        F.col("node") == F.col("own")) & F.col("id").eqNullSafe(F.col("first"))).drop("own", "first"), "classes")
+        F.col("node") == F.col("own")) & F.col("id").eqNullSafe(F.col("first"))).drop("own", "first", "check").dropDuplicates(["node"]), "classes")
     entries = written(reps.select("node", F.explode("bands").alias("band")).distinct(), "bands")
     many = entries.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band")
     entries = written(entries.join(many, "band"), "shared-bands")

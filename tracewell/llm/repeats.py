@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import chunks_of, mixed, rows_of, written
+from tracewell.llm.common import chunks_of, mixed, rows_of, told_apart, written
 from tracewell.llm.near_dedup import _power_tables
 
 LENGTH = 200                    # bytes of a repeat
@@ -286,7 +286,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_starts(texts: DataFrame) -> DataFrame:
     """Runs ``row, first, last`` of window starts whose ``LENGTH`` bytes start anywhere else as well.
 
-    ``texts`` has ``row`` (a number; rows of one number are taken as equal texts) and ``text``.
+    ``texts`` has ``row`` (a number of its own for each row) and ``text``.
     """
     found = written(texts.mapInArrow(_anchor_rows, ANCHOR).repartition("route")
                     .sortWithinPartitions("route", "key", "context")
@@ -349,11 +349,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     nothing; copies and repeated rows lose all bytes if long enough, none is spared. ``spans`` are the
     maximal removed runs. Null keys are keys like others; extra columns are not read.
     """
-    row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    texts = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
-    long = texts.filter(F.octet_length("text") >= LENGTH)
-    runs = repeated_starts(long).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    rows = docs.select(F.col(f"`{key}`").alias(key), row.alias("_row"), F.col(f"`{text}`").alias("_text")) \
+    own, value = F.col(f"`{key}`"), F.col(f"`{text}`")
+    rows = told_apart(docs.select(own.alias("key"), value.alias("text"), F.xxhash64(own, value).alias("row"),
+                                  F.xxhash64(value, F.lit(1), own).alias("check")), "row", "check").drop("check")
+    long = rows.filter(F.octet_length("text") >= LENGTH).select("row", "text")
+    # Rows that repeat id and text lose all of it; one of them is enough for the search of the others.
+    copies = written(long.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row"), "copies")
+    whole = None
+    if not copies.isEmpty():
+        one = written(long.join(copies, "row", "left_semi").dropDuplicates(["row"]), "copied")
+        long = long.join(copies, "row", "left_anti").unionByName(one)
+        whole = one.select("row", F.lit(0).alias("first"), (F.octet_length("text") - LENGTH).alias("last"))
+    found = repeated_starts(long).distinct()
+    runs = (found if whole is None else found.unionByName(whole)).groupBy("row").agg(
+        F.collect_list(F.struct("first", "last")).alias("_runs"))
+    rows = rows.select(F.col("key").alias(key), F.col("row").alias("_row"), F.col("text").alias("_text")) \
         .join(runs.hint("shuffle_hash").withColumnRenamed("row", "_row"), "_row", "left") \
         .select(key, "_text", "_runs")
     schema = rows.select(key, *[F.lit(0).cast("long").alias(c) for c in ("n_bytes", "n_removed", "n_spans")],
