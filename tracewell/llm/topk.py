@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import hash60, rows_of, text_of
+from tracewell.llm.common import hash60, rows_of, text_of, written
 
 SCALE = 256
-STEP = 8                    # width of an impact level
+STEP = 8                    # least width of an impact level
+LEVELS = 128                # of a shard, whatever the size of its components
 QUERY_BLOCK = 16_384        # queries that are sent to the tasks at once
 SHARD_ROWS = 8_192          # rows of one index
 CELLS = 1 << 21             # accumulators held at once
@@ -39,33 +40,36 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        level = np.abs(vectors) // STEP
-        signed = np.sign(vectors) * level
+        step = max(STEP, int(np.abs(vectors).max(initial=0)) // LEVELS + 1)
+        level = np.abs(vectors) // step
+        row, dimension = np.nonzero(level)
+        value, sign = level[row, dimension], np.sign(vectors[row, dimension])
+        order = np.lexsort((row, dimension, sign, -value))          # all postings, sorted once
+        row, dimension, value, sign = row[order], dimension[order], value[order], sign[order]
+        impact = sign * (value * step + step // 2).astype(np.float64)
+        known = vectors[row, dimension].astype(np.float64)
+        gained = known ** 2 - (known - impact) ** 2
+        rest = (vectors.astype(np.float64) ** 2).sum(axis=1)
         self.segments: list[tuple[int, list[tuple[int, float, np.ndarray]]]] = []
         self.unknown: list[np.ndarray] = []         # length of what is unknown after each level
-        rest = vectors.astype(np.float64)
-        for value in np.unique(level)[::-1]:
-            if value == 0:
-                break
-            segments = []
-            for sign in (1, -1):
-                impact = float(sign * (value * STEP + STEP // 2))
-                row, dimension = np.nonzero(signed == sign * value)
-                rest[row, dimension] -= impact
-                order = np.argsort(dimension, kind="stable")
-                row, dimension = row[order], dimension[order]
-                cuts = np.flatnonzero(np.diff(dimension)) + 1
-                for part in np.split(np.arange(len(row)), cuts) if len(row) else ():
-                    segments.append((int(dimension[part[0]]), impact, row[part]))
-            self.segments.append((int(value), segments))
-            self.unknown.append(np.sqrt((rest ** 2).sum(axis=1)))
-
-    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        """The ``k`` best ``(query id, row id, score)`` of each query within the shard."""
+        for a, b in _runs(value):
+            self.segments.append((int(value[a]), [
+                (int(dimension[a + c]), float(impact[a + c]), row[a + c:a + d])
+                for c, d in _runs(dimension[a:b] * 2 + (sign[a:b] > 0))]))
+            rest = rest - np.bincount(row[a:b], gained[a:b], len(ids))
+            self.unknown.append(np.sqrt(np.maximum(rest, 0)) * (1 + 1e-9))
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int,
+            floor: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """The ``k`` best ``(query id, row id, score)`` of each query within the shard.
+
+        ``floor`` has the ``k``-th best score that each query has found elsewhere; rows below it may be left out.
+        """
+        floor = np.full(len(queries), -np.inf) if floor is None else floor
         block = int(np.clip(CELLS // max(len(self.ids), 1), 16, 4096))
         for start in range(0, len(queries), block):
             part = slice(start, start + block)
-            possible = self._possible(queries[part].astype(np.float64), k)
+            possible = self._possible(queries[part].astype(np.float64), k, floor[part])
             for q, own, rows in zip(queries[part], query_ids[part].tolist(), possible.T):
                 rows = np.flatnonzero(rows)
                 rows = rows[self.ids[rows] != own]
@@ -73,7 +77,7 @@ class Index:
                 for r in np.lexsort((self.ids[rows], -score))[:k]:
                     yield own, int(self.ids[rows[r]]), int(score[r])
 
-    def _possible(self, queries: np.ndarray, k: int) -> np.ndarray:
+    def _possible(self, queries: np.ndarray, k: int, floor: np.ndarray) -> np.ndarray:
         """Whether each row may be among the ``k + 1`` best (the query itself may be one) of each query."""
         n, wanted = len(self.ids), k + 1
         possible = np.ones((n, len(queries)), bool)
@@ -85,13 +89,19 @@ class Index:
             for dimension, impact, rows in segments:
                 score[rows] += impact * queries[:, dimension]
             bound = unknown[:, None] * length
-            least = np.partition(score - bound, n - wanted, axis=0)[n - wanted]
+            least = np.maximum(np.partition(score - bound, n - wanted, axis=0)[n - wanted], floor)
             possible = score + bound >= least - 1e-6 * (1 + np.abs(least))
             if possible.sum(axis=0).max(initial=0) <= max(4 * k, n // FEW):
                 break
         return possible
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    edges = np.flatnonzero(np.diff(values)) + 1 if len(values) else ()
+    return zip([0, *edges], [*edges, len(values)]) if len(values) else iter(())
+
+
 def usable(rows: DataFrame, vector: str) -> DataFrame:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.filter(F.col(vector).isNotNull()).filter(~bad)
@@ -120,7 +130,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     for b in range(blocks):
         part = asked.filter(F.pmod(hash60(text_of("id")), F.lit(blocks)) == b).collect() if blocks > 1 \
             else asked.collect()
-        part = _best(narrow, spark.sparkContext.broadcast([(r.id, r.v) for r in part]), width, k)
+        sent = spark.sparkContext.broadcast([(r.id, r.v) for r in part])
+        part = _best(narrow, sent, width, k)
+        if blocks > 1:                              # tasks and driver hold the queries of one block
+            part = written(part, "answers")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
@@ -135,11 +149,18 @@ def _best(rows: DataFrame, queries, width: int, k: int) -> DataFrame:
         ids = np.array([i for i, _ in asked], np.int64)
         vectors = integers([v for _, v in asked], max([width, *(len(v) for _, v in asked)]))
         held: list[tuple] = []
+        scores = np.full((len(ids), k), -np.inf)        # the best of this task so far, ascending
+        place = {i: p for p, i in enumerate(ids.tolist())}
 
         def answers():
             index = Index(np.array([i for i, _ in held], np.int64),
                           integers([v for _, v in held], vectors.shape[1]))
-            best = list(index.top(ids, vectors, k))
+            best = list(index.top(ids, vectors, k, scores[:, 0]))
+            for query, _, score in best:
+                mine = scores[place[query]]
+                if score > mine[0]:
+                    mine[0] = score
+                    mine.sort()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*best)] if best else
                                               [pa.array([], pa.int64())] * 3, schema=schema)
 
