@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontamination, mixing, near_dedup, quality, queries, sharding
-from tracewell.llm.common import table, written
+from tracewell.llm.common import ROW, packed, table, unpacked, written
 
 MIX_SHARE = (9, 10)     # of the words that reach the mixture
 
@@ -27,9 +27,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that repeat id and text count as one document; rows without an id stay.
     """
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id", "text"])
-    return rows.unionByName(docs.filter("doc_id is null"))
+    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = packed(docs, id=F.col("doc_id"), text=F.col("text"))
+    once = rows.join(kept, "id").dropDuplicates(["id", "text"])
+    return unpacked(once.select(ROW).unionByName(rows.filter("id is null").select(ROW)), docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Documents without words weigh nothing and stay out.
     """
     taken = mixing.mix(docs, F.expr(queries.DOMAIN_SQL), queries.mixture_weights(), MIX_SHARE, 1,
-                       queries.MIX_SEED).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+                       queries.MIX_SEED).select(F.col("doc_id").alias("taken")).distinct()
+    rows = packed(docs, id=F.col("doc_id"))
+    return unpacked(rows.join(taken, F.col("id").eqNullSafe(F.col("taken")), "left_semi"), docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

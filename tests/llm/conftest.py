@@ -36,3 +36,17 @@ def awkward(spark):
 @pytest.fixture(scope="session")
 def no_documents(spark):
     return spark.createDataFrame([], EXTRA)
+
+
+# Every name that an operator uses for a column of its own, or has used.
+CLASHING = ("_row x y fold score predicted _text _matches _n_words n_hit matches _id id taken epoch domain _q0 _q1 _p0 _p1 _leaf "
+            "_ordinal shard_id _h0 _h1 _size _shard _n _copy copies _order _range _key key row _runs spans node band check root "
+            "kept n_shingles block text_key first at tie bits digest part part_ n_rows sequence_id start length").split()
+
+
+@pytest.fixture(scope="session")
+def clashing(spark, data):
+    """Documents of the smallest data with a column of each such name, and one with a dot."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    return docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)], F.lit("d").alias("a.b"))

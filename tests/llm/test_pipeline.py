@@ -1,6 +1,7 @@
 """The pipeline as a whole and its stages against plain versions on the smallest data."""
 
 import corpus_pipeline as pipeline
+from tests.llm.conftest import CLASHING
 from tests.llm.test_text_operators import plain_components, plain_contamination
 from tracewell.llm import quality, queries
 
@@ -42,3 +43,14 @@ def test_stages_take_empty_tables(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, data).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, data, clashing):
+    plain = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        got = stage(spark, clashing, data)
+        assert got.columns[:len(plain.columns)] == plain.columns
+        assert sorted(got.columns) == sorted(clashing.columns), name
+        rows = got.collect()
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, plain, data).collect()}, name
+        assert {r["a.b"] for r in rows} == {"d"} and {r["_text"] for r in rows} == {CLASHING.index("_text")}

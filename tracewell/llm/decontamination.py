@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import byte_length, hash60, text_of, written
+from tracewell.llm.common import ROW, byte_length, hash60, packed, text_of, unpacked, written
 
 WINDOW = 13                 # words of a window
 SHARE = 20                  # contaminated: hit words times this reach the words of the document
@@ -240,5 +240,5 @@ def judge(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    return _searched(docs, benchmark, text, WINDOW, docs.columns) \
-        .filter(~_contaminated(_hit(MATCHES), F.col(WORDS))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _searched(packed(docs, text=F.col(f"`{text}`")), benchmark, "text", WINDOW, [ROW])
+    return unpacked(found.filter(~_contaminated(_hit(MATCHES), F.col(WORDS))), docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import held_out_fold, rows_of, written
+from tracewell.llm.common import ROW, held_out_fold, packed, rows_of, unpacked, written
 from tracewell.llm.fitting import Model, fit, scored
 
 PAIRS = 64              # cosine and sine pairs of random features
@@ -116,7 +116,11 @@ def accepted() -> Column:
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with their own columns."""
-    rows = with_statistics(docs, docs.columns, text)
-    model = train(with_statistics(docs, [key], text), labels, key=key)
-    return scored(rows, model, docs.columns).filter(accepted() == 1).select(docs.columns)
+    """The rows of ``docs`` that the classifier accepts, with their own columns, whatever their names.
+
+    Statistics are made once, and written beside the rows.
+    """
+    own = packed(docs, key=F.col(f"`{key}`"), text=F.col(f"`{text}`"))
+    rows = written(with_statistics(own, [ROW, "key"], "text"), "statistics")
+    model = train(rows.select("key", "x"), labels.select(F.col(f"`{key}`").alias("key"), "quality"), key="key")
+    return unpacked(scored(rows, model, [ROW]).filter(accepted() == 1), docs.columns)

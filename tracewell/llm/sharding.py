@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import byte_length, fresh_path, hash60, text_of, written
+from tracewell.llm.common import ROW, byte_length, fresh_path, hash60, packed, text_of, unpacked, written
 
 WORD = 60           # bits of one hash word
 EXTRA_BITS = 3      # the first directory is this much deeper than an even split needs
@@ -26,11 +26,10 @@ def _prefix(word: int, depth: Column) -> Column:
 
 
 def _with_hashes(rows: DataFrame, key: str, size: Column) -> DataFrame:
+    """The caller's columns as one struct, two hash words, and the bytes."""
     columns = [F.col(f"`{c}`") for c in rows.columns]
-    return rows.withColumns({
-        "_h0": hash60(text_of(F.col(f"`{key}`"))),
-        "_h1": hash60(F.to_json(F.struct(*columns))),
-        "_size": F.coalesce(size, F.lit(0)).cast("long")})
+    return packed(rows, _h0=hash60(text_of(F.col(f"`{key}`"))), _h1=hash60(F.to_json(F.struct(*columns))),
+                  _size=F.coalesce(size, F.lit(0)).cast("long"))
 
 
 def _leaves(cells: DataFrame, first: int, last: int, limit: int) -> DataFrame:
@@ -83,10 +82,9 @@ def assign_shards(rows: DataFrame, limit: int, key: str = "doc_id", text: str =
     ``text`` unless ``size`` gives another. A row larger than the limit is a shard of its own
     (``solo-``); equal rows that no bit can part fill pages of the limit (``page-``). Null keys hash
     as a text of their own, null texts count zero bytes, an empty table stays empty. Extra columns
-    are kept, whatever their names, but for names with a leading underscore used here
-    (``_h0 _h1 _size _leaf _shard _n``), which must not occur.
+    are kept, whatever their names; only a column ``shard_id`` of the caller gives way to the new one.
     """
-    columns = rows.columns
+    columns = [c for c in rows.columns if c != "shard_id"]
     hashed = _with_hashes(rows, key, byte_length(f"`{text}`") if size is None else size)
     keys = written(hashed.filter(F.col("_size") <= limit).groupBy("_h0", "_h1")
                    .agg(F.sum("_size").alias("_bytes")), "shard-keys")
@@ -100,15 +98,14 @@ def assign_shards(rows: DataFrame, limit: int, key: str = "doc_id", text: str =
         found = found.withColumn("_shard", F.coalesce("_shard", F.when(
             (F.col("_size") <= limit) & leaf.isNotNull(), name))).drop("_q0", "_q1", "_leaf")
     fitting = found.filter("_shard is not null")
-    rest = found.filter("_shard is null").groupBy(*[F.col(f"`{c}`") for c in columns],
-                                                   "_h0", "_h1", "_size").agg(F.count("*").alias("_n"))
+    rest = found.filter("_shard is null").groupBy(ROW, "_h0", "_h1", "_size").agg(F.count("*").alias("_n"))
     per_page = F.greatest(F.lit(1), F.expr(f"{limit} div greatest(_size, 1)"))
     rest = rest.withColumn("_ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     rest = rest.withColumn("_shard", F.concat_ws(
         "-", F.when(F.col("_size") > limit, "solo").otherwise("page"), "_h0", "_h1",
         F.floor(F.col("_ordinal") / per_page)))
-    keep = [F.col(f"`{c}`") for c in columns] + [F.col("_shard").alias("shard_id")]
-    return fitting.select(keep).unionByName(rest.select(keep))
+    shard = F.col("_shard").alias("shard_id")
+    return unpacked(fitting, columns, shard).unionByName(unpacked(rest, columns, shard))
 
 
 def write_shards(sharded: DataFrame, path: str | None = None) -> str:
