@@ -798,7 +798,7 @@ TOTALS = """counted as (
              from kept group by all) f on f.project_id = s.project_id),
 risk as (select *, cast(least(100, trunc(cast(severity_weight as double) / greatest(1, files_scanned) * 25
           + cast(files_with_findings as double) / greatest(1, files_scanned) * 75)) as integer) as risk_score from counted)"""
-add("ag_03_11_risk", CODE, fx.DUCK_FINDINGS, "kept as (select * from findings where confidence >= 0.9)",
+add("ag_03_11_risk", CODE, fx.DUCK_FINDINGS, "kept as (select * from findings where confidence >= 0.7)",
     TOTALS, body="select * from risk")
 add("ag_14_summary", CODE, fx.DUCK_FINDINGS, "kept as (select * from findings where confidence >= 0.7)",
     TOTALS, body=f"""
@@ -862,7 +862,7 @@ select distinct project_id, string_split(file, '/')[-1] as file from findings wh
 add("set_01_union", fx.DUCK_FINDINGS, body="""
 select project_id, count(*) as findings, count(description) as described
 from (select project_id, description from findings
-      union all select project_id, null from findings where line = 1) t group by all""")
+      union all select project_id, null from findings) t group by all""")
 add("set_02_03_lists", CODE, CODED, CALLS, RULES, HITS, body="""
 select f.project_id, f.path,
        coalesce((select string_agg(distinct function, ' | ' order by function) from calls c where c.path = f.path), '') as functions,

@@ -251,7 +251,8 @@ def prj_18_pattern_requests(spark, d):
 @query
 def prj_18_selection_requests(spark, d):
     files = fx.code_files(spark, d)
-    return requests.selection_requests(files, project.file_scores(project.file_metadata(files)))
+    return requests.selection_requests(files, project.file_scores(project.file_metadata(files))).select(
+        "project_id", "prompt")
 
 
 # --- filters ----------------------------------------------------------------------------------
@@ -650,7 +651,7 @@ def jn_20_recommendations(spark, d):
 @query
 def jn_21_context(spark, d):
     files = fx.code_files(spark, d)
-    context = manifests.project_context(fx.root_files(spark, d)).where("project_id < 20")
+    context = manifests.project_context(fx.root_files(spark, d))
     out = project.with_context(files, context)
     return out.select("project_id", "path", "purpose", "entry_point", "security_relevant",
                       joined(F.array_sort(F.map_keys("frameworks"))).alias("frameworks"),
@@ -734,7 +735,7 @@ def ag_02_types(spark, d):
 @query
 def ag_03_11_risk(spark, d):
     scanned = fx.code_files(spark, d).select("project_id", "path")
-    kept = report.confident(fx.findings(spark, d)).where("confidence >= 0.9")
+    kept = report.confident(fx.findings(spark, d))
     return report.with_risk_score(report.totals(kept, scanned))
 
 
@@ -845,7 +846,7 @@ def tk_07_finding_files(spark, d):
 @query
 def set_01_union(spark, d):
     found = fx.findings(spark, d)
-    cross = found.where("line = 1").select("project_id", "file", "vulnerability_type", "severity")
+    cross = found.select("project_id", "file", "vulnerability_type", "severity")
     return report.union_findings(found, cross).groupBy("project_id").agg(
         F.count("*").alias("findings"), F.count("description").alias("described"))
 

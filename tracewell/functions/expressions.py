@@ -1,6 +1,6 @@
 """Small builders for Spark SQL expression text.
 
-A source file is one row and is size-capped, so everything that stays inside a file is computed
+A source file is one row, so everything that stays inside a file is computed
 with array functions on that row: no shuffle, no Python. ``let`` names an intermediate value once;
 without it Catalyst may inline the value into a lambda and compute it again for every element.
 """

@@ -1,9 +1,9 @@
 """Per-file data flow: variables, hits, taint, flows, call graph.
 
-``analyze`` adds the nine results of a file as array columns to its row. A file is size-capped, so
-all joins inside a file (by line, by containment, by interval, as-of) and the taint fixpoint are
-array expressions on that row: the whole analysis is one map-only stage, whatever the number of
-files. ``table`` gives one result as rows.
+``analyze`` adds the results of a file as array columns to its row. All joins inside a file (by line,
+by containment, by interval, as-of) and the taint fixpoint are array expressions on that row: the
+whole analysis is one map-only stage, whatever the number of files. ``table`` gives one result as
+rows. Some of these expressions loop over pairs of facts; ``flow_tables`` answers the same for long files.
 """
 
 from __future__ import annotations

@@ -1,7 +1,6 @@
 """Fact extraction: declarations, assignments, calls, definitions, imports and variables.
 
-Input: ``files`` with ``project_id, path, language, content`` (content already size-capped by the
-corpus source). Every extraction is one projection over the file row, so the job is map-only. The
+Input: ``files`` with ``project_id, path, language, content``. Every extraction is one projection over the file row, so the job is map-only. The
 ``*_expr`` builders return SQL expression text for reuse in larger projections; the functions
 without that suffix explode the result into tables keyed by ``project_id, path``.
 """
@@ -15,7 +14,7 @@ from tracewell.functions.expressions import (
     case, empty, find_all, let, lines_of, null, strip, struct, text, window_text,
 )
 from tracewell.functions.rows import explode_structs
-from tracewell.operators.sizing import small
+from tracewell.operators.sizing import only_wanted
 from tracewell.rules.catalog import java_regex, word_regex
 
 KEYS = ["project_id", "path"]
@@ -320,10 +319,11 @@ def assignments_to(files: DataFrame) -> DataFrame:
 def snippet_at(files: DataFrame, places: DataFrame, context: int = 2) -> DataFrame:
     """Stripped line and surrounding lines for ``places(project_id, path, line_no)``.
 
-    The wanted line numbers are gathered per file (a file is capped, so the list is too) and met
-    with the file row once; content is never copied per place. Few places are broadcast.
+    The wanted line numbers are gathered per file and meet the file row once; content is never copied
+    per place. A bitmap of the wanted files leaves out all others where they are read.
     """
     wanted = places.groupBy(*KEYS).agg(F.array_sort(F.collect_set("line_no")).alias("_want"))
     one = struct(line_no="n", code=_code("_l", "n"), context=window_text("_l", "n", context))
     body = let({"_l": lines_of("content")}, f"transform(_want, n -> {one})")
-    return explode_structs(files.join(small(wanted), KEYS), KEYS, F.expr(body))
+    rows = only_wanted(files, wanted, KEYS).select(*KEYS, "content")
+    return explode_structs(rows.join(wanted, KEYS), KEYS, F.expr(body))

@@ -15,7 +15,8 @@ from tracewell.functions.expressions import case, empty, let, lines_of, strip, s
 from tracewell.functions.rows import explode_structs
 from tracewell.functions.scalars import basename, kind_hint, purpose_of, security_words_in
 from tracewell.operators.facts import JS, KEYS, definitions, with_lines
-from tracewell.operators.sizing import lookup_join, settled, small
+from tracewell.operators.ranges import ranked
+from tracewell.operators.sizing import only_wanted, written
 from tracewell.rules.catalog import java_regex, word_regex
 from tracewell.sources.corpus import head
 
@@ -205,12 +206,12 @@ def fallback_files(scores: DataFrame, n: int = TOP_FILES) -> DataFrame:
 def append_missing(selected: DataFrame, scored: DataFrame) -> DataFrame:
     """``selected(project_id, path, ord)`` in order, then the scored files not in it, best first.
 
-    Numbers the scored files of a project in one window over narrow rows.
+    A project of any size is ranked in ranges of its rows; they are written when this is called.
     """
-    both = scored.select(*KEYS, "score").join(selected.select(*KEYS, "ord"), KEYS, "full")
-    order = W.partitionBy("project_id").orderBy(
-        F.asc_nulls_last("ord"), F.desc_nulls_last("score"), "path")
-    return both.select(*KEYS, F.row_number().over(order).alias("ord"))
+    both = scored.select(*KEYS, "score").join(
+        selected.select(*KEYS, F.col("ord").alias("given")), KEYS, "full")
+    order = [F.asc_nulls_last("given"), F.desc_nulls_last("score"), F.asc("path")]
+    return ranked(both, ["project_id"], order, "ord").select(*KEYS, "ord")
 
 
 # --- project context --------------------------------------------------------------------------
@@ -245,7 +246,7 @@ def with_context(files: DataFrame, context: DataFrame | None = None,
             "hint": kind_hint(basename(F.col("path"))),
             "entry_point": F.size(entry_kinds(F.col("content"))) > 0,
         })
-    return out if context is None else lookup_join(out, context, ["project_id"], "path")
+    return out if context is None else out.join(context, "project_id", "left")
 
 
 # --- cross-file calls -------------------------------------------------------------------------
@@ -268,10 +269,15 @@ def last_definitions(files: DataFrame) -> DataFrame:
 
 
 def cross_file_calls(files: DataFrame) -> DataFrame:
-    """Lines calling a name whose (last) definition is in another file of the project."""
-    calls = call_names(files).withColumnsRenamed(
+    """Lines calling a name whose (last) definition is in another file of the project.
+
+    The definitions are written when this is called; calls of names that the project does not define are
+    dropped where the text is read, by a bitmap of the defined names.
+    """
+    defined = written(last_definitions(files), "definitions")
+    calls = only_wanted(call_names(files), defined, ["project_id", "name"]).withColumnsRenamed(
         {"path": "caller_file", "line_no": "caller_line"})
-    return calls.join(last_definitions(files), ["project_id", "name"]) \
+    return calls.join(defined, ["project_id", "name"]) \
         .where(F.col("caller_file") != F.col("called_file")) \
         .withColumnRenamed("name", "called_entity")
 
@@ -284,17 +290,18 @@ def first_cross_calls(calls: DataFrame, n: int = 5) -> DataFrame:
 def cross_call_snippets(files: DataFrame, calls: DataFrame) -> DataFrame:
     """Caller lines (three around) and called lines (one before, six after) of few calls.
 
-    The calls are settled first; when their places are few they are broadcast to the file rows, so
-    that content is not shuffled for them.
+    The calls are written first. A bitmap of their places leaves out all other files where they are
+    read, so no other content moves.
     """
-    calls = settled(calls)
+    calls = written(calls, "calls")
 
     def snippets(path, line, before, after, name):
         places = calls.groupBy("project_id", F.col(path).alias("path")).agg(
             F.array_sort(F.collect_set(line)).alias("_want"))
         one = struct(line_no="n", snippet=window_text("l", "n", before, after))
         body = let({"l": lines_of("content")}, f"transform(_want, n -> {one})")
-        return explode_structs(files.join(small(places), KEYS), KEYS, F.expr(body)) \
+        wanted = only_wanted(files, places, KEYS).select(*KEYS, "content")
+        return explode_structs(wanted.join(places, KEYS), KEYS, F.expr(body)) \
             .withColumnsRenamed({"path": path, "line_no": line, "snippet": name})
 
     caller = snippets("caller_file", "caller_line", 3, 3, "caller_code")

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import basename, confidence_bucket
+from tracewell.operators.ranges import paged
+from tracewell.operators.sizing import written
 
 # Severities, their weights in the risk score, report columns and count tiers.
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
@@ -24,6 +26,7 @@ CSV_COLUMNS = {
 }
 CONFIDENCE_THRESHOLD = 0.7
 SPREAD = 8
+PAGE_BYTES = 1 << 20    # of a list that goes into one row
 
 
 def union_findings(per_file: DataFrame, cross_file: DataFrame) -> DataFrame:
@@ -69,17 +72,21 @@ def finding_types(findings: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("t")).alias("vulnerability_types"))
 
 
+def weight() -> Column:
+    """What a finding adds to the risk."""
+    value_of = F
+    for name, value in WEIGHTS.items():
+        value_of = value_of.when(F.coalesce("severity", F.lit("Low")) == name, value)
+    return value_of.otherwise(1)
+
+
 def totals(findings: DataFrame, scanned: DataFrame) -> DataFrame:
     """Scanned files, findings, files with findings and severity weight per project.
 
     Projects count that have either; findings of a project without a scanned file are kept.
     """
-    weight = F
-    for name, value in WEIGHTS.items():
-        weight = weight.when(F.coalesce("severity", F.lit("Low")) == name, value)
-    weight = weight.otherwise(1)
     per_file = findings.groupBy("project_id", F.coalesce("file", F.lit("")).alias("f")).agg(
-        F.count("*").alias("n"), F.sum(weight).alias("w"))
+        F.count("*").alias("n"), F.sum(weight()).alias("w"))
     found = per_file.groupBy("project_id").agg(
         F.sum("n").alias("vulnerabilities_found"), F.count("*").alias("files_with_findings"),
         F.sum("w").alias("severity_weight"))
@@ -127,11 +134,15 @@ def severity_share(findings: DataFrame) -> DataFrame:
             (F.col("p.n").cast("double") / F.col("total").cast("double") * 100.0).alias("percent"))
 
 
-def affected_files(findings: DataFrame) -> DataFrame:
-    """Distinct files per type, first reduced to one row per project, type and file."""
+def affected_files(findings: DataFrame, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """Distinct files per type in pages: ``project_id, vulnerability_type, page, affected_files``.
+
+    A list of up to ``page_bytes`` is page 0 alone; a longer one goes on in further rows.
+    """
     once = findings.select("project_id", "vulnerability_type",
                            F.coalesce("file", F.lit("")).alias("f")).distinct()
-    return once.groupBy("project_id", "vulnerability_type").agg(
+    keys = ["project_id", "vulnerability_type"]
+    return paged(once, keys, [F.asc("f")], F.col("f"), page_bytes).groupBy(*keys, "page").agg(
         F.array_sort(F.collect_list("f")).alias("affected_files"))
 
 
@@ -173,15 +184,27 @@ def file_tiers(selected: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def summary(findings: DataFrame, scanned: DataFrame, recommendations: DataFrame | None = None,
-            duration_seconds: float | None = None) -> DataFrame:
-    """One record per project with totals, risk, breakdown and lists."""
+            duration_seconds: float | None = None, page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """One record per project with totals, risk, breakdown and lists.
+
+    Findings are read once. The scanned files of a project are listed in pages of ``page_bytes``; a project with
+    more has further records (``page`` 1 and so on) with the same totals.
+    """
     nothing = F.array().cast("array<string>")
-    out = with_risk_score(totals(findings, scanned)) \
-        .join(severity_breakdown(findings), "project_id", "left") \
-        .join(finding_types(findings), "project_id", "left")
-    paths = scanned.groupBy("project_id").agg(
-        F.array_sort(F.collect_set("path")).alias("critical_files"))
-    out = out.join(paths, "project_id", "left")
+    each = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES]
+    per_file = findings.groupBy("project_id", F.coalesce("file", F.lit("")).alias("f"), type_label().alias("t")).agg(
+        F.count("*").alias("n"), F.sum(weight()).alias("w"), *each)
+    found = per_file.groupBy("project_id").agg(
+        F.sum("n").alias("vulnerabilities_found"), F.count_distinct("f").alias("files_with_findings"),
+        F.sum("w").alias("severity_weight"), F.array_sort(F.collect_set("t")).alias("vulnerability_types"),
+        *[F.sum(s.lower()).alias(s.lower()) for s in SEVERITIES])
+    counted = scanned.groupBy("project_id").agg(F.count("*").alias("files_scanned")).join(found, "project_id", "full")
+    out = with_risk_score(counted.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in (
+        "files_scanned", "vulnerabilities_found", "files_with_findings", "severity_weight")})) \
+        .withColumn("unique_vulnerability_types", F.size(F.coalesce("vulnerability_types", nothing)))
+    paths = paged(scanned.select("project_id", "path").distinct(), ["project_id"], [F.asc("path")], F.col("path"),
+                  page_bytes).groupBy("project_id", "page").agg(F.array_sort(F.collect_list("path")).alias("critical_files"))
+    out = out.join(paths, "project_id", "left").withColumn("page", F.coalesce("page", F.lit(0).cast("bigint")))
     zero = {s.lower(): F.coalesce(s.lower(), F.lit(0)).cast("bigint") for s in SEVERITIES}
     columns = [
         "project_id", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
@@ -191,7 +214,7 @@ def summary(findings: DataFrame, scanned: DataFrame, recommendations: DataFrame
         F.struct(*[zero[s.lower()].alias(s) for s in SEVERITIES]).alias("severity_breakdown"),
         F.coalesce("critical_files", nothing).alias("critical_files"),
         F.coalesce("vulnerability_types", nothing).alias("vulnerability_types"),
-        F.lit(duration_seconds).cast("double").alias("scan_duration_seconds")]
+        F.lit(duration_seconds).cast("double").alias("scan_duration_seconds"), "page"]
     if recommendations is not None:
         listed = recommendations.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(
             "vulnerability_type", "risk_explanation", "affected_files"))).alias("recommendations"))
@@ -221,7 +244,8 @@ def write_json(findings: DataFrame, path: str) -> None:
 
 
 def write_report_tables(findings: DataFrame, scanned: DataFrame, path: str) -> None:
-    """The data behind the report page, one Parquet table each."""
+    """The data behind the report page, one Parquet table each; findings and files are computed once."""
+    findings, scanned = written(findings, "findings"), written(scanned.select("project_id", "path"), "scanned")
     for name, frame in {
         "summary": summary(findings, scanned), "by_type": by_type(findings),
         "type_by_severity": type_by_severity(findings), "by_file": by_file(findings),

@@ -13,6 +13,8 @@ from tracewell.functions.scalars import shorten_middle
 from tracewell.operators.dataflow import analyze
 from tracewell.operators.facts import KEYS
 from tracewell.operators.project import with_context
+from tracewell.operators.ranges import paged
+from tracewell.plans.report import PAGE_BYTES
 from tracewell.sources.corpus import head
 from tracewell.sources.manifests import SUMMARY_NAMES
 
@@ -160,18 +162,28 @@ def remediation_requests(examples: DataFrame, instructions: str = "") -> DataFra
                           .alias("prompt"))
 
 
-def selection_requests(listing: DataFrame, scored: DataFrame,
-                       instructions: str = "") -> DataFrame:
-    """Listing of a project and its scored paths; meant for projects with few scored files."""
-    tree = listing.groupBy("project_id").agg(F.array_sort(F.collect_list(
-        F.struct("path", F.col("ext").alias("type"), F.col("size_bytes").alias("size"),
-                 "language"))).alias("tree"))
-    best = scored.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_list(
-        F.struct((-F.col("score")).alias("s"), "path"))), lambda r: r.path).alias("best"))
-    return tree.join(best, "project_id", "left").select("project_id", _join(
-        "Project Structure:\n", F.to_json("tree"),
-        "\n\nAlready Identified Files With Security Indicators:\n",
-        F.coalesce(F.to_json("best"), F.lit("[]")), "\n", instructions).alias("prompt"))
+def selection_requests(listing: DataFrame, scored: DataFrame, instructions: str = "",
+                       page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """``project_id, page, prompt``: the listing of a project and its scored paths, best first.
+
+    Both lists are cut into pages of ``page_bytes``: a project with a long listing gets a request per page.
+    """
+    entry = F.to_json(F.struct("path", F.col("ext").alias("type"), F.col("size_bytes").alias("size"), "language"))
+    best = scored.select("project_id", "path", "score")
+
+    def pages(rows, order, text, name):
+        return paged(rows, ["project_id"], order, text, page_bytes).groupBy("project_id", "page").agg(F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "entry"))), lambda e: e.entry), ",").alias(name))
+
+    tree = pages(listing.select("project_id", "path", "ext", "size_bytes", "language"), [F.asc("path")], entry, "tree")
+    listed = pages(best, [F.desc("score"), F.asc("path")],
+                   F.regexp_replace(F.to_json(F.array("path")), r"^\[|\]$", ""), "best")
+    known = listing.select("project_id").distinct()
+    both = tree.join(listed.join(known, "project_id", "left_semi"), ["project_id", "page"], "full")
+    return both.select("project_id", "page", _join(
+        "Project Structure:\n[", F.coalesce("tree", F.lit("")), "]",
+        "\n\nAlready Identified Files With Security Indicators:\n[",
+        F.coalesce("best", F.lit("")), "]\n", instructions).alias("prompt"))
 
 
 def summary_requests(root_files: DataFrame, instructions: str = "",

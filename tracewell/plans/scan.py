@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import project
 from tracewell.operators.facts import KEYS
-from tracewell.operators.sizing import settled, small
+from tracewell.operators.sizing import only_wanted, written
 from tracewell.plans import report, requests, responses
 from tracewell.sources import corpus, manifests
 
@@ -39,9 +39,9 @@ def select_files(files: DataFrame, answers: DataFrame | None = None) -> DataFram
 
     A project with enough scored files takes its best ones. Otherwise the model's list is used
     with the scored files after it, else the scored files, else the name-based fallback. Scores are
-    settled because every branch reads them and reading file heads is the costly part.
+    written because every branch reads them and reading file heads is the costly part.
     """
-    scores = settled(project.file_scores(project.file_metadata(files)))
+    scores = written(project.file_scores(project.file_metadata(files)), "scores")
     best = project.top_files(scores).select(*KEYS, F.col("rank").alias("ord"))
     done = best.select("project_id").distinct()
     parts = [best]
@@ -50,11 +50,11 @@ def select_files(files: DataFrame, answers: DataFrame | None = None) -> DataFram
         asked = chosen.select("project_id").distinct()
         extra = scores.join(asked, "project_id", "left_semi")
         parts.append(project.append_missing(chosen, extra))
-        done = done.unionByName(asked)
+        done = _projects(done, asked)
     scored = project.fallback_files(scores.join(done, "project_id", "left_anti")) \
         .select(*KEYS, F.col("rank").alias("ord"))
     parts.append(scored)
-    done = done.unionByName(scores.select("project_id").distinct()).distinct()
+    done = _projects(done, scores.select("project_id"))
     rest = project.fallback_scores(files.drop("content")).join(done, "project_id", "left_anti")
     parts.append(project.fallback_files(rest).select(*KEYS, F.col("rank").alias("ord")))
     out = parts[0]
@@ -63,6 +63,18 @@ def select_files(files: DataFrame, answers: DataFrame | None = None) -> DataFram
     return out
 
 
+def _projects(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Projects in either list. The exchange is stated: joined as it is, a union of equally dealt parts
+    can count on a number of partitions that adaptive execution has changed."""
+    return a.unionByName(b).distinct().repartition("project_id")
+
+
+def _listed(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """The listed files; content of others does not move."""
+    keys = listed.select(*KEYS)
+    return only_wanted(files, keys, KEYS).join(keys, KEYS, "left_semi")
+
+
 def prepare(files: DataFrame, root_files: DataFrame, patterns: DataFrame | None = None,
             answers: DataFrame | None = None, scan_all: bool = True,
             pattern_files: int | None = None) -> Prepared:
@@ -76,12 +88,11 @@ def prepare(files: DataFrame, root_files: DataFrame, patterns: DataFrame | None
         first = selected if pattern_files is None else corpus.first_files(selected, pattern_files)
         scanned = files
     else:
-        selected = settled(select_files(files, answers))
+        selected = written(select_files(files, answers), "selected")
         first = selected if pattern_files is None else selected.where(F.col("ord") <= pattern_files)
-        scanned = files.join(small(selected.select(*KEYS)), KEYS, "left_semi")
+        scanned = _listed(files, selected)
     scanned = corpus.scannable(scanned)
-    sampled = scanned if pattern_files is None and scan_all else scanned.join(
-        small(first.select(*KEYS)), KEYS, "left_semi")
+    sampled = scanned if pattern_files is None and scan_all else _listed(scanned, first)
     return Prepared(
         selected=selected, files=scanned,
         cross_calls=project.first_cross_calls(project.cross_file_calls(scanned)),
