@@ -105,6 +105,10 @@ SCANNED = f"""scanned as (select project_id, path, name, ext, size_bytes, {LANG}
 add("src_01_corpus_scan", fx.DUCK_REPO, SCANNED, body="""
 select project_id, path, ext as type, size_bytes, language from scanned
 where language is not null and size_bytes <= 100000""")
+add("src_01_packed_corpus", fx.DUCK_REPO, SCANNED, body="""
+select cast(project_id as varchar) as project_id, path, ext, size_bytes % 300 * 3 as size_bytes, language,
+       cast(size_bytes % 300 * 2 as integer) as chars from scanned
+where language is not null and size_bytes % 300 between 1 and 200""")
 add("src_02_ignore_filter", fx.DUCK_REPO, body=f"""
 select project_id, path, {ignored(IGNORE)} as ignored, {ignored(ANCHORED)} as ignored_anchored
 from repo_files""")

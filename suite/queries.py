@@ -18,7 +18,7 @@ from tracewell.plans import report, requests
 from tracewell.plans import responses as rs
 from tracewell.rules import project as custom
 from tracewell.rules.catalog import java_regex
-from tracewell.sources import corpus, manifests
+from tracewell.sources import corpus, filesource, manifests
 from tracewell.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,17 @@ def src_01_corpus_scan(spark, d):
         "project_id", "path", F.col("ext").alias("type"), "size_bytes", "language")
 
 
+@query
+def src_01_packed_corpus(spark, d):
+    """The files of the listing, with texts of a length of their own, packed into archives and read back."""
+    root = _scratch(spark, "packed")
+    text = F.repeat(F.lit("x\r\n"), (F.col("size_bytes") % 300).cast("int"))
+    filesource.pack(fx.repo_files(spark, d).select("project_id", "path", F.lit(1.0).alias("mtime"), text.alias("content")),
+                    root)
+    return corpus.read_corpus(spark, root, max_file_size=600).select(
+        "project_id", "path", "ext", "size_bytes", "language", F.length("content").alias("chars"))
+
+
 @query
 def src_02_ignore_filter(spark, d):
     path = F.col("path")

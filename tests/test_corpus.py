@@ -1,11 +1,13 @@
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as sc
 from tracewell.operators import facts
 from tracewell.operators.sizing import drop_listed, lookup_join
-from tracewell.sources import corpus, manifests
+from tracewell.sources import corpus, filesource, manifests
 
 
 def one(spark, value, column):
@@ -33,6 +35,52 @@ def test_read_corpus(spark, tmp_path):
     assert corpus.scannable(corpus.read_corpus(spark, str(root), 100), 6).count() == 1
 
 
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "code"
+    for path, data in {
+        "p1/src/a.py": b"a = 1\r\nb\xff = 2\r", "p1/node_modules/deep/x.js": b"x", "p1/big.py": b"x" * 200,
+        "p1/.py": b"x", "p1/notes.txt": b"x", "p1/lib.min.js": b"x", "p1/routes/r.js": b"r", "p1/src/in/b.py": b"bb",
+        "p2/z.go": b"", "p2/b.rb": b"puts 1", "p2/.git/hooks/h.py": b"h", "loose.py": b"not in a project",
+    }.items():
+        target = root / path
+        os.makedirs(target.parent, exist_ok=True)
+        target.write_bytes(data)
+    return str(root)
+
+
+def test_ignored_files_are_never_opened(tree, monkeypatch):
+    opened, listed = [], []
+    options = {"path": tree, "ignore": json.dumps(corpus.IGNORE_PATTERNS), "extensions": '["py", "js", "go", "rb"]',
+               "maxsize": "100", "slices": "2"}
+    reader = filesource.CorpusReader(options)
+    monkeypatch.setattr(reader, "_opened", lambda system, path: opened.append(path) or b"")
+    monkeypatch.setattr(reader.wanted, "enters", lambda f, g=reader.wanted.enters: g(f) and (listed.append(f) or True))
+    parts = reader.partitions()
+    assert len(parts) == 4
+    for part in parts:
+        list(reader.read(part))
+    assert sorted(p.removeprefix(tree + "/") for p in opened) == ["p1/src/a.py", "p1/src/in/b.py", "p2/b.rb"]
+    assert set(listed) == {"src", "in"}     # node_modules and .git are not entered, and "routes" holds "out"
+
+
+def test_archives_and_slices_give_the_same_files(spark, tree, tmp_path):
+    plain = corpus.read_corpus(spark, tree, 100, anchor=True)
+    rows = {tuple(r) for r in plain.drop("mtime").collect()}
+    assert {r[1] for r in rows} == {"src/a.py", "src/in/b.py", "routes/r.js", "b.rb"}
+    sliced = corpus.read_corpus(spark, tree, 100, anchor=True, slices=3)
+    assert {tuple(r) for r in sliced.drop("mtime").collect()} == rows
+    by_spark = corpus.read_corpus(spark, tree, 100, anchor=True, spark_only=True)
+    assert {tuple(r) for r in by_spark.drop("mtime").collect()} == rows
+    packed = str(tmp_path / "packed")
+    filesource.pack(filesource.read_files(spark, tree, []).repartition(3), packed)
+    assert all(n.endswith(".tar") and "@" in n for n in os.listdir(packed))
+    unpacked = corpus.read_corpus(spark, packed, 100, anchor=True)
+    assert {tuple(r) for r in unpacked.drop("mtime").collect()} == rows
+    capped = corpus.read_corpus(spark, packed, 100, max_files=1, anchor=True)
+    assert {r.path for r in capped.collect()} == {"b.rb", "routes/r.js"}
+
+
 def test_language_and_extension(spark):
     cases = {".py": "unknown", "A.PY": "unknown", "a.py": "python", "x/y.z/b.tsx": "typescript",
              "noext": "unknown", ".env.js": "javascript", "a.tar.go": "golang", "x.": "unknown"}

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import LANGUAGE_OF, basename, extension, lookup
-from tracewell.operators.sizing import lookup_join
+from tracewell.sources.filesource import read_files
 
 # Names and suffixes that are not scanned.
 IGNORE_PATTERNS = [
@@ -78,8 +78,13 @@ def head(content: Column, chars: int | None = None) -> Column:
 
 
 def read_listing(spark: SparkSession, root: str) -> DataFrame:
-    """``root/<project>/...`` as ``project_id, path, size_bytes, mtime, content`` (bytes)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """``root/<project>/...`` as ``project_id, path, size_bytes, mtime, content`` (bytes), by Spark's own reader.
+
+    For storage that only Spark opens: the driver lists all folders, and only kinds without a language are left out
+    before they are read. ``filesource.read_files`` reads less.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", f"*.{{{','.join(LANGUAGE_OF)}}}").load(root)
     prefix = root.rstrip("/") + "/"
     inner = F.substring(F.col("path"), F.instr(F.col("path"), prefix) + len(prefix), 1_000_000)
     return raw.select(
@@ -92,21 +97,30 @@ def read_listing(spark: SparkSession, root: str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, root: str, max_file_size: int | None = None,
                 max_files: int | None = None, ignore_patterns: Sequence[str] | None = None,
-                anchor: bool = False) -> DataFrame:
-    """Files of all projects under ``root``, decoded, one row each.
+                anchor: bool = False, slices: int = 1, spark_only: bool = False) -> DataFrame:
+    """Files of all projects under ``root`` (folders or archives), decoded, one row each.
 
-    The file cap is found on a listing without ``content``: a project over the cap gets its last
-    kept path, and reading compares with it. Content is never shuffled.
+    Ignored, oversized and empty files are never opened; ``slices`` tasks share a project's folder. With
+    ``spark_only`` Spark's own reader is used instead, for storage that nothing else opens. The file cap is found
+    on a listing without ``content``: a project over the cap gets its last kept path, and reading compares
+    with it. Content is never shuffled.
     """
-    listing = read_listing(spark, root)
-    files = select_source_files(listing, max_file_size, ignore_patterns, anchor)
+    patterns = IGNORE_PATTERNS if ignore_patterns is None else list(ignore_patterns)
+
+    def listed(content: bool) -> DataFrame:
+        if spark_only:
+            found = read_listing(spark, root)
+            return found if content else found.drop("content")
+        return read_files(spark, root, patterns, anchor, list(LANGUAGE_OF), max_file_size, slices, content)
+
+    files = select_source_files(listed(True), max_file_size, ignore_patterns, anchor)
     if max_files is not None:
-        names = select_source_files(listing.drop("content"), max_file_size, ignore_patterns, anchor)
+        names = select_source_files(listed(False), max_file_size, ignore_patterns, anchor)
         order = W.partitionBy("project_id").orderBy("path")
         last = names.select("project_id", "path", F.row_number().over(order).alias("_rank")) \
             .where(F.col("_rank") == max_files) \
             .select("project_id", F.col("path").alias("_last"))
-        files = lookup_join(files, last, ["project_id"], "path") \
+        files = files.join(last, "project_id", "left") \
             .where(F.col("_last").isNull() | (F.col("path") <= F.col("_last")))
     return files.select("project_id", "path", "name", "ext", "language", "size_bytes", "mtime",
                         decode_text(F.col("content")).alias("content"))
