@@ -97,11 +97,13 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def only_wanted(frame: DataFrame, wanted: DataFrame, keys: Sequence[str], bits: int = 1 << 26) -> DataFrame:
+def only_wanted(frame: DataFrame, wanted: DataFrame, keys: Sequence[str], bits: int = 1 << 26,
+                keep: bool = True) -> DataFrame:
     """The rows of ``frame`` whose keys may be in ``wanted``; almost all others go where they are read.
 
     The keys of ``wanted`` set bits of a bitmap, which is broadcast: ``bits / 8`` bytes at most, however many
-    keys there are. Some rows pass by chance, so an exact join has to follow; no wanted row is lost.
+    keys there are. Some rows pass by chance, so an exact join has to follow; no wanted row is lost. Without ``keep``
+    the result is exactly the other rows, none of which is wanted.
     """
     place = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(bits)) + 1
     held = wanted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
@@ -109,5 +111,7 @@ def only_wanted(frame: DataFrame, wanted: DataFrame, keys: Sequence[str], bits:
     at = F.bitmap_bit_position("_place")
     byte = F.conv(F.hex(F.substring("_bits", F.expr("bitmap_bit_position(_place) div 8 + 1").cast("int"), F.lit(1))), 16, 10)
     set_ = F.getbit(byte.cast("bigint"), (at % 8).cast("int")) == 1
-    return frame.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place")) \
-        .join(F.broadcast(held), "_bucket").where(set_).select(*frame.columns)
+    found = F.coalesce(set_, F.lit(False))
+    return frame.withColumn("_place", F.coalesce(place, F.lit(1))) \
+        .withColumn("_bucket", F.bitmap_bucket_number("_place")) \
+        .join(F.broadcast(held), "_bucket", "left").where(found if keep else ~found).select(*frame.columns)

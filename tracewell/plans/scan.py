@@ -16,6 +16,8 @@ from tracewell.operators.facts import KEYS
 from tracewell.operators.sizing import only_wanted, written
 from tracewell.plans import report, requests, responses
 from tracewell.sources import corpus, manifests
+from tracewell.streaming import state as state_of
+from tracewell.streaming.state import ScanState
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,7 @@ class Prepared:
     cross_calls: DataFrame
     file_requests: DataFrame
     pattern_requests: DataFrame
+    saved: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -77,11 +80,13 @@ def _listed(files: DataFrame, listed: DataFrame) -> DataFrame:
 
 def prepare(files: DataFrame, root_files: DataFrame, patterns: DataFrame | None = None,
             answers: DataFrame | None = None, scan_all: bool = True,
-            pattern_files: int | None = None) -> Prepared:
+            pattern_files: int | None = None, state: ScanState | None = None, rules_version: str = "") -> Prepared:
     """Select files and build the requests of the deep scan.
 
     ``patterns`` are project patterns parsed from earlier pattern responses. All files are scanned
-    unless ``scan_all`` is off; ``pattern_files`` asks for patterns of so many files per project.
+    unless ``scan_all`` is off; ``pattern_files`` asks for patterns of so many files per project. With
+    ``state`` (``files`` then has ``mtime``) only files without saved results of ``rules_version`` give requests;
+    the findings of the others are ``saved``.
     """
     if scan_all:
         selected = files.select(*KEYS, F.lit(None).cast("int").alias("ord"))
@@ -93,19 +98,48 @@ def prepare(files: DataFrame, root_files: DataFrame, patterns: DataFrame | None
         scanned = _listed(files, selected)
     scanned = corpus.scannable(scanned)
     sampled = scanned if pattern_files is None and scan_all else _listed(scanned, first)
+    asked, known = scanned, None
+    if state is not None:
+        asked, known = unsaved(scanned, state.read("file_scans"), rules_version)
     return Prepared(
-        selected=selected, files=scanned,
+        selected=selected, files=asked, saved=known,
         cross_calls=project.first_cross_calls(project.cross_file_calls(scanned)),
         file_requests=requests.file_requests(
-            scanned, manifests.project_context(root_files), patterns),
+            asked, manifests.project_context(root_files), patterns),
         pattern_requests=requests.pattern_requests(sampled))
 
 
+SAVED = ("array<struct<line:int,vulnerability_type:string,description:string,severity:string,confidence:double,"
+         "code_snippet:string,cwe_id:string,data_flow:array<string>,remediation:string>>")
+
+
+def unsaved(files: DataFrame, scans: DataFrame, rules_version: str) -> tuple[DataFrame, DataFrame]:
+    """Files to scan, with their content, and the findings that are saved for all others.
+
+    A bitmap of the files without results decides for both sides: a file that it holds by chance is scanned
+    again and its saved findings stay out, so each file counts once, and no content moves.
+    """
+    todo = written(state_of.to_scan(files, scans, rules_version).select(*KEYS), "todo")
+    rows = only_wanted(state_of.reused(files, scans, rules_version).select(*KEYS, "vulnerabilities"), todo, KEYS, keep=False)
+    found = rows.select("project_id", F.col("path").alias("file"), F.explode(F.from_json("vulnerabilities", SAVED)).alias("f"))
+    return only_wanted(files, todo, KEYS), found.select("project_id", "file", "f.*")
+
+
+def save(state: ScanState, scanned: DataFrame, findings: DataFrame, now: float, rules_version: str) -> None:
+    """Saves what the answers on ``scanned`` files gave, findings above no threshold left out."""
+    state.save_file_results(scanned, findings, now, rules_version)
+
+
 def finish(selected: DataFrame, file_answers: DataFrame, cross_answers: DataFrame | None = None,
            advice: DataFrame | None = None,
-           threshold: float = report.CONFIDENCE_THRESHOLD) -> Finished:
-    """Findings above the confidence threshold, recommendations and one summary per project."""
+           threshold: float = report.CONFIDENCE_THRESHOLD, saved: DataFrame | None = None) -> Finished:
+    """Findings above the confidence threshold, recommendations and one summary per project.
+
+    ``saved`` are findings of files that were not asked about again.
+    """
     found = responses.parse_findings(file_answers).drop("parse_path", "finding_ord")
+    if saved is not None:
+        found = found.unionByName(saved, allowMissingColumns=True)
     if cross_answers is not None:
         found = report.union_findings(
             found, responses.parse_cross_findings(cross_answers).drop("finding_ord"))

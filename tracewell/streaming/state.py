@@ -1,18 +1,21 @@
 """Incremental scans: state tables that let unchanged files keep their results.
 
-The state is append-only: every save adds rows, and a reader takes the latest row per key with a
-``max_by`` aggregation (combined before the shuffle; keys are projects with hashes, or names). A lost executor can
-at worst repeat a task of a write; earlier rows are never touched. ``compact`` writes the latest
-rows as a new generation next to the old one.
+A table is dealt into buckets by a hash of its keys. A save decides on keys alone which saved rows are
+superseded, writes the buckets it touches as a new version, and names it in a small table of commits, last of
+all. A reader takes the last committed version of each bucket, so a save that did not end does not
+count, and buckets without news keep their files. Saved payload is read and written, but not shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import fingerprint
+from tracewell.operators.sizing import only_wanted, written
 
 TABLES = {
     "file_scans": (["project_id", "file_hash"], "project_id string, file_hash string, "
@@ -25,6 +28,10 @@ CLOCK = {"file_scans": "last_scanned", "project_scans": "last_scanned",
          "metadata": "last_updated"}
 
 
+BUCKETS = 256
+COMMIT = "bucket int, number bigint, folder string"
+
+
 def latest(rows: DataFrame, keys: list[str], clock: str) -> DataFrame:
     """The newest row per key."""
     others = [c for c in rows.columns if c not in keys]
@@ -34,8 +41,19 @@ def latest(rows: DataFrame, keys: list[str], clock: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, table: str) -> DataFrame:
-    keys, _ = TABLES[table]
-    return latest(old.unionByName(new), keys, CLOCK[table])
+    """The rows of ``old`` (one per key) with those of ``new`` that are as new or newer in their place.
+
+    Keys and clocks decide. Old rows whose key is not in a bitmap of the superseded ones stay where they are
+    read; only the few others are compared by an exact join.
+    """
+    keys, clock = TABLES[table][0], CLOCK[table]
+    once = latest(new, keys, clock)
+    before = old.select(*keys, F.col(clock).alias("_before"))
+    wins = F.col("_before").isNull() | (F.col(clock) >= F.col("_before"))
+    taken = written(once.join(before, keys, "left").where(wins).drop("_before").select(*old.columns), "news")
+    gone = taken.select(*keys)
+    doubtful = only_wanted(old, gone, keys).join(gone, keys, "left_anti")
+    return only_wanted(old, gone, keys, keep=False).unionByName(doubtful).unionByName(taken)
 
 
 def with_hash(files: DataFrame) -> DataFrame:
@@ -43,12 +61,12 @@ def with_hash(files: DataFrame) -> DataFrame:
 
 
 def _matches(scans: DataFrame, rules_version: str, *payload: str) -> DataFrame:
-    """Keys (project as text, hash, modification time) of current results, with what is asked for."""
-    keys, _ = TABLES["file_scans"]
-    narrow = scans.select(*keys, "last_modified", "last_scanned", "rules_version", *payload)
-    return latest(narrow, keys, CLOCK["file_scans"]).where(F.col("rules_version") == rules_version) \
-        .select(F.col("project_id").alias("_project"), "file_hash",
-                F.col("last_modified").alias("mtime"), *payload)
+    """Keys (project as text, hash, modification time) of current results, with what is asked for.
+
+    ``scans`` has one row per key, as ``ScanState.read`` gives it.
+    """
+    return scans.where(F.col("rules_version") == rules_version).select(
+        F.col("project_id").alias("_project"), "file_hash", F.col("last_modified").alias("mtime"), *payload)
 
 
 def _keyed(files: DataFrame) -> DataFrame:
@@ -88,9 +106,7 @@ def structure_hash(files: DataFrame) -> DataFrame:
 
 def cached_selection(hashes: DataFrame, scans: DataFrame, rules_version: str) -> DataFrame:
     """Saved file lists of projects whose listing is unchanged."""
-    keys, _ = TABLES["project_scans"]
-    current = latest(scans, keys, CLOCK["project_scans"]) \
-        .where(F.col("rules_version") == rules_version)
+    current = scans.where(F.col("rules_version") == rules_version)
     return hashes.join(current, ["project_id", "structure_hash"]).select(
         "project_id", "structure_hash",
         F.from_json("critical_files", "array<string>").alias("critical_files"))
@@ -115,21 +131,44 @@ class ScanState:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def read(self, table: str) -> DataFrame:
-        """The latest row per key; empty when nothing was saved yet."""
-        keys, schema = TABLES[table]
+    def _commits(self, table: str) -> dict[int, tuple[int, str | None]]:
+        """Number and folder of the last save of each bucket (no folder: cleared); ``BUCKETS`` entries at most."""
         try:
-            rows = self.spark.read.schema(schema).parquet(self._path(table))
+            commits = self.spark.read.schema(COMMIT).parquet(f"{self._path(table)}/commits")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], schema)
-        return latest(rows, keys, CLOCK[table])
+            return {}
+        last = commits.groupBy("bucket").agg(F.max(F.struct("number", "folder")).alias("last")).collect()
+        return {r.bucket: (r.last.number, r.last.folder) for r in last}
 
-    def save(self, table: str, rows: DataFrame) -> None:
+    def _rows(self, table: str, buckets: set[int] | None = None) -> DataFrame:
         _, schema = TABLES[table]
+        paths = [f"{self._path(table)}/data/{folder}/bucket={b}" for b, (_, folder) in sorted(self._commits(table).items())
+                 if folder and (buckets is None or b in buckets)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def read(self, table: str) -> DataFrame:
+        """The latest row per key; empty when nothing was saved yet."""
+        return self._rows(table)
+
+    def save(self, table: str, rows: DataFrame) -> None:
+        """Puts ``rows`` in the place of saved rows of their keys that are not newer."""
+        keys, schema = TABLES[table]
         names = self.spark.createDataFrame([], schema).columns
-        rows.select(*names).write.mode("append").parquet(self._path(table))
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        new = written(rows.select(*names, bucket.alias("bucket")), "saving")
+        touched = {r.bucket for r in new.select("bucket").distinct().collect()}
+        if touched:
+            folder = uuid.uuid4().hex
+            upsert(self._rows(table, touched), new.repartition("bucket").drop("bucket"), table) \
+                .withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{self._path(table)}/data/{folder}")
+            self._commit(table, touched, folder)
+
+    def _commit(self, table: str, buckets: set[int], folder: str | None) -> None:
+        number = 1 + max((n for n, _ in self._commits(table).values()), default=0)
+        self.spark.createDataFrame([(b, number, folder) for b in buckets], COMMIT).coalesce(1) \
+            .write.mode("append").parquet(f"{self._path(table)}/commits")
 
     def save_file_results(self, files: DataFrame, findings: DataFrame, now: float,
                           rules_version: str) -> None:
@@ -163,15 +202,18 @@ class ScanState:
         return self.read("metadata").where(F.col("key") == key).select("value")
 
     def clear(self) -> None:
-        for table, (_, schema) in TABLES.items():
-            self.spark.createDataFrame([], schema).write.mode("overwrite") \
-                .parquet(self._path(table))
+        """Empties all tables."""
+        for table in TABLES:
+            buckets = set(self._commits(table))
+            if buckets:
+                self._commit(table, buckets, None)
 
     def compact(self, root: str) -> ScanState:
-        """Write the latest rows as a new generation under another folder."""
+        """Write the current rows under another folder, without the files of earlier versions."""
+        other = ScanState(self.spark, root)
         for table in TABLES:
-            self.read(table).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{table}")
-        return ScanState(self.spark, root)
+            other.save(table, self.read(table))
+        return other
 
     def stats(self) -> DataFrame:
         """Row count per table."""
