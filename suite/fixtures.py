@@ -149,6 +149,11 @@ def long_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"array_join(transform(rows, r -> {line}), '\\n')").alias("content"))
 
 
+# Python statements over several lines, with comments, defaults and aliases.
+LONG_IMPORT = ("from sub.process import (run as go,  # fast\n    call,\n    check as ok)\n"
+               "import os.path as osp, \\\n    sys")
+LONG_HEAD = ",\n        limit=min(1, 2),  # most\n        *rest, key: str = ''):"
+
 DUCK_LONG = f"""
   raw_lines as materialized (
     select project_id, {LONG_PATH}, {_cases(_duck, 'project_id % 4', LANGUAGES)} as language,

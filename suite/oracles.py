@@ -340,6 +340,36 @@ from {per_line(facts.PY_IMPORT, dict(nm=1), PY)} i
 union all select path, line_no, 'import', md, array_to_string({parts('nm')}, ' | ')
 from {per_line(facts.PY_FROM, dict(md=1, nm=2), PY)} i""")
 
+def names_of(x, pattern):
+    """Imported names, or aliases, of a list with comments and continued lines."""
+    clean = f"regexp_replace({x}, {q(facts.PY_COMMENT)}, ' ', 'g')"
+    each = f"list_filter(list_transform(string_split({clean}, ','), lambda p: {strip('p')}), lambda p: p <> '')"
+    return f"array_to_string(list_transform({each}, lambda p: regexp_extract(p, {q(pattern)}, 1)), ' | ')"
+
+
+def _escaped(x):
+    return " || chr(10) || ".join(q(part) for part in x.split("\n"))
+
+
+def python_statements(long_import, long_head):
+    flat = f"regexp_replace(regexp_replace(pr, {q(facts.PY_COMMENT)}, ' ', 'g'), {q(facts.PY_NESTED)}, ' ', 'g')"
+    head = strip(f"regexp_extract(p, {q('^([^:=]*)')}, 1)")
+    params = (f"array_to_string(list_filter(list_transform(string_split({flat}, ','), lambda p: {head}), "
+              "lambda p: regexp_matches(p, '^[A-Za-z_]')), ' | ')")
+    name, alias = r"^([\w.*]+)", r"\sas\s+(\w+)"
+    parts_ = [f"""select path, line_no, 'import' as fact, {module} as name, {names_of('nm', name)} as parts,
+      {names_of('nm', alias)} as aliases from {find(p, groups, source="edited", where=PY)} a""" for p, groups, module in (
+        (facts.PY_IMPORT, dict(nm=1), "''"), (facts.PY_FROM, dict(md=1, nm=2), "md"),
+        (facts.PY_FROM_LIST, dict(md=1, nm=2), "md"))]
+    parts_.append(f"""select path, line_no, 'def', nm, case when kd = 'def' then {params} else '' end, ''
+      from {find(facts.PY_DEFINITION, dict(kd=1, nm=2, pr=3), source="edited", where=PY)} d""")
+    edited = f"""edited as (select project_id, path, language, replace(replace(content, 'import subprocess',
+  {_escaped(long_import)}), '):', {_escaped(long_head)}) as content from code_files)"""
+    add("ext_11_python_statements", CODE, edited, body="\nunion all ".join(parts_))
+
+
+python_statements(fx.LONG_IMPORT, fx.LONG_HEAD)
+
 CODED = f"coded as (select project_id, path, line_no, {strip('text')} as code from code_lines)"
 JS_VALUE = f"regexp_replace({after_equals('code')}, ';$', '')"
 EVENTS = f"""ev0 as (
@@ -558,15 +588,17 @@ select * from (select project_id, path, cast(row_number() over (partition by pat
 
 # --- joins inside a file ----------------------------------------------------------------------
 
-INDIRECT = f"""direct as (select *, nullif({ASSIGNED}, '') as assigned from hits where role = 'source'),
+INDIRECT = f"""direct as materialized (select *, nullif({ASSIGNED}, '') as assigned from hits where role = 'source'),
+near_direct as materialized (
+  select d.project_id, d.path, l.line_no, d.rule_type, l.text, d.assigned, d.line_no as parent_line,
+         d.pattern as parent_pattern, d.hit_ord
+  from direct d join code_lines l on l.path = d.path
+  where l.line_no <> d.line_no and contains(l.text, d.assigned)),
 indirect as (
-  select d.project_id, d.path, l.line_no, 'indirect_' || d.rule_type as rule_type,
-         {strip('l.text')} as code, d.assigned as pattern,
-         regexp_extract(l.text, '(\\w+)\\s*=\\s*.*' || d.assigned, 1) as derived_variable,
-         d.line_no as parent_line, d.pattern as parent_pattern, d.hit_ord
-  from direct d join code_lines l on l.path = d.path and l.line_no <> d.line_no
-  where contains(l.text, d.assigned)
-    and regexp_matches(l.text, '(\\w+)\\s*=\\s*.*' || d.assigned)),
+  select project_id, path, line_no, 'indirect_' || rule_type as rule_type, {strip('text')} as code,
+         assigned as pattern, regexp_extract(text, '(\\w+)\\s*=\\s*.*' || assigned, 1) as derived_variable,
+         parent_line, parent_pattern, hit_ord
+  from near_direct where regexp_matches(text, '(\\w+)\\s*=\\s*.*' || assigned)),
 sources as (select project_id, path, line_no, rule_type, code,
                    row_number() over (partition by path order by part, hit_ord, line_no) as src_ord
             from (select 0 as part, project_id, path, line_no, rule_type, code, hit_ord from direct
@@ -723,13 +755,17 @@ cross_calls as (
 CROSSED = (CODE, JAVA_DEFS, PY_DEFS, DEFS, CROSS)
 add("jn_16_cross_file_calls", *CROSSED, body="select * from cross_calls")
 add("prj_05_cross_snippets", *CROSSED,
-    f"near as (select path, line_no, {window(3)} as caller_code, {window(1, 6)} as called_code from code_lines)",
-    """firsts as (select *, cast(row_number() over (partition by project_id
-   order by caller_file, caller_line, called_entity) as integer) as call_ord from cross_calls)""", body="""
-select f.project_id, call_ord, caller_file, caller_line, called_entity, called_file, called_line,
-       a.caller_code, b.called_code
-from firsts f join near a on a.path = caller_file and a.line_no = caller_line
-join near b on b.path = called_file and b.line_no = called_line where call_ord <= 5""")
+    """firsts as materialized (select * from (select *, cast(row_number() over (partition by project_id
+   order by caller_file, caller_line, called_entity) as integer) as call_ord from cross_calls) t where call_ord <= 5)""",
+    """callers as (select f.project_id, call_ord, string_agg(l.text, chr(10) order by l.line_no) as caller_code
+   from firsts f join code_lines l on l.path = caller_file
+   where l.line_no between caller_line - 3 and caller_line + 3 group by all)""",
+    """callees as (select f.project_id, call_ord, string_agg(l.text, chr(10) order by l.line_no) as called_code
+   from firsts f join code_lines l on l.path = called_file
+   where l.line_no between called_line - 1 and called_line + 6 group by all)""", body="""
+select project_id, call_ord, caller_file, caller_line, called_entity, called_file, called_line,
+       caller_code, called_code
+from firsts join callers using (project_id, call_ord) join callees using (project_id, call_ord)""")
 add("jn_17_file_tiers", CODE, fx.DUCK_FINDINGS, body="""
 select c.project_id, c.path, n as findings,
        case when n > 5 then 'danger' when n > 2 then 'warning' when n > 0 then 'info' else '' end as tier

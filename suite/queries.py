@@ -409,6 +409,19 @@ def ext_11_python_facts(spark, d):
         F.coalesce("module", F.lit("")).alias("name"), joined("names").alias("value")))
 
 
+@query
+def ext_11_python_statements(spark, d):
+    files = _of(fx.code_files(spark, d), "python")
+    for old, new in (("import subprocess", fx.LONG_IMPORT), ("):", fx.LONG_HEAD)):
+        files = files.withColumn("content", F.replace("content", F.lit(old), F.lit(new)))
+    return facts.imports(files).select(
+        "path", "line_no", F.lit("import").alias("fact"), F.coalesce("module", F.lit("")).alias("name"),
+        joined("names").alias("parts"), joined("aliases").alias("aliases")
+    ).unionByName(facts.definitions(files).select(
+        "path", "line_no", F.lit("def").alias("fact"), "name", joined("param_names").alias("parts"),
+        F.lit("").alias("aliases")))
+
+
 @query
 def ext_12_variables(spark, d):
     return facts.variables(fx.code_files(spark, d)).select(

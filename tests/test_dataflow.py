@@ -146,6 +146,17 @@ def test_python_facts(files_of):
         (None, ["os", "sys"]), ("a.b", ["c", "d"])]
 
 
+def test_python_statements_over_several_lines(files_of):
+    text = ("from a.b import (c as d,  # why\n    e,\n)\nimport os.path as p, \\\n  sys\nfrom . import *\n"
+            "def f(a, b=g(1, 2),\n      # comment, here\n      *rest,\n      key: int = 3):\n    return h(a,\n             b)\n"
+            "class K(\n    Base):\n    async def m(self): pass")
+    files = files_of({"x.py": text})
+    imports = [(i.line_no, i.module, i.names, i.aliases) for i in facts.imports(files).orderBy("import_ord").collect()]
+    assert imports == [(1, "a.b", ["c", "e"], ["d", ""]), (4, None, ["os.path", "sys"], ["p", ""]), (6, ".", ["*"], [""])]
+    defs = [(d.line_no, d.kind, d.name, d.param_names) for d in facts.definitions(files).orderBy("def_ord").collect()]
+    assert defs == [(7, "function", "f", ["a", "b", "key"]), (13, "class", "K", []), (15, "function", "m", ["self"])]
+
+
 def brute_taint(seeds, variables):
     """Smallest hop first, then lowest parent, initializer before later assignment."""
     marked = {i: (0, None) for i, v in enumerate(variables) if v["line"] in seeds}

@@ -36,13 +36,18 @@ TYPED_VARIABLE = r"(\w+)\s+(\w+)\s*(?:=\s*([^;]+))?;"
 GENERIC_FUNCTION = r"(?:(\w+)\s+)?(\w+)\s*\(([^)]*)\)\s*\{"
 LINE_ASSIGNMENT = r"(\w+)\s*=\s*([^;]+)"
 
-# Python source is read line by line instead of through a syntax tree.
+# Python source is read by expressions instead of through a syntax tree: definitions and imports as whole
+# statements, over several lines if need be; assignments and calls line by line.
 PY_ASSIGNMENT = r"^\s*([A-Za-z_]\w*)\s*((?:[-+*/%&|^@]|//|\*\*|<<|>>)?)=(?:[^=]|$)"
-PY_DEFINITION = r"^\s*(?:async\s+)?(def|class)\s+(\w+)\s*(?:\(([^)]*)\)?)?"
+PY_DEFINITION = (r"(?m)^[ \t]*(?:async[ \t]+)?(def|class)[ \t]+(\w+)[ \t]*"
+                 r"(?:\(([^()]*(?:\([^()]*\)[^()]*)*)\)?)?")
 PY_HEADING = r"\b(?:def|class)\s+\w+\s*\("
 PY_CALL = r"(\w+(?:\.\w+)*)\s*\("
-PY_IMPORT = r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)"
-PY_FROM = r"^\s*from\s+([\w.]+)\s+import\s+\(?\s*([\w*][\w\s,]*)"
+PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([^\n\\#;]*(?:\\\n[^\n\\#;]*)*)"
+PY_FROM = r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+([^\n\\#;(]+(?:\\\n[^\n\\#;(]*)*)"
+PY_FROM_LIST = r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]*\(([^)]*)\)"
+PY_COMMENT = r"#[^\n]*|\\"
+PY_NESTED = r"\([^()]*\)"
 PY_KEYWORDS = ("and", "assert", "await", "del", "elif", "else", "except", "for", "from", "if",
                "import", "in", "is", "lambda", "not", "or", "raise", "return", "while", "with",
                "yield")
@@ -53,7 +58,7 @@ CALL = "struct<line_no:int,function:string,args:array<string>,code:string>"
 DEF = ("struct<line_no:int,kind:string,name:string,param_types:array<string>,"
        "param_names:array<string>,modifier:string,is_static:boolean,result_type:string,"
        "extends:string,implements:array<string>,throws:array<string>>")
-IMPORT = "struct<line_no:int,module:string,names:array<string>>"
+IMPORT = "struct<line_no:int,module:string,names:array<string>,aliases:array<string>>"
 EVENT = ("struct<line_no:int,name:string,is_decl:boolean,scope:string,var_type:string,"
          "initializer:string,assigned_value:string>")
 LATER = "struct<line_no:int,value:string>"
@@ -169,24 +174,30 @@ def defs_expr(content: str = "content", lines: str = "lines", language: str = "l
     generic = find_all(
         content, word_regex(GENERIC_FUNCTION), {"rt": 1, "nm": 2, "pr": 3},
         _definition("_ln", "'function'", "nm", names=_parts("pr"), result="rt"), DEF)
-    arguments = (f"filter(transform({_parts('pr')}, _q -> "
+    flat = f"regexp_replace(regexp_replace(pr, {text(_p(PY_COMMENT))}, ' '), {text(_p(PY_NESTED))}, ' ')"
+    arguments = (f"filter(transform({_parts(flat)}, _q -> "
                  + strip("regexp_extract(_q, '^([^:=]*)', 1)") + "), _q -> _q rlike '^[A-Za-z_]')")
-    python = _per_line(lines, _p(PY_DEFINITION), {"kd": 1, "nm": 2, "pr": 3}, _definition(
-        "_n", "if(kd = 'def', 'function', 'class')", "nm",
+    python = find_all(content, _p(PY_DEFINITION), {"kd": 1, "nm": 2, "pr": 3}, _definition(
+        "_ln", "if(kd = 'def', 'function', 'class')", "nm",
         names=f"if(kd = 'def', {arguments}, {_no_strings()})"), DEF)
     return case(language, {
         ("python",): python, JS: js, ("java",): f"concat({classes}, {methods})"}, generic)
 
 
-def imports_expr(lines: str = "lines", language: str = "language") -> str:
-    """Python import statements, one row per module named."""
-    names = f"transform({_parts('nm')}, _q -> regexp_extract(_q, '^([A-Za-z0-9_.*]+)', 1))"
-    plain = _per_line(lines, _p(PY_IMPORT), {"nm": 1},
-                      struct(line_no="_n", module=null("string"), names=names), IMPORT)
-    from_ = _per_line(lines, _p(PY_FROM), {"md": 1, "nm": 2},
-                      struct(line_no="_n", module="md", names=names), IMPORT)
-    both = f"array_sort(concat({plain}, {from_}))"
-    return case(language, {("python",): both}, empty(IMPORT))
+def imports_expr(content: str = "content", language: str = "language") -> str:
+    """Python import statements with the names they import, and the alias of each (or an empty text)."""
+    clean = f"regexp_replace(nm, {text(_p(PY_COMMENT))}, ' ')"
+
+    def each(pattern):
+        return f"transform({_parts(clean)}, _q -> regexp_extract(_q, {text(_p(pattern))}, 1))"
+
+    def statements(pattern, groups, module):
+        return find_all(content, _p(pattern), groups, struct(
+            line_no="_ln", module=module, names=each(r"^([\w.*]+)"), aliases=each(r"\sas\s+(\w+)")), IMPORT)
+
+    found = [statements(PY_IMPORT, {"nm": 1}, null("string"))] + [
+        statements(p, {"md": 1, "nm": 2}, "md") for p in (PY_FROM, PY_FROM_LIST)]
+    return case(language, {("python",): f"array_sort(concat({', '.join(found)}))"}, empty(IMPORT))
 
 
 # --- variables --------------------------------------------------------------------------------
