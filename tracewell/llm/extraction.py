@@ -21,6 +21,7 @@ from tracewell.llm.common import byte_length, hash60, rows_of, text_of
 
 TRAIN_PAGES = 400               # labelled pages of the table that the field is fitted on, at most
 TRAIN_BYTES = 1 << 16           # size of such a page, at most
+TRAIN_BLOCKS, TRAIN_LONGEST = 100_000, 1_000    # leaf blocks of all these pages (give or take one page), and of one
 MADE_PAGES = 500                # made-up labelled pages with parts that a table may lack
 STEPS, RATE, PENALTY = 250, 0.1, 1e-4
 OTHER, MAIN = 0, 1
@@ -196,43 +197,44 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(pages: list[tuple[list[list[str]], list[int]]]) -> Field:
     """Maximum likelihood of the labels, by gradient steps on the exact likelihood (forward-backward)."""
-    pages = [p for p in pages if p[0]]
+    pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))
     number: dict[str, int] = {}
-    for blocks, _ in pages:
-        for b in blocks:
-            for f in b:
-                number.setdefault(f, len(number))
-    longest = max((len(b) for b, _ in pages), default=1)
-    x = np.zeros((longest, len(pages), len(number)), np.float32)
-    y = np.zeros((longest, len(pages)), np.int64)
-    here = np.zeros((longest, len(pages)), bool)
-    for p, (blocks, labels) in enumerate(pages):
-        for t, (b, label) in enumerate(zip(blocks, labels)):
-            x[t, p, [number[f] for f in b]] = 1
-            y[t, p], here[t, p] = label, True
-    gold = np.eye(2)[y] * here[..., None]
-    both = here[1:] & here[:-1]
-    gold_moves = np.array([[((y[:-1] == a) & (y[1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
-    total = max(int(here.sum()), 1)
+    # Blocks of all pages end to end, longest page first; each has the numbers of its features.
+    flat, block_of, y = [], [], []
+    for blocks, labels in pages:
+        for b, label in zip(blocks, labels):
+            mine = [number.setdefault(f, len(number)) for f in dict.fromkeys(b)]
+            flat += mine
+            block_of += [len(y)] * len(mine)
+            y.append(label)
+    flat, block_of, gold = np.array(flat, np.int64), np.array(block_of, np.int64), np.eye(2)[np.array(y, np.int64)]
+    sizes = np.array([len(b) for b, _ in pages], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    page = np.repeat(np.arange(len(pages)), sizes)
+    inner = np.flatnonzero(np.arange(len(y)) != starts[page]) if pages else np.zeros(0, np.int64)
+    at = [starts[:int((sizes > t).sum())] + t for t in range(int(sizes.max(initial=0)))]
+    gold_moves = gold[inner - 1].T @ gold[inner]
+    total = max(len(y), 1)
     theta = np.zeros(2 * len(number) + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
+
+    def summed(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+        return np.stack([np.bincount(groups, values[:, label], n) for label in (0, 1)], axis=1)
+
     for step in range(1, STEPS + 1):
         weights, moves = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-        score = x @ weights
-        forward, backward = np.zeros_like(score), np.zeros_like(score)
-        forward[0] = score[0]
-        for t in range(1, longest):
-            after = _log_sum(forward[t - 1][:, :, None] + moves, 1) + score[t]
-            forward[t] = np.where(here[t][:, None], after, forward[t - 1])
-        for t in range(longest - 2, -1, -1):
-            before = _log_sum(moves + (score[t + 1] + backward[t + 1])[:, None, :], 2)
-            backward[t] = np.where(here[t + 1][:, None], before, 0)
-        norm = _log_sum(forward[-1], 1)
-        chance = np.exp(forward + backward - norm[:, None]) * here[..., None]
-        pair = np.exp(forward[:-1, :, :, None] + moves + (score[1:] + backward[1:])[:, :, None, :]
-                      - norm[:, None, None]) * both[..., None, None]
-        slope = np.concatenate((np.einsum("tpf,tpl->fl", x, gold - chance, optimize=True).ravel(),
-                                (gold_moves - pair.sum(axis=(0, 1))).ravel())) / total - PENALTY * theta
+        score = summed(weights[flat], block_of, len(y))
+        forward, backward = score.copy(), np.zeros_like(score)
+        for here in at[1:]:
+            forward[here] += _log_sum(forward[here - 1][:, :, None] + moves, 1)
+        for here in reversed(at[1:]):
+            backward[here - 1] = _log_sum(moves + (score[here] + backward[here])[:, None, :], 2)
+        norm = _log_sum(forward[starts + sizes - 1], 1)[page] if pages else np.zeros(0)
+        chance = np.exp(forward + backward - norm[:, None])
+        pair = np.exp(forward[inner - 1][:, :, None] + moves + (score[inner] + backward[inner])[:, None, :]
+                      - norm[inner][:, None, None])
+        slope = np.concatenate((summed((gold - chance)[block_of], flat, len(number)).ravel(),
+                                (gold_moves - pair.sum(axis=0)).ravel())) / total - PENALTY * theta
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope ** 2
         theta += RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
     return Field(number, theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2))
@@ -331,7 +333,7 @@ def fit_field(pages: DataFrame, key: str = "page_id", html: str = "html") -> Fie
     """The field of made-up labelled pages and of at most ``TRAIN_PAGES`` pages that mark their article.
 
     The pages of the table are those with the least hashes of key and size among pages of at most
-    ``TRAIN_BYTES`` bytes. A bound on the hash, from the number of rows, leaves about twice as many as
+    ``TRAIN_BYTES`` bytes and ``TRAIN_LONGEST`` leaf blocks, until they have ``TRAIN_BLOCKS``. A bound on the hash, from the number of rows, leaves about twice as many as
     are wanted before anything is sorted, so that only so many reach the driver from all tasks.
     """
     size = byte_length(f"`{html}`")
@@ -340,7 +342,13 @@ def fit_field(pages: DataFrame, key: str = "page_id", html: str = "html") -> Fie
         .select(F.col(f"`{html}`").alias("html"), hash60(F.concat(text_of(F.col(f"`{key}`")), size.cast("string"))).alias("h")) \
         .filter(F.col("h") < int(share * (1 << 60))).groupBy("h").agg(F.min("html").alias("html")) \
         .orderBy("h").limit(TRAIN_PAGES).collect()
-    marked = [leaf_blocks(r.html) for r in sample if re.search(r"<(article|main)\b", r.html, re.I)]
+    marked, n_blocks = [], 0
+    for r in sample:
+        if n_blocks < TRAIN_BLOCKS and re.search(r"<(article|main)\b", r.html, re.I):
+            blocks = leaf_blocks(r.html)
+            if len(blocks) <= TRAIN_LONGEST:
+                marked.append(blocks)
+                n_blocks += len(blocks)
     known = made_pages(MADE_PAGES) + [(blocks, labels_by_landmarks(blocks)) for blocks in marked]
     return train([(_featured(blocks), labels) for blocks, labels in known])
 
