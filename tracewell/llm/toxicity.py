@@ -173,14 +173,13 @@ def known_words(docs: DataFrame, terms: DataFrame, words: DataFrame, text: str =
 
     Rank is 2 for a term itself, 1 for a word that begins with a stem, 0 for a misspelled one. A word
     near a term is not misspelled, but its own, if its labelled documents are toxic at the rate of all
-    documents rather than at the rate of the term. A lexicon of several blocks is held
-    against the vocabulary of ``docs``, one block after the other.
+    documents rather than at the rate of the term. The vocabulary of ``docs`` is held
+    against the lexicon, each word once, one block of terms after the other.
     """
     spark = docs.sparkSession
     blocks = 1 + terms.count() // TRIE_TERMS
-    source = docs.select(F.col(f"`{text}`").alias("text"))
-    if blocks > 1:
-        source = written(source.mapInArrow(_vocabulary, "text string").distinct(), "vocabulary")
+    source = written(docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_vocabulary, "text string").distinct(),
+                     "vocabulary")
     found = None
     for k in range(blocks):
         shared = spark.sparkContext.broadcast([(r.term, r.weight) for r in terms.filter(
@@ -197,28 +196,22 @@ def known_words(docs: DataFrame, terms: DataFrame, words: DataFrame, text: str =
         (F.col("rank") > 0) | (F.coalesce(own, F.lit(0.0)) <= OWN_EVIDENCE)).select("word", "term", "weight", "rank"), "known")
 
 
-def _fresh_words(batches: Iterator[pa.RecordBatch]) -> Iterator[set[str]]:
-    """The words of each text that a task has not seen lately."""
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a task, each once as long as it is held."""
     seen: set[str] = set()
     for (text,) in rows_of(batches):
-        fresh = set(_words((text or "").lower())) - seen
-        if fresh:
-            seen |= fresh
-            yield fresh
+        seen.update(_words((text or "").lower()))
         if len(seen) > HELD_PREFIXES:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["text"])
             seen.clear()
-
-
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for fresh in _fresh_words(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.string())], names=["text"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["text"])
 
 
 def _matching(shared):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(shared.value, fuzzy=SHORTEST_FUZZY, swaps=True)
-        for fresh in _fresh_words(batches):
-            if found := trie.matches(fresh):
+        for batch in batches:
+            if found := trie.matches(set(batch.column(0).to_pylist())):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(found), pa.string()), pa.array([t for t, _ in found.values()], pa.string()),
                      pa.array([w for _, w in found.values()], pa.float64()),
