@@ -208,8 +208,8 @@ def read_archives(spark: SparkSession, path: str, with_html: bool = True) -> Dat
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     size = manifest.agg(F.count("*").alias("files"), F.sum("n_bytes").alias("bytes")).first()
     # A stated number of partitions stays as it is; the manifest itself is far too small to be split.
-    n = min(max(size.files, 1), max(spark.sparkContext.defaultParallelism, (size.bytes or 0) // READ_BYTES + 1))
-    return manifest.select("path", "n_records").repartition(n, "path").mapInArrow(read, RECORD)
+    n = min(max(size.files, 1), max(4 * spark.sparkContext.defaultParallelism, (size.bytes or 0) // READ_BYTES + 1))
+    return manifest.select("path", "n_records").repartitionByRange(n, "path").mapInArrow(read, RECORD)
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
