@@ -916,7 +916,7 @@ def snk_03_report_tables(spark, d):
 def inc_04_clear(spark, d):
     """State tables after results were saved for all projects, cleared, and saved for some."""
     files, _ = _scan_state(spark, d)
-    store = state.ScanState(spark, _scratch(spark, "state"))
+    store = state.ScanState(spark, _scratch(spark, "state"), buckets=16)
     none = fx.findings(spark, d).where("false")
     store.save_file_results(files, none, 1.0, "r1")
     store.clear()

@@ -123,10 +123,10 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 class ScanState:
-    """State tables under one folder of shared storage."""
+    """State tables under one folder of shared storage; ``buckets`` must stay the same for a folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -156,7 +156,7 @@ class ScanState:
         """Puts ``rows`` in the place of saved rows of their keys that are not newer."""
         keys, schema = TABLES[table]
         names = self.spark.createDataFrame([], schema).columns
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
         new = written(rows.select(*names, bucket.alias("bucket")), "saving")
         touched = {r.bucket for r in new.select("bucket").distinct().collect()}
         if touched:
@@ -210,7 +210,7 @@ class ScanState:
 
     def compact(self, root: str) -> ScanState:
         """Write the current rows under another folder, without the files of earlier versions."""
-        other = ScanState(self.spark, root)
+        other = ScanState(self.spark, root, self.buckets)
         for table in TABLES:
             other.save(table, self.read(table))
         return other
