@@ -141,6 +141,7 @@ def awkward_rows():
 @pytest.mark.parametrize("limit", [7, 4096])
 def test_awkward_rows(spark, awkward_rows, limit, monkeypatch):
     monkeypatch.setattr(repair, "SEGMENT_ROWS", limit)
+    monkeypatch.setattr(repair, "ROWS_AT_ONCE", 20)
     frame = spark.createDataFrame(awkward_rows, ROLES).withColumn("segment", repair.F.lit(1)).repartition(5)
     expected = plain(plain_damage(awkward_rows))
     lost = {r[0] for r in awkward_rows} - set(expected)

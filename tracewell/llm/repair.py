@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import collected, rows_of, written
 
 SEGMENT_ROWS, SEGMENT_BYTES = 4096, 8 << 20
+ROWS_AT_ONCE = 1 << 16          # rows whose nodes are in memory together
 TASK_SHIFT = 32
 _WHITE = " \t\n\x0b\x0c\r"
 
@@ -309,9 +311,19 @@ def _result_schema(kind: pa.DataType) -> pa.Schema:
         ("audit", pa.string()), ("repaired_sha256", pa.string())])
 
 
+def _portions(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose segments have about ``ROWS_AT_ONCE`` rows; ``column`` has a byte per row."""
+    for batch in batches:
+        part = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(), dtype=np.int64) // ROWS_AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of conversations that are one segment."""
-    for batch in batches:
+    for batch in _portions(batches, "codes"):
         rows = list(rows_of(iter([batch])))
         kinds = []
         for *_, codes, roles, texts in rows:
@@ -335,7 +347,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kinds and cost table of each segment; ``firsts`` are the rows that repeat none before."""
-    for batch in batches:
+    for batch in _portions(batches, "codes"):
         rows = list(rows_of(iter([batch])))
         kinds = []
         for _, _, codes, firsts in rows:
@@ -369,12 +381,11 @@ def _solved(batch: pa.RecordBatch) -> Nodes:
 
 def _moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The state at each segment's end, for each state at its entry."""
-    for batch in batches:
-        if batch.num_rows:
-            nodes = _solved(batch)
-            ends = np.stack([nodes.exit_states(np.full(batch.num_rows, s)) for s in range(4)], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends.tolist(), pa.list_(pa.int64()))],
-                                             names=[*batch.schema.names, "ends"])
+    for batch in _portions(batches, "kinds"):
+        nodes = _solved(batch)
+        ends = np.stack([nodes.exit_states(np.full(batch.num_rows, s)) for s in range(4)], axis=1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends.tolist(), pa.list_(pa.int64()))],
+                                         names=[*batch.schema.names, "ends"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,14 +403,13 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            paths = list(_solved(batch).paths(np.array(batch.column("entry").to_pylist())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([p[0] for p in paths], pa.binary()),
-                 pa.array([p[1] for p in paths], pa.list_(pa.int32())),
-                 pa.array([bytes(p[2]) for p in paths], pa.binary())],
-                names=["conv_id", "segment", "kinds", "letters", "rows", "after"])
+    for batch in _portions(batches, "kinds"):
+        paths = list(_solved(batch).paths(np.array(batch.column("entry").to_pylist())))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array([p[0] for p in paths], pa.binary()),
+             pa.array([p[1] for p in paths], pa.list_(pa.int32())),
+             pa.array([bytes(p[2]) for p in paths], pa.binary())],
+            names=["conv_id", "segment", "kinds", "letters", "rows", "after"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
