@@ -152,6 +152,14 @@ def read_files(spark: SparkSession, root: str, ignore: list[str], anchor: bool =
         extensions=json.dumps(extensions), maxsize=json.dumps(max_file_size), content=str(content).lower()).load()
 
 
+def _member(path: str, mtime: float, content: bytes) -> bytes:
+    """Header and blocks of one file. A whole time is written as a whole number, which needs no second header."""
+    member = tarfile.TarInfo(path)
+    member.size, member.mtime = len(content), int(mtime) if float(mtime).is_integer() else mtime
+    return b"".join((member.tobuf(tarfile.PAX_FORMAT, "utf-8", "surrogateescape"), content,
+                     bytes(-len(content) % tarfile.BLOCKSIZE)))
+
+
 def pack(files: DataFrame, root: str) -> None:
     """Writes ``files(project_id, path, mtime, content)`` as archives: several per project where tasks share one.
 
@@ -160,10 +168,10 @@ def pack(files: DataFrame, root: str) -> None:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = fs.FileSystem.from_uri(root)
         system.create_dir(folder, recursive=True)
-        project, archive, stream, temporary, done = None, None, None, "", []
+        project, stream, temporary, done = None, None, "", []
 
         def close():
-            archive.close()
+            stream.write(bytes(-stream.tell() % tarfile.RECORDSIZE or tarfile.RECORDSIZE))
             stream.close()
             name = f"{project}@{TaskContext.get().partitionId():06d}.tar"
             system.move(temporary, f"{folder}/{name}")
@@ -172,15 +180,12 @@ def pack(files: DataFrame, root: str) -> None:
         for batch in batches:
             for name, path, mtime, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if name != project:
-                    if archive:
+                    if stream:
                         close()
                     project, temporary = name, f"{folder}/_temporary-{uuid.uuid4().hex}"
-                    stream = system.open_output_stream(temporary, compression=None)
-                    archive = tarfile.open(fileobj=stream, mode="w|")
-                member = tarfile.TarInfo(path)
-                member.size, member.mtime = len(content), mtime or 0
-                archive.addfile(member, pa.BufferReader(content))
-        if archive:
+                    stream = system.open_output_stream(temporary, compression=None, buffer_size=BATCH_BYTES)
+                stream.write(_member(path, mtime or 0, content))
+        if stream:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["archive"])
 
