@@ -202,3 +202,28 @@ def test_fixpoint_equals_brute_force_on_random_files(spark, files_of):
                 index[name] = len(variables)
                 variables.append({"name": name, "line": n, "writes": [(0, 0, line)]})
         assert got.get(path, set()) == brute_taint(sources.get(path, set()), variables), path
+
+
+def test_only_needed_rules_and_lines_are_looked_at(files_of):
+    files = files_of({"x.py": "aa = input()\nbb = html.escape(aa)\nos.system(bb)"})
+
+    def plan(result):
+        return dataflow.table(files, result)._jdf.queryExecution().analyzed().toString()
+
+    taints, sinks, flows = plan("taints"), plan("sinks"), plan("flows")
+    assert "os.system(" not in taints and "html.escape(" not in taints and "input(" in taints
+    assert "os.system(" in sinks and "html.escape(" not in sinks
+    assert "os.system(" in flows and "html.escape(" in flows
+    # surrounding lines come with the hits, however many results are asked for
+    both = dataflow.analyze(files, results=["sinks", "flows"]).first()
+    assert both.sinks[0].context.startswith("aa = input()") and both.flows
+    assert [f.variable for f in both.flows if f.sanitized] == []
+
+
+def test_names_are_bound_without_copies(spark):
+    from tracewell.functions.expressions import let
+
+    spoken = let({"a": "id + 1", "b": "array(a, a)"}, "concat(b, array(id))")
+    assert "transform(" not in spoken
+    assert [list(r[0]) for r in spark.range(2).selectExpr(spoken).collect()] == [[1, 1, 0], [2, 2, 1]]
+    assert spark.range(1).selectExpr(let({"a": "cast(null as int)"}, "coalesce(a, 5)")).first()[0] == 5

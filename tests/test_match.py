@@ -145,3 +145,14 @@ def test_hits_lie_in_lines(spark, files_of):
     lines = facts.lines(files)
     kept = hits.join(lines, ["path", "line_no"]).where(F.expr("contains(text, sink_pattern)"))
     assert kept.count() == hits.count() > 0
+
+
+def test_plain_text_is_looked_for_before_expressions(spark):
+    assert match._found("x", "validate") == "contains(x, 'validate')"
+    found = match._found("x", r"if\s*\(")
+    assert found.startswith("(contains(x, 'if') and rlike(x, ")
+    for pattern in ("a|b", "(?i)eval"):
+        assert match._found("x", pattern).startswith("rlike(")
+    texts = spark.createDataFrame([("if  (a)",), ("iff",), ("elif(",), ("",), (None,)], "x string")
+    held = texts.selectExpr(found, f"rlike(x, {match.text(match.java_regex('if.s*.(').replace('.', chr(92)))})").collect()
+    assert all(a == b for a, b in held) and [a for a, _ in held] == [True, False, True, False, None]
