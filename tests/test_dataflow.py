@@ -227,3 +227,21 @@ def test_names_are_bound_without_copies(spark):
     assert "transform(" not in spoken
     assert [list(r[0]) for r in spark.range(2).selectExpr(spoken).collect()] == [[1, 1, 0], [2, 2, 1]]
     assert spark.range(1).selectExpr(let({"a": "cast(null as int)"}, "coalesce(a, 5)")).first()[0] == 5
+
+
+def test_no_expression_is_made_per_name(files_of):
+    from tracewell.operators import match
+
+    # one fixed expression for all literals and names, not one compiled for each pair
+    assert "\\Q" not in match.assigned_name("code", "name") and "\\Q" not in dataflow.taints_expr()
+    assert "rlike" not in match.sources_expr() and "concat('(?d)" not in match.sources_expr()
+    text = "x == (yy = input() + zz)\nuu = 5 = yy\nyy.k = vv\nww = clean(yy, (a = b))\nyy = 1"
+    files = files_of({"x.py": text})
+    found = [(s.line_no, s.assigned, s.derived_variable, s.parent_line) for s in rows(files, "sources")]
+    assert found == [(1, "x", None, None)]
+    text = "\tyy = input()\nuu = 5 = yy\nyy.k = vv\nww = clean(yy, (a = b))\nyy = 1"
+    files = files_of({"x.py": text})
+    found = [(s.line_no, s.assigned, s.derived_variable, s.parent_line) for s in rows(files, "sources")]
+    assert found == [(1, "yy", None, None), (2, None, "uu", 1), (4, None, "ww", 1)]
+    assert [(t.variable, t.line_no, t.transformed_from) for t in rows(files, "taints") if t.hop is None] == [
+        ("yy", 1, "yy"), ("ww", 4, "yy"), ("ww", 4, "ww")]
