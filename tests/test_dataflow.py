@@ -245,3 +245,18 @@ def test_no_expression_is_made_per_name(files_of):
     assert found == [(1, "yy", None, None), (2, None, "uu", 1), (4, None, "ww", 1)]
     assert [(t.variable, t.line_no, t.transformed_from) for t in rows(files, "taints") if t.hop is None] == [
         ("yy", 1, "yy"), ("ww", 4, "yy"), ("ww", 4, "ww")]
+
+
+def test_taints_need_no_arguments_scopes_or_types(files_of):
+    files = files_of({"x.js": "let aa = req.query.q;\nlet bb = go(aa, 1);\nbb = aa;\nlet aa = cc;"})
+
+    def plan(result):
+        return dataflow.table(files, result)._jdf.queryExecution().analyzed().toString()
+
+    assert "lambda ar#" in plan("function_calls") and "lambda ar#" not in plan("taints")
+    assert "lambda kd#" in plan("variables") and "lambda kd#" not in plan("taints")
+    assert [(v.name, v.assigned_value, v.scope, len(v.later_assigns)) for v in rows(files, "variables")] == [
+        ("aa", "req.query.q", "let", 2), ("bb", "go(aa, 1)", "let", 2), ("aa", "cc", "let", 0)]
+    assert [c.args for c in rows(files, "function_calls")] == [["aa", "1"]]
+    both = dataflow.analyze(files, results=["variables", "taints"]).first()
+    assert both.variables[0].scope == "let" and [(t.variable, t.hop) for t in both.taints][:1] == [("aa", 0)]
