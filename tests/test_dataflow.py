@@ -260,3 +260,17 @@ def test_taints_need_no_arguments_scopes_or_types(files_of):
     assert [c.args for c in rows(files, "function_calls")] == [["aa", "1"]]
     both = dataflow.analyze(files, results=["variables", "taints"]).first()
     assert both.variables[0].scope == "let" and [(t.variable, t.hop) for t in both.taints][:1] == [("aa", 0)]
+
+
+def test_wrapper_lines_meet_sinks_by_number(spark, files_of):
+    from tracewell.operators import match
+
+    assert "split(" not in match.sinks_expr()
+    patterns = spark.createDataFrame(
+        [(1, "wrapper_function", None, "go(", None, 0, 1), (1, "wrapper_function", None, "no(", None, 0, 2),
+         (1, "custom_function", None, "mine(", "executes a sql query", 0, 3)],
+        "project_id bigint, kind string, category string, name string, impact string, file_ord int, pattern_ord bigint")
+    lines = ["eval(aa)", "mine(aa); eval(bb)", "xx", "yy", "go(1)", "zz", "uu", "mine(bb)", "eval(cc)", "go(2)"]
+    found = rows(files_of({"x.py": "\n".join(lines)}), "sinks", patterns=patterns)
+    wrapped = [(s.line_no, s.wrapped_sink, s.context.count("\n") + 1) for s in found if s.wrapped_sink]
+    assert wrapped == [(5, "eval(", 7), (5, "mine(", 7), (5, "mine(", 7), (10, "eval(", 4), (10, "mine(", 4)]
