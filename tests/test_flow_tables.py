@@ -149,3 +149,30 @@ def test_file_of_fifty_thousand_lines(spark, files_of, monkeypatch):
     assert {("w0x", 0), ("w50x", 0)} <= taints and tables.flows().count() > 200
     edges = tables.call_edges()
     assert edges.where("line_no = 49998 and caller = 'd9999' and caller_line = 49997").count() == 1
+
+
+@pytest.mark.parametrize("word", [False, True])
+@pytest.mark.parametrize("limit", [0, 16, 100_000])
+def test_mentions_against_loops(spark, word, limit):
+    rng = random.Random(4)
+    some = lambda most, letters: "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+    names = [(k, some(9, "ab_1")) for k in (1, 2) for _ in range(30)] + [(3, None)]
+    texts = [(k, i, some(30, "ab_1 .=é")) for k in (1, 2, 3) for i in range(80)] + [(1, 80, None)]
+    got = mentions.mentions(spark.createDataFrame(texts, "k int, at int, text string"),
+                            spark.createDataFrame(names, "k int, name string"), ["k"], word=word, limit=limit).collect()
+    held = {}
+    for k, name in names:
+        if name:
+            held.setdefault(k, set()).add(name)
+    assert sorted((r.k, r.at, r.name_in_text) for r in got) == sorted(
+        (k, i, n) for k, i, t in texts for n in held.get(k, ()) if list(mentions.hits([n], [t], word)))
+
+
+def test_no_task_gets_all_names_of_a_file(files, capsys):
+    tables = flow_tables.FlowTables(files)
+    tables.flows().explain()
+    tables.references().explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "CoGroups" not in plan
+    # an array column would be measured anew for each row of a batch
+    assert not [line for line in plan.splitlines() if "MapInArrow" in line and "bypasses" in line]

@@ -76,3 +76,57 @@ def test_references_of_a_repeated_name_do_not_multiply(spark, files_of, monkeypa
     assert tables.references(by_name=True).count() == 600 and tables.references().count() == 180_000
     rows = queries.QUERIES["jn_03_long_files"](spark, "").collect()
     assert len(rows) == 300 and {(r.uses, r.line_sum, r.ref_names) for r in rows} == {(600, 90_300, 1)}
+
+
+def parted(files, spark):
+    """The files as rows of one line each, in an order of their own."""
+    rows = [(f.project_id, f.path, f.language, n, line) for f in files.collect()
+            for n, line in enumerate(f.content.split("\n"))]
+    random.Random(7).shuffle(rows)
+    return spark.createDataFrame(rows, "project_id bigint, path string, language string, part bigint, content string")
+
+
+def test_files_in_parts_give_the_same_pieces(files, spark):
+    columns = ["project_id", "path", "language", "content", "piece", "skipped", "before", "after"]
+    whole, parts = (sorted(map(tuple, pieces.pieces(f).select(columns).collect()), key=repr)
+                    for f in (files, parted(files, spark)))
+    assert whole == parts and len(whole) > 3 * files.count()
+
+
+def test_one_piece_of_a_file_in_parts_is_held_at_a_time():
+    read = [0]
+
+    def parts():
+        for n in range(100_000):
+            read[0] += 1
+            yield f"let h{n} = f(a);"
+
+    for language in ("javascript", "python"):
+        read[0], given, ahead = 0, 0, []
+        for body, _, _ in pieces.cuts(parts(), language):
+            given += body.count("\n") + 1
+            ahead.append(read[0] - given)
+        assert given == 100_000 and max(ahead) < 30_000
+
+
+def test_tables_of_files_in_parts(files, spark):
+    parts = parted(files, spark)
+    for result in ("sources", "call_edges", "validation_attempts"):
+        equal(flow_tables.table(parts, result, lines=30), dataflow.table(files, result))
+
+
+def test_only_the_facts_of_a_result_are_made(files):
+    made = flow_tables.FlowTables(files, result="call_edges").facts.columns
+    assert {"calls", "defs"} <= set(made) and not {"lines", "hits", "events", "checks", "sinks"} & set(made)
+
+
+def test_long_files_in_parts_hold_the_texts(spark, tmp_path):
+    rows = [(o, n % 7 + 1, o * 3 + n, n) for o in range(0, 900, 5) for n in range(6)] + [(None, 1, 2, 3), (8, None, 1, 1)]
+    frame = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    frame.write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = {(r.project_id, r.path, r.language): r.content for r in fx.long_files(spark, str(tmp_path)).collect()}
+    found = {}
+    for r in sorted(fx.long_files(spark, str(tmp_path), True).collect(), key=lambda r: r.part or 0):
+        found.setdefault((r.project_id, r.path, r.language), []).append(r.content)
+    assert {k: "\n".join(t for t in v if t is not None) for k, v in found.items()} == whole
+    assert max(len(v) for v in found.values()) > 1
